@@ -2,8 +2,8 @@
 
 Everything works on distinct (name, date) combinations, never on raw programme rows, and
 every step is an equi-join. The token step never lists all pairs that share one common word:
-candidates need two shared words, found through each name's rarer words only, or one
-shared word on a race day, which is counted per (day, word) instead of listed.
+pairs are found through each name's rarer words only, and races that share a single word
+on a race day are counted per (day, word) instead of listed.
 """
 
 from __future__ import annotations
@@ -92,66 +92,87 @@ def variant_matches(names: DataFrame, planning: DataFrame) -> DataFrame:
     )
 
 
-def _rarer_words(sets: DataFrame, id_column: str, frequency: DataFrame) -> DataFrame:
-    """(season, id, word) for all but the most frequent word of each set.
+def _rarer_words(sets: DataFrame, keys: list[str], frequency: DataFrame, skipped: int) -> DataFrame:
+    """(keys, word) for all but the `skipped` most frequent words of each set.
 
-    Two sets sharing two words share at least one of these: dropping one word per set, in one
-    common order, cannot hide both.
+    Two sets that share more than `skipped` words share at least one of these: leaving out that
+    many per set, in one common order, cannot hide all of them.
     """
-    words = sets.select(_SEASON, id_column, F.explode("words").alias("word")).join(frequency, [_SEASON, "word"])
-    ranked = words.groupBy(_SEASON, id_column).agg(F.array_sort(F.collect_list(F.struct("frequency", "word"))).alias("ranked"))
-    kept = F.slice("ranked", F.lit(1), F.greatest(F.size("ranked") - 1, F.lit(0)))
-    return ranked.select(_SEASON, id_column, F.explode(kept).alias("r")).select(_SEASON, id_column, F.col("r.word").alias("word"))
+    words = sets.select(*keys, F.explode("words").alias("word")).join(frequency, [_SEASON, "word"])
+    ranked = words.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("frequency", "word"))).alias("ranked"))
+    kept = F.slice("ranked", F.lit(1), F.greatest(F.size("ranked") - skipped, F.lit(0)))
+    return ranked.select(*keys, F.explode(kept).alias("r")).select(*keys, F.col("r.word").alias("word"))
 
 
 def overlap_matches(names: DataFrame, planning: DataFrame) -> DataFrame:
     """Best race by shared words, date and prefix, when it is good enough and beats every other.
 
     Score: (shared words + date bonus + prefix bonus, shared words, date bonus); the bonus is 3 on
-    a race day and 1 when the observed name starts with the race name. Needs a first component
-    of 3 and must be strictly above the runner-up. Only candidates reaching 3 can decide
-    that, so no others are produced.
+    a race day and 1 when the observed name starts with the race name. The first part must reach 3
+    and the score be strictly above the runner-up's. Only candidates reaching 3 can decide that:
+    three shared words; two on a race day; a name that is a prefix; or one word on a race day.
     """
-    candidates = planning.groupBy(_SEASON, "normalized_race_name", "start_date", "end_date").agg(
+    observation = [_SEASON, "normalized_name", "observed_date"]
+    candidate = ["normalized_race_name", "start_date", "end_date"]
+    # Races with the same name and dates always tie, so they are one candidate with a count.
+    candidates = planning.groupBy(_SEASON, *candidate).agg(
         F.count(F.lit(1)).alias("races"), F.min(F.struct("race_id", "race_name")).alias("race")
     )
-    candidates = candidates.withColumn("words", tokens_of(F.col("normalized_race_name"))).where(F.size("words") > 0)
-    observation = [_SEASON, "normalized_name", "observed_date"]
+    candidates = candidates.withColumn("candidate_words", tokens_of(F.col("normalized_race_name"))).where(F.size("candidate_words") > 0)
     observed = names.select(*observation).distinct().withColumns(
         {
             "words": tokens_of(F.col("normalized_name")),
             "day": as_date(F.when(F.col("observed_date") != "", F.col("observed_date"))),
         }
     ).where(F.size("words") > 0)
+    dated = observed.where(F.col("day").isNotNull())
+    days = candidates.where(F.col("start_date") <= F.col("end_date")).withColumn("day", F.explode(F.sequence("start_date", "end_date")))
 
-    frequency = candidates.select(_SEASON, F.explode("words").alias("word")).groupBy(_SEASON, "word").agg(F.count(F.lit(1)).alias("frequency"))
-    # Words are compared per distinct name; dates come in afterwards.
+    frequency = candidates.select(_SEASON, F.explode("candidate_words").alias("word")).groupBy(_SEASON, "word").agg(
+        F.count(F.lit(1)).alias("frequency")
+    )
     observed_names = observed.select(_SEASON, "normalized_name", "words").distinct()
-    candidate_names = candidates.select(_SEASON, "normalized_race_name", "words").distinct()
-    pairs = (
-        _rarer_words(observed_names, "normalized_name", frequency)
-        .join(_rarer_words(candidate_names, "normalized_race_name", frequency), [_SEASON, "word"])
-        .select(_SEASON, "normalized_name", "normalized_race_name")
-        .distinct()
+    candidate_names = candidates.select(_SEASON, "normalized_race_name", F.col("candidate_words").alias("words")).distinct()
+
+    def rare(skipped: int) -> tuple[DataFrame, DataFrame]:
+        return (
+            _rarer_words(observed_names, [_SEASON, "normalized_name"], frequency, skipped),
+            _rarer_words(candidate_names, [_SEASON, "normalized_race_name"], frequency, skipped),
+        )
+
+    columns = [*observation, "words", "day", *candidate, "candidate_words", "races", "race"]
+    seen, listed = rare(2)
+    pairs = seen.join(listed, [_SEASON, "word"]).select(_SEASON, "normalized_name", "normalized_race_name").distinct()
+    by_words = observed.join(pairs, [_SEASON, "normalized_name"]).join(candidates, [_SEASON, "normalized_race_name"]).select(*columns)
+
+    seen, listed = rare(1)
+    by_day = (
+        dated.join(seen, [_SEASON, "normalized_name"])
+        .join(days.join(listed, [_SEASON, "normalized_race_name"]), [_SEASON, "day", "word"])
+        .select(*columns)
     )
-    listed = observed.alias("o").join(pairs, [_SEASON, "normalized_name"]).join(
-        candidates.withColumnRenamed("words", "candidate_words"), [_SEASON, "normalized_race_name"]
+    prefixes = F.transform(
+        F.sequence(F.lit(1), F.length("normalized_name")), lambda n: F.substring(F.col("normalized_name"), F.lit(1), n)
     )
-    shared = F.size(F.array_intersect("words", "candidate_words"))
+    starts = observed_names.select(_SEASON, "normalized_name", F.explode(prefixes).alias("normalized_race_name"))
+    starts = starts.join(candidate_names.select(_SEASON, "normalized_race_name"), [_SEASON, "normalized_race_name"])
+    by_prefix = observed.join(starts, [_SEASON, "normalized_name"]).join(candidates, [_SEASON, "normalized_race_name"]).select(*columns)
+
+    listed_pairs = by_words.unionByName(by_day).unionByName(by_prefix).dropDuplicates([*observation, *candidate])
     on_day = F.coalesce(F.col("day").between(F.col("start_date"), F.col("end_date")), F.lit(False))
-    prefix = F.startswith(F.col("normalized_name"), F.col("normalized_race_name")).cast("int")
-    two_words = listed.select(
+    scored = listed_pairs.select(
         *observation, "races", "race",
-        shared.alias("shared"), F.when(on_day, F.lit(3)).otherwise(F.lit(0)).alias("date_bonus"), prefix.alias("prefix"),
-    ).where("shared >= 2")
-
-    # One shared word on a race day. Such races only matter when no race shares two words on
-    # that day, and then each of them shares exactly one: counting per (day, word) is exact.
-    days = candidates.where(F.col("start_date") <= F.col("end_date")).withColumn("day", F.explode(F.sequence("start_date", "end_date")))
-    cells = days.select(_SEASON, "day", F.explode("words").alias("word"), "races", "race").groupBy(_SEASON, "day", "word").agg(
+        F.size(F.array_intersect("words", "candidate_words")).alias("shared"),
+        F.when(on_day, F.lit(3)).otherwise(F.lit(0)).alias("date_bonus"),
+        F.startswith(F.col("normalized_name"), F.col("normalized_race_name")).cast("int").alias("prefix"),
+    ).where("shared > 0")
+
+    # One shared word on a race day scores (4, 1, 3). It only matters when no race shares two words
+    # or a prefix on that day, and then every race of the day shares exactly one word: counting
+    # them per (day, word) is exact and lists no pairs.
+    cells = days.select(_SEASON, "day", F.explode("candidate_words").alias("word"), "races", "race").groupBy(_SEASON, "day", "word").agg(
         F.sum("races").alias("races"), F.min("race").alias("race")
     )
-    dated = observed.where(F.col("day").isNotNull())
     one_word = (
         dated.select(*observation, "day", F.explode("words").alias("word"))
         .join(cells, [_SEASON, "day", "word"])
@@ -159,26 +180,14 @@ def overlap_matches(names: DataFrame, planning: DataFrame) -> DataFrame:
         .agg(F.sum("races").alias("races"), F.min("race").alias("race"))
         .select(*observation, "races", "race", F.lit(1).alias("shared"), F.lit(3).alias("date_bonus"), F.lit(0).alias("prefix"))
     )
-    # One shared word, a race day and the race name as prefix: found by the prefix itself.
-    lengths = F.transform(F.sequence(F.lit(1), F.length("normalized_name")), lambda n: F.substring(F.col("normalized_name"), F.lit(1), n))
-    one_word_prefix = (
-        dated.select(*observation, "day", "words", F.explode(lengths).alias("normalized_race_name"))
-        .join(days.withColumnRenamed("words", "candidate_words"), [_SEASON, "normalized_race_name", "day"])
-        .where(F.size(F.array_intersect("words", "candidate_words")) == 1)
-        .select(*observation, "races", "race", F.lit(1).alias("shared"), F.lit(3).alias("date_bonus"), F.lit(1).alias("prefix"))
-    )
-
-    everything = two_words.unionByName(one_word).unionByName(one_word_prefix)
-    score = F.struct(
-        (F.col("shared") + F.col("date_bonus") + F.col("prefix")).alias("total"), F.col("shared"), F.col("date_bonus")
-    )
-    scored = everything.withColumn("score", score).where("score.total >= 3")
-    per_score = scored.groupBy(*observation, "score").agg(F.sum("races").alias("races"), F.min("race").alias("race"))
+    # A listed pair with one shared word on its day is in the count already.
+    several = scored.where(~((F.col("shared") == 1) & (F.col("date_bonus") == 3) & (F.col("prefix") == 0)))
+    score = F.struct((F.col("shared") + F.col("date_bonus") + F.col("prefix")).alias("total"), F.col("shared"), F.col("date_bonus"))
+    reached = several.unionByName(one_word).withColumn("score", score).where("score.total >= 3")
+    per_score = reached.groupBy(*observation, "score").agg(F.sum("races").alias("races"), F.min("race").alias("race"))
     best = per_score.groupBy(*observation).agg(F.max_by(F.struct("races", "race"), "score").alias("best")).where("best.races = 1")
     return best.select(
-        *observation,
-        F.col("best.race.race_id").alias("overlap_race_id"),
-        F.col("best.race.race_name").alias("overlap_name"),
+        *observation, F.col("best.race.race_id").alias("overlap_race_id"), F.col("best.race.race_name").alias("overlap_name")
     )
 
 

@@ -148,7 +148,8 @@ def rank_correlation(left_rank: Column, right_rank: Column) -> Column:
         & (F.min(left_rank) < F.max(left_rank))
         & (F.min(right_rank) < F.max(right_rank))
     )
-    return F.when(usable, F.corr(left_rank, right_rank)).otherwise(F.lit(0.0))
+    spread = F.nullif(F.stddev_pop(left_rank) * F.stddev_pop(right_rank), F.lit(0.0))
+    return F.when(usable, F.covar_pop(left_rank, right_rank) / spread).otherwise(F.lit(0.0))
 
 
 def spearman(df: DataFrame, left: str, right: str, unique: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
