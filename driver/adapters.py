@@ -9,18 +9,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from echelon.constants import EXECUTION_RULES, PARTICIPATION_RULES, PROFILE_AXES
-from echelon.functions.columns import map_literal
+from echelon.functions.columns import map_literal, normalised_map
 from echelon.functions.dates import status_as_of
 from echelon.operators import editions as ed
-from echelon.operators.profiles import infer_archetype
+from echelon.operators.profiles import with_inferred_archetype
 from echelon.operators.team_calendar import prepare_planning, with_overlap_groups
 
 PLANNING_YEAR = 2001
 AS_OF = "2001-06-30"
 
 
+# Schemas of the given tables: reading with them needs no inference job.
+TABLES = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey long, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate {ts}, o_orderpriority string",
+    "lineitem": (
+        "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, "
+        "l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate {ts}"
+    ),
+    "events": "event_id long, ts {ts}, user_id long, event_type string, value double, props string",
+    "documents": "doc_id long, text string, lang string, source string, n_chars long",
+    "pages": "page_id long, url string, html string",
+}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spark.read.schema(TABLES[name].format(ts="timestamp_ntz")).parquet(f"{folder}/{name}.parquet")
 
 
 def _percent(c: str) -> Column:
@@ -323,17 +341,16 @@ def raw_weights(key: Column) -> list[Column]:
 def team_profiles(spark: SparkSession, folder: str) -> DataFrame:
     """A profile per nation with weights that follow from its key."""
     key = F.col("n_nationkey")
-    raw = [w.cast("double") for w in raw_weights(key)]
-    whole = raw[0] + raw[1] + raw[2] + raw[3] + raw[4] + raw[5]
-    weights = F.create_map(*[x for axis, w in zip(PROFILE_AXES, raw) for x in (F.lit(axis), w / whole)])
-    return table(spark, folder, "nation").select(
+    raw = F.create_map(*[x for axis, w in zip(PROFILE_AXES, raw_weights(key)) for x in (F.lit(axis), w.cast("double"))])
+    profiles = table(spark, folder, "nation").select(
         _team(key).alias("team_slug"), F.lit(PLANNING_YEAR).alias("planning_year"),
         F.concat(F.lit("Nation "), key.cast("string")).alias("team_name"),
-        weights.alias("strength_weights"),
+        normalised_map(raw, PROFILE_AXES).alias("strength_weights"),
         F.when(key % 4 == 0, F.lit(0.65)).otherwise(F.lit(0.70)).alias("team_fit_floor"),
         F.when(key % 4 == 0, F.lit(0.35)).otherwise(F.lit(0.30)).alias("team_fit_range"),
         map_literal(EXECUTION_RULES).alias("execution_rules"), map_literal(PARTICIPATION_RULES).alias("participation_rules"),
-        infer_archetype(weights).alias("archetype_key"), F.lit("").alias("archetype_label"), F.lit("").alias("archetype_description"),
+        F.lit("").alias("archetype_label"), F.lit("").alias("archetype_description"),
         F.lit("medium").alias("profile_confidence"), F.lit("v1").alias("profile_version"),
         F.array(F.lit("Derived from the nation key.")).alias("profile_rationale"),
     )
+    return with_inferred_archetype(profiles, "archetype_key")

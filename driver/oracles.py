@@ -451,7 +451,7 @@ reached AS (
   SELECT *, max(end_date) OVER (PARTITION BY team_slug, stretch ORDER BY start_date, end_date NULLS LAST, race_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM stretched),
 grouped AS (
   SELECT *, sum(CASE WHEN end_date IS NULL OR reach IS NULL OR start_date > reach THEN 1 ELSE 0 END) OVER (PARTITION BY team_slug ORDER BY start_date, end_date NULLS LAST, race_id ROWS UNBOUNDED PRECEDING) AS overlap_group_id FROM reached),
-overlaps AS (
+labelled AS (
   SELECT *, CASE WHEN count(*) OVER (PARTITION BY team_slug, overlap_group_id) > 1 THEN 'overlap_' || count(*) OVER (PARTITION BY team_slug, overlap_group_id) ELSE '' END AS overlap_group FROM grouped)"""
 
 SNAPSHOTS = """base AS (

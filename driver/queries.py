@@ -186,7 +186,7 @@ def _history_queries() -> dict[str, Query]:
         "history_signals": Query(_history, shape(i="race_id", s="race_name", f6=signals), summary),
         "base_opportunity": Query(_history, shape(i="race_id", s="race_name route_profile", f6="base_opportunity_index", f4="base_opportunity_points"), summary),
         "category_baseline": Query(
-            lambda s, d: hist.category_baselines(_history(s, d)), shape(s="latest_category race_type route_profile", f4="avg_top10_points base_opportunity_points", f6="base_opportunity_index gc_signal sprint_bonus_signal"),
+            lambda s, d: hist.category_baselines(_history(s, d)), shape(s="latest_category race_type route_profile", f3="avg_top10_points base_opportunity_points", f6="base_opportunity_index gc_signal sprint_bonus_signal"),
             sql.with_ctes(sql.BASELINES, select="SELECT * FROM baselines"),
         ),
         "history_fallback": Query(
@@ -483,7 +483,7 @@ def _calendar_queries() -> dict[str, Query]:
         ),
         "overlap_groups": Query(
             lambda s, d: cal.with_overlap_groups(ad.intervals(s, d)), shape(i="race_id overlap_group_id", s="team_slug overlap_group"),
-            sql.with_ctes(sql.INTERVALS, select="SELECT * FROM overlaps"),
+            sql.with_ctes(sql.INTERVALS, select="SELECT * FROM labelled"),
         ),
         "schedule_diff": Query(
             lambda s, d: cal.schedule_changes(*ad.snapshots(s, d), F.lit("2002-01-01").cast("timestamp")),

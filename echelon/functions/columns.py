@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 from operator import add
 
@@ -19,8 +19,13 @@ def ratio_or_zero(numerator: Column, denominator: Column) -> Column:
 
 
 def clip(value: Column, low: float = 0.0, high: float = 1.0) -> Column:
-    """Clamp, keeping nulls (greatest/least would turn a null into the bound)."""
-    return F.when(value.isNotNull(), F.least(F.greatest(value, F.lit(float(low))), F.lit(float(high))))
+    """Clamp a value that is never null (a null would become the lower bound)."""
+    return F.least(F.greatest(value, F.lit(float(low))), F.lit(float(high)))
+
+
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with `value` evaluated once, however often `use` mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def known(condition: Column) -> Column:
@@ -45,8 +50,7 @@ def nulls_last(value: Column) -> Column:
 
 def number(value: Column) -> Column:
     """Read as double; text that is no number and NaN become null."""
-    parsed = value.try_cast("double")
-    return F.when(~F.isnan(parsed), parsed)
+    return F.nanvl(value.try_cast("double"), F.lit(None).cast("double"))
 
 
 def text(value: Column) -> Column:
@@ -87,14 +91,12 @@ def normalised(values: Mapping[str, float]) -> dict[str, float]:
 
 def normalised_map(weights: Column, axes: Sequence[str]) -> Column:
     """`normalised` for a map column, restricted to `axes`."""
-    parts = [F.greatest(F.coalesce(F.element_at(weights, F.lit(a)), F.lit(0.0)), F.lit(0.0)) for a in axes]
-    weight = total(parts)
-    return F.create_map(
-        *[
-            x
-            for axis, part in zip(axes, parts)
-            for x in (F.lit(axis), F.when(weight > 0, part / weight).otherwise(F.lit(1.0 / len(axes))))
-        ]
+    names = F.lit(list(axes))
+    parts = F.transform(names, lambda a: F.greatest(F.coalesce(F.element_at(weights, a), F.lit(0.0)), F.lit(0.0)))
+    whole = lambda values: F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v)
+    share = lambda value, weight: F.when(weight > 0, value / weight).otherwise(F.lit(1.0 / len(axes)))
+    return bind(
+        parts, lambda values: bind(whole(values), lambda w: F.map_from_arrays(names, F.transform(values, lambda v: share(v, w))))
     )
 
 

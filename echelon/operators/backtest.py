@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from echelon.constants import OBJECTIVE_WEIGHTS, OPPORTUNITY_WEIGHTS
 from echelon.functions.columns import last_known, normalised, total, with_defaults, year_list
 from echelon.operators.ranking import rank_correlation
-from echelon.operators.spread import arrange, group_sizes
+from echelon.operators.spread import arrange, checkpointed, group_sizes
 from echelon.operators.targets import COMPONENT_SCORES, with_category_history, with_component_percentiles
 
 _OUTCOMES = {
@@ -44,9 +44,11 @@ def training_rows(editions: DataFrame, years: Sequence[int], min_train_years: in
 def walk_forward_folds(editions: DataFrame, race_type: str = "One-day", min_train_years: int = 2, min_fold_size: int = 8) -> DataFrame:
     """One row per (test year, history): mean train percentiles next to the outcome of that year.
 
-    Percentiles are ranked inside the train slice of each test year.
+    Percentiles are ranked inside the train slice of each test year. The filtered editions feed the
+    train slices, the outcomes and the year list, so their lineage is cut; so is that of the folds,
+    which every evaluation starts from.
     """
-    rows = repeated_histories(editions, race_type)
+    rows = checkpointed(repeated_histories(editions, race_type))
     years = [r["year"] for r in rows.select("year").distinct().collect()]  # one row per calendar year
     rows = with_defaults(rows, {"race_country": None})
     train = with_component_percentiles(training_rows(rows, years, min_train_years), ["test_year"])
@@ -63,7 +65,7 @@ def walk_forward_folds(editions: DataFrame, race_type: str = "One-day", min_trai
     outcome = rows.groupBy(F.col("year").cast("int").alias("test_year"), "target_history_id").agg(
         *[F.avg(source).alias(name) for name, source in _OUTCOMES.items()]
     )
-    folds = prediction.join(outcome, ["test_year", "target_history_id"])
+    folds = checkpointed(prediction.join(outcome, ["test_year", "target_history_id"]))
     # One row per test year, so the sizes are small whatever the data.
     sizes = folds.groupBy("test_year").agg(F.count(F.lit(1)).alias("races_compared")).where(F.col("races_compared") >= min_fold_size)
     top_k = F.greatest(F.lit(3), F.ceil(F.col("races_compared") * F.lit(0.20))).cast("long")

@@ -84,19 +84,15 @@ def summarise_stages(stage_results: DataFrame, keys: Sequence[str]) -> DataFrame
     )
 
 
-def event_results(gc_results: DataFrame, stages: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Final classification plus stages: event sums, both parts, and their shares of all points."""
-    gc = gc_results.withColumnsRenamed({m: f"gc_{m}" for m in _RESULT_MEASURES if m != "finishers"})
-    merged = gc.join(stages, list(keys), "left")
-    merged = merged.fillna({c: 0 for c in stages.columns if c not in keys})
+def event_columns() -> dict[str, Column]:
+    """Event sums of the final classification (`gc_*`) and the stages (`stage_*`), and the share of each part."""
+    summed = [m for m in _RESULT_MEASURES if m != "finishers"]
     everything = F.col("gc_total_points") + F.col("stage_total_points")
-    return merged.withColumns(
-        {
-            **{m: F.col(f"gc_{m}") + F.col(f"stage_{m}") for m in _RESULT_MEASURES if m != "finishers"},
-            "gc_points_share": ratio_or_zero(F.col("gc_total_points"), everything),
-            "stage_points_share": ratio_or_zero(F.col("stage_total_points"), everything),
-        }
-    )
+    return {
+        **{m: F.col(f"gc_{m}") + F.col(f"stage_{m}") for m in summed},
+        "gc_points_share": ratio_or_zero(F.col("gc_total_points"), everything),
+        "stage_points_share": ratio_or_zero(F.col("stage_total_points"), everything),
+    }
 
 
 def with_stage_columns(editions: DataFrame) -> DataFrame:
@@ -126,18 +122,14 @@ def assemble_editions(
 
     An entry without a result or startlist table goes to the error table. One-day races have no stage part.
     """
-    typed = entries.withColumn("race_type", race_type(F.col("category")))
-    stage_part = stages.join(typed.where("race_type = 'Stage race'").select(*keys), list(keys), "left_semi")
-    joined = typed.join(gc_results.withColumn("_results", F.lit(True)), list(keys), "left").join(
-        startlists.withColumn("_startlist", F.lit(True)), list(keys), "left"
-    )
-    complete = F.col("_results").isNotNull() & F.col("_startlist").isNotNull()
-    kept = joined.where(complete)
-    described = [c for c in typed.columns if c not in keys]
-    results = event_results(kept.select(*keys, *_RESULT_MEASURES), stage_part, keys)
-    startlist_columns = [c for c in startlists.columns if c not in keys]
-    editions = kept.select(*keys, *described, *startlist_columns).join(results, list(keys))
-    message = F.when(F.col("_results").isNull(), F.lit("Could not find a results table")).otherwise(
+    gc = gc_results.withColumnsRenamed({m: f"gc_{m}" for m in _RESULT_MEASURES if m != "finishers"})
+    joined = entries.join(gc, list(keys), "left").join(startlists, list(keys), "left").join(stages, list(keys), "left")
+    joined = joined.withColumn("race_type", race_type(F.col("category")))
+    complete = F.col("finishers").isNotNull() & F.col("startlist_size").isNotNull()
+    staged = F.col("race_type") == "Stage race"
+    stage_part = {c: F.when(staged, F.coalesce(c, F.lit(0))).otherwise(F.lit(0)) for c in stages.columns if c not in keys}
+    editions = joined.where(complete).withColumns(stage_part).withColumns(event_columns())
+    message = F.when(F.col("finishers").isNull(), F.lit("Could not find a results table")).otherwise(
         F.lit("Could not find an extended startlist table")
     )
     errors = joined.where(~complete).select(*keys, "race_name", message.alias("error"))

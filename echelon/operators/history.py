@@ -11,6 +11,7 @@ from echelon.constants import (
 )
 from echelon.functions.columns import blank, clip, first_known, last_known, number, text, total
 from echelon.operators.ranking import minmax_columns
+from echelon.operators.spread import checkpointed
 
 _MEANS = {
     "avg_top10_points": "top10_points",
@@ -104,8 +105,13 @@ def with_base_opportunity(signalled: DataFrame, weights: Mapping[str, float] | N
 
 
 def history_summary(editions: DataFrame, planning_year: int, weights: Mapping[str, float] | None = None) -> DataFrame:
-    """The scored history of every race before the planning year; built once for all teams."""
-    scored = with_base_opportunity(with_signals(with_history_scales(average_history(editions, planning_year))), weights)
+    """The scored history of every race before the planning year; built once for all teams.
+
+    The averages (one row per race) are needed for the scale bounds and again for the scores, so
+    the editions behind them are read once and the lineage is cut there.
+    """
+    averages = checkpointed(average_history(editions, planning_year))
+    scored = with_base_opportunity(with_signals(with_history_scales(averages)), weights)
     return scored.drop("winner_points_score", "top10_points_score", "efficiency_score")
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 from echelon.functions.columns import first_filled, text
 from echelon.functions.dates import as_date
 from echelon.functions.text import name_variants, normalise_name, stable_slug, tokens_of
-from echelon.operators.spread import skew_join
+from echelon.operators.spread import checkpointed, skew_join
 
 _SEASON = "planning_year"
 
@@ -119,12 +119,15 @@ def overlap_matches(names: DataFrame, planning: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("races"), F.min(F.struct("race_id", "race_name")).alias("race")
     )
     candidates = candidates.withColumn("candidate_words", tokens_of(F.col("normalized_race_name"))).where(F.size("candidate_words") > 0)
+    # Both distinct sets feed all four ways of finding pairs, so they are computed once.
+    candidates = checkpointed(candidates)
     observed = names.select(*observation).distinct().withColumns(
         {
             "words": tokens_of(F.col("normalized_name")),
             "day": as_date(F.when(F.col("observed_date") != "", F.col("observed_date"))),
         }
     ).where(F.size("words") > 0)
+    observed = checkpointed(observed)
     dated = observed.where(F.col("day").isNotNull())
     days = candidates.where(F.col("start_date") <= F.col("end_date")).withColumn("day", F.explode(F.sequence("start_date", "end_date")))
 
@@ -206,6 +209,7 @@ def match_programme(programme: DataFrame, planning: DataFrame, aliases: DataFram
         F.col("_observed_date").alias("observed_date"),
         normalise_name(F.col("_source_name")).alias("normalized_name"),
     )
+    names = checkpointed(names)
     resolved = (
         names.join(alias_matches(names, aliases), ["team_slug", _SEASON, "normalized_name"], "left")
         .join(variant_matches(names, planning), [_SEASON, "source_race_name"], "left")

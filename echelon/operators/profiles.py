@@ -52,29 +52,30 @@ def merge_profiles(teams: DataFrame, defaults: DataFrame, overrides: DataFrame)
     return result.withColumns({"team_slug": stable_slug(F.col("team_slug"), year), "pcs_team_slug": source_slug})
 
 
-def infer_archetype(weights: Column) -> Column:
-    """Archetype by a decision list on the normalised weights; equal weights rank by axis name."""
-    scaled = normalised_map(weights, PROFILE_AXES)
-    of = lambda axis: F.element_at(scaled, F.lit(axis))
+def with_inferred_archetype(profiles: DataFrame, name: str = "inferred_archetype", weights: str = "strength_weights") -> DataFrame:
+    """Add the archetype found by a decision list on the normalised weights; equal weights rank by axis name."""
+    of = lambda axis: F.element_at("_scaled", F.lit(axis))
     ranked = F.array_sort(F.array(*[F.struct((-of(a)).alias("w"), F.lit(a).alias("axis")) for a in PROFILE_AXES]))
-    top, second = ranked[0]["axis"], ranked[1]["axis"]
-    top_weight, second_weight = -ranked[0]["w"], -ranked[1]["w"]
-    pair = F.array_sort(F.array(top, second))
-    return (
-        F.when((top == "sprint_bonus") & (top_weight - second_weight >= 0.08), "sprint_first")
-        .when((top == "time_trial") & (top_weight >= 0.22), "time_trial_edge")
-        .when(pair == F.array(F.lit("one_day"), F.lit("sprint_bonus")), "classic_sprint_opportunist")
+    staged = profiles.withColumn("_scaled", normalised_map(F.col(weights), PROFILE_AXES)).withColumn("_ranked", ranked)
+    top, second = F.col("_ranked")[0]["axis"], F.col("_ranked")[1]["axis"]
+    lead = F.col("_ranked")[1]["w"] - F.col("_ranked")[0]["w"]
+    archetype = (
+        F.when((top == "sprint_bonus") & (lead >= 0.08), "sprint_first")
+        .when((top == "time_trial") & (of("time_trial") >= 0.22), "time_trial_edge")
+        .when(top.isin("one_day", "sprint_bonus") & second.isin("one_day", "sprint_bonus"), "classic_sprint_opportunist")
         .when((top == "one_day") & (of("one_day") - F.greatest(of("gc"), of("stage_hunter")) >= 0.08), "classic_specialist")
         .when((top == "stage_hunter") & (of("gc") <= 0.2), "stage_hunter")
         .when((of("gc") + of("all_round") >= 0.45) & top.isin("gc", "all_round"), "gc_development")
         .otherwise("balanced_opportunist")
     )
+    return staged.withColumn(name, archetype).drop("_scaled", "_ranked")
 
 
 def complete_profiles(profiles: DataFrame) -> DataFrame:
     """Fill a missing archetype by inference and missing label and description from the catalog."""
     catalog = archetype_table(profiles.sparkSession)
-    keyed = profiles.withColumn("archetype_key", first_filled(F.col("archetype_key"), infer_archetype(F.col("strength_weights"))))
+    keyed = with_inferred_archetype(profiles)
+    keyed = keyed.withColumn("archetype_key", first_filled(F.col("archetype_key"), F.col("inferred_archetype"))).drop("inferred_archetype")
     # The catalog has a fixed handful of rows.
     joined = keyed.join(F.broadcast(catalog), ["archetype_key"], "left")
     return joined.withColumns(

@@ -6,8 +6,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from echelon.functions.columns import clip, nulls_last
-from echelon.operators.spread import arrange, group_sizes, rows_per_task
+from echelon.functions.columns import nulls_last
+from echelon.operators.spread import arrange, group_sizes, reads_little, rows_per_task
 
 
 def _percentile(value: Column, keys: Sequence[str], reverse: bool) -> Column:
@@ -40,7 +40,7 @@ def percentile_scores(
     reversed scores are 100 minus that; a group with one distinct value (a null counts
     as one) scores 50 throughout. `unique` names columns that identify a row.
     """
-    sizes = measured or group_sizes(df, keys)
+    sizes = measured or ((0, 0) if reads_little(df) else group_sizes(df, keys))
     if sizes[0] <= rows_per_task(df.sparkSession):
         return df.withColumns({name: _percentile(F.col(c), keys, rev) for name, (c, rev) in scores.items()})
 
@@ -129,7 +129,7 @@ def average_ranks(
 ) -> DataFrame:
     """Add ascending average ranks: name -> value column (values must not be null)."""
     result = df
-    sizes = measured or group_sizes(df, keys)
+    sizes = measured or ((0, 0) if reads_little(df) else group_sizes(df, keys))
     for name, source in ranks.items():
         placed = arrange(result, keys, [F.col(source), *[F.col(u) for u in unique]], sizes)
         placed = (
@@ -168,5 +168,5 @@ def spearman(df: DataFrame, left: str, right: str, unique: Sequence[str], keys:
 
 
 __all__ = [
-    "average_ranks", "clip", "minmax_columns", "minmax_scaled", "percentile_scores", "rank_correlation", "spearman", "with_bounds",
+    "average_ranks", "minmax_columns", "minmax_scaled", "percentile_scores", "rank_correlation", "spearman", "with_bounds",
 ]

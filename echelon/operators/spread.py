@@ -2,8 +2,9 @@
 
 `Window.partitionBy(key)` puts a whole key into one task. That is fine while groups
 are small and wrong once one team, race or year holds a third of all rows. The
-helpers here first measure the largest group (one aggregate over the key columns
-only) and keep the plain window while it is below `spark.echelon.rowsPerTask`.
+helpers here first look at the bytes of the files behind a frame; beyond
+`spark.echelon.smallInputBytes` they measure the largest group (one aggregate over the key
+columns only) and keep the plain window while it is below `spark.echelon.rowsPerTask`.
 Beyond it the rows are range-partitioned on (key, order) into slices, the slices
 are checkpointed, each slice is scanned on its own, and what the earlier slices
 contribute is added from a table with at most one row per slice.
@@ -22,7 +23,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from echelon.functions.columns import nulls_last
 
 ROWS_PER_TASK = "spark.echelon.rowsPerTask"
+SMALL_INPUT = "spark.echelon.smallInputBytes"
 _DEFAULT_ROWS_PER_TASK = 1_000_000
+_DEFAULT_SMALL_INPUT = 64 * 1024 * 1024
 _HOT_KEY_LIMIT = 200
 
 
@@ -44,6 +47,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def reads_little(df: DataFrame) -> bool:
+    """Whether all files read by `df` together are small, known from the file listing without a job."""
+    limit = int(df.sparkSession.conf.get(SMALL_INPUT, str(_DEFAULT_SMALL_INPUT)))
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    size = 0
+    for i in range(leaves.size()):
+        # Sources without a known size report a huge one, which means: measure.
+        size += int(str(leaves.apply(i).stats().sizeInBytes()))
+        if size > limit:
+            return False
+    return True
+
+
 def group_sizes(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
     """(rows of the largest group, rows in all); only the key columns are read."""
     counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
@@ -140,7 +156,7 @@ def arrange(df: DataFrame, keys: Sequence[str], order: Sequence[Column], measure
     prepared = df.withColumns({f"_o{i}": expression for i, expression in enumerate(order)})
     names = [f"_o{i}" for i in range(len(order))]
     limit = rows_per_task(df.sparkSession)
-    largest, rows = measured or group_sizes(df, keys)
+    largest, rows = measured or ((0, 0) if reads_little(df) else group_sizes(df, keys))
     if largest <= limit:
         return Arranged(prepared, keys, names, None)
     slices = max(2, ceil(2 * rows / limit))
@@ -172,6 +188,8 @@ def skew_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "
     """
     spark = left.sparkSession
     limit = rows_per_task(spark)
+    if reads_little(left):
+        return left.join(right, list(on), how)
     counted = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > limit)
     hot = counted.orderBy(F.desc("_rows")).limit(_HOT_KEY_LIMIT).collect()
     if not hot:

@@ -19,7 +19,7 @@ from echelon.constants import (
 from echelon.functions.columns import clip, map_number, number, require_columns
 from echelon.operators.expected_value import TEAM_KEYS
 from echelon.operators.profiles import archetype_table
-from echelon.operators.spread import skew_join
+from echelon.operators.spread import checkpointed, skew_join
 
 _AXES = len(PROFILE_AXES)
 _SIGNALS = [f"{axis}_signal" for axis in PROFILE_AXES]
@@ -202,7 +202,8 @@ def fit_strength_weights(ev: DataFrame, profiles: DataFrame) -> DataFrame:
 
     Teams without a known result have no row; `unfitted_teams` lists them.
     """
-    rows = training_rows(ev, profiles)
+    # Read twice: for the statistics and for the errors in points.
+    rows = checkpointed(training_rows(ev, profiles))
     solved = solve_weights(fit_statistics(rows))
     errors = fit_errors(rows, solved)
     weights = F.map_from_arrays(
