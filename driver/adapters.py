@@ -63,12 +63,19 @@ def lines(spark: SparkSession, folder: str) -> DataFrame:
 
 def result_summaries(rows: DataFrame, flag: str, keys: list[str]) -> DataFrame:
     order = [F.desc("points"), F.col("l_orderkey"), F.col("l_linenumber")]
-    return ed.summarise_results(rows.where(F.col("l_returnflag") == flag), keys, order, F.col("points"))
+    return _rounded(ed.summarise_results(rows.where(F.col("l_returnflag") == flag), keys, order, F.col("points")))
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    """Sums to six decimals, so that equal sums stay equal whatever the order of addition."""
+    return df.withColumns({f.name: F.round(f.name, 6) for f in df.schema.fields if f.dataType.typeName() == "double"})
 
 
 def startlists(rows: DataFrame) -> DataFrame:
-    return ed.summarise_startlist(
-        rows, ["race_id", "year"], F.col("starts"), F.col("wins"), F.col("podiums"), F.col("top10s"), ["l_orderkey", "l_linenumber"]
+    return _rounded(
+        ed.summarise_startlist(
+            rows, ["race_id", "year"], F.col("starts"), F.col("wins"), F.col("podiums"), F.col("top10s"), ["l_orderkey", "l_linenumber"]
+        )
     )
 
 

@@ -53,12 +53,12 @@ entries AS (
   FROM lines l JOIN races r ON l.race_id = r.race_id GROUP BY l.race_id, year),
 gc AS (
   SELECT race_id, year, count(*) AS finishers, count(*) FILTER (WHERE points > 0) AS gc_scoring_places,
-    max(points) FILTER (WHERE rn = 1) AS gc_winner_points, sum(points) FILTER (WHERE rn <= 10) AS gc_top10_points,
-    sum(points) AS gc_total_points
+    max(points) FILTER (WHERE rn = 1) AS gc_winner_points, round(sum(points) FILTER (WHERE rn <= 10), 6) AS gc_top10_points,
+    round(sum(points), 6) AS gc_total_points
   FROM placed WHERE l_returnflag = 'N' GROUP BY 1, 2),
 stage_pages AS (
   SELECT race_id, year, l_linenumber, count(*) FILTER (WHERE points > 0) AS scoring, max(points) FILTER (WHERE rs = 1) AS winner,
-    sum(points) FILTER (WHERE rs <= 10) AS top10, sum(points) AS total
+    round(sum(points) FILTER (WHERE rs <= 10), 6) AS top10, round(sum(points), 6) AS total
   FROM placed WHERE l_returnflag = 'A' GROUP BY 1, 2, 3),
 stages AS (
   SELECT race_id, year, count(*) AS stage_count, sum(scoring) AS stage_scoring_places, sum(winner) AS stage_winner_points,
@@ -67,8 +67,8 @@ stages AS (
 startlist AS (
   SELECT race_id, year, count(*) AS startlist_size, count(*) FILTER (WHERE form > 0) AS experienced_riders,
     sum(starts) AS total_startlist_starts, sum(wins) AS total_startlist_wins, sum(podiums) AS total_startlist_podiums,
-    sum(top10s) AS total_startlist_top10s, sum(form) AS total_field_form, sum(form) FILTER (WHERE rf <= 10) AS top10_field_form,
-    avg(form) FILTER (WHERE rf <= 10) AS avg_top10_field_form
+    sum(top10s) AS total_startlist_top10s, round(sum(form), 6) AS total_field_form, round(sum(form) FILTER (WHERE rf <= 10), 6) AS top10_field_form,
+    round(avg(form) FILTER (WHERE rf <= 10), 6) AS avg_top10_field_form
   FROM placed GROUP BY 1, 2),
 joined AS (
   SELECT e.race_id, e.year, e.month,

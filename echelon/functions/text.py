@@ -13,6 +13,7 @@ from echelon.constants import NAME_STOP_WORDS, NAME_SUFFIX_WORDS
 from echelon.functions.columns import text
 
 _NO_WORD = r"[^\p{L}\p{N}_]+"
+_NOT_ASCII = r"[^\x00-\x7F]"
 _SUFFIX = "|".join(NAME_SUFFIX_WORDS)
 
 
@@ -47,15 +48,12 @@ def _folding_tables() -> tuple[str, str, str, dict[str, str]]:
 def fold_to_ascii(value: Column) -> Column:
     """Lower case without accents; letters that have no ASCII base are kept as they are."""
     single, target, marks, longer = _folding_tables()
-    # A character of the second kind (ligatures, sharp s, fractions) becomes several
-    # characters; the per-character lookup runs only for texts that contain one.
     table = F.from_json(F.lit(json.dumps(longer, ensure_ascii=False)), "map<string,string>")
-    class_of_longer = "[" + "".join(longer) + "]"
-    spelled = F.array_join(
-        F.transform(F.split(value, ""), lambda c: F.coalesce(F.element_at(table, c), c)), ""
-    )
-    expanded = F.when(value.rlike(class_of_longer), spelled).otherwise(value)
-    return F.lower(F.translate(expanded, single + marks, target))
+    # Ligatures, sharp s, fractions and the like become several characters: each distinct one
+    # that occurs is replaced. Plain ASCII text skips all of this.
+    occurring = F.array_distinct(F.regexp_extract_all(value, F.lit(f"({_NOT_ASCII})"), F.lit(1)))
+    spelled = F.aggregate(occurring, value, lambda acc, c: F.coalesce(F.replace(acc, c, F.element_at(table, c)), acc))
+    return F.lower(F.when(value.rlike(_NOT_ASCII), F.translate(spelled, single + marks, target)).otherwise(value))
 
 
 def normalise_name(value: Column) -> Column:
