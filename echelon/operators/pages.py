@@ -168,7 +168,7 @@ def _first_link(cells: Column) -> Column:
 def header_metadata(pages: DataFrame) -> DataFrame:
     """Subtitle and country (the last comma part of the subtitle) of every page."""
     subtitle = text(F.col("heading"))
-    parts = F.filter(F.transform(F.split(subtitle, ","), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(subtitle, ","), lambda p: F.trim(p)), lambda p: p != "")
     return page_marks(pages).select(
         "page_id", subtitle.alias("race_subtitle"), F.coalesce(F.get(parts, F.size(parts) - 1), F.lit("")).alias("race_country"), "stage_ids"
     )

@@ -83,7 +83,7 @@ def complete_profiles(profiles: DataFrame) -> DataFrame:
             "archetype_label": first_filled(F.col("archetype_label"), F.col("label")),
             "archetype_description": first_filled(F.col("archetype_description"), F.col("description")),
             "profile_rationale": F.filter(
-                F.transform(F.coalesce("profile_rationale", F.array().cast("array<string>")), F.trim), lambda r: r != ""
+                F.transform(F.coalesce("profile_rationale", F.array().cast("array<string>")), lambda r: F.trim(r)), lambda r: r != ""
             ),
             "archetype_color": text(F.col("color")),
         }
