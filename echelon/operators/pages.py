@@ -18,6 +18,7 @@ from echelon.functions.text import digits_only, heading_year, lenient_number, ra
 from echelon.operators.spread import first_rows
 
 _ROWS = "page_id long, table_no int, row_no int, headers array<string>, cells array<string>, links array<array<string>>"
+_ROWS_PER_BATCH = 10_000
 _MARKS = "page_id long, heading string, title string, stage_ids array<string>"
 
 
@@ -117,6 +118,8 @@ def _read(html: str | None) -> _Page:
 def page_rows(pages: DataFrame) -> DataFrame:
     """Every table row of every page: header texts of its table, cell texts and the links in each cell."""
 
+    columns = ["page_id", "table_no", "row_no", "headers", "cells", "links"]
+
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = []
@@ -127,7 +130,10 @@ def page_rows(pages: DataFrame) -> DataFrame:
                     number = row["table_no"]
                     places[number] = places.get(number, -1) + 1
                     found.append((page_id, number, places[number], page.headers.get(number, []), row["cells"], row["links"]))
-            yield pd.DataFrame(found, columns=["page_id", "table_no", "row_no", "headers", "cells", "links"])
+                if len(found) >= _ROWS_PER_BATCH:
+                    yield pd.DataFrame(found, columns=columns)
+                    found = []
+            yield pd.DataFrame(found, columns=columns)
 
     return pages.select("page_id", "html").mapInPandas(extract, _ROWS)
 

@@ -16,7 +16,7 @@ import tempfile
 from collections.abc import Sequence
 from functools import reduce
 from math import ceil
-from operator import and_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -184,7 +184,7 @@ def skew_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "
     Keys with more rows on the left than one task should hold are measured first
     (at most 200 of them are kept, the largest). Their left rows are spread over
     salts and their right rows repeated once per salt; everything else joins as
-    usual. Null keys match nothing, as in any equi-join.
+    usual. Null keys match nothing, as in any equi-join, and are spread as well.
     """
     spark = left.sparkSession
     limit = rows_per_task(spark)
@@ -198,9 +198,10 @@ def skew_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "
     keys = spark.createDataFrame([tuple(row[name] for name in on) for row in hot], left.select(*on).schema)
     marked = F.broadcast(keys.withColumn("_hot", F.lit(True)))
     spread = F.pmod(F.xxhash64(*left.columns), F.lit(salts))
+    unmatched = reduce(or_, [F.col(name).isNull() for name in on])
     salted_left = (
         left.join(marked, list(on), "left")
-        .withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(F.lit(0)).cast("int"))
+        .withColumn("_salt", F.when(F.col("_hot") | unmatched, spread).otherwise(F.lit(0)).cast("int"))
         .drop("_hot")
     )
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))

@@ -74,7 +74,7 @@ def test_percentiles_average_without_nulls(spark):
 
 
 def test_skewed_join_keeps_every_row(spark, small_tasks):
-    left = spark.createDataFrame(hot_rows(), "k string, i int, v int")
+    left = spark.createDataFrame(hot_rows() + [(None, 1000 + i, i) for i in range(60)], "k string, i int, v int")
     right = spark.createDataFrame([("hot", 1), ("k1", 2), ("zz", 3)], "k string, r int")
     joined = spread.skew_join(left, right, ["k"])
     plain = left.join(right, ["k"], "left")
