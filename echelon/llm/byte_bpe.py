@@ -214,6 +214,7 @@ class Codec:
         self.transducer = Transducer(read_ranks(path), most_steps)
         self.bytes_of = self.transducer.bytes_of
         self.most_words = most_words
+        self.digits = {id: str(id) for id in self.bytes_of}
         self.words: dict[str, list[int]] = {}
 
     def _ids(self, word: str) -> list[int]:
@@ -300,7 +301,7 @@ def round_trip(text: str | Column, path: str | None = None, pattern: str | None
         for piece in own.decode_bytes(ids):
             data.update(stream.feed(piece).encode())
         data.update(stream.finish().encode())
-        return {"n_tokens": len(ids), "ids_sha256": hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), "decoded_sha256": data.hexdigest()}
+        return {"n_tokens": len(ids), "ids_sha256": hashlib.sha256(" ".join(map(own.digits.__getitem__, ids)).encode()).hexdigest(), "decoded_sha256": data.hexdigest()}
 
     @F.arrow_udf("struct<n_tokens: bigint, ids_sha256: string, decoded_sha256: string>")
     def run(texts: pa.Array) -> pa.Array:

@@ -4,17 +4,67 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from echelon.llm import byte_bpe, token_counts
+from echelon.llm import byte_bpe, decontamination, fingerprints, line_dedup, lm_scoring, near_dedup, secret_scan, token_counts, toxicity, url_filter
 from echelon.llm.common import table
 
+URL_RULES = (
+    url_filter.Rule("allow", "org", "/"),
+    url_filter.Rule("block", "example.org", "/es/"),
+    url_filter.Rule("block", "example.org", "/en/1"),
+    url_filter.Rule("allow", "com", "/fr/"),
+    url_filter.Rule("block", "com", "/de/"),
+)
+
 
 def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(table(spark, folder, "documents"))
 
 
+def op2_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents against the texts that labels call good, and against all."""
+    docs = table(spark, folder, "documents")
+    return lm_scoring.cross_entropy_difference(docs, lm_scoring.good_texts(docs, table(spark, folder, "labels")))
+
+
 def op3_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return byte_bpe.encode_documents(table(spark, folder, "documents"))
 
 
-QUERIES = {query.__name__: query for query in (op1_token_counts, op3_byte_bpe)}
+def op4_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(table(spark, folder, "documents"))
+
+
+def op5_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Hosts whose pages are mostly linked with tracking parameters are listed."""
+    pages = table(spark, folder, "pages")
+    return url_filter.judge_urls(pages, url_filter.tracked_hosts(pages), URL_RULES)
+
+
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op7_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan.scan_documents(table(spark, folder, "documents"))[0]
+
+
+def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op9_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup.near_duplicate_classes(table(spark, folder, "documents")).select("doc_id", "class_id")
+
+
+def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.line_report(table(spark, folder, "documents"))
+
+
+QUERIES = {
+    query.__name__: query
+    for query in (
+        op1_token_counts, op2_lm_scoring, op3_byte_bpe, op4_fingerprints, op5_url_filter, op6_toxicity, op7_secret_scan, op8_decontamination,
+        op9_near_dedup, op10_line_dedup,
+    )
+}
 SQL: dict[str, str] = {}
