@@ -13,6 +13,7 @@ from echelon.functions.columns import map_literal, normalised_map
 from echelon.functions.dates import status_as_of
 from echelon.operators import editions as ed
 from echelon.operators.profiles import with_inferred_archetype
+from echelon.operators.spread import checkpointed
 from echelon.operators.team_calendar import prepare_planning, with_overlap_groups
 
 PLANNING_YEAR = 2001
@@ -61,22 +62,26 @@ def lines(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def result_summaries(rows: DataFrame, flag: str, keys: list[str]) -> DataFrame:
-    order = [F.desc("points"), F.col("l_orderkey"), F.col("l_linenumber")]
-    return _rounded(ed.summarise_results(rows.where(F.col("l_returnflag") == flag), keys, order, F.col("points")))
-
-
 def _rounded(df: DataFrame) -> DataFrame:
     """Sums to six decimals, so that equal sums stay equal whatever the order of addition."""
     return df.withColumns({f.name: F.round(f.name, 6) for f in df.schema.fields if f.dataType.typeName() == "double"})
 
 
-def startlists(rows: DataFrame) -> DataFrame:
-    return _rounded(
-        ed.summarise_startlist(
-            rows, ["race_id", "year"], F.col("starts"), F.col("wins"), F.col("podiums"), F.col("top10s"), ["l_orderkey", "l_linenumber"]
-        )
-    )
+def list_summaries(spark: SparkSession, folder: str) -> DataFrame:
+    """All result lists (flag N), stage lists (flag A, by line number) and startlists (all rows), summarised in one go.
+
+    One row per list; written, since every kind of list is taken from it.
+    """
+    rows = lines(spark, folder)
+    career = [F.col(c) for c in ("starts", "wins", "podiums", "top10s")]
+    flag = F.col("l_returnflag")
+    entry = lambda kind, stage, value: F.struct(kind.alias("list"), stage.alias("stage"), value.alias("value"))
+    result = entry(F.when(flag == "N", "gc").otherwise("stage"), F.when(flag == "A", F.col("l_linenumber")).otherwise(0), F.col("points"))
+    start = entry(F.lit("start"), F.lit(0), ed.rider_form(*career))
+    listed = rows.select("*", F.explode(F.when(flag.isin("N", "A"), F.array(result, start)).otherwise(F.array(start))).alias("entry")).select("*", "entry.*")
+    extra = [F.min("month").alias("month"), F.min("day").alias("first_day"), *ed.career_sums(*career)]
+    order = [F.desc("value"), F.col("l_orderkey"), F.col("l_linenumber")]
+    return checkpointed(_rounded(ed.summarise_lists(listed, ["race_id", "year", "list", "stage"], F.col("value"), order, extra)))
 
 
 def race_names(spark: SparkSession, folder: str) -> DataFrame:
@@ -96,10 +101,10 @@ def category(type_digit: Column, entries: Column) -> Column:
     return F.concat(type_digit, F.lit("."), F.when(entries >= 88, "Pro").otherwise("1"))
 
 
-def entries(spark: SparkSession, folder: str) -> DataFrame:
-    seasons = lines(spark, folder).groupBy("race_id", "year").agg(
-        F.min("month").alias("month"), F.min("day").alias("first_day"), F.count(F.lit(1)).alias("rows")
-    )
+def entries(spark: SparkSession, folder: str, summaries: DataFrame | None = None) -> DataFrame:
+    """The races of each season: whatever has a startlist."""
+    lists = list_summaries(spark, folder) if summaries is None else summaries
+    seasons = lists.where("list = 'start'").select("race_id", "year", "month", "first_day", "rows")
     renamed = (F.col("year") >= 1999) & (F.col("race_id") % 13 == 5)
     return seasons.join(race_names(spark, folder), ["race_id"]).select(
         "race_id", "year", "month",
@@ -114,9 +119,12 @@ def entries(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def edition_tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    rows = lines(spark, folder)
-    stages = ed.summarise_stages(result_summaries(rows, "A", ["race_id", "year", "l_linenumber"]), ["race_id", "year"])
-    return ed.assemble_editions(entries(spark, folder), result_summaries(rows, "N", ["race_id", "year"]), startlists(rows), stages)
+    lists, keys = list_summaries(spark, folder), ["race_id", "year"]
+    kind = lambda name: lists.where(F.col("list") == name)
+    stages = ed.summarise_stages(ed.result_measures(kind("stage"), [*keys, "stage"]), keys)
+    return ed.assemble_editions(
+        entries(spark, folder, lists), ed.result_measures(kind("gc"), keys), ed.startlist_measures(kind("start"), keys), stages
+    )
 
 
 def editions(spark: SparkSession, folder: str) -> DataFrame:

@@ -18,8 +18,7 @@ from echelon.operators.spread import top_rows
 
 PLANNING_SEASON = 2002
 CANDIDATES = backtest.distinct_candidates(backtest.weight_candidates(600, 7))
-FEW_CANDIDATES = CANDIDATES[:40]
-MIN_FOLD = 4
+MIN_FOLD = 8
 SANDBOX = {"one_day": 0.4, "stage_hunter": 0.1, "gc": 0.1, "time_trial": 0.05, "all_round": 0.15, "sprint_bonus": 0.2}
 
 
@@ -637,7 +636,7 @@ def _flawed_profiles(s: SparkSession, d: str) -> DataFrame:
 def _backtest_queries() -> dict[str, Query]:
     scores = " ".join(backtest.COMPONENT_SCORES.values())
     metrics = "objective spearman top_k_precision top_k_value_capture"
-    few = sql.evaluation(MIN_FOLD, FEW_CANDIDATES)
+    every = sql.evaluation(MIN_FOLD, CANDIDATES)
     evaluated = lambda s, d, c: backtest.candidate_metrics(backtest.fold_metrics(backtest.scored_folds(_folds(s, d), c)))
     return {
         "walk_forward_folds": Query(
@@ -645,25 +644,29 @@ def _backtest_queries() -> dict[str, Query]:
             sql.with_ctes(sql.folds(MIN_FOLD), select="SELECT * FROM folds"),
         ),
         "candidate_eval": Query(
-            lambda s, d: backtest.fold_metrics(backtest.scored_folds(_folds(s, d), FEW_CANDIDATES)), shape(i="candidate_id test_year races_compared top_k", f6=metrics),
-            sql.with_ctes(few, select="SELECT * FROM fold_metrics"),
+            lambda s, d: backtest.fold_metrics(backtest.scored_folds(_folds(s, d), CANDIDATES)), shape(i="candidate_id test_year races_compared top_k", f6=metrics),
+            sql.with_ctes(every, select="SELECT * FROM fold_metrics"),
         ),
         "calibration_leaderboard": Query(
             lambda s, d: backtest.with_candidate_weights(backtest.leaderboard(evaluated(s, d, CANDIDATES)), CANDIDATES),
             shape(i="candidate_id", f6=metrics + " " + " ".join(OPPORTUNITY_WEIGHTS)),
             sql.with_ctes(
-                sql.evaluation(MIN_FOLD, CANDIDATES),
+                every,
                 select="SELECT *, " + ", ".join(f"w_{n} AS {n}" for n in OPPORTUNITY_WEIGHTS)
                 + " FROM evaluated JOIN candidates USING (candidate_id) ORDER BY round(objective, 9) DESC, round(spearman, 9) DESC, round(top_k_value_capture, 9) DESC, candidate_id LIMIT 20",
             ),
         ),
         "calibration_best": Query(
-            lambda s, d: backtest.best_candidate(evaluated(s, d, FEW_CANDIDATES)), shape(i="candidate_id", f6=metrics),
-            sql.with_ctes(few, select="SELECT * FROM evaluated ORDER BY round(objective, 9) DESC, candidate_id LIMIT 1"),
+            lambda s, d: backtest.best_candidate(evaluated(s, d, CANDIDATES)), shape(i="candidate_id", f6=metrics),
+            sql.with_ctes(every, select="SELECT * FROM evaluated ORDER BY round(objective, 9) DESC, candidate_id LIMIT 1"),
         ),
         "backtest_detail": Query(
-            lambda s, d: backtest.fold_detail(backtest.scored_folds(_folds(s, d), FEW_CANDIDATES[:1]), 0), shape(i="test_year predicted_rank actual_rank train_editions", s="target_history_id train_years", f6="predicted_score actual_points_efficiency"),
-            sql.with_ctes(few, select="SELECT * FROM each_rank WHERE candidate_id = 0"),
+            _backtest_detail, shape(i="candidate_id test_year predicted_rank actual_rank train_editions", s="weight_set target_history_id train_years", f6="predicted_score actual_points_efficiency"),
+            sql.with_ctes(
+                every,
+                "chosen AS (SELECT 'Default' AS weight_set, 0 AS candidate_id UNION ALL SELECT * FROM (SELECT 'Calibrated', candidate_id FROM evaluated ORDER BY round(objective, 9) DESC, candidate_id LIMIT 1))",
+                select="SELECT * FROM each_rank JOIN chosen USING (candidate_id)",
+            ),
         ),
         "spearman_by_group": Query(
             lambda s, d: ranking.spearman(ad.editions(s, d), "top10_points", "total_field_form", ["race_id", "year"], ["category", "year"]), shape(i="year", s="category", f6="spearman"),
@@ -685,6 +688,15 @@ def _backtest_queries() -> dict[str, Query]:
     }
 
 
+def _backtest_detail(s: SparkSession, d: str) -> DataFrame:
+    """The folds under the default weights (the first candidate) and under the best of all candidates."""
+    folds = _folds(s, d)
+    scored = backtest.scored_folds(folds, CANDIDATES)
+    best = backtest.best_candidate(backtest.candidate_metrics(backtest.fold_metrics(scored))).first()["candidate_id"]
+    detail = lambda id, name: backtest.fold_detail(scored, folds, id).withColumns({"candidate_id": F.lit(id), "weight_set": F.lit(name)})
+    return detail(0, "Default").unionByName(detail(best, "Calibrated"))
+
+
 def _topk_precision(s: SparkSession, d: str) -> DataFrame:
     """How many of the ten richest editions of a year are among its ten most efficient."""
     rows = ad.editions(s, d).select("race_id", "year", "top10_points", "points_per_top10_form")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from echelon.constants import OBJECTIVE_WEIGHTS, OPPORTUNITY_WEIGHTS
 from echelon.functions.columns import last_known, normalised, total, with_defaults, year_list
 from echelon.operators.ranking import rank_correlation
-from echelon.operators.spread import arrange, checkpointed, group_sizes
+from echelon.operators.spread import arrange, checkpointed
 from echelon.operators.targets import COMPONENT_SCORES, with_category_history, with_component_percentiles
 
 _OUTCOMES = {
@@ -97,9 +97,9 @@ def predicted_score(weights: Column) -> Column:
     return total([F.col(column) * weights[i] for i, column in enumerate(COMPONENT_SCORES.values())])
 
 
-def with_actual_ranks(folds: DataFrame, measured: tuple[int, int] | None = None) -> DataFrame:
+def with_actual_ranks(folds: DataFrame) -> DataFrame:
     """Average and minimum rank of the outcome within the fold, and whether it is in the top k."""
-    placed = arrange(folds, ["test_year"], [-F.col("actual_points_efficiency"), F.col("target_history_id")], measured)
+    placed = arrange(folds, ["test_year"], [-F.col("actual_points_efficiency"), F.col("target_history_id")])
     return _ranked(placed, "actual")
 
 
@@ -119,19 +119,15 @@ def _ranked(placed, name: str) -> DataFrame:
 
 
 def scored_folds(folds: DataFrame, candidates: Sequence[Mapping[str, float]]) -> DataFrame:
-    """Every fold row under every candidate with predicted and actual ranks.
+    """Every race of every fold under every candidate with predicted and actual ranks.
 
-    The candidates are a short literal list inside the plan. Outcome ranks do not depend on
-    the candidate and are computed before the rows are multiplied.
+    The candidates are a short literal list inside the plan. Outcome ranks do not depend on the candidate and are
+    computed before the rows are multiplied; only what the metrics need is multiplied. `fold_detail` joins the rest back.
     """
-    largest, rows = group_sizes(folds, ["test_year"])
-    ranked = with_actual_ranks(folds, (largest, rows))
-    each = ranked.select("*", F.posexplode(_candidate_literal(candidates)).alias("candidate_id", "_weights"))
-    each = each.withColumn("predicted_score", predicted_score(F.col("_weights"))).drop("_weights")
-    placed = arrange(
-        each, ["candidate_id", "test_year"], [-F.col("predicted_score"), F.col("target_history_id")], (largest, rows * len(candidates))
-    )
-    return _ranked(placed, "predicted")
+    slim = folds.select("test_year", "target_history_id", "races_compared", "top_k", "actual_points_efficiency", *COMPONENT_SCORES.values())
+    each = with_actual_ranks(slim).select("*", F.posexplode(_candidate_literal(candidates)).alias("candidate_id", "_weights"))
+    each = each.withColumn("predicted_score", predicted_score(F.col("_weights"))).drop("_weights", *COMPONENT_SCORES.values())
+    return _ranked(arrange(each, ["candidate_id", "test_year"], [-F.col("predicted_score"), F.col("target_history_id")]), "predicted")
 
 
 def fold_metrics(scored: DataFrame) -> DataFrame:
@@ -187,11 +183,12 @@ def best_candidate(evaluated: DataFrame) -> DataFrame:
     return evaluated.orderBy(F.round("objective", 9).desc(), "candidate_id").limit(1)
 
 
-def fold_detail(scored: DataFrame, candidate_id: int, test_year: int | None = None) -> DataFrame:
+def fold_detail(scored: DataFrame, folds: DataFrame, candidate_id: int, test_year: int | None = None) -> DataFrame:
     """Races of the folds of one candidate with predicted and actual ranks."""
     rows = scored.where(F.col("candidate_id") == candidate_id)
     rows = rows if test_year is None else rows.where(F.col("test_year") == test_year)
-    return rows.select(
+    rows = rows.select("test_year", "target_history_id", "predicted_score", "predicted_rank", "actual_rank")
+    return rows.join(folds, ["test_year", "target_history_id"]).select(
         "test_year", "target_history_id", "race_id", "race_name", "category", "category_history", "latest_known_category",
         "category_change_count", "race_country", "train_editions", "train_years", "predicted_score", "actual_points_efficiency",
         "actual_top10_points", "actual_top10_field_form", "predicted_rank", "actual_rank",

@@ -13,23 +13,34 @@ from echelon.operators.spread import first_rows, top_rows
 _RESULT_MEASURES = ("finishers", "scoring_places", "winner_points", "top10_points", "total_points")
 
 
-def summarise_results(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], points: Column) -> DataFrame:
-    """Per result list: finishers, scoring places, points of the first, the first ten and all rows.
+def summarise_lists(rows: DataFrame, keys: Sequence[str], value: Column, order: Sequence[Column], extra: Sequence[Column] = (), k: int = 10) -> DataFrame:
+    """Per list: rows, rows with a positive value, the value's total, first, sum and mean over the first `k` in `order`.
 
-    `order` is the page order. Points that are no number count as 0.
+    Lists of several kinds go through together when `keys` tells them apart, so their source is read twice in all: for
+    the totals, combined before the shuffle, and for the leading rows, of which each map task sends at most `k` per list.
     """
-    prepared = rows.withColumn("_points", F.coalesce(points.try_cast("double"), F.lit(0.0)))
+    prepared = rows.withColumn("_value", F.coalesce(value.try_cast("double"), F.lit(0.0)))
     totals = prepared.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("finishers"),
-        F.count_if(F.col("_points") > 0).alias("scoring_places"),
-        F.sum("_points").alias("total_points"),
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("_value") > 0).alias("positive"), F.sum("_value").alias("total"), *extra
     )
-    leading = (
-        top_rows(prepared, keys, order, 10)
-        .groupBy(*keys)
-        .agg(F.max(F.when(F.col("_rank") == 1, F.col("_points"))).alias("winner_points"), F.sum("_points").alias("top10_points"))
+    leading = top_rows(prepared, keys, order, k).groupBy(*keys).agg(
+        F.max(F.when(F.col("_rank") == 1, F.col("_value"))).alias("first"), F.sum("_value").alias("leading"), F.avg("_value").alias("mean_leading")
     )
-    return totals.join(leading, list(keys)).select(*keys, *_RESULT_MEASURES)
+    return totals.join(leading, list(keys))
+
+
+def result_measures(lists: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Summarised result lists under the names of a result summary."""
+    names = ("rows", "positive", "first", "leading", "total")
+    return lists.select(*keys, *[F.col(a).alias(b) for a, b in zip(names, _RESULT_MEASURES, strict=True)])
+
+
+def summarise_results(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], points: Column) -> DataFrame:
+    """Per result list: finishers, scoring places, points of the first, the first ten and all rows.
+
+    `order` is the page order. Points that are no number count as 0.
+    """
+    return result_measures(summarise_lists(rows, keys, points, order), keys)
 
 
 def rider_form(starts: Column, wins: Column, podiums: Column, top10s: Column) -> Column:
@@ -40,32 +51,29 @@ def rider_form(starts: Column, wins: Column, podiums: Column, top10s: Column) ->
     return F.lit(5.0) * value(wins) + F.lit(2.0) * other_podiums + other_top10s + F.lit(0.1) * value(starts)
 
 
+_CAREER = ("starts", "wins", "podiums", "top10s")
+
+
+def career_sums(starts: Column, wins: Column, podiums: Column, top10s: Column) -> list[Column]:
+    values = zip(_CAREER, (starts, wins, podiums, top10s), strict=True)
+    return [F.sum(F.coalesce(c.try_cast("double"), F.lit(0.0))).alias(f"total_startlist_{name}") for name, c in values]
+
+
+def startlist_measures(lists: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Summarised startlists, valued by form, under the names of a startlist summary."""
+    return lists.select(
+        *keys, F.col("rows").alias("startlist_size"), F.col("positive").alias("experienced_riders"), *[f"total_startlist_{n}" for n in _CAREER],
+        F.col("total").alias("total_field_form"), F.col("leading").alias("top10_field_form"), F.col("mean_leading").alias("avg_top10_field_form"),
+    )
+
+
 def summarise_startlist(
     rows: DataFrame, keys: Sequence[str], starts: Column, wins: Column, podiums: Column, top10s: Column, unique: Sequence[str]
 ) -> DataFrame:
     """Per startlist: size, experienced riders, career sums and field form in total and of the ten best."""
-    value = lambda c: F.coalesce(c.try_cast("double"), F.lit(0.0))
-    prepared = rows.withColumns(
-        {
-            "_starts": value(starts), "_wins": value(wins), "_podiums": value(podiums), "_top10s": value(top10s),
-            "_form": rider_form(starts, wins, podiums, top10s),
-        }
-    )
-    totals = prepared.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("startlist_size"),
-        F.count_if(F.col("_form") > 0).alias("experienced_riders"),
-        F.sum("_starts").alias("total_startlist_starts"),
-        F.sum("_wins").alias("total_startlist_wins"),
-        F.sum("_podiums").alias("total_startlist_podiums"),
-        F.sum("_top10s").alias("total_startlist_top10s"),
-        F.sum("_form").alias("total_field_form"),
-    )
-    best = (
-        top_rows(prepared, keys, [F.desc("_form"), *[F.col(u) for u in unique]], 10)
-        .groupBy(*keys)
-        .agg(F.sum("_form").alias("top10_field_form"), F.avg("_form").alias("avg_top10_field_form"))
-    )
-    return totals.join(best, list(keys))
+    valued = rows.withColumn("_form", rider_form(starts, wins, podiums, top10s))
+    order = [F.desc("_form"), *[F.col(u) for u in unique]]
+    return startlist_measures(summarise_lists(valued, keys, F.col("_form"), order, career_sums(starts, wins, podiums, top10s)), keys)
 
 
 def summarise_stages(stage_results: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -19,11 +19,14 @@ _SEASON = "planning_year"
 
 
 def prepare_aliases(aliases: DataFrame) -> DataFrame:
-    """Alias rows with comparable name and stable slug; `alias_order` is the order of preference."""
+    """Alias rows with comparable name and stable slug; `alias_order` is the order of preference.
+
+    Without it all aliases are of the same order, and the smallest race id, then name, is preferred.
+    """
     have = set(aliases.columns)
     slug = text(F.col("team_slug")) if "team_slug" in have else F.lit("")
     year = F.col(_SEASON).try_cast("int") if _SEASON in have else F.lit(None).cast("int")
-    order = F.col("alias_order") if "alias_order" in have else F.monotonically_increasing_id()
+    order = F.col("alias_order") if "alias_order" in have else F.lit(0)
     canonical = text(F.col("canonical_race_name")) if "canonical_race_name" in have else F.lit("")
     return aliases.select(
         stable_slug(slug, year).alias("team_slug"),

@@ -10,14 +10,17 @@ from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from echelon.constants import TARGET_CATEGORIES
 from echelon.functions.columns import text
 from echelon.functions.text import digits_only, heading_year, lenient_number, race_slug, slug_after, strict_number
 from echelon.operators.spread import first_rows
 
-_ROWS = "page_id long, table_no int, row_no int, headers array<string>, cells array<string>, links array<array<string>>"
+_ROWS = (
+    "page_id long, heading string, title string, table_no int, row_no int, headers array<string>, cells array<string>, "
+    "links array<array<string>>, link_texts array<array<string>>"
+)
 _ROWS_PER_BATCH = 10_000
 _MARKS = "page_id long, heading string, title string, stage_ids array<string>"
 
@@ -27,7 +30,7 @@ def _words(parts: list[str]) -> str:
 
 
 class _Page(HTMLParser):
-    """Collects table rows (with header texts, cell texts and cell links), the first h2, the title and stage options."""
+    """Collects table rows (with header texts, cell texts and each cell's links and their texts), the first h2, the title and stage options."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -52,14 +55,19 @@ class _Page(HTMLParser):
         elif tag == "tr":
             self._close_row()
             number = self._tables[-1] if self._tables else -1
-            self._row = {"table_no": number, "cells": [], "links": []}
+            self._row = {"table_no": number, "cells": [], "links": [], "link_texts": []}
         elif tag in ("td", "th"):
             self._close_cell()
             self._open[tag] = []
             if tag == "td" and self._row is not None:
                 self._row["links"].append([])
-        elif tag == "a" and "td" in self._open and self._row is not None and values.get("href") is not None:
-            self._row["links"][-1].append(values["href"])
+                self._row["link_texts"].append([])
+        elif tag == "a":
+            self._close_link()
+            if "td" in self._open and self._row is not None and values.get("href") is not None:
+                self._row["links"][-1].append(values["href"])
+                self._row["link_texts"][-1].append("")
+                self._open[tag] = []
         elif (tag == "h2" and self.heading is None) or (tag == "title" and self.title is None):
             self._open[tag] = []
         elif tag == "select" and values.get("name") == "e" and not self._stage_select_done:
@@ -72,6 +80,8 @@ class _Page(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in ("td", "th"):
             self._close_cell()
+        elif tag == "a":
+            self._close_link()
         elif tag == "tr":
             self._close_row()
         elif tag == "table":
@@ -87,7 +97,14 @@ class _Page(HTMLParser):
         for parts in self._open.values():
             parts.append(data)
 
+    def _close_link(self) -> None:
+        if "a" in self._open:
+            text = _words(self._open.pop("a"))
+            if self._row is not None:
+                self._row["link_texts"][-1][-1] = text
+
     def _close_cell(self) -> None:
+        self._close_link()
         if "td" in self._open:
             cell = _words(self._open.pop("td"))
             if self._row is not None:
@@ -116,9 +133,9 @@ def _read(html: str | None) -> _Page:
 
 
 def page_rows(pages: DataFrame) -> DataFrame:
-    """Every table row of every page: header texts of its table, cell texts and the links in each cell."""
+    """Every table row of every page: marks of the page, header texts of its table, cell texts, links and their texts."""
 
-    columns = ["page_id", "table_no", "row_no", "headers", "cells", "links"]
+    columns = ["page_id", "heading", "title", "table_no", "row_no", "headers", "cells", "links", "link_texts"]
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -129,7 +146,7 @@ def page_rows(pages: DataFrame) -> DataFrame:
                 for row in page.rows:
                     number = row["table_no"]
                     places[number] = places.get(number, -1) + 1
-                    found.append((page_id, number, places[number], page.headers.get(number, []), row["cells"], row["links"]))
+                    found.append((page_id, page.heading, page.title, number, places[number], page.headers.get(number, []), row["cells"], row["links"], row["link_texts"]))
                 if len(found) >= _ROWS_PER_BATCH:
                     yield pd.DataFrame(found, columns=columns)
                     found = []
@@ -154,8 +171,9 @@ def find_tables(rows: DataFrame, required: Sequence[str], exact_case: bool = Fal
     heads = F.col("headers") if exact_case else F.transform("headers", F.lower)
     wanted = F.lit([h if exact_case else h.lower() for h in required])
     fitting = rows.where((F.col("table_no") >= 0) & (F.size(F.array_except(wanted, heads)) == 0))
-    first = fitting.groupBy("page_id").agg(F.min("table_no").alias("table_no"))
-    return fitting.join(first, ["page_id", "table_no"], "left_semi").where("row_no > 0")
+    # a window over the rows of one page: the pages are parsed once
+    first = F.min("table_no").over(Window.partitionBy("page_id"))
+    return fitting.withColumn("_first", first).where("table_no = _first AND row_no > 0").drop("_first")
 
 
 def _cell(index: int) -> Column:
@@ -185,10 +203,9 @@ def calendar_entries(pages: DataFrame, categories: Sequence[str] = TARGET_CATEGO
     query = lambda key: F.regexp_extract("url", rf"[?&]{key}=([0-9]+)", 1).try_cast("int")
     dated = pages.select("page_id", query("y").alias("year"), query("m").alias("month"))
     link = _first_link(F.col("links"))
-    holder = F.filter(F.arrays_zip("cells", "links"), lambda z: F.size(z["links"]) > 0)
     race_id = F.when(F.startswith(link, F.lit("race.php")), F.regexp_extract(link, r"[?&]r=([0-9]+)(?:&|#|$)", 1).try_cast("long"))
     found = page_rows(pages).where((F.size("cells") >= 3) & link.isNotNull()).select(
-        "page_id", "row_no", race_id.alias("race_id"), F.get(holder, F.lit(0))["cells"].alias("race_name"),
+        "page_id", "row_no", race_id.alias("race_id"), _first_link(F.col("link_texts")).alias("race_name"),
         _cell(2).alias("category"), _cell(1).alias("date_label"),
     )
     scoped = found.where(F.col("race_id").isNotNull() & F.col("category").isin(*categories)).join(dated, ["page_id"])
@@ -227,46 +244,45 @@ def team_rankings(pages: DataFrame, breakdown_suffix: str) -> DataFrame:
     )
 
 
-def _breakdown(rows: DataFrame, key: int, rank: int, counted: int, season: Column) -> tuple[DataFrame, DataFrame]:
-    """(rider rows, footer rows): a footer has neither key nor rider."""
+def _breakdown(pages: DataFrame, rows: DataFrame, key: int, rank: int, counted: int, season: Column, footer_sanctions: bool) -> tuple[DataFrame, DataFrame]:
+    """(riders, totals per page). A footer row has neither key nor rider.
+
+    Counted points and sanctions of a page come from its last footer, or from the sum of its riders where the footer
+    shows nothing. Each of the two reads every page once.
+    """
     footer = (_cell(key) == "") & (_cell(1) == "")
-    riders = rows.where(~footer).select(
-        "page_id", "row_no", season.cast("int").alias("season_year"), _cell(1).alias("rider_name"),
+    read = rows.select(
+        "page_id", "row_no", footer.alias("_footer"), season.cast("int").alias("season_year"), _cell(1).alias("rider_name"),
         slug_after(_first_link(F.col("links")), "rider").alias("rider_slug"), digits_only(_cell(rank)).alias("team_rank_within_counted_list"),
         *[lenient_number(_cell(counted + i)).alias(n) for i, n in enumerate(("points_counted", "points_not_counted", "sanction_points"))],
     )
-    complete = F.col("team_rank_within_counted_list").isNotNull() & (F.col("rider_name") != "") & F.col("season_year").isNotNull()
-    return riders.where(complete), rows.where(footer)
-
-
-def _breakdown_totals(pages: DataFrame, riders: DataFrame, footers: DataFrame, counted: int, footer_sanctions: bool) -> DataFrame:
-    """Counted points and sanctions per page: the footer, or the row sum where the footer shows nothing."""
-    sums = riders.groupBy("page_id").agg(F.sum("points_counted").alias("_counted"), F.sum("sanction_points").alias("_sanctions"))
-    last = first_rows(footers, ["page_id"], [F.desc("row_no")]).select(
-        "page_id", lenient_number(_cell(counted)).alias("_footer"), lenient_number(_cell(counted + 2)).alias("_footer_sanctions")
+    complete = ~F.col("_footer") & F.col("team_rank_within_counted_list").isNotNull() & (F.col("rider_name") != "") & F.col("season_year").isNotNull()
+    of_riders = lambda c: F.sum(F.when(complete, F.col(c)))
+    of_footer = lambda c: F.max_by(c, F.when(F.col("_footer"), F.col("row_no")))
+    summed = read.groupBy("page_id").agg(
+        of_riders("points_counted").alias("_counted"), of_riders("sanction_points").alias("_sanctions"),
+        of_footer("points_counted").alias("_footer_counted"), of_footer("sanction_points").alias("_footer_sanctions"),
     )
-    joined = pages.select("page_id", F.col("url").alias("source_url")).join(sums, ["page_id"], "left").join(last, ["page_id"], "left")
+    joined = pages.select("page_id", F.col("url").alias("source_url")).join(summed, ["page_id"], "left")
     either = lambda a, b: F.coalesce(F.nullif(F.col(a), F.lit(0.0)), F.col(b), F.lit(0.0))
     sanctions = either("_footer_sanctions", "_sanctions") if footer_sanctions else F.coalesce("_sanctions", F.lit(0.0))
-    return joined.select("page_id", "source_url", either("_footer", "_counted").alias("total_counted_points"), sanctions.alias("sanction_points_total"))
+    totals = joined.select("page_id", "source_url", either("_footer_counted", "_counted").alias("total_counted_points"), sanctions.alias("sanction_points_total"))
+    return read.where(complete).drop("_footer"), totals
 
 
 def current_breakdown(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(riders, totals) of the current-season pages; the season is the year in the page heading."""
     rows = find_tables(page_rows(pages), ["#", "rider", "Points counted", "Points not counted", "Sanctions"]).where(F.size("cells") >= 5)
-    dated = rows.join(page_marks(pages).select("page_id", heading_year(F.col("heading")).alias("_year")), ["page_id"])
     # A heading without a year leaves the season unknown but keeps the riders.
-    riders, footers = _breakdown(dated, 0, 0, 2, F.coalesce("_year", F.lit(-1)))
-    riders = riders.withColumn("season_year", F.nullif("season_year", F.lit(-1)))
-    return riders, _breakdown_totals(pages, riders, footers, 2, False)
+    riders, totals = _breakdown(pages, rows, 0, 0, 2, F.coalesce(heading_year(F.col("heading")), F.lit(-1)), False)
+    return riders.withColumn("season_year", F.nullif("season_year", F.lit(-1))), totals
 
 
 def cycle_breakdown(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(riders, totals) of the licence-cycle pages; the season is the first cell."""
     needed = ["Season", "Rider", "Nth best rider for team", "Points counted", "Not counted", "Sanction points"]
     rows = find_tables(page_rows(pages), needed).where(F.size("cells") >= 6)
-    riders, footers = _breakdown(rows, 0, 2, 3, digits_only(_cell(0)))
-    return riders, _breakdown_totals(pages, riders, footers, 3, True)
+    return _breakdown(pages, rows, 0, 2, 3, digits_only(_cell(0)), True)
 
 
 def programme_entries(pages: DataFrame) -> DataFrame:
@@ -279,8 +295,8 @@ def programme_entries(pages: DataFrame) -> DataFrame:
     )
     rows = find_tables(page_rows(pages), ["date", "race", "class"]).where((F.size("cells") >= 4) & (_cell(2) != ""))
     link = F.trim(text(F.get(F.get(F.col("links"), F.lit(2)), F.lit(0))))
-    return rows.join(page_marks(pages).select("page_id", team.alias("team_name")), ["page_id"]).select(
-        "page_id", "row_no", "team_name", _cell(2).alias("source_race_name"), _cell(1).alias("observed_date"), _cell(1).alias("date_label"),
+    return rows.select(
+        "page_id", "row_no", team.alias("team_name"), _cell(2).alias("source_race_name"), _cell(1).alias("observed_date"), _cell(1).alias("date_label"),
         _cell(3).alias("category"), link.alias("source_url"), race_slug(link).alias("pcs_race_slug"),
     )
 

@@ -7,18 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from echelon.functions.columns import nulls_last
-from echelon.operators.spread import arrange, group_sizes, reads_little, rows_per_task
-
-
-def _percentile(value: Column, keys: Sequence[str], reverse: bool) -> Column:
-    group = Window.partitionBy(*keys)
-    ordered = group.orderBy(value.asc_nulls_last())
-    below = F.rank().over(ordered)
-    upto = F.count(value).over(ordered)
-    filled = F.count(value).over(group)
-    rows = F.count(F.lit(1)).over(group)
-    flat = (filled == 0) | ((filled == rows) & F.min(value).over(group).eqNullSafe(F.max(value).over(group)))
-    return _score(value, (below + upto) / F.lit(2.0), filled, flat, reverse)
+from echelon.operators.spread import arrange, checkpointed
 
 
 def _score(value: Column, average_rank: Column, filled: Column, flat: Column, reverse: bool) -> Column:
@@ -32,28 +21,22 @@ def percentile_scores(
     scores: Mapping[str, tuple[str, bool]],
     unique: Sequence[str],
     keys: Sequence[str] = (),
-    measured: tuple[int, int] | None = None,
 ) -> DataFrame:
     """Add percentile scores: name -> (value column, reverse).
 
     Average rank among the non-null values of the group, as percent of their number;
     reversed scores are 100 minus that; a group with one distinct value (a null counts
-    as one) scores 50 throughout. `unique` names columns that identify a row.
+    as one) scores 50 throughout. `unique` names columns that identify a row. All components
+    are ranked in one pass over narrow rows and pivoted back.
     """
-    sizes = measured or ((0, 0) if reads_little(df) else group_sizes(df, keys))
-    if sizes[0] <= rows_per_task(df.sparkSession):
-        return df.withColumns({name: _percentile(F.col(c), keys, rev) for name, (c, rev) in scores.items()})
-
-    # Large groups: rank all components in one pass over narrow rows, then pivot back.
+    df = checkpointed(df)  # read twice
     ids = list(dict.fromkeys([*keys, *unique]))
     sources = list(dict.fromkeys(c for c, _ in scores.values()))
     narrow = df.select(*ids, *[F.col(c).cast("double").alias(f"_v_{c}") for c in sources]).unpivot(
         ids, [f"_v_{c}" for c in sources], "_component", "_value"
     )
     group = [*keys, "_component"]
-    placed = arrange(
-        narrow, group, [nulls_last(F.col("_value")), *[F.col(u) for u in unique]], (sizes[0], sizes[1] * len(sources))
-    )
+    placed = arrange(narrow, group, [nulls_last(F.col("_value")), *[F.col(u) for u in unique]])
     filled = F.col("_value").isNotNull().cast("long")
     placed = (
         placed.running("_position", "sum", F.lit(1))
@@ -124,14 +107,11 @@ def minmax_columns(df: DataFrame, scaled: Mapping[str, tuple[str, bool]]) -> Dat
     ).drop("_bounds")
 
 
-def average_ranks(
-    df: DataFrame, ranks: Mapping[str, str], unique: Sequence[str], keys: Sequence[str] = (), measured: tuple[int, int] | None = None
-) -> DataFrame:
+def average_ranks(df: DataFrame, ranks: Mapping[str, str], unique: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """Add ascending average ranks: name -> value column (values must not be null)."""
     result = df
-    sizes = measured or ((0, 0) if reads_little(df) else group_sizes(df, keys))
     for name, source in ranks.items():
-        placed = arrange(result, keys, [F.col(source), *[F.col(u) for u in unique]], sizes)
+        placed = arrange(result, keys, [F.col(source), *[F.col(u) for u in unique]])
         placed = (
             placed.running("_position", "sum", F.lit(1))
             .whole("_first", "min", F.col("_position"), within=["_o0"])
@@ -157,7 +137,8 @@ def spearman(df: DataFrame, left: str, right: str, unique: Sequence[str], keys:
 
     Groups without such a row are kept with 0.
     """
-    paired = df.where(F.col(left).isNotNull() & F.col(right).isNotNull())
+    narrow = df.select(*dict.fromkeys([*keys, *unique, left, right]))
+    paired = narrow.where(F.col(left).isNotNull() & F.col(right).isNotNull())
     ranked = average_ranks(paired, {"_left": left, "_right": right}, unique, keys)
     result = ranked.groupBy(*keys).agg(rank_correlation(F.col("_left"), F.col("_right")).alias("spearman"))
     if not keys:

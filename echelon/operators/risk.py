@@ -9,6 +9,7 @@ from echelon.functions.columns import ratio_or_zero, with_defaults, year_list
 from echelon.operators.spread import arrange, top_rows
 
 _PLACEHOLDER = "is_placeholder_team_row"
+_TEAM = ("scope", "cycle_label", "team_slug")
 
 
 def rider_roll_up(contributions: DataFrame) -> DataFrame:
@@ -21,10 +22,10 @@ def rider_roll_up(contributions: DataFrame) -> DataFrame:
 
 
 def running_shares(riders: DataFrame) -> DataFrame:
-    """Rank within the team, share of the team's points and running share, largest scorers first."""
+    """Rank within the team (of one scope and cycle), share of the team's points and running share, largest scorers first."""
     share = ratio_or_zero(F.col("points_counted"), F.col("team_total_points"))
     order = [-F.col("points_counted"), F.col("rider_name"), F.col("rider_slug")]
-    placed = arrange(riders.withColumn("share_of_team", share), ["team_slug"], order)
+    placed = arrange(riders.withColumn("share_of_team", share), _TEAM, order)
     real = (~F.col(_PLACEHOLDER)).cast("int")
     placed = placed.running("_position", "sum", real).running("cumulative_share", "sum", F.col("share_of_team"))
     return placed.with_columns(
@@ -41,24 +42,24 @@ def risk_band(top_share: Column, shock: Column) -> Column:
 def concentration_risk(contributions: DataFrame) -> DataFrame:
     """Shares of the leading riders, loss without them, effective contributors and a risk band per team.
 
-    A team without riders keeps its row with zeros.
+    A team without riders keeps its row with zeros. Scopes and cycles of one team are teams of their own.
     """
     riders = rider_roll_up(contributions)
     real = ~F.col(_PLACEHOLDER)
-    attributes = [c for c in CONTRIBUTION_TEAM_COLUMNS if c != "team_slug"]
+    attributes = [c for c in CONTRIBUTION_TEAM_COLUMNS if c not in _TEAM]
     leading_row = F.struct((-F.col("points_counted")).alias("p"), F.col("rider_name"))
-    teams = riders.groupBy("team_slug").agg(
+    teams = riders.groupBy(*_TEAM).agg(
         F.min_by(F.struct(*attributes), leading_row).alias("t"),
         F.count_if(real).alias("counted_riders_found"),
         F.sum(F.when(real, F.col("points_counted") * F.col("points_counted"))).alias("_squares"),
     )
-    leaders = top_rows(riders.where(real), ["team_slug"], [F.desc("points_counted"), F.col("rider_name"), F.col("rider_slug")], 5)
+    leaders = top_rows(riders.where(real), _TEAM, [F.desc("points_counted"), F.col("rider_name"), F.col("rider_slug")], 5)
     upto = lambda k: F.sum(F.when(F.col("_rank") <= k, F.col("points_counted")))
-    tops = leaders.groupBy("team_slug").agg(
+    tops = leaders.groupBy(*_TEAM).agg(
         F.max(F.when(F.col("_rank") == 1, F.col("rider_name"))).alias("_leader"),
         upto(1).alias("_top1"), upto(2).alias("_top2"), upto(3).alias("_top3"), upto(5).alias("_top5"),
     )
-    joined = teams.select("team_slug", "t.*", "counted_riders_found", "_squares").join(tops, ["team_slug"], "left")
+    joined = teams.select(*_TEAM, "t.*", "counted_riders_found", "_squares").join(tops, list(_TEAM), "left")
     joined = joined.fillna(0.0, ["_top1", "_top2", "_top3", "_top5", "_squares"])
     points = F.col("team_total_points").cast("double")
     share = lambda c: ratio_or_zero(F.col(c), points)

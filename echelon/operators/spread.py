@@ -1,13 +1,10 @@
 """Ordered and keyed work that stays spread out when one group holds much of the data.
 
-`Window.partitionBy(key)` puts a whole key into one task. That is fine while groups
-are small and wrong once one team, race or year holds a third of all rows. The
-helpers here first look at the bytes of the files behind a frame; beyond
-`spark.echelon.smallInputBytes` they measure the largest group (one aggregate over the key
-columns only) and keep the plain window while it is below `spark.echelon.rowsPerTask`.
-Beyond it the rows are range-partitioned on (key, order) into slices, the slices
-are checkpointed, each slice is scanned on its own, and what the earlier slices
-contribute is added from a table with at most one row per slice.
+`Window.partitionBy(key)` puts a whole key into one task, which is wrong once one team, race or year holds a third of
+all rows. The helpers here never do that: rows are range-partitioned on (key, order) into as many slices as the session
+has shuffle partitions, the slices are written to the checkpoint folder, each slice is scanned on its own, and what the
+earlier slices contribute is added from a table with at most one row per slice. There is one way of working for all
+sizes of data.
 """
 
 from __future__ import annotations
@@ -15,58 +12,28 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Sequence
 from functools import reduce
-from math import ceil
-from operator import and_, or_
+from operator import and_
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
-
-from echelon.functions.columns import nulls_last
-
-ROWS_PER_TASK = "spark.echelon.rowsPerTask"
-SMALL_INPUT = "spark.echelon.smallInputBytes"
-_DEFAULT_ROWS_PER_TASK = 1_000_000
-_DEFAULT_SMALL_INPUT = 64 * 1024 * 1024
-_HOT_KEY_LIMIT = 200
-
-
-def rows_per_task(spark: SparkSession) -> int:
-    return int(spark.conf.get(ROWS_PER_TASK, str(_DEFAULT_ROWS_PER_TASK)))
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared checkpoint folder of the session."""
+    """Cut the lineage through the shared checkpoint folder of the session.
+
+    Only a local session that names no folder gets one of its own.
+    """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            if not context.master.startswith("local"):
+            if not context.master.startswith("local[") and context.master != "local":
                 raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
             folder = tempfile.mkdtemp(prefix="echelon-checkpoint-")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 
-def reads_little(df: DataFrame) -> bool:
-    """Whether all files read by `df` together are small, known from the file listing without a job."""
-    limit = int(df.sparkSession.conf.get(SMALL_INPUT, str(_DEFAULT_SMALL_INPUT)))
-    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
-    size = 0
-    for i in range(leaves.size()):
-        # Sources without a known size report a huge one, which means: measure.
-        size += int(str(leaves.apply(i).stats().sizeInBytes()))
-        if size > limit:
-            return False
-    return True
-
-
-def group_sizes(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
-    """(rows of the largest group, rows in all); only the key columns are read."""
-    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
-    largest, rows = counted.agg(F.max("rows"), F.sum("rows")).first()
-    return int(largest or 0), int(rows or 0)
-
-
 def _same(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]]) -> Column:
     return reduce(and_, [left[a].eqNullSafe(right[b]) for a, b in pairs])
 
@@ -74,17 +41,16 @@ def _same(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]]) -
 class Arranged:
     """Rows in a total order within each key, ready for running and whole-group values."""
 
-    def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_column: str | None) -> None:
+    def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> None:
         self.df = df
         self.keys = list(keys)
         self.order = list(order)
-        self.slice_column = slice_column
 
     def _with(self, df: DataFrame) -> "Arranged":
-        return Arranged(df, self.keys, self.order, self.slice_column)
+        return Arranged(df, self.keys, self.order)
 
     def _groups(self, within: Sequence[str]) -> list[str]:
-        return [*([self.slice_column] if self.slice_column else []), *self.keys, *within]
+        return ["_slice", *self.keys, *within]
 
     def with_columns(self, columns: dict[str, Column]) -> "Arranged":
         return self._with(self.df.withColumns(columns))
@@ -98,8 +64,6 @@ class Arranged:
             .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
         )
         local = combine(value).over(frame)
-        if self.slice_column is None:
-            return self._with(self.df.withColumn(name, F.coalesce(local, F.lit(0)) if how == "sum" else local))
         carry = self._carry(combine(value), combine, within)
         merged = self._attach(self.df.withColumn(name, local), carry, within)
         if how == "sum":
@@ -113,7 +77,7 @@ class Arranged:
         # most one row per slice is left after the filter: safe to broadcast.
         earlier = (
             Window.partitionBy(*self.keys, *within)
-            .orderBy(self.slice_column)
+            .orderBy("_slice")
             .rowsBetween(Window.unboundedPreceding, -1)
         )
         per_slice = self.df.groupBy(*self._groups(within)).agg(aggregate.alias("_part"))
@@ -129,8 +93,6 @@ class Arranged:
         """`sum`, `min` or `max` over the whole (key, within) group on each of its rows."""
         combine = {"sum": F.sum, "min": F.min, "max": F.max}[how]
         local = combine(value).over(Window.partitionBy(*self._groups(within)))
-        if self.slice_column is None:
-            return self._with(self.df.withColumn(name, local))
         # Groups that lie in several slices: at most two of them touch any slice.
         parts = self.df.groupBy(*self._groups(within)).agg(combine(value).alias("_part"))
         group = Window.partitionBy(*self.keys, *within)
@@ -144,10 +106,10 @@ class Arranged:
 
     def done(self, *helpers: str) -> DataFrame:
         extra = [c for c in self.df.columns if c.startswith("_o")]
-        return self.df.drop(*helpers, *extra, *([self.slice_column] if self.slice_column else []))
+        return self.df.drop(*helpers, *extra, "_slice")
 
 
-def arrange(df: DataFrame, keys: Sequence[str], order: Sequence[Column], measured: tuple[int, int] | None = None) -> Arranged:
+def arrange(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> Arranged:
     """Prepare `df` for scans over `order` within `keys`.
 
     `order` holds ascending expressions that together are unique within a key, so
@@ -155,13 +117,9 @@ def arrange(df: DataFrame, keys: Sequence[str], order: Sequence[Column], measure
     """
     prepared = df.withColumns({f"_o{i}": expression for i, expression in enumerate(order)})
     names = [f"_o{i}" for i in range(len(order))]
-    limit = rows_per_task(df.sparkSession)
-    largest, rows = measured or ((0, 0) if reads_little(df) else group_sizes(df, keys))
-    if largest <= limit:
-        return Arranged(prepared, keys, names, None)
-    slices = max(2, ceil(2 * rows / limit))
+    slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = prepared.repartitionByRange(slices, *keys, *names).withColumn("_slice", F.spark_partition_id())
-    return Arranged(checkpointed(ranged), keys, names, "_slice")
+    return Arranged(checkpointed(ranged), keys, names)
 
 
 def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str = "_rank") -> DataFrame:
@@ -181,34 +139,8 @@ def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> D
 def skew_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
     """Equi-join of a large side with one that has few rows per key.
 
-    Keys with more rows on the left than one task should hold are measured first
-    (at most 200 of them are kept, the largest). Their left rows are spread over
-    salts and their right rows repeated once per salt; everything else joins as
-    usual. Null keys match nothing, as in any equi-join, and are spread as well.
+    The right side is written first. Both sides then reach the join through plain shuffles, and adaptive execution can
+    split a key that holds much of the left side over several tasks; it can't when one side is aggregated on the key in
+    the same stage.
     """
-    spark = left.sparkSession
-    limit = rows_per_task(spark)
-    if reads_little(left):
-        return left.join(right, list(on), how)
-    counted = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > limit)
-    hot = counted.orderBy(F.desc("_rows")).limit(_HOT_KEY_LIMIT).collect()
-    if not hot:
-        return left.join(right, list(on), how)
-    salts = ceil(max(row["_rows"] for row in hot) / limit) + 1
-    keys = spark.createDataFrame([tuple(row[name] for name in on) for row in hot], left.select(*on).schema)
-    marked = F.broadcast(keys.withColumn("_hot", F.lit(True)))
-    spread = F.pmod(F.xxhash64(*left.columns), F.lit(salts))
-    unmatched = reduce(or_, [F.col(name).isNull() for name in on])
-    salted_left = (
-        left.join(marked, list(on), "left")
-        .withColumn("_salt", F.when(F.col("_hot") | unmatched, spread).otherwise(F.lit(0)).cast("int"))
-        .drop("_hot")
-    )
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    salted_right = right.join(marked, list(on), "left").withColumn("_salt", F.explode(copies)).drop("_hot")
-    return salted_left.join(salted_right, [*on, "_salt"], how).drop("_salt")
-
-
-def order_key(value: Column) -> Column:
-    """Order expression with nulls last."""
-    return nulls_last(value)
+    return left.join(checkpointed(right), list(on), how)

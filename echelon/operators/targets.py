@@ -44,8 +44,10 @@ def category_history(editions: DataFrame) -> DataFrame:
 
 
 def with_category_history(editions: DataFrame) -> DataFrame:
-    """Add the history columns and the `race_id::category` key of the roll-up."""
+    """Add the history columns and the `race_id::category` key of the roll-up; rows that carry them all stay as they are."""
     derived = ("target_history_id", "category_history", "category_change_count", "latest_known_category")
+    if set(derived) <= set(editions.columns):
+        return with_defaults(editions, {"month": 0, "category": "Unknown"})
     base = with_defaults(editions.drop(*derived), {"month": 0, "category": "Unknown"})
     keyed = base.withColumn("target_history_id", F.concat(F.col("race_id").cast("string"), F.lit("::"), text(F.col("category"))))
     return skew_join(keyed, category_history(base), ["race_id"])

@@ -72,8 +72,8 @@ def calibrate(
         "default": default.asDict(),
         "improvement": best["objective"] - default["objective"],
         "fold_comparison": sets.withColumn("weight_set", F.when(F.col("candidate_id") == default_id, "Default").otherwise("Calibrated")),
-        "best_fold_details": backtest.fold_detail(scored, best["candidate_id"]),
-        "default_fold_details": backtest.fold_detail(scored, default_id),
+        "best_fold_details": backtest.fold_detail(scored, folds, best["candidate_id"]),
+        "default_fold_details": backtest.fold_detail(scored, folds, default_id),
     }
 
 
@@ -93,8 +93,11 @@ def build_season(
     """Calendars, changes, actual points, expected values, summaries, metadata and outcomes of all teams.
 
     One plan for all teams. A team with an invalid profile or without a matched race appears in
-    `outcomes` with its error and in no other table; the others are built all the same.
+    `outcomes` with its error and in no other table; the others are built all the same. Planning rows whose date
+    label can't be read are listed in `planning_errors`. No tracked team at all is an error.
     """
+    if teams.isEmpty():
+        raise ValueError("there is no tracked team to build")
     checked = checkpointed(validated_profiles(profiles))
     sound = checked.where(F.size("errors") == 0).drop("errors")
     listed = programme.join(teams.select(*TEAM_KEYS, F.col("team_name").alias("_name")), TEAM_KEYS).withColumn(
@@ -113,9 +116,15 @@ def build_season(
     if actuals is not None:
         tables["team_actual_points"] = actuals
     tables["outcomes"] = outcomes(teams, checked, values)
+    tables["planning_errors"] = planning_errors(planning)
     return tables
 
 
+def planning_errors(planning: DataFrame) -> DataFrame:
+    """Prepared planning rows whose dates are unknown, with the reason."""
+    return planning.where(F.col("date_error").isNotNull()).select("race_id", "planning_year", "race_name", "date_label", "date_error")
+
+
 def outcomes(teams: DataFrame, checked_profiles: DataFrame, values: DataFrame) -> DataFrame:
     """Success or the reason of failure per tracked team."""
     built = values.groupBy(*TEAM_KEYS).agg(F.count(F.lit(1)).alias("races"))

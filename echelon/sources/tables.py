@@ -29,8 +29,8 @@ def _csv_by_name(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return raw.select(*[F.col(f"`{c}`").try_cast(wanted[c]).alias(c) if c in wanted else F.col(f"`{c}`") for c in raw.columns])
 
 
-def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A table from parquet (default) or `*.csv`; a path that does not exist reads as empty."""
+def read_table(spark: SparkSession, path: str, schema: str, required: bool = False) -> DataFrame:
+    """A table from parquet (default) or `*.csv`; a path that does not exist reads as empty unless it is required."""
     try:
         if path.rstrip("/").endswith(".csv"):
             return _csv_by_name(spark, path, schema)
@@ -38,6 +38,8 @@ def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
+        if required:
+            raise FileNotFoundError(f"no table at {path}") from error
         return empty(spark, schema)
 
 
@@ -73,7 +75,7 @@ def read_prepared_planning(spark: SparkSession, path: str, planning_year: int |
 
 
 def read_aliases(spark: SparkSession, path: str) -> DataFrame:
-    """Alias table; a single file keeps its line order as the order of preference."""
+    """Alias table; `alias_order` is the order of preference, and without it the smallest race id is preferred."""
     return prepare_aliases(read_table(spark, path, schemas.ALIAS))
 
 
@@ -123,8 +125,8 @@ def check_manifest(rows: DataFrame) -> DataFrame:
 
 
 def read_manifest(spark: SparkSession, path: str, enabled_only: bool = False, team_slug: str | None = None) -> DataFrame:
-    """Tracked teams. Any bad row fails the read, with the first problems named."""
-    rows = read_table(spark, path, schemas.MANIFEST)
+    """Tracked teams. A missing file and any bad row fail the read, with the first problems named."""
+    rows = read_table(spark, path, schemas.MANIFEST, required=True)
     missing = [c for c in ("team_slug", "pcs_team_slug", "team_name", "planning_year") if c not in rows.columns]
     if missing:
         raise ValueError(f"Tracked-team manifest missing required columns: {', '.join(missing)}")
@@ -146,11 +148,15 @@ def read_profiles(spark: SparkSession, path: str) -> DataFrame:
 
 
 def team_names(teams: DataFrame, contributions: DataFrame) -> DataFrame:
-    """Display name and reference total per team from the contribution table; the slug where it is unknown."""
+    """Display name and reference total per team from the contribution table; the slug where it is unknown.
+
+    Both come from the same row, the first by scope, cycle, season and place in the counted list.
+    """
+    first = F.struct("scope", "cycle_label", "season_year", "team_rank_within_counted_list", "rider_slug")
     known = contributions.groupBy(F.col("team_slug").alias("pcs_team_slug")).agg(
-        F.min("team_name").alias("_name"), F.min("team_total_points").alias("reference_total_points")
+        F.min_by(F.struct(F.col("team_name").alias("_name"), F.col("team_total_points").alias("reference_total_points")), first).alias("_known")
     )
-    joined = teams.join(known, ["pcs_team_slug"], "left")
+    joined = teams.join(known, ["pcs_team_slug"], "left").select(*teams.columns, "_known.*")
     return joined.withColumn("team_name", first_filled(F.col("_name"), F.col("team_slug"))).drop("_name")
 
 
@@ -171,9 +177,9 @@ def write_contributions(contributions: DataFrame, path: str) -> None:
 
 
 def write_season(tables: dict[str, DataFrame], root: str) -> None:
-    """One table per artifact under `root`, partitioned by season and team."""
+    """One table per artifact under `root`, partitioned by season and, where it has teams, by team."""
     for name, df in tables.items():
-        write_table(df, f"{root}/{name}", ["planning_year", "team_slug"])
+        write_table(df, f"{root}/{name}", [c for c in ("planning_year", "team_slug") if c in df.columns])
 
 
 def read_season(spark: SparkSession, root: str, name: str, schema: str, team_slug: str | None = None, planning_year: int | None = None) -> DataFrame:
@@ -204,32 +210,42 @@ _SOURCE_WORDS = ("url", "pcs")
 _SOURCE_VALUE = r"^https?://|procyclingstats|(^|\s)pcs(\s|$)"
 
 
-def _texts(field: T.DataType, value: Column) -> Column | None:
-    """Condition that a value names its source, looking into arrays, structs and maps."""
-    if isinstance(field, T.StringType):
-        return F.lower(F.trim(value)).rlike(_SOURCE_VALUE)
-    if isinstance(field, T.ArrayType):
-        probe = _texts(field.elementType, F.lit(None).cast(field.elementType))
-        return None if probe is None else F.exists(value, lambda x: F.coalesce(_texts(field.elementType, x), F.lit(False)))
-    if isinstance(field, T.MapType):
-        keys = F.exists(F.map_keys(value), lambda k: F.lower(k.cast("string")).rlike("|".join(_SOURCE_WORDS)))
-        inner = _texts(field.valueType, F.lit(None).cast(field.valueType))
-        return keys if inner is None else keys | F.exists(F.map_values(value), lambda v: F.coalesce(_texts(field.valueType, v), F.lit(False)))
-    if isinstance(field, T.StructType):
-        parts = [_texts(f.dataType, value[f.name]) for f in field.fields]
-        found = F.lit(any(w in f.name.lower() for f in field.fields for w in _SOURCE_WORDS))
-        for part in parts:
-            found = found if part is None else found | F.coalesce(part, F.lit(False))
-        return found
-    return None
+def _named(name: str) -> bool:
+    return any(word in name.lower() for word in _SOURCE_WORDS)
+
+
+def _names_source(value: Column) -> Column:
+    return F.coalesce(F.lower(F.trim(value)).rlike(_SOURCE_VALUE), F.lit(False))
+
+
+def _pruned(kind: T.DataType, value: Column) -> Column:
+    """A value without what names a source: struct fields and map keys by name, texts in them and array elements by value."""
+    if isinstance(kind, T.StringType):
+        return F.when(~_names_source(value), value)
+    if isinstance(kind, T.ArrayType):
+        inner = F.transform(value, lambda one: _pruned(kind.elementType, one))
+        return F.filter(inner, lambda one: one.isNotNull()) if isinstance(kind.elementType, T.StringType) else inner
+    if isinstance(kind, T.MapType):
+        kept = F.map_filter(value, lambda key, _: ~F.lower(key.cast("string")).rlike("|".join(_SOURCE_WORDS)))
+        if isinstance(kind.valueType, T.StringType):
+            return F.map_filter(kept, lambda _, one: one.isNull() | ~_names_source(one))
+        return F.transform_values(kept, lambda _, one: _pruned(kind.valueType, one))
+    if isinstance(kind, T.StructType):
+        fields = [f for f in kind.fields if not _named(f.name)]
+        if not fields:
+            return F.lit(None).cast("string")
+        return F.when(value.isNotNull(), F.struct(*[_pruned(f.dataType, value[f.name]).alias(f.name) for f in fields]))
+    return value
 
 
 def without_sources(df: DataFrame) -> DataFrame:
-    """Drop columns that name a data source, by their name or by any of their values (one pass)."""
-    kept = [f for f in df.schema.fields if not any(w in f.name.lower() for w in _SOURCE_WORDS)]
-    tests = {f.name: _texts(f.dataType, F.col(f"`{f.name}`")) for f in kept}
-    tests = {name: test for name, test in tests.items() if test is not None}
-    if not tests:
-        return df.select(*[f"`{f.name}`" for f in kept])
-    found = df.agg(*[F.max(F.coalesce(t, F.lit(False))).alias(name) for name, t in tests.items()]).first()
-    return df.select(*[f"`{f.name}`" for f in kept if not (f.name in tests and found[f.name])])
+    """Drop what names a data source: columns by their name or, for texts, by any of their values (one pass).
+
+    In nested columns only the offending field, key or element goes; a nested text field keeps its place as null.
+    """
+    kept = [f for f in df.schema.fields if not _named(f.name)]
+    texts = [f.name for f in kept if isinstance(f.dataType, T.StringType)]
+    found = df.agg(*[F.max(_names_source(F.col(f"`{name}`"))).alias(name) for name in texts]).first() if texts else {}
+    kept = [f for f in kept if not (f.name in texts and found[f.name])]
+    plain = (T.StringType,)
+    return df.select(*[F.col(f"`{f.name}`") if isinstance(f.dataType, plain) else _pruned(f.dataType, F.col(f"`{f.name}`")).alias(f.name) for f in kept])

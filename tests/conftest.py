@@ -1,4 +1,5 @@
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -16,17 +17,8 @@ def spark():
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "4g")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="echelon-tests-"))
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
     return session
-
-
-@pytest.fixture
-def small_tasks(spark):
-    """Force the sliced and salted ways of working on small data."""
-    from echelon.operators.spread import ROWS_PER_TASK
-
-    spark.conf.set(ROWS_PER_TASK, "5")
-    yield spark
-    spark.conf.unset(ROWS_PER_TASK)

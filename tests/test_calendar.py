@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from echelon.constants import NAME_STOP_WORDS
 from echelon.functions.dates import label_dates
 from echelon.functions.text import name_tokens, name_variants, normalise_name, race_slug, stable_slug
-from echelon.operators import matching, spread, team_calendar as cal
+from echelon.operators import matching, team_calendar as cal
 
 PLANNED = "race_id long, race_name string, category string, date_label string, month int, year int"
 NO_ALIAS = "team_slug string, planning_year int, source_race_name string, canonical_race_name string, race_id long, alias_order long"
@@ -45,8 +45,7 @@ def brute_force(name, day, planned):
     return None
 
 
-@pytest.mark.parametrize("limit", ["1000000", "20"])
-def test_overlap_matches_equal_brute_force(spark, limit):
+def test_overlap_matches_equal_brute_force(spark):
     rng = random.Random(11)
     vocabulary = ["alpha", "beta", "gamma", "delta", "epsilon", "tour", "of"]
     phrase = lambda: " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(1, 5)))
@@ -57,9 +56,7 @@ def test_overlap_matches_equal_brute_force(spark, limit):
     observed = sorted({(phrase(), rng.choice(["", str(date(2026, 1, 1) + timedelta(days=rng.randrange(40)))])) for _ in range(250)})
     calendar = spark.createDataFrame([(i, n, s, e, 2026, n) for i, n, s, e in planned], "race_id long, race_name string, start_date date, end_date date, planning_year int, normalized_race_name string")
     names = spark.createDataFrame([(2026, n, d) for n, d in observed], "planning_year int, normalized_name string, observed_date string")
-    spark.conf.set(spread.ROWS_PER_TASK, limit)
     got = {(r.normalized_name, r.observed_date): r.overlap_race_id for r in matching.overlap_matches(names, calendar).collect()}
-    spark.conf.unset(spread.ROWS_PER_TASK)
     for name, day in observed:
         assert got.get((name, day)) == brute_force(name, date.fromisoformat(day) if day else None, planned), (name, day)
 

@@ -1,5 +1,6 @@
 """The season build: all teams in one plan, failures isolated."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from echelon.constants import ARCHETYPES
@@ -13,7 +14,7 @@ def test_season_build_isolates_failures(spark):
     editions = spark.createDataFrame(
         [(1, "Alpha Classic", 2025, 2, "1.1", "One-day", 100.0, 40.0, 20.0, 0.0, 0, 5.0), (2, "Beta Tour", 2025, 3, "2.1", "Stage race", 400.0, 90.0, 25.0, 250.0, 5, 9.0)], HISTORY
     )
-    planning = cal.prepare_planning(spark.createDataFrame([(1, "Alpha Classic", "1.1", "01.02", 2, 2026), (2, "Beta Tour", "2.1", "01.03-03.03", 3, 2026)], PLANNED))
+    planning = cal.prepare_planning(spark.createDataFrame([(1, "Alpha Classic", "1.1", "01.02", 2, 2026), (2, "Beta Tour", "2.1", "01.03-03.03", 3, 2026), (3, "Gamma", "1.1", "soon", 4, 2026)], PLANNED))
     aliases = matching.prepare_aliases(spark.createDataFrame([], NO_ALIAS))
     slugs = ["good", "bad", "lost", "none"]
     teams = spark.createDataFrame([(s, 2026, s.title()) for s in slugs], "team_slug string, planning_year int, team_name string")
@@ -28,6 +29,9 @@ def test_season_build_isolates_failures(spark):
     assert outcome["good"] == (True, "")
     assert outcome["bad"][1] == "team_fit_floor must be between 0 and 1."
     assert outcome["lost"][1] == "No team calendar rows were built for lost." and outcome["none"][1] == "No team profile."
+    assert [(r.race_id, r.date_error) for r in tables["planning_errors"].collect()] == [(3, "Unsupported planning date label: soon")]
+    with pytest.raises(ValueError, match="no tracked team"):
+        build_season(teams.where("false"), programme, planning, aliases, editions, profiles, points, None, 2026, "2026-02-15", now)
     values = tables["team_calendar_ev"]
     assert {(r.team_slug, r.race_id, r.status, r.actual_points) for r in values.collect()} == {("good", 1, "completed", 30.0), ("good", 2, "scheduled", 30.0)}
     assert tables["team_ev_metadata"].first().artifact_row_count == 2
