@@ -110,7 +110,8 @@ def repeated_lines(docs: DataFrame, least_docs: int, least_chars: int, batches:
     runs = LineRuns()
     for batch in range(batches):
         runs = runs.add(lines.where(F.pmod("row1", F.lit(batches)) == batch))
-    return lines, runs.frequent(docs.sparkSession, least_docs)
+    # written, so that a key of very many rows is dealt to several tasks in the join
+    return lines, stored(runs.frequent(docs.sparkSession, least_docs), "frequent")
 
 
 def dedup_lines(docs: DataFrame, least_docs: int = 10, least_chars: int = 1, batches: int = BATCHES, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -131,7 +132,7 @@ def dedup_lines(docs: DataFrame, least_docs: int = 10, least_chars: int = 1, bat
 def dedup_new_batch(runs: LineRuns, docs: DataFrame, least_docs: int = 1, least_chars: int = 1, id: str = "doc_id", text: str = "text") -> tuple[DataFrame, LineRuns]:
     """A new batch without the lines that at least `least_docs` earlier rows have, and the runs with the batch added."""
     lines = stored(line_keys(docs, id, text, least_chars), "lines")
-    stripped = strip_lines(docs, lines, runs.frequent(docs.sparkSession, least_docs), id, text)
+    stripped = strip_lines(docs, lines, stored(runs.frequent(docs.sparkSession, least_docs), "frequent"), id, text)
     return stripped.select("doc", F.array_join("kept", "\n").alias("text_left")), runs.add(lines)
 
 
