@@ -8,8 +8,8 @@ to a bound at which about k ln k + 2k darts are found, so a signature costs the
 texts agree in a coordinate with the probability of their weighted resemblance.
 
 Texts of equal words are one node. Nodes that agree in all coordinates of a band meet in a bucket. In each bucket one node,
-the centre, is paired with all others, never all with all; pairs are verified by the resemblance of their sets of runs, and
-linked nodes get a common label. Buckets whose nodes still have several labels go on with the next centres, taken from the
+the centre, is paired with all others, never all with all. Pairs whose signatures agree in far too few coordinates are left
+out, the others verified by the resemblance of their sets of runs; linked nodes get a common label. Buckets whose nodes still have several labels go on with the next centres, taken from the
 labels with the fewest nodes there, until no two nodes of different labels are left that have not met.
 """
 
@@ -28,7 +28,9 @@ SIMILARITY = 0.8
 BANDS = 25
 ROWS = 5
 #: Centres that a bucket with several labels gets in a further round.
-CENTRES = 8
+CENTRES = 256
+#: Standard errors that the agreement of two signatures may fall short of the similarity before a pair is left out.
+ERRORS = 4.5
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 #: Words of the texts whose signatures are computed together.
 TOGETHER = 400_000
@@ -123,18 +125,23 @@ def band_hashes(rows: np.ndarray, bands: int, size: int) -> np.ndarray:
     return value
 
 
-def _bands(column: pa.Array, bands: int, size: int) -> pa.Array:
+SIGNATURE = "struct<bands: array<bigint>, sketch: binary>"
+
+
+def _signed(column: pa.Array, bands: int, size: int) -> pa.Array:
     words, offsets = column.flatten().to_numpy(zero_copy_only=False), column.offsets.to_numpy() - column.offsets[0].as_py()
-    out: list[np.ndarray | None] = [None] * len(column)
+    hashes: list[np.ndarray] = [np.zeros(0, np.int64)] * len(column)
+    sketches = [b""] * len(column)
     together: list[int] = []
     held = 0
 
     def flush() -> None:
         nonlocal held
         if together:
-            sets = [weighted(words[offsets[i] : offsets[i + 1]]) for i in together]
-            for i, row in zip(together, band_hashes(signatures(sets, bands * size), bands, size).view(np.int64), strict=True):
-                out[i] = row
+            signed = signatures([weighted(words[offsets[i] : offsets[i + 1]]) for i in together], bands * size)
+            low = signed.astype(np.uint8)
+            for i, row, sketch in zip(together, band_hashes(signed, bands, size).view(np.int64), low, strict=True):
+                hashes[i], sketches[i] = row, sketch.tobytes()
         together.clear()
         held = 0
 
@@ -146,19 +153,33 @@ def _bands(column: pa.Array, bands: int, size: int) -> pa.Array:
             if held >= TOGETHER:
                 flush()
     flush()
-    return pa.array([[] if row is None else row for row in out], pa.list_(pa.int64()))
+    return pa.StructArray.from_arrays([pa.array(hashes, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["bands", "sketch"])
 
 
-def bands_of(words: Column, bands: int = BANDS, size: int = ROWS) -> Column:
-    """One hash per band of the signature of a text, given by its word hashes; none for a text without words."""
+def signature_of(words: Column, bands: int = BANDS, size: int = ROWS) -> Column:
+    """The signature of a text, given by its word hashes: a hash per band, and the low byte of each coordinate.
+
+    Both are empty for a text without words.
+    """
 
-    @F.arrow_udf("array<bigint>")
+    @F.arrow_udf(SIGNATURE)
     def run(column: pa.Array) -> pa.Array:
-        return _bands(column, bands, size)
+        return _signed(column, bands, size)
 
     return run(words)
 
 
+def agreement(one: Column, other: Column) -> Column:
+    """Estimated resemblance by the sketches of two texts, corrected for bytes that agree by chance."""
+
+    @F.arrow_udf("double")
+    def run(left: pa.Array, right: pa.Array) -> pa.Array:
+        out = [float((np.frombuffer(a.as_py(), np.uint8) == np.frombuffer(b.as_py(), np.uint8)).mean()) for a, b in zip(left, right, strict=True)]
+        return pa.array([(share - 1 / 256) / (1 - 1 / 256) for share in out], pa.float64())
+
+    return run(one, other)
+
+
 def resemblance(one: Column, other: Column) -> Column:
     """Jaccard resemblance of the sets of five-word runs of two texts, given by their word hashes."""
 
@@ -213,10 +234,17 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (one, other) whose texts are similar enough."""
-    ones = texts.select(F.col("node").alias("one"), F.col("text").alias("text_one"))
-    others = texts.select(F.col("node").alias("other"), F.col("text").alias("text_other"))
-    met = pairs.join(ones, "one").join(others, "other")
+    """The pairs (one, other) whose texts are similar enough, tested by their sketches first."""
+
+    def ends(column: str) -> list[DataFrame]:
+        return [texts.select(F.col("node").alias(end), F.col(column).alias(f"{column}_{end}")) for end in ("one", "other")]
+
+    ones, others = ends("sketch")
+    met = pairs.join(ones, "one").join(others, "other").withColumn("agreement", agreement(F.col("sketch_one"), F.col("sketch_other")))
+    least = similarity - ERRORS * F.sqrt(F.lit(similarity * (1 - similarity)) / F.length("sketch_one"))
+    probable = stored(met.where(F.col("agreement") >= least).select("one", "other"), "probable")
+    ones, others = ends("text")
+    met = probable.join(ones, "one").join(others, "other")
     likeness = resemblance(word_hashes("text_one"), word_hashes("text_other"))
     return met.select("one", "other", likeness.alias("likeness")).where(F.col("likeness") >= similarity - 1e-9).select("one", "other")
 
@@ -265,20 +293,21 @@ def near_duplicate_classes(docs: DataFrame, id: str = "doc_id", text: str = "tex
     value = text_of(text)
     # words are needed several times, so they become a column of their own first
     read = docs.select(F.col(id).alias("id"), value.alias("text"), word_hashes(text).alias("words"))
-    signed = read.select("id", *_content(F.col("id"), F.col("text")), *_same_words(F.col("words"), F.col("text")), bands_of(F.col("words"), bands, rows).alias("bands"))
-    signed = stored(signed, "signatures")
-    # one node for all texts of the same words; the table is written, so its numbers stay
-    nodes = signed.groupBy("words1", "words2").agg(F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id())
+    signed = read.select("id", *_content(F.col("id"), F.col("text")), *_same_words(F.col("words"), F.col("text")), signature_of(F.col("words"), bands, rows).alias("signature"))
+    signed = stored(signed.select("*", "signature.*").drop("signature"), "signatures")
+    # one node for all texts of the same words, with one of their rows; the table is written, so its numbers stay
+    chosen = F.min(F.struct("row1", "row2", "bands", "sketch")).alias("chosen")
+    nodes = signed.groupBy("words1", "words2").agg(chosen).select("words1", "words2", "chosen.*").withColumn("node", F.monotonically_increasing_id())
     nodes = stored(nodes, "nodes")
     placed = nodes.select("node", F.posexplode("bands").alias("band", "hash")).select("node", F.xxhash64("band", "hash").alias("bucket"))
     shared = placed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     buckets = stored(placed.join(shared, "bucket").select("bucket", "node"), "buckets")
-    involved = nodes.join(buckets.select("node").distinct(), "node").select("words1", "words2", "node")
-    read = docs.select(value.alias("text"), word_hashes(text).alias("words")).select("text", *_same_words(F.col("words"), F.col("text")))
-    texts = stored(read.join(involved, ["words1", "words2"]).select("node", "text").dropDuplicates(["node"]), "texts")
+    involved = nodes.join(buckets.select("node").distinct(), "node").select("row1", "row2", "node", "sketch")
+    read = docs.select(value.alias("text"), *_content(F.col(id), value))
+    texts = stored(read.join(involved, ["row1", "row2"]).select("node", "sketch", "text").dropDuplicates(["node"]), "texts")
     _, labels = _links(buckets, texts, similarity)
 
-    numbered = signed.drop("bands").join(nodes.select("words1", "words2", "node"), ["words1", "words2"])
+    numbered = signed.drop("bands", "sketch").join(nodes.select("words1", "words2", "node"), ["words1", "words2"])
     named = numbered.join(labels, "node", "left").select("id", "row1", "row2", F.coalesce("label", "node").alias("label"))
     first = F.struct(F.col("id").isNull().alias("no_id"), F.col("id"), F.col("row1"), F.col("row2"))
     done = named.join(named.groupBy("label").agg(F.min(first).alias("head")), "label")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from echelon.llm import decontamination, lm_scoring, near_dedup, toxicity
+from echelon.llm.common import word_hashes
 from tests.llm.conftest import rows_of
 
 WORD = re.compile(r"[^\W_]+")
@@ -79,6 +80,7 @@ def test_further_rounds_find_all_links(spark):
     for _ in range(25):
         texts.append(edited(numbers, texts[-1], 1))
     nodes = spark.createDataFrame(list(enumerate(texts)), "node bigint, text string")
+    nodes = nodes.withColumn("sketch", near_dedup.signature_of(word_hashes("text"))["sketch"])
     buckets = nodes.select(F.lit(1).cast("long").alias("bucket"), "node")
     _, labels = near_dedup._links(buckets, nodes, 0.8)
     got = {row.node: row.label for row in labels.collect()}
@@ -278,8 +280,9 @@ def test_probabilities_sum_to_one(spark):
 
 def test_sliced_arrays(spark):
     words = pa.array([[1, 2, 3], [4, 5], [], [6, 7, 8, 9]], pa.list_(pa.int64()))
-    whole = near_dedup._bands(words, 3, 2).to_pylist()
-    assert near_dedup._bands(words.slice(1), 3, 2).to_pylist() == whole[1:]
+    whole = near_dedup._signed(words, 3, 2).to_pylist()
+    assert near_dedup._signed(words.slice(1), 3, 2).to_pylist() == whole[1:]
+    assert [(len(one["bands"]), len(one["sketch"])) for one in whole] == [(3, 6), (3, 6), (0, 0), (3, 6)]
     history, word, lengths = lm_scoring.bigrams(words.slice(1), np.array([4, 6, 7]))
     assert history.tolist() == [1, 2, 1, 3, 4, 0] and word.tolist() == [2, 0, 3, 4, 0, 0] and lengths.tolist() == [2, 0, 4]
 
