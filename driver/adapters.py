@@ -118,9 +118,11 @@ def entries(spark: SparkSession, folder: str, summaries: DataFrame | None = None
     )
 
 
-def edition_tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+def edition_tables(spark: SparkSession, folder: str, no_results: Column | None = None, no_startlist: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Editions and what could not be built; the conditions name races whose pages are taken to be missing."""
     lists, keys = list_summaries(spark, folder), ["race_id", "year"]
-    kind = lambda name: lists.where(F.col("list") == name)
+    missing = {"gc": no_results, "start": no_startlist}
+    kind = lambda name: lists.where((F.col("list") == name) & (F.lit(True) if missing.get(name) is None else ~missing[name]))
     stages = ed.summarise_stages(ed.result_measures(kind("stage"), [*keys, "stage"]), keys)
     return ed.assemble_editions(
         entries(spark, folder, lists), ed.result_measures(kind("gc"), keys), ed.startlist_measures(kind("start"), keys), stages

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from driver import adapters as ad, oracles as sql
+from driver.page_queries import page_queries
 from driver.registry import Query, shape
-from echelon.constants import OPPORTUNITY_WEIGHTS, PROFILE_AXES, SCENARIO_PRESETS
+from echelon.constants import ARCHETYPES, OPPORTUNITY_WEIGHTS, PROFILE_AXES, SCENARIO_PRESETS
 from echelon.functions.columns import map_literal
 from echelon.functions.dates import label_dates
 from echelon.functions.text import name_variants, normalise_name, race_slug, tokens_of
@@ -89,11 +90,12 @@ def _editions_queries() -> dict[str, Query]:
             sql.with_ctes(sql.EDITIONS, select="SELECT * FROM editions"),
         ),
         "edition_errors": Query(
-            lambda s, d: ad.edition_tables(s, d)[1], shape(i=EDITION, s="race_name error"),
+            lambda s, d: ad.edition_tables(s, d, F.col("race_id") % 7 == 3, F.col("race_id") % 5 == 2)[1], shape(i=EDITION, s="race_name error"),
             sql.with_ctes(
                 sql.EDITIONS,
                 select="""SELECT e.race_id, e.year, base_name || CASE WHEN e.year >= 1999 AND e.race_id % 13 = 5 THEN ' Classic' ELSE '' END AS race_name,
-                'Could not find a results table' AS error FROM entries e ANTI JOIN gc ON gc.race_id = e.race_id AND gc.year = e.year""",
+                CASE WHEN gc.race_id IS NULL THEN 'Could not find a results table' ELSE 'Could not find an extended startlist table' END AS error
+                FROM entries e LEFT JOIN (SELECT * FROM gc WHERE race_id % 7 <> 3) gc ON gc.race_id = e.race_id AND gc.year = e.year WHERE gc.race_id IS NULL OR e.race_id % 5 = 2""",
             ),
         ),
         "edition_ratios": Query(
@@ -217,8 +219,8 @@ def _ev_queries() -> dict[str, Query]:
             sql.with_ctes(sql.EV, select="SELECT * FROM ev WHERE status <> 'cancelled'"),
         ),
         "completed_with_gaps": Query(
-            lambda s, d: views.completed_with_gaps(_ev(s, d)), {**key, **shape(s="category notes")},
-            sql.with_ctes(sql.EV, select="SELECT * FROM ev WHERE status = 'completed' AND base_opportunity_points IS NULL"),
+            lambda s, d: views.completed_with_gaps(_ev(s, d).withColumn("execution_multiplier", F.when(F.col("category") != "1.Pro", F.col("execution_multiplier")))), {**key, **shape(s="category notes")},
+            sql.with_ctes(sql.EV, select="SELECT * FROM ev WHERE status = 'completed' AND (base_opportunity_points IS NULL OR category IS NULL OR category = '1.Pro')"),
         ),
         "ev_summary": Query(
             lambda s, d: ev.ev_summary(_ev(s, d)),
@@ -516,20 +518,26 @@ def _alias_hits(s: SparkSession, d: str) -> DataFrame:
     return names.join(hits, ["team_slug", "planning_year", "normalized_name"]).withColumnsRenamed({"alias_race_id": "race_id", "alias_name": "canonical"})
 
 
+_ARCHETYPE_OF_PROFILE = ",\n".join(
+    [
+        "long AS (SELECT team_slug, planning_year, unnest([" + sql.quoted(PROFILE_AXES) + "]) AS axis, unnest([" + ", ".join(PROFILE_AXES) + "]) AS w FROM profiles)",
+        "ranked AS (SELECT *, row_number() OVER (PARTITION BY team_slug ORDER BY w DESC, axis) AS rn FROM long)",
+        "tops AS (SELECT team_slug, max(axis) FILTER (WHERE rn = 1) AS t, max(w) FILTER (WHERE rn = 1) AS tw, max(axis) FILTER (WHERE rn = 2) AS s, max(w) FILTER (WHERE rn = 2) AS sw FROM ranked GROUP BY 1)",
+        """archetypes AS (SELECT p.team_slug, planning_year, CASE WHEN t = 'sprint_bonus' AND tw - sw >= 0.08 THEN 'sprint_first' WHEN t = 'time_trial' AND tw >= 0.22 THEN 'time_trial_edge'
+        WHEN least(t, s) = 'one_day' AND greatest(t, s) = 'sprint_bonus' THEN 'classic_sprint_opportunist'
+        WHEN t = 'one_day' AND one_day - greatest(gc, stage_hunter) >= 0.08 THEN 'classic_specialist' WHEN t = 'stage_hunter' AND gc <= 0.2 THEN 'stage_hunter'
+        WHEN gc + all_round >= 0.45 AND t IN ('gc', 'all_round') THEN 'gc_development' ELSE 'balanced_opportunist' END AS archetype_key FROM profiles p JOIN tops USING (team_slug))""",
+    ]
+)
+
+
 def _profile_queries() -> dict[str, Query]:
     axes = " ".join(PROFILE_AXES)
     return {
         "archetype_inference": Query(
             lambda s, d: ad.team_profiles(s, d), shape(i="planning_year", s="team_slug archetype_key"),
             sql.with_ctes(
-                sql.PROFILES,
-                "long AS (SELECT team_slug, planning_year, unnest([" + sql.quoted(PROFILE_AXES) + "]) AS axis, unnest([" + ", ".join(PROFILE_AXES) + "]) AS w FROM profiles)",
-                "ranked AS (SELECT *, row_number() OVER (PARTITION BY team_slug ORDER BY w DESC, axis) AS rn FROM long)",
-                "tops AS (SELECT team_slug, max(axis) FILTER (WHERE rn = 1) AS t, max(w) FILTER (WHERE rn = 1) AS tw, max(axis) FILTER (WHERE rn = 2) AS s, max(w) FILTER (WHERE rn = 2) AS sw FROM ranked GROUP BY 1)",
-                select="""SELECT p.team_slug, planning_year, CASE WHEN t = 'sprint_bonus' AND tw - sw >= 0.08 THEN 'sprint_first' WHEN t = 'time_trial' AND tw >= 0.22 THEN 'time_trial_edge'
-                WHEN least(t, s) = 'one_day' AND greatest(t, s) = 'sprint_bonus' THEN 'classic_sprint_opportunist'
-                WHEN t = 'one_day' AND one_day - greatest(gc, stage_hunter) >= 0.08 THEN 'classic_specialist' WHEN t = 'stage_hunter' AND gc <= 0.2 THEN 'stage_hunter'
-                WHEN gc + all_round >= 0.45 AND t IN ('gc', 'all_round') THEN 'gc_development' ELSE 'balanced_opportunist' END AS archetype_key FROM profiles p JOIN tops USING (team_slug)""",
+                sql.PROFILES, _ARCHETYPE_OF_PROFILE, select="SELECT * FROM archetypes",
             ),
         ),
         "profile_merge": Query(
@@ -549,8 +557,41 @@ def _profile_queries() -> dict[str, Query]:
         "profile_validation": Query(
             lambda s, d: prof.validated_profiles(_flawed_profiles(s, d)).select("team_slug", "planning_year", F.size("errors").alias("error_count"), F.array_join("errors", " ").alias("errors")),
             shape(i="planning_year error_count", s="team_slug errors"),
-            """SELECT 'nation-' || n_nationkey AS team_slug, 2001 AS planning_year, CASE WHEN n_nationkey % 5 IN (1, 2) THEN 1 ELSE 0 END AS error_count,
-            CASE n_nationkey % 5 WHEN 1 THEN 'team_fit_floor must be between 0 and 1.' WHEN 2 THEN 'profile_confidence must be one of: experimental, high, low, medium.' ELSE '' END AS errors FROM nation""",
+            """SELECT 'nation-' || n_nationkey AS team_slug, 2001 AS planning_year, len(string_split(e, '|')) - CASE WHEN e = '' THEN 1 ELSE 0 END AS error_count, replace(e, '|', ' ') AS errors
+            FROM (SELECT n_nationkey, CASE n_nationkey % 13 WHEN 1 THEN 'team_fit_floor must be between 0 and 1.' WHEN 2 THEN 'profile_confidence must be one of: experimental, high, low, medium.'
+            WHEN 3 THEN 'team_fit_range must be between 0 and 1.' WHEN 4 THEN 'Team profile missing strength weights for: gc'
+            WHEN 5 THEN 'strength_weights.gc must be between 0 and 1.|Strength weights must sum to about 1.0.' WHEN 6 THEN 'Strength weights must sum to about 1.0.'
+            WHEN 7 THEN 'Unknown archetype_key `nobody`.' WHEN 8 THEN 'archetype_label `Wrong` does not match catalog label `GC Development Team`.'
+            WHEN 9 THEN 'Unknown archetype_key `nobody`.|archetype_description must not be blank.' WHEN 10 THEN 'execution_rules must be numbers between 0 and 1.'
+            WHEN 11 THEN 'participation_rules must be numbers between 0 and 1.' WHEN 12 THEN 'strength_weights.gc must be between 0 and 1.|Strength weights must sum to about 1.0.' ELSE '' END AS e FROM nation)""",
+        ),
+        "profile_description": Query(
+            lambda s, d: prof.profile_descriptions(ad.team_profiles(s, d)).withColumn("reasons", F.array_join("profile_rationale", "|")),
+            shape(i="planning_year", s="team_slug archetype_key archetype_label archetype_color profile_confidence reasons"),
+            sql.with_ctes(
+                sql.PROFILES, _ARCHETYPE_OF_PROFILE,
+                "catalog AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v['label']}', '{v['color']}')" for k, v in ARCHETYPES.items()) + ") AS c(archetype_key, archetype_label, archetype_color))",
+                select="SELECT *, 'medium' AS profile_confidence, 'Derived from the nation key.' AS reasons FROM archetypes JOIN catalog USING (archetype_key)",
+            ),
+        ),
+        "profile_comparison": Query(
+            lambda s, d: prof.compare_profiles(ad.team_profiles(s, d), map_literal({"one_day": 2.0, "gc": 1.0, "sprint_bonus": 1.0}), SANDBOX),
+            shape(i="planning_year axis_order", s="team_slug axis", f6="default_profile saved_artifact sandbox"),
+            sql.with_ctes(
+                sql.PROFILES,
+                select="SELECT team_slug, planning_year, unnest([" + ", ".join(str(i) for i in range(6)) + "]) AS axis_order, unnest([" + sql.quoted(prof.PROFILE_AXIS_LABELS.values()) + "]) AS axis, "
+                "unnest([0.4, 0.1, 0.1, 0.05, 0.15, 0.2]) AS default_profile, unnest([" + ", ".join(PROFILE_AXES) + "]) AS saved_artifact, unnest([0.5, 0.0, 0.25, 0.0, 0.0, 0.25]) AS sandbox FROM profiles",
+            ),
+        ),
+        "run_metadata": Query(
+            _metadata, shape(i="planning_year artifact_row_count", s="team_slug team_name archetype_key fit_reason own_reason other_reason", f6="efficiency_weight floor"),
+            sql.with_ctes(
+                sql.PROFILES, _ARCHETYPE_OF_PROFILE,
+                select="""SELECT a.team_slug, a.planning_year, p.team_name, archetype_key, n AS artifact_row_count, 0.5 AS efficiency_weight, fit_floor AS floor,
+                CASE WHEN k % 2 = 0 THEN 'own fit' ELSE 'general' END AS fit_reason, CASE WHEN k % 3 = 0 THEN 'own gc' ELSE 'general' END AS own_reason, CASE WHEN k % 3 = 0 THEN NULL ELSE 'general' END AS other_reason
+                FROM archetypes a JOIN profiles p ON a.team_slug = p.team_slug
+                JOIN (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1) ON c_nationkey = k""",
+            ),
         ),
         "scenario_assumptions": Query(
             lambda s, d: scenarios.assumption_table(ad.team_profiles(s, d)), shape(i="planning_year setting_order", s="team_slug scenario_key setting", f6="saved_value scenario_value"),
@@ -624,15 +665,46 @@ def _merged_profiles(s: SparkSession, d: str) -> DataFrame:
 
 
 def _flawed_profiles(s: SparkSession, d: str) -> DataFrame:
-    key = F.regexp_extract("team_slug", "([0-9]+)$", 1).cast("int")
+    """Profiles that break one rule each, by the nation's key."""
+    flaw = F.regexp_extract("team_slug", "([0-9]+)$", 1).cast("int") % 13
+    weights = F.col("strength_weights")
+    shifted = lambda by: F.transform_values(weights, lambda k, v: F.when(k == "gc", v + by).otherwise(v))
+    set_gc = lambda to: F.transform_values(weights, lambda k, v: F.when(k == "gc", F.lit(to)).otherwise(v))
     return ad.team_profiles(s, d).withColumns(
         {
-            "team_fit_floor": F.when(key % 5 == 1, F.lit(1.5)).otherwise(F.col("team_fit_floor")),
-            "profile_confidence": F.when(key % 5 == 2, "certain").otherwise(F.col("profile_confidence")),
+            "team_fit_floor": F.when(flaw == 1, F.lit(1.5)).otherwise(F.col("team_fit_floor")),
+            "profile_confidence": F.when(flaw == 2, "certain").otherwise(F.col("profile_confidence")),
+            "team_fit_range": F.when(flaw != 3, F.col("team_fit_range")),
+            "strength_weights": F.when(flaw == 4, F.map_filter(weights, lambda k, _: k != "gc")).when(flaw == 5, set_gc(1.5)).when(flaw == 6, shifted(0.03)).when(flaw == 12, set_gc(-0.1)).otherwise(weights),
+            "archetype_key": F.when(flaw.isin(7, 9), "nobody").when(flaw == 8, "gc_development").otherwise(F.col("archetype_key")),
+            "archetype_label": F.when(flaw == 8, "Wrong").otherwise(F.col("archetype_label")),
+            "archetype_description": F.when(flaw == 7, "text").otherwise(F.col("archetype_description")),
+            "execution_rules": F.when(flaw != 10, F.col("execution_rules")),
+            "participation_rules": F.when(flaw == 11, map_literal({"completed": 2.0})).otherwise(F.col("participation_rules")),
         }
     )
 
 
+def _metadata(s: SparkSession, d: str) -> DataFrame:
+    """Run metadata with own reasons for some teams; general reasons show as such."""
+    key = F.regexp_extract("team_slug", "([0-9]+)$", 1).cast("int")
+    profiles = ad.team_profiles(s, d).withColumns(
+        {
+            "team_fit_rationale": F.when(key % 2 == 0, "own fit"),
+            "strength_weight_rationale": F.when(key % 3 == 0, F.create_map(F.lit("gc"), F.lit("own gc"))),
+        }
+    )
+    counted = ad.table(s, d, "customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("race_count"))
+    summary = counted.select(F.concat(F.lit("nation-"), F.col("c_nationkey").cast("string")).alias("team_slug"), F.lit(ad.PLANNING_YEAR).alias("planning_year"), F.lit(ad.AS_OF).alias("as_of_date"), "race_count")
+    told = F.col("team_profile")
+    named = lambda value: F.when(value.startswith("own"), value).when(value.isNotNull(), "general")
+    return prof.run_metadata(profiles, summary).select(
+        *["team_slug", "planning_year", "team_name", "artifact_row_count"], told["archetype_key"].alias("archetype_key"), told["team_fit_floor"].alias("floor"),
+        F.element_at("opportunity_weights", F.lit("avg_points_efficiency")).alias("efficiency_weight"), named(told["team_fit_rationale"]).alias("fit_reason"),
+        named(F.element_at(told["strength_weight_rationale"], F.lit("gc"))).alias("own_reason"), named(F.element_at(told["strength_weight_rationale"], F.lit("one_day"))).alias("other_reason"),
+    )
+
+
 def _backtest_queries() -> dict[str, Query]:
     scores = " ".join(backtest.COMPONENT_SCORES.values())
     metrics = "objective spearman top_k_precision top_k_value_capture"
@@ -660,6 +732,14 @@ def _backtest_queries() -> dict[str, Query]:
             lambda s, d: backtest.best_candidate(evaluated(s, d, CANDIDATES)), shape(i="candidate_id", f6=metrics),
             sql.with_ctes(every, select="SELECT * FROM evaluated ORDER BY round(objective, 9) DESC, candidate_id LIMIT 1"),
         ),
+        "weight_comparison": Query(
+            lambda s, d: backtest.weight_comparison(backtest.with_candidate_weights(evaluated(s, d, CANDIDATES), CANDIDATES)), shape(s="weight_set", f6=metrics + " " + " ".join(OPPORTUNITY_WEIGHTS)),
+            sql.with_ctes(
+                every,
+                "chosen AS (SELECT 'Default' AS weight_set, 0 AS candidate_id UNION ALL SELECT * FROM (SELECT 'Calibrated', candidate_id FROM evaluated ORDER BY round(objective, 9) DESC, candidate_id LIMIT 1))",
+                select="SELECT *, " + ", ".join(f"w_{n} AS {n}" for n in OPPORTUNITY_WEIGHTS) + " FROM chosen JOIN evaluated USING (candidate_id) JOIN candidates USING (candidate_id)",
+            ),
+        ),
         "backtest_detail": Query(
             _backtest_detail, shape(i="candidate_id test_year predicted_rank actual_rank train_editions", s="weight_set target_history_id train_years", f6="predicted_score actual_points_efficiency"),
             sql.with_ctes(
@@ -692,9 +772,10 @@ def _backtest_detail(s: SparkSession, d: str) -> DataFrame:
     """The folds under the default weights (the first candidate) and under the best of all candidates."""
     folds = _folds(s, d)
     scored = backtest.scored_folds(folds, CANDIDATES)
-    best = backtest.best_candidate(backtest.candidate_metrics(backtest.fold_metrics(scored))).first()["candidate_id"]
+    best = backtest.best_candidate(backtest.candidate_metrics(backtest.fold_metrics(scored))).first()
     detail = lambda id, name: backtest.fold_detail(scored, folds, id).withColumns({"candidate_id": F.lit(id), "weight_set": F.lit(name)})
-    return detail(0, "Default").unionByName(detail(best, "Calibrated"))
+    # without a fold there is no best candidate, and no row either way
+    return detail(0, "Default").unionByName(detail(best["candidate_id"] if best else 0, "Calibrated"))
 
 
 def _topk_precision(s: SparkSession, d: str) -> DataFrame:
@@ -708,5 +789,5 @@ def _topk_precision(s: SparkSession, d: str) -> DataFrame:
 def registered() -> dict[str, Query]:
     return {
         **_editions_queries(), **_target_queries(), **_history_queries(), **_ev_queries(), **_risk_queries(), **_calendar_queries(),
-        **_profile_queries(), **_backtest_queries(),
+        **_profile_queries(), **_backtest_queries(), **page_queries(),
     }

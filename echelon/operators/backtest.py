@@ -183,6 +183,13 @@ def best_candidate(evaluated: DataFrame) -> DataFrame:
     return evaluated.orderBy(F.round("objective", 9).desc(), "candidate_id").limit(1)
 
 
+def weight_comparison(evaluated: DataFrame, default_id: int = 0) -> DataFrame:
+    """The default and the best candidate side by side: metrics and weights, one row each."""
+    default = evaluated.where(F.col("candidate_id") == default_id).withColumn("weight_set", F.lit("Default"))
+    best = best_candidate(evaluated).withColumn("weight_set", F.lit("Calibrated"))
+    return default.unionByName(best).select("weight_set", *_FOLD_METRICS, *OPPORTUNITY_WEIGHTS)
+
+
 def fold_detail(scored: DataFrame, folds: DataFrame, candidate_id: int, test_year: int | None = None) -> DataFrame:
     """Races of the folds of one candidate with predicted and actual ranks."""
     rows = scored.where(F.col("candidate_id") == candidate_id)

@@ -81,8 +81,10 @@ def variant_matches(names: DataFrame, planning: DataFrame) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("_races"), F.min(F.struct("race_id", "race_name")).alias("race"))
         .where("_races = 1")
     )
-    tried = names.select(_SEASON, "source_race_name").distinct()
-    tried = tried.select("*", F.posexplode(name_variants(F.col("source_race_name"))).alias("_place", "_variant"))
+    if "variants" not in names.columns:
+        names = names.withColumn("variants", name_variants(F.col("source_race_name")))
+    tried = names.select(_SEASON, "source_race_name", "variants").dropDuplicates([_SEASON, "source_race_name"])
+    tried = tried.select(_SEASON, "source_race_name", F.posexplode("variants").alias("_place", "_variant"))
     return (
         tried.join(single, [_SEASON, "_variant"])
         .groupBy(_SEASON, "source_race_name")
@@ -95,16 +97,33 @@ def variant_matches(names: DataFrame, planning: DataFrame) -> DataFrame:
     )
 
 
-def _rarer_words(sets: DataFrame, keys: list[str], frequency: DataFrame, skipped: int) -> DataFrame:
-    """(keys, word) for all but the `skipped` most frequent words of each set.
+def _rarer_words(sets: DataFrame, id: str, frequency: DataFrame, skipped: int) -> DataFrame:
+    """(season, id, word) for all but the `skipped` most frequent words of each set.
 
     Two sets that share more than `skipped` words share at least one of these: leaving out that
     many per set, in one common order, cannot hide all of them.
     """
-    words = sets.select(*keys, F.explode("words").alias("word")).join(frequency, [_SEASON, "word"])
-    ranked = words.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("frequency", "word"))).alias("ranked"))
+    words = sets.select(_SEASON, id, F.explode("words").alias("word")).join(frequency, [_SEASON, "word"])
+    ranked = words.groupBy(_SEASON, id).agg(F.array_sort(F.collect_list(F.struct("frequency", "word"))).alias("ranked"))
     kept = F.slice("ranked", F.lit(1), F.greatest(F.size("ranked") - skipped, F.lit(0)))
-    return ranked.select(*keys, F.explode(kept).alias("r")).select(*keys, F.col("r.word").alias("word"))
+    return ranked.select(_SEASON, id, F.explode(kept).alias("r")).select(_SEASON, id, F.col("r.word").alias("word"))
+
+
+def _prefix_pairs(seen: DataFrame, listed: DataFrame) -> DataFrame:
+    """(seen_id, listed_id) of names that begin with a listed name.
+
+    All words of the listed name but the last are the first words of the other. So each name is joined by its word
+    prefixes with the lengths that listed names with these first words have, then cut to those lengths only.
+    """
+    words = F.split("name", " ")
+    first = lambda count: F.array_join(F.slice(words, F.lit(1), count), " ")
+    lengths = listed.select(_SEASON, first(F.size(words) - 1).alias("head"), F.length("name").alias("length")).groupBy(_SEASON, "head").agg(
+        F.collect_set("length").alias("lengths")  # names are short, so there are few lengths
+    )
+    heads = seen.select(_SEASON, "seen_id", "name", F.explode(F.transform(F.sequence(F.lit(0), F.size(words) - 1), first)).alias("head"))
+    cut = heads.join(lengths, [_SEASON, "head"]).withColumn("length", F.explode("lengths")).where(F.col("length") <= F.length("name"))
+    cut = cut.select(_SEASON, "seen_id", F.substring(F.col("name"), F.lit(1), F.col("length")).alias("name"))
+    return cut.join(listed.select(_SEASON, "name", "listed_id"), [_SEASON, "name"]).select("seen_id", "listed_id")
 
 
 def overlap_matches(names: DataFrame, planning: DataFrame) -> DataFrame:
@@ -121,69 +140,66 @@ def overlap_matches(names: DataFrame, planning: DataFrame) -> DataFrame:
     candidates = planning.groupBy(_SEASON, *candidate).agg(
         F.count(F.lit(1)).alias("races"), F.min(F.struct("race_id", "race_name")).alias("race")
     )
-    candidates = candidates.withColumn("candidate_words", tokens_of(F.col("normalized_race_name"))).where(F.size("candidate_words") > 0)
-    # Both distinct sets feed all four ways of finding pairs, so they are computed once.
-    candidates = checkpointed(candidates)
-    observed = names.select(*observation).distinct().withColumns(
-        {
-            "words": tokens_of(F.col("normalized_name")),
-            "day": as_date(F.when(F.col("observed_date") != "", F.col("observed_date"))),
-        }
-    ).where(F.size("words") > 0)
-    observed = checkpointed(observed)
-    dated = observed.where(F.col("day").isNotNull())
-    days = candidates.where(F.col("start_date") <= F.col("end_date")).withColumn("day", F.explode(F.sequence("start_date", "end_date")))
+    day = as_date(F.when(F.col("observed_date") != "", F.col("observed_date")))
+    observed = names.select(*observation).distinct().withColumn("day", day)
 
-    frequency = candidates.select(_SEASON, F.explode("candidate_words").alias("word")).groupBy(_SEASON, "word").agg(
-        F.count(F.lit(1)).alias("frequency")
-    )
-    observed_names = observed.select(_SEASON, "normalized_name", "words").distinct()
-    candidate_names = candidates.select(_SEASON, "normalized_race_name", F.col("candidate_words").alias("words")).distinct()
+    def numbered(rows: DataFrame, name: str, id: str) -> DataFrame:
+        """Distinct (season, name) with their words and a number; written, so the numbers stay."""
+        distinct = rows.select(_SEASON, F.col(name).alias("name")).distinct().withColumn("words", tokens_of(F.col("name")))
+        return checkpointed(distinct.where(F.size("words") > 0).withColumn(id, F.monotonically_increasing_id()))
+
+    seen, listed = numbered(observed, "normalized_name", "seen_id"), numbered(candidates, "normalized_race_name", "listed_id")
+    # Pairs carry numbers only; names, dates and words are joined to what is left of them.
+    observed = checkpointed(observed.join(seen.select(_SEASON, F.col("name").alias("normalized_name"), "seen_id"), [_SEASON, "normalized_name"]).withColumn("observed_id", F.monotonically_increasing_id()))
+    candidates = checkpointed(candidates.join(listed.select(_SEASON, F.col("name").alias("normalized_race_name"), "listed_id"), [_SEASON, "normalized_race_name"]).withColumn("candidate_id", F.monotonically_increasing_id()))
+    dated = observed.where(F.col("day").isNotNull()).select(_SEASON, "observed_id", "seen_id", "day")
+    days = candidates.where(F.col("start_date") <= F.col("end_date")).select(_SEASON, "candidate_id", "listed_id", "races", "race", F.explode(F.sequence("start_date", "end_date")).alias("day"))
+    frequency = listed.select(_SEASON, F.explode("words").alias("word")).groupBy(_SEASON, "word").agg(F.count(F.lit(1)).alias("frequency"))
 
     def rare(skipped: int) -> tuple[DataFrame, DataFrame]:
-        return (
-            _rarer_words(observed_names, [_SEASON, "normalized_name"], frequency, skipped),
-            _rarer_words(candidate_names, [_SEASON, "normalized_race_name"], frequency, skipped),
+        return _rarer_words(seen, "seen_id", frequency, skipped), _rarer_words(listed, "listed_id", frequency, skipped)
+
+    ours, theirs = rare(2)
+    by_name = ours.join(theirs, [_SEASON, "word"]).select("seen_id", "listed_id").union(_prefix_pairs(seen, listed)).distinct()
+    on_names = by_name.join(observed.select("seen_id", "observed_id"), "seen_id").join(candidates.select("listed_id", "candidate_id"), "listed_id")
+    ours, theirs = rare(1)
+    on_days = (
+        dated.join(ours, [_SEASON, "seen_id"])
+        .join(days.select(_SEASON, "candidate_id", "listed_id", "day").join(theirs, [_SEASON, "listed_id"]), [_SEASON, "day", "word"])
+        .select("listed_id", "seen_id", "observed_id", "candidate_id")
+    )
+    listed_pairs = checkpointed(on_names.select("listed_id", "seen_id", "observed_id", "candidate_id").union(on_days).distinct())
+    # Words are compared once for each pair of names.
+    compared = (
+        listed_pairs.select("seen_id", "listed_id").distinct()
+        .join(seen.select("seen_id", F.col("name").alias("normalized_name"), F.col("words").alias("ours")), "seen_id")
+        .join(listed.select("listed_id", F.col("name").alias("normalized_race_name"), F.col("words").alias("theirs")), "listed_id")
+        .select(
+            "seen_id", "listed_id", F.size(F.array_intersect("ours", "theirs")).alias("shared"),
+            F.startswith(F.col("normalized_name"), F.col("normalized_race_name")).cast("int").alias("prefix"),
         )
-
-    columns = [*observation, "words", "day", *candidate, "candidate_words", "races", "race"]
-    seen, listed = rare(2)
-    pairs = seen.join(listed, [_SEASON, "word"]).select(_SEASON, "normalized_name", "normalized_race_name").distinct()
-    by_words = observed.join(pairs, [_SEASON, "normalized_name"]).join(candidates, [_SEASON, "normalized_race_name"]).select(*columns)
-
-    seen, listed = rare(1)
-    by_day = (
-        dated.join(seen, [_SEASON, "normalized_name"])
-        .join(days.join(listed, [_SEASON, "normalized_race_name"]), [_SEASON, "day", "word"])
-        .select(*columns)
-    )
-    prefixes = F.transform(
-        F.sequence(F.lit(1), F.length("normalized_name")), lambda n: F.substring(F.col("normalized_name"), F.lit(1), n)
+        .where("shared > 0")
     )
-    starts = observed_names.select(_SEASON, "normalized_name", F.explode(prefixes).alias("normalized_race_name"))
-    starts = starts.join(candidate_names.select(_SEASON, "normalized_race_name"), [_SEASON, "normalized_race_name"])
-    by_prefix = observed.join(starts, [_SEASON, "normalized_name"]).join(candidates, [_SEASON, "normalized_race_name"]).select(*columns)
-
-    listed_pairs = by_words.unionByName(by_day).unionByName(by_prefix).dropDuplicates([*observation, *candidate])
     on_day = F.coalesce(F.col("day").between(F.col("start_date"), F.col("end_date")), F.lit(False))
-    scored = listed_pairs.select(
-        *observation, "races", "race",
-        F.size(F.array_intersect("words", "candidate_words")).alias("shared"),
-        F.when(on_day, F.lit(3)).otherwise(F.lit(0)).alias("date_bonus"),
-        F.startswith(F.col("normalized_name"), F.col("normalized_race_name")).cast("int").alias("prefix"),
-    ).where("shared > 0")
+    scored = (
+        listed_pairs.join(compared, ["seen_id", "listed_id"])
+        .join(observed.select(*observation, "observed_id", "day"), "observed_id")
+        .join(candidates.select("candidate_id", "start_date", "end_date", "races", "race"), "candidate_id")
+        .select(*observation, "races", "race", "shared", F.when(on_day, F.lit(3)).otherwise(F.lit(0)).alias("date_bonus"), "prefix")
+    )
 
     # One shared word on a race day scores (4, 1, 3). It only matters when no race shares two words
     # or a prefix on that day, and then every race of the day shares exactly one word: counting
     # them per (day, word) is exact and lists no pairs.
-    cells = days.select(_SEASON, "day", F.explode("candidate_words").alias("word"), "races", "race").groupBy(_SEASON, "day", "word").agg(
+    cells = days.join(listed.select("listed_id", F.explode("words").alias("word")), "listed_id").groupBy(_SEASON, "day", "word").agg(
         F.sum("races").alias("races"), F.min("race").alias("race")
     )
     one_word = (
-        dated.select(*observation, "day", F.explode("words").alias("word"))
+        dated.join(seen.select("seen_id", F.explode("words").alias("word")), "seen_id")
         .join(cells, [_SEASON, "day", "word"])
-        .groupBy(*observation)
+        .groupBy("observed_id")
         .agg(F.sum("races").alias("races"), F.min("race").alias("race"))
+        .join(observed.select(*observation, "observed_id"), "observed_id")
         .select(*observation, "races", "race", F.lit(1).alias("shared"), F.lit(3).alias("date_bonus"), F.lit(0).alias("prefix"))
     )
     # A listed pair with one shared word on its day is in the count already.
@@ -206,13 +222,13 @@ def match_programme(programme: DataFrame, planning: DataFrame, aliases: DataFram
         }
     )
     ids = ["team_slug", _SEASON, "_source_name", "_observed_date"]
-    names = observed.select(*ids).distinct().select(
-        "team_slug", _SEASON,
-        F.col("_source_name").alias("source_race_name"),
-        F.col("_observed_date").alias("observed_date"),
-        normalise_name(F.col("_source_name")).alias("normalized_name"),
-    )
-    names = checkpointed(names)
+    # Each spelling is normalised once, however many teams and dates it comes with.
+    spellings = observed.select(F.col("_source_name").alias("source_race_name")).distinct()
+    spellings = checkpointed(spellings.withColumns({"normalized_name": normalise_name(F.col("source_race_name")), "variants": name_variants(F.col("source_race_name"))}))
+    names = observed.select(
+        "team_slug", _SEASON, F.col("_source_name").alias("source_race_name"), F.col("_observed_date").alias("observed_date")
+    ).distinct()
+    names = checkpointed(names.join(spellings, "source_race_name"))
     resolved = (
         names.join(alias_matches(names, aliases), ["team_slug", _SEASON, "normalized_name"], "left")
         .join(variant_matches(names, planning), [_SEASON, "source_race_name"], "left")

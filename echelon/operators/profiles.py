@@ -7,9 +7,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from echelon.constants import (
-    ARCHETYPES, EV_WEIGHTS, EXPECTED_POINTS_FORMULA, OPPORTUNITY_WEIGHT_REASONS, PARTICIPATION_REASONS,
+    ARCHETYPES, EV_WEIGHTS, EXECUTION_REASON, EXPECTED_POINTS_FORMULA, OPPORTUNITY_WEIGHT_REASONS, PARTICIPATION_REASONS,
     PROFILE_AXES, PROFILE_AXIS_LABELS, PROFILE_CONFIDENCE_LEVELS, SCENARIO_FORMULA, SCENARIO_PRESET_VERSION,
-    SCENARIO_SCOPE, STRENGTH_WEIGHT_REASONS, TEAM_FIT_FLOOR, TEAM_FIT_RANGE,
+    SCENARIO_SCOPE, STRENGTH_WEIGHT_REASONS, TEAM_FIT_FLOOR, TEAM_FIT_RANGE, TEAM_FIT_REASON,
 )
 from echelon.functions.columns import blank, first_filled, map_number, normalised_map, text, total
 from echelon.functions.text import stable_slug
@@ -18,6 +18,8 @@ TEAM_KEYS = ["team_slug", "planning_year"]
 _MAPS = ("strength_weights", "execution_rules", "participation_rules")
 _SCALARS = ("team_fit_floor", "team_fit_range")
 _TEXTS = ("archetype_key", "archetype_label", "archetype_description", "profile_confidence", "profile_version")
+_REASON_MAPS = {"strength_weight_rationale": STRENGTH_WEIGHT_REASONS, "participation_rule_rationale": PARTICIPATION_REASONS}
+_REASON_TEXTS = {"team_fit_rationale": TEAM_FIT_REASON, "execution_rule_rationale": EXECUTION_REASON}
 
 
 def archetype_table(spark: SparkSession, archetypes: Mapping[str, Mapping] = ARCHETYPES) -> DataFrame:
@@ -28,9 +30,18 @@ def archetype_table(spark: SparkSession, archetypes: Mapping[str, Mapping] = ARC
     )
 
 
-def merge_maps(base: Column, override: Column) -> Column:
+def with_rationale(profiles: DataFrame) -> DataFrame:
+    """The reasons for weights and rules: the team's own where it gives any, else the general ones."""
+    have = set(profiles.columns)
+    general = lambda mapping: F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
+    maps = {c: F.when(F.size(c) > 0, F.col(c)).otherwise(general(reasons)) if c in have else general(reasons) for c, reasons in _REASON_MAPS.items()}
+    texts = {c: first_filled(F.col(c), F.lit(reason)) if c in have else F.lit(reason) for c, reason in _REASON_TEXTS.items()}
+    return profiles.withColumns({**maps, **texts})
+
+
+def merge_maps(base: Column, override: Column, value: str = "double") -> Column:
     """Union of two maps; where both have a key the override wins."""
-    empty = F.create_map().cast("map<string,double>")
+    empty = F.create_map().cast(f"map<string,{value}>")
     return F.map_zip_with(F.coalesce(base, empty), F.coalesce(override, empty), lambda _, b, o: F.coalesce(o, b))
 
 
@@ -39,13 +50,15 @@ def merge_profiles(teams: DataFrame, defaults: DataFrame, overrides: DataFrame)
 
     `defaults` has one row; `overrides` at most one per team-season; absent values are null.
     """
-    columns = [*_MAPS, *_SCALARS, *_TEXTS, "profile_rationale"]
-    as_struct = lambda df: F.struct(*[F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in columns])
+    columns = [*_MAPS, *_SCALARS, *_TEXTS, "profile_rationale", *_REASON_MAPS, *_REASON_TEXTS]
+    kind = lambda c: "map<string,string>" if c in _REASON_MAPS else "string"
+    as_struct = lambda df: F.struct(*[F.col(c) if c in df.columns else F.lit(None).cast(kind(c)).alias(c) for c in columns])
     base = teams.withColumn("_d", defaults.select(as_struct(defaults)).scalar())
     own = overrides.select(*TEAM_KEYS, as_struct(overrides).alias("_o"))
     joined = base.join(own, TEAM_KEYS, "left")
     merged = {c: merge_maps(F.col(f"_d.{c}"), F.col(f"_o.{c}")) for c in _MAPS}
-    merged.update({c: F.coalesce(F.col(f"_o.{c}"), F.col(f"_d.{c}")) for c in [*_SCALARS, *_TEXTS, "profile_rationale"]})
+    merged.update({c: merge_maps(F.col(f"_d.{c}"), F.col(f"_o.{c}"), "string") for c in _REASON_MAPS})
+    merged.update({c: F.coalesce(F.col(f"_o.{c}"), F.col(f"_d.{c}")) for c in [*_SCALARS, *_TEXTS, "profile_rationale", *_REASON_TEXTS]})
     result = joined.withColumns(merged).drop("_d", "_o")
     year = F.col("planning_year")
     source_slug = first_filled(F.col("pcs_team_slug"), F.col("team_slug")) if "pcs_team_slug" in teams.columns else F.col("team_slug")
@@ -71,12 +84,15 @@ def with_inferred_archetype(profiles: DataFrame, name: str = "inferred_archetype
     return staged.withColumn(name, archetype).drop("_scaled", "_ranked")
 
 
-def complete_profiles(profiles: DataFrame) -> DataFrame:
-    """Fill a missing archetype by inference and missing label and description from the catalog."""
-    catalog = archetype_table(profiles.sparkSession)
+def complete_profiles(profiles: DataFrame, catalog: DataFrame | None = None) -> DataFrame:
+    """Fill a missing archetype by inference and missing label and description from the catalog.
+
+    `catalog` has the rows of an archetype document; without one the built-in catalog serves.
+    """
+    catalog = archetype_table(profiles.sparkSession) if catalog is None else catalog.drop("strength_weight_prior")
     keyed = with_inferred_archetype(profiles)
     keyed = keyed.withColumn("archetype_key", first_filled(F.col("archetype_key"), F.col("inferred_archetype"))).drop("inferred_archetype")
-    # The catalog has a fixed handful of rows.
+    # The catalog is one small document, a handful of rows.
     joined = keyed.join(F.broadcast(catalog), ["archetype_key"], "left")
     return joined.withColumns(
         {
@@ -126,9 +142,9 @@ def profile_errors() -> Column:
     return F.array_compact(F.array(*checks))
 
 
-def validated_profiles(profiles: DataFrame) -> DataFrame:
+def validated_profiles(profiles: DataFrame, catalog: DataFrame | None = None) -> DataFrame:
     """Completed profiles with an `errors` column."""
-    return complete_profiles(profiles).withColumn("errors", profile_errors()).drop("catalog_label")
+    return complete_profiles(profiles, catalog).withColumn("errors", profile_errors()).drop("catalog_label")
 
 
 def valid_profiles(profiles: DataFrame) -> DataFrame:
@@ -194,8 +210,7 @@ def profile_status(default: Mapping[str, float], default_floor: float = TEAM_FIT
 
 
 def weight_explainer(profiles: DataFrame) -> DataFrame:
-    """Long table of all weights behind the expected points of each team, with reasons."""
-    reasons = lambda mapping: F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
+    """Long table of all weights behind the expected points of each team, with the team's reasons or the general ones."""
     entry = lambda section, order, name, value, reason: F.struct(
         F.lit(section).alias("section"), order.alias("item_order"), name.alias("item"), value.alias("value"), reason.alias("reason")
     )
@@ -215,25 +230,23 @@ def weight_explainer(profiles: DataFrame) -> DataFrame:
 
     rows = F.concat(
         opportunity,
-        section("strength", "strength_weights", reasons(STRENGTH_WEIGHT_REASONS)),
+        section("strength", "strength_weights", F.col("strength_weight_rationale")),
         section("execution", "execution_rules", None),
-        section("participation", "participation_rules", reasons(PARTICIPATION_REASONS)),
+        section("participation", "participation_rules", F.col("participation_rule_rationale")),
     )
-    return profiles.select(*TEAM_KEYS, F.explode(rows).alias("r")).select(*TEAM_KEYS, "r.*")
+    return with_rationale(profiles).select(*TEAM_KEYS, F.explode(rows).alias("r")).select(*TEAM_KEYS, "r.*")
 
 
 def run_metadata(profiles: DataFrame, summary: DataFrame) -> DataFrame:
     """One row per team-season describing how its expected points were computed."""
-    described = profiles.select(
-        *TEAM_KEYS, "team_name",
-        F.struct(
-            *[c for c in [*_TEXTS, "profile_rationale", *_MAPS, *_SCALARS, "weight_fit_method", "weight_fit_summary"] if c in profiles.columns]
-        ).alias("team_profile"),
-    )
+    profiles = with_rationale(profiles)
+    told = [*_TEXTS, "profile_rationale", *_MAPS, *_SCALARS, *_REASON_MAPS, *_REASON_TEXTS, "weight_fit_method", "weight_fit_summary"]
+    described = profiles.select(*TEAM_KEYS, "team_name", F.struct(*[c for c in told if c in profiles.columns]).alias("team_profile"))
     return summary.select(*TEAM_KEYS, "as_of_date", F.col("race_count").alias("artifact_row_count")).join(described, TEAM_KEYS).withColumns(
         {
             "expected_points_formula": F.lit(EXPECTED_POINTS_FORMULA),
             "opportunity_weights": F.create_map(*[F.lit(x) for k, v in EV_WEIGHTS.items() for x in (k, float(v))]),
+            "opportunity_rationale": F.create_map(*[F.lit(x) for k, v in OPPORTUNITY_WEIGHT_REASONS.items() for x in (k, v)]),
             "roster_scenario_formula": F.lit(SCENARIO_FORMULA),
             "roster_scenario_preset_version": F.lit(SCENARIO_PRESET_VERSION),
             "roster_scenario_scope": F.lit(SCENARIO_SCOPE),

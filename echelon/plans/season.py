@@ -71,6 +71,7 @@ def calibrate(
         "best": best.asDict(),
         "default": default.asDict(),
         "improvement": best["objective"] - default["objective"],
+        "weight_comparison": backtest.weight_comparison(evaluated.where(F.col("candidate_id").isin(best["candidate_id"], default_id)), default_id),
         "fold_comparison": sets.withColumn("weight_set", F.when(F.col("candidate_id") == default_id, "Default").otherwise("Calibrated")),
         "best_fold_details": backtest.fold_detail(scored, folds, best["candidate_id"]),
         "default_fold_details": backtest.fold_detail(scored, folds, default_id),

@@ -61,5 +61,12 @@ PROFILE = (
     "archetype_label string, archetype_description string, profile_confidence string, profile_rationale array<string>, "
     "profile_version string, strength_weights map<string,double>, team_fit_floor double, team_fit_range double, "
     "execution_rules map<string,double>, participation_rules map<string,double>, weight_fit_method string, "
-    "weight_fit_summary map<string,string>"
+    "weight_fit_summary map<string,string>, strength_weight_rationale map<string,string>, "
+    "participation_rule_rationale map<string,string>, team_fit_rationale string, execution_rule_rationale string"
+)
+ARCHETYPE_DOCUMENT = "map<string,struct<label: string, description: string, color: string, strength_weight_prior: map<string,double>>>"
+PRESET_DOCUMENT = (
+    "struct<preset_version: string, roster_scenario_scope: string, presets: array<struct<key: string, label: string, "
+    "description: string, profile_overrides: struct<team_fit_floor: double, team_fit_range: double, "
+    "participation_rules: map<string,double>, execution_rules: map<string,double>, strength_weights: map<string,double>>>>>"
 )

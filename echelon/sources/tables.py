@@ -8,11 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from pyspark.errors import AnalysisException
 
 from echelon import schemas
-from echelon.constants import FLAG_FALSE, FLAG_TRUE, PLANNING_CATEGORIES
-from echelon.functions.columns import blank, first_filled, text, with_defaults
+from echelon.constants import FLAG_FALSE, FLAG_TRUE, PLANNING_CATEGORIES, PROFILE_AXES
+from echelon.functions.columns import blank, first_filled, normalised_map, text, with_defaults
 from echelon.functions.text import race_slug, stable_slug
 from echelon.operators.editions import with_stage_columns
 from echelon.operators.matching import prepare_aliases
+from echelon.operators.profiles import check_presets
 from echelon.operators.team_calendar import prepare_planning
 
 TEAM_KEYS = ["team_slug", "planning_year"]
@@ -147,6 +148,46 @@ def read_profiles(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.PROFILE).option("multiLine", True).json(path)
 
 
+def _document(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A JSON document as one value `d`; a missing file or a document of another shape fails the read."""
+    try:
+        found = spark.read.text(path, wholetext=True).select(F.from_json("value", schema).alias("d")).where("d IS NOT NULL")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        raise FileNotFoundError(f"no document at {path}") from error
+    if found.isEmpty():
+        raise ValueError(f"{path} holds no document of the expected shape")
+    return found
+
+
+def read_archetypes(spark: SparkSession, path: str) -> DataFrame:
+    """An archetype document (key -> label, description, colour, weights) as catalog rows, weights normalised."""
+    rows = _document(spark, path, schemas.ARCHETYPE_DOCUMENT).select(F.explode("d").alias("archetype_key", "a")).select("archetype_key", "a.*")
+    bad = [r.archetype_key for r in rows.where(blank(F.col("label")) | blank(F.col("description"))).collect()]  # a handful of archetypes
+    if bad or rows.isEmpty():
+        raise ValueError(f"archetypes need a label and a description: {', '.join(sorted(bad)) or 'the document is empty'}")
+    prior = F.when(F.col("strength_weight_prior").isNotNull(), normalised_map(F.col("strength_weight_prior"), PROFILE_AXES))
+    return rows.select("archetype_key", F.trim("label").alias("label"), F.trim("description").alias("description"), text(F.col("color")).alias("color"), prior.alias("strength_weight_prior"))
+
+
+def read_presets(spark: SparkSession, path: str) -> DataFrame:
+    """A scenario preset document as rows (preset_version, key, label, description, profile_overrides) in document order."""
+    document = _document(spark, path, schemas.PRESET_DOCUMENT).select("d.*")
+    head = document.first()  # one small document
+    problems = check_presets(head.preset_version, head.roster_scenario_scope, [p.asDict() for p in head.presets or []])
+    if problems:
+        raise ValueError("; ".join(problems))
+    return document.select("preset_version", F.posexplode("presets").alias("preset_order", "p")).select("preset_version", "preset_order", "p.*")
+
+
+def find_preset(presets: DataFrame, key: str) -> DataFrame:
+    found = presets.where(F.col("key") == key)
+    if found.isEmpty():
+        raise ValueError(f"Unknown scenario preset `{key}`.")
+    return found
+
+
 def team_names(teams: DataFrame, contributions: DataFrame) -> DataFrame:
     """Display name and reference total per team from the contribution table; the slug where it is unknown.
 
