@@ -208,7 +208,7 @@ def _ev_queries() -> dict[str, Query]:
         "expected_points": Query(_ev, {**key, **shape(s="race_name category status notes", f4="base_opportunity_points expected_points")}, rows),
         "attach_actuals": Query(_ev, {**key, **shape(f4="expected_points actual_points ev_gap")}, rows),
         "race_detail": Query(
-            lambda s, d: views.race_detail(_ev(s, d)), {**key, **shape(s="race_name category start_date status source overlap_group notes")}, rows,
+            lambda s, d: views.race_detail(_ev(s, d)), {**key, **shape(s="race_name category start_date status source overlap_group notes", f1="base_opportunity_points expected_points actual_points ev_gap", f3="team_fit_multiplier participation_confidence execution_multiplier")}, rows,
         ),
         "completed_races": Query(
             lambda s, d: views.season_view(_ev(s, d), "Completed races only"), {**key, **shape(s="status", f4="expected_points")},
