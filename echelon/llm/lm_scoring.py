@@ -23,6 +23,8 @@ BIGRAM_SHARE = 1 << 20
 DISCOUNT = 0.75
 #: Codes of the unknown word and of the start of a document; the vocabulary follows.
 UNKNOWN, START, FIRST = 0, 1, 2
+#: Tokens that a task counts or scores at a time.
+TOKENS_COUNTED, TOKENS_SCORED = 2_000_000, 400_000
 
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -30,6 +32,16 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy())
 
 
+def pieces(column: pa.Array, most: int) -> Iterator[pa.Array]:
+    """Slices of a list column with about `most` values each; a longer list is a slice of its own."""
+    ends = column.offsets.to_numpy()
+    start = 0
+    while start < len(column):
+        stop = max(start + 1, int(np.searchsorted(ends, ends[start] + most, side="right")) - 1)
+        yield column.slice(start, stop - start)
+        start = stop
+
+
 def codes(words: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
     """The code of each word hash: its place in the sorted vocabulary, else the unknown word."""
     if not len(vocabulary):
@@ -99,9 +111,10 @@ def _counted(words: DataFrame, vocabulary: np.ndarray) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            history, word, _ = bigrams(batch.column("words"), vocabulary)
-            pair, n = np.unique(history * size + word, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n)], ["pair", "n"])
+            for words in pieces(batch.column("words"), TOKENS_COUNTED):
+                history, word, _ = bigrams(words, vocabulary)
+                pair, n = np.unique(history * size + word, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n)], ["pair", "n"])
 
     return words.mapInArrow(count, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
 
@@ -147,17 +160,24 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, id: str = "doc_
         own = models.value
         prepared = {"target": own.target.prepared(), "background": own.background.prepared()}
         for batch in batches:
-            history, word, lengths = bigrams(batch.column("words"), own.vocabulary)
-            row = np.repeat(np.arange(len(lengths)), lengths)
-            means = [np.bincount(row, losses, len(lengths)) / np.maximum(lengths, 1) for losses in own.losses(history, word, prepared)]
-            columns = [batch.column("id"), pa.array(lengths.astype(np.int64)), pa.array(means[0]), pa.array(means[1]), pa.array(means[0] - means[1])]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "n_tokens", "target_loss", "background_loss", "score"])
+            done = 0
+            for words in pieces(batch.column("words"), TOKENS_SCORED):
+                history, word, lengths = bigrams(words, own.vocabulary)
+                row = np.repeat(np.arange(len(lengths)), lengths)
+                means = [np.bincount(row, losses, len(lengths)) / np.maximum(lengths, 1) for losses in own.losses(history, word, prepared)]
+                ids = batch.column("id").slice(done, len(words))
+                columns = [ids, pa.array(lengths.astype(np.int64)), pa.array(means[0]), pa.array(means[1]), pa.array(means[0] - means[1])]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "n_tokens", "target_loss", "background_loss", "score"])
+                done += len(words)
 
     typed = f"id {kind[0].dataType.simpleString()}, n_tokens bigint, target_loss double, background_loss double, score double"
     return docs.select(F.col(id).alias("id"), word_hashes(text).alias("words")).mapInArrow(score, typed).withColumnRenamed("id", id)
 
 
 def good_texts(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
-    """The texts of `docs` that a label calls good, as a target corpus; written once, since two passes read it."""
-    good = labels.where(F.col(label) == 1).select(F.col(id).alias("id")).distinct()
+    """The texts of `docs` that a label calls good, as a target corpus; written once, since two passes read it.
+
+    The labels grow with the documents, so they are joined by a shuffle at every size.
+    """
+    good = labels.where(F.col(label) == 1).select(F.col(id).alias("id")).distinct().hint("merge")
     return stored(docs.select(F.col(id).alias("id"), text_of(text).alias(text)).join(good, "id", "left_semi").select(text), "target")
