@@ -7,10 +7,14 @@ text keeps, of the darts that lie within its weights, the one of the lowest rank
 to a bound at which about k ln k + 2k darts are found, so a signature costs the number of elements plus that number. Two
 texts agree in a coordinate with the probability of their weighted resemblance.
 
-Texts of equal words are one node. Nodes that agree in all coordinates of a band meet in a bucket. In each bucket one node,
-the centre, is paired with all others, never all with all. Pairs whose signatures agree in far too few coordinates are left
-out, the others verified by the resemblance of their sets of runs; linked nodes get a common label. Buckets whose nodes still have several labels go on with the next centres, taken from the
-labels with the fewest nodes there, until no two nodes of different labels are left that have not met.
+Texts of equal words are one node. Nodes that agree in all coordinates of a band meet in a bucket. In each bucket a few nodes,
+the centres, are paired with all others, never all with all; they are those that meet the most nodes in all their buckets,
+such as the original among its copies. Pairs whose signatures agree in far too few coordinates are left out, the others verified
+by the resemblance of their sets of runs; linked nodes get a common label. Buckets whose nodes still have several labels go on with the next centres, taken from the
+labels with the fewest nodes there, until no two nodes of different labels are left that have not met. Runs that no other
+node of those buckets has can't be shared, so their number bounds what two nodes may have in common; who can't reach the
+similarity by that bound is left out. These comparisons run inside the tasks: the sets of runs of a chunk of a bucket meet
+those of its centres, and only links come out, however many pairs fall just short of the similarity.
 """
 
 from __future__ import annotations
@@ -18,22 +22,26 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from echelon.llm.common import stored, text_of, word_hashes
+from echelon.llm.fingerprints import let, shingle_hashes
 
 WORDS = 5
 SIMILARITY = 0.8
 BANDS = 25
 ROWS = 5
-#: Centres that a bucket with several labels gets in a further round.
-CENTRES = 256
+#: Centres of a bucket in the first round, and of one with several labels in a further round.
+FIRST_CENTRES, CENTRES = 4, 256
 #: Standard errors that the agreement of two signatures may fall short of the similarity before a pair is left out.
 ERRORS = 4.5
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
+#: Nodes of a bucket that a task compares with its centres.
+CHUNK = 2_000
 #: Words of the texts whose signatures are computed together.
-TOGETHER = 400_000
+TOGETHER = 100_000
 
 
 def mixed(value: np.ndarray) -> np.ndarray:
@@ -218,7 +226,7 @@ def _same_words(words: Column, text: Column) -> list[Column]:
 
 def components(links: DataFrame) -> DataFrame:
     """node, label: the smallest node that it is linked with, over any number of links (one, other)."""
-    ends = stored(links.select("one", "other").union(links.select(F.col("other"), F.col("one"))).distinct(), "ends")
+    ends = links.select("one", "other").union(links.select(F.col("other"), F.col("one")))
     labels = stored(ends.groupBy(F.col("one").alias("node")).agg(F.least("node", F.min("other")).alias("label")), "labels")
     while True:
         known = labels.select(F.col("node").alias("other"), F.col("label").alias("near"))
@@ -242,43 +250,99 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     ones, others = ends("sketch")
     met = pairs.join(ones, "one").join(others, "other").withColumn("agreement", agreement(F.col("sketch_one"), F.col("sketch_other")))
     least = similarity - ERRORS * F.sqrt(F.lit(similarity * (1 - similarity)) / F.length("sketch_one"))
-    probable = stored(met.where(F.col("agreement") >= least).select("one", "other"), "probable")
+    probable = met.where(F.col("agreement") >= least).select("one", "other")
     ones, others = ends("text")
     met = probable.join(ones, "one").join(others, "other")
     likeness = resemblance(word_hashes("text_one"), word_hashes("text_other"))
     return met.select("one", "other", likeness.alias("likeness")).where(F.col("likeness") >= similarity - 1e-9).select("one", "other")
 
 
+def _runs(texts: DataFrame) -> DataFrame:
+    """node, runs (its distinct runs), size and shared (the number of those that some other node of `texts` has, too)."""
+    runs = stored(texts.select("node", F.array_distinct(let(word_hashes("text"), lambda words: shingle_hashes(words, WORDS))).alias("runs")), "runs")
+    # a run with a single node needs no join back: the count carries the node
+    alone = runs.select("node", F.explode("runs").alias("run")).groupBy("run").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1")
+    own = alone.groupBy("node").agg(F.count("*").alias("own"))
+    size = F.size("runs")
+    return runs.join(own, "node", "left").select("node", "runs", size.alias("size"), (size - F.coalesce("own", F.lit(0))).alias("shared"))
+
+
+def _compared(here: DataFrame, centres: DataFrame, runs: DataFrame, similarity: float) -> DataFrame:
+    """Links (one, other) between the nodes of each bucket and its centres of other labels."""
+    chunks = here.groupBy("bucket").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")).join(centres.select("bucket").distinct(), "bucket")
+    members = here.join(chunks, "bucket").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    members = members.select("bucket", "chunk", "node", "label").join(runs.select("node", "runs", "shared"), "node")
+    sent = centres.join(chunks, "bucket").join(runs.select(F.col("node").alias("centre"), "runs", "shared"), "centre")
+    sent = sent.select("bucket", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "centre", "own", "runs", "shared")
+
+    def links(of_chunk: pd.DataFrame, of_bucket: pd.DataFrame) -> pd.DataFrame:
+        one: list[np.ndarray] = []
+        other: list[np.ndarray] = []
+        if len(of_chunk):
+            nodes, labels, shared = (of_chunk[c].to_numpy() for c in ("node", "label", "shared"))
+            sizes = np.array([len(r) for r in of_chunk.runs])
+            flat, owner = np.concatenate(list(of_chunk.runs)), np.repeat(np.arange(len(nodes)), sizes)
+            order = np.argsort(flat, kind="stable")
+            flat, owner = flat[order], owner[order]
+            for centre, own, run, common in zip(of_bucket.centre, of_bucket.own, of_bucket.runs, of_bucket.shared, strict=True):
+                least = similarity * (sizes + len(run)) / (1 + similarity) - 1e-9  # runs in common that the similarity needs
+                open_nodes = (labels != own) & (np.minimum(shared, common) >= least)
+                if open_nodes.any():
+                    low, high = np.searchsorted(flat, run, "left"), np.searchsorted(flat, run, "right")
+                    met = np.concatenate([owner[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True) if b > a] or [owner[:0]])
+                    found = nodes[open_nodes & (np.bincount(met, minlength=len(nodes)) >= least)]
+                    one.append(found)
+                    other.append(np.full(len(found), centre))
+        empty = np.zeros(0, np.int64)
+        return pd.DataFrame({"one": np.concatenate([empty, *one]).astype("int64"), "other": np.concatenate([empty, *other]).astype("int64")})
+
+    grouped = members.groupBy("bucket", "chunk").cogroup(sent.groupBy("bucket", "chunk"))
+    return grouped.applyInPandas(links, "one bigint, other bigint").distinct()
+
+
+def _mixed(here: DataFrame) -> DataFrame:
+    """Buckets whose nodes have several labels."""
+    return here.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("bucket")
+
+
 def _next_centres(here: DataFrame, tried: DataFrame) -> DataFrame:
     """Up to `CENTRES` untried nodes of each bucket that has untried nodes of several labels, rare labels first."""
-    several = here.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("bucket")
-    here = here.join(several, "bucket", "left_semi")
+    here = here.join(_mixed(here), "bucket", "left_semi")
     untried = here.join(tried, ["bucket", "node"], "left_anti")
     # where a single label has untried nodes, all of them have met the nodes of the others
-    unmet = untried.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("bucket")
-    sizes = here.groupBy("bucket", "label").agg(F.count("*").alias("size"))
-    choice = untried.join(unmet, "bucket", "left_semi").join(sizes, ["bucket", "label"])
-    first = Window.partitionBy("bucket").orderBy("size", "node")
-    return choice.withColumn("n", F.row_number().over(first)).where(F.col("n") <= CENTRES).select("bucket", F.col("node").alias("centre"), F.col("label").alias("own"))
+    choice = untried.join(_mixed(untried), "bucket", "left_semi").join(here.groupBy("bucket", "label").agg(F.count("*").alias("of_label")), ["bucket", "label"])
+    first = Window.partitionBy("bucket").orderBy("of_label", "node")
+    kept = choice.withColumn("n", F.row_number().over(first)).where(F.col("n") <= CENTRES)
+    return kept.select("bucket", F.col("node").alias("centre"), F.col("label").alias("own"))
 
 
 def _links(buckets: DataFrame, texts: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame | None]:
     """Verified links (one, other) and the labels of linked nodes; no link between differing labels is left out."""
-    centres = stored(buckets.groupBy("bucket").agg(F.min("node").alias("centre")), "centres")
-    picked = buckets.join(centres, "bucket")
-    links = tried = labels = None
+    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("nodes"))
+    met = buckets.join(sizes, "bucket").groupBy("node").agg(F.sum("nodes").alias("met"))
+    first = Window.partitionBy("bucket").orderBy(F.desc("met"), "node")
+    centres = buckets.join(met, "node").withColumn("n", F.row_number().over(first)).where(F.col("n") <= FIRST_CENTRES)
+    centres = stored(centres.select("bucket", F.col("node").alias("centre"), F.col("met").alias("centre_met")), "centres")
+    # two centres are paired once
+    picked = buckets.join(met, "node").join(centres, "bucket").where((F.col("met") < F.col("centre_met")) | ((F.col("met") == F.col("centre_met")) & (F.col("node") > F.col("centre"))))
+    pairs = picked.where("node != centre").select(F.col("node").alias("one"), F.col("centre").alias("other")).distinct()
+    links = stored(_verified(pairs, texts, similarity), "links")
+    labels, tried, runs = components(links), None, None
     while True:
-        pairs = picked.where("node != centre").select(F.col("node").alias("one"), F.col("centre").alias("other")).distinct()
-        new = stored(_verified(pairs, texts, similarity), "links")
-        links = new if links is None else links.union(new)
-        labels = components(links)
         met = centres.select("bucket", F.col("centre").alias("node"))
         tried = met if tried is None else tried.union(met)
         here = buckets.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
+        here = stored(here.join(_mixed(here), "bucket", "left_semi"), "mixed")
+        if runs is None:
+            runs = stored(_runs(texts.join(here.select("node").distinct(), "node", "left_semi")), "runs")
+        here = here.join(runs.where(F.col("shared") >= similarity * F.col("size") - 1e-9).select("node"), "node")
         centres = stored(_next_centres(here, tried), "centres")
         if centres.isEmpty():
             return links, labels
-        picked = here.join(centres, "bucket").where("label != own")
+        new = stored(_compared(here, centres, runs, similarity), "links")
+        if not new.isEmpty():
+            links = links.union(new)
+            labels = components(links)
 
 
 def near_duplicate_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:

@@ -283,6 +283,7 @@ def test_sliced_arrays(spark):
     whole = near_dedup._signed(words, 3, 2).to_pylist()
     assert near_dedup._signed(words.slice(1), 3, 2).to_pylist() == whole[1:]
     assert [(len(one["bands"]), len(one["sketch"])) for one in whole] == [(3, 6), (3, 6), (0, 0), (3, 6)]
+    assert [one.to_pylist() for most in (1, 3, 99) for one in lm_scoring.pieces(words.slice(1), most)] == [[[4, 5]], [[]], [[6, 7, 8, 9]], [[4, 5], []], [[6, 7, 8, 9]], [[4, 5], [], [6, 7, 8, 9]]]
     history, word, lengths = lm_scoring.bigrams(words.slice(1), np.array([4, 6, 7]))
     assert history.tolist() == [1, 2, 1, 3, 4, 0] and word.tolist() == [2, 0, 3, 4, 0, 0] and lengths.tolist() == [2, 0, 4]
 
