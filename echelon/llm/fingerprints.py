@@ -29,7 +29,10 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def shingle_hashes(words: Column, size: int = WORDS) -> Column:
-    """One hash per run of `size` words; a shorter text is a single shingle, no words give none."""
+    """One hash per run of `size` words; a shorter text is a single shingle, no words give none.
+
+    `words` is used several times for each run, so it should be a column or come from `let`.
+    """
     runs = F.transform(F.sequence(F.lit(0), F.size(words) - size), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(size)]))
     return F.when(F.size(words) >= size, runs).when(F.size(words) > 0, F.array(F.xxhash64(words))).otherwise(F.array().cast("array<bigint>"))
 
@@ -140,19 +143,20 @@ def fingerprint_documents(docs: DataFrame, id: str = "doc_id", text: str = "text
     texts = rows.select(*_KEY, "text").dropDuplicates(list(_KEY))
     taken = F.floor(F.col("length") / 3).cast("int")
     following = [F.col(f"following.{c}").alias(f"next_{c}") for c in _KEY]
-    wanted = pairs.select(*following, taken.alias("taken"), *[F.col(c).alias(f"for_{c}") for c in _KEY])
+    wanted = pairs.select(*following, taken.alias("taken"), *[F.col(c).alias(f"for_{c}") for c in _KEY], "id", "length", "times")
     heads = texts.join(wanted, [F.col(c) == F.col(f"next_{c}") for c in _KEY])
-    heads = heads.select(*[F.col(f"for_{c}") for c in _KEY], *[F.col(f"next_{c}") for c in _KEY], F.col("text").substr(F.lit(1), F.col("taken")).alias("head"))
+    heads = heads.select(*[F.col(f"{part}_{c}") for part in ("for", "next") for c in _KEY], "id", "length", "times", F.col("text").substr(F.lit(1), F.col("taken")).alias("head"))
     edits = (
         texts.join(heads, [F.col(c) == F.col(f"for_{c}") for c in _KEY])
-        .withColumn("length", F.char_length("text"))
         .withColumn("edited", F.concat(F.col("text").substr(F.lit(1), F.col("length") - taken), "head"))
-        .select(*_KEY, *[f"next_{c}" for c in _KEY], F.sha2("edited", 256).alias("edited_sha256"), fingerprint("text", bins, bits, size).alias("fingerprint"), fingerprint("edited", bins, bits, size).alias("edited_fingerprint"))
+        .select(
+            "id", "length", "times", *_KEY, *[f"next_{c}" for c in _KEY], F.sha2("edited", 256).alias("edited_sha256"),
+            fingerprint("text", bins, bits, size).alias("fingerprint"), fingerprint("edited", bins, bits, size).alias("edited_fingerprint"),
+        )
     )
     done = stored(edits, "fingerprints")
     own = done.select(*[F.col(c).alias(f"next_{c}") for c in _KEY], F.col("fingerprint").alias("next_fingerprint")).dropDuplicates([f"next_{c}" for c in _KEY])
-    counted = pairs.select("id", *_KEY, "length", *following, "times")
-    result = counted.join(done, [*_KEY, *[f"next_{c}" for c in _KEY]]).join(own, [f"next_{c}" for c in _KEY])
+    result = done.drop(*_KEY).join(own, [f"next_{c}" for c in _KEY])
     return result.select(
         F.col("id").alias(id),
         F.col("length").cast("long").alias("n_chars"),
