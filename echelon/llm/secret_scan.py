@@ -87,6 +87,7 @@ def findings(docs: DataFrame, ledger: DataFrame, rules: Iterable[Rule] = RULES,
     """Every row of `docs` (id, blob) with the spans of the rules in their present versions, by start and then by rule."""
     names = F.array(*[F.lit(rule.name) for rule in rules])
     merged = ledger.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("found"))).alias("found")).where(F.size("found") > 0)
+    merged = stored(merged, "found")  # so that a blob of very many rows is dealt to several tasks in the join
     paths = docs.select(F.col(id).alias("id"), blob_of(text).alias("blob"))
     present = F.filter("found", lambda span: F.array_contains(names, span["rule"]))
     placed = F.transform(
