@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
@@ -53,3 +56,13 @@ def word_hashes(text: str | Column) -> Column:
     """One 64-bit hash per word: maximal runs of letters, digits and marks, in lower case. No words: an empty array."""
     words = F.split(F.lower(text_of(text)), r"[^\p{L}\p{N}\p{M}]+", -1)
     return F.transform(F.filter(words, lambda word: word != ""), lambda word: F.xxhash64(word))
+
+
+def pieces(column: pa.Array, most: int) -> Iterator[pa.Array]:
+    """Slices of a list column with about `most` values each; a longer list is a slice of its own."""
+    ends = column.offsets.to_numpy()
+    start = 0
+    while start < len(column):
+        stop = max(start + 1, int(np.searchsorted(ends, ends[start] + most, side="right")) - 1)
+        yield column.slice(start, stop - start)
+        start = stop

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from echelon.llm.common import word_hashes
+from echelon.llm.common import pieces, word_hashes
 
 THRESHOLD = 0.6
 OVERLAP = 0.6
@@ -34,6 +34,8 @@ RUN = 3
 ESSENTIAL = 0.7
 #: Test items in one index. More are searched index by index.
 MOST_ITEMS = 20_000
+#: Words whose windows are tested together.
+TOGETHER = 400_000
 LAST_SENTENCE = re.compile(r"[.?!\n]\s*(?=[^.?!\n]*[^\W_][^.?!\n]*[.?!\s]*$)")
 
 
@@ -226,7 +228,8 @@ def leaked_items(text: str | Column, indexes: list[Index], spark, threshold: flo
 
         @F.arrow_udf(LEAKS)
         def run(column: pa.Array) -> pa.Array:
-            return pa.array(leaks(shared.value, column, threshold, overlap, whole), _LEAK)
+            found = [one for piece in pieces(column, TOGETHER) for one in leaks(shared.value, piece, threshold, overlap, whole)]
+            return pa.array(found, _LEAK)
 
         return run(word_hashes(text))
 

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from echelon.llm.common import stored, text_of, word_hashes
+from echelon.llm.common import pieces, stored, text_of, word_hashes
 
 WORD_SHARE = 1 << 17
 BIGRAM_SHARE = 1 << 20
@@ -32,16 +32,6 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy())
 
 
-def pieces(column: pa.Array, most: int) -> Iterator[pa.Array]:
-    """Slices of a list column with about `most` values each; a longer list is a slice of its own."""
-    ends = column.offsets.to_numpy()
-    start = 0
-    while start < len(column):
-        stop = max(start + 1, int(np.searchsorted(ends, ends[start] + most, side="right")) - 1)
-        yield column.slice(start, stop - start)
-        start = stop
-
-
 def codes(words: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
     """The code of each word hash: its place in the sorted vocabulary, else the unknown word."""
     if not len(vocabulary):

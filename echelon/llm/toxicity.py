@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -120,9 +120,9 @@ class Model:
     bias: float
     trained: bool = True
 
-    def scores(self, texts: list[str]) -> list[float]:
+    def scores(self, texts: Iterable[str]) -> list[float]:
         if not self.trained:
-            return [0.0] * len(texts)
+            return [0.0 for _ in texts]
         known = self.weights.get
         return logistic(np.array([self.bias + sum([known(b, 0.0) for b in buckets_of(text)]) for text in texts], float)).tolist()
 
@@ -158,7 +158,7 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [buckets_of(value) for value in batch.column("text").to_pylist()]
+            found = [buckets_of(value.as_py()) for value in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("positive"), batch.column("unlabelled"), pa.array(found, pa.list_(pa.int32()))], ["positive", "unlabelled", "found"])
 
     def fitted(sampled: pd.DataFrame) -> pd.DataFrame:
@@ -180,7 +180,7 @@ def toxicity(text: str | Column, model: Model) -> Column:
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
-        return pa.array(model.scores(texts.to_pylist()), pa.float64())
+        return pa.array(model.scores(text.as_py() for text in texts), pa.float64())
 
     return score(text_of(text))
 
