@@ -33,7 +33,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of what is left."""
-    return byte_bpe.encode_documents(docs)
+    return byte_bpe.encode_documents(docs, release=True)
 
 
 STAGES = [

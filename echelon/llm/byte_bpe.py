@@ -217,6 +217,12 @@ class Codec:
         self.digits = {id: str(id) for id in self.bytes_of}
         self.words: dict[str, list[int]] = {}
 
+    def trim(self) -> None:
+        """Give back what was kept for the next words; the trie stays."""
+        self.words.clear()
+        self.transducer._clear()
+        self.transducer.pairs.clear()
+
     def _ids(self, word: str) -> list[int]:
         if len(self.words) >= self.most_words:
             self.words.clear()
@@ -291,8 +297,12 @@ def decoded(ids: str | Column, path: str | None = None, pattern: str | None = No
     return run(F.coalesce(F.col(ids) if isinstance(ids, str) else ids, F.array().cast("array<int>")))
 
 
-def round_trip(text: str | Column, path: str | None = None, pattern: str | None = None) -> Column:
-    """Encode, then decode the ids: a struct of n_tokens, ids_sha256 and decoded_sha256. The ids stay in the task."""
+def round_trip(text: str | Column, path: str | None = None, pattern: str | None = None, release: bool = False) -> Column:
+    """Encode, then decode the ids: a struct of n_tokens, ids_sha256 and decoded_sha256. The ids stay in the task.
+
+    `release` gives back the kept words and steps (some 200 MB a worker) after each partition, for jobs in which the
+    workers serve other operators as well; without it they speed up the next partition.
+    """
     path, pattern = _defaults(path, pattern)
 
     def digests(own: Codec, value: str) -> dict:
@@ -303,20 +313,27 @@ def round_trip(text: str | Column, path: str | None = None, pattern: str | None
         data.update(stream.finish().encode())
         return {"n_tokens": len(ids), "ids_sha256": hashlib.sha256(" ".join(map(own.digits.__getitem__, ids)).encode()).hexdigest(), "decoded_sha256": data.hexdigest()}
 
+    kind = pa.struct([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+
     @F.arrow_udf("struct<n_tokens: bigint, ids_sha256: string, decoded_sha256: string>")
-    def run(texts: pa.Array) -> pa.Array:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = codec(path, pattern)
-        with no_cycle_search():
-            rows = [digests(own, one.as_py()) for one in texts]
-        return pa.array(rows, pa.struct([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]))
+        for texts in batches:
+            with no_cycle_search():
+                rows = [digests(own, one.as_py()) for one in texts]
+            yield pa.array(rows, kind)
+        if release:
+            own.trim()
 
     return run(text_of(text))
 
 
-def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | None = None, id: str = "doc_id", text: str = "text") -> DataFrame:
+def encode_documents(
+    docs: DataFrame, path: str | None = None, pattern: str | None = None, id: str = "doc_id", text: str = "text", release: bool = False
+) -> DataFrame:
     """One row per row of `docs`: id, n_tokens and the digests of the ids and of the decoded text.
 
     A null text counts as empty: no tokens and the digests of nothing. Repeated rows and null ids stay rows of their own;
     other columns of `docs` are not read; an empty table gives no rows.
     """
-    return docs.select(id, round_trip(text, path, pattern).alias("coded")).select(id, "coded.n_tokens", "coded.ids_sha256", "coded.decoded_sha256")
+    return docs.select(id, round_trip(text, path, pattern, release).alias("coded")).select(id, "coded.n_tokens", "coded.ids_sha256", "coded.decoded_sha256")
