@@ -307,7 +307,6 @@ def _mixed(here: DataFrame) -> DataFrame:
 
 def _next_centres(here: DataFrame, tried: DataFrame) -> DataFrame:
     """Up to `CENTRES` untried nodes of each bucket that has untried nodes of several labels, rare labels first."""
-    here = here.join(_mixed(here), "bucket", "left_semi")
     untried = here.join(tried, ["bucket", "node"], "left_anti")
     # where a single label has untried nodes, all of them have met the nodes of the others
     choice = untried.join(_mixed(untried), "bucket", "left_semi").join(here.groupBy("bucket", "label").agg(F.count("*").alias("of_label")), ["bucket", "label"])
