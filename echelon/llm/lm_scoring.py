@@ -1,10 +1,11 @@
 """Cross-entropy difference: how much better a target model than a background model predicts each document.
 
 Both models are bigram models over words, of the same kind and over one vocabulary, counted over whole corpora: absolute
-discounting interpolated with an add-one unigram model. What is kept is set by shares of the corpora, so its number has a
-bound whatever their size: words with at least 1/WORD_SHARE of a corpus's tokens (the rest is one unknown word), and
-bigrams with at least 1/BIGRAM_SHARE. A bigram below that is scored through the unigram, and its mass goes there, so the
-probabilities of each history sum to one. The kept counts are small enough to send to every task.
+discounting interpolated with an add-one unigram model. Every word and every bigram of either corpus is counted, at every
+size; counts, masses and losses are written tables, joined by shuffles, and nothing of a model passes through the driver.
+Words are known by 64-bit hashes, and so are bigrams where documents meet their losses.
+
+`train` gives compact models in memory instead, cut to shares of the corpora that the caller names; scoring doesn't use it.
 """
 
 from __future__ import annotations
@@ -14,16 +15,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from echelon.llm.common import pieces, stored, text_of, word_hashes
 
-WORD_SHARE = 1 << 17
-BIGRAM_SHARE = 1 << 20
 DISCOUNT = 0.75
+#: The history of a document's first word, among word hashes.
+BEGIN = 0
 #: Codes of the unknown word and of the start of a document; the vocabulary follows.
 UNKNOWN, START, FIRST = 0, 1, 2
-#: Tokens that a task counts or scores at a time.
+SPREAD = ["row", "id", "history", "word", "n_tokens", "n"]
+#: Tokens that a task counts or spreads at a time.
 TOKENS_COUNTED, TOKENS_SCORED = 2_000_000, 400_000
 
 
@@ -109,8 +111,8 @@ def _counted(words: DataFrame, vocabulary: np.ndarray) -> DataFrame:
     return words.mapInArrow(count, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
-def train(docs: DataFrame, target: DataFrame, text: str = "text", word_share: int = WORD_SHARE, bigram_share: int = BIGRAM_SHARE) -> Models:
-    """The background model over all of `docs` and the target model over all of `target`."""
+def train(docs: DataFrame, target: DataFrame, text: str = "text", *, word_share: int, bigram_share: int) -> Models:
+    """Compact models over all of `docs` and `target`: words and bigrams with at least 1/share of a corpus's tokens."""
     words = {"target": target.select(word_hashes(text).alias("words")), "background": docs.select(word_hashes(text).alias("words"))}
     each = words["target"].select(F.explode("words").alias("word"), F.lit(1).alias("target")).union(words["background"].select(F.explode("words"), F.lit(0)))
     counts = stored(each.groupBy("word").agg(F.sum("target").cast("long").alias("target"), F.sum(1 - F.col("target")).cast("long").alias("background")), "words")
@@ -135,33 +137,103 @@ def train(docs: DataFrame, target: DataFrame, text: str = "text", word_share: in
     return Models(vocabulary, model("target"), model("background"))
 
 
-def cross_entropy_difference(docs: DataFrame, target: DataFrame, id: str = "doc_id", text: str = "text", **shares: int) -> DataFrame:
+def _hashed(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """History and word of every token of a batch by their hashes, and the number of tokens of each document."""
+    word, lengths = _flat(column)
+    history = np.empty_like(word)
+    history[1:] = word[:-1]
+    starts = np.cumsum(lengths) - lengths
+    history[starts[lengths > 0]] = BEGIN
+    return history, word, lengths
+
+
+def _distinct(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each distinct combination of the keys, and how often it occurs."""
+    order = np.lexsort(keys)
+    changed = np.zeros(max(0, len(order) - 1), bool)
+    for key in keys:
+        changed |= np.diff(key[order]) != 0
+    first = np.flatnonzero(np.append(np.ones(min(1, len(order)), bool), changed))
+    return order[first], np.diff(np.append(first, len(order)))
+
+
+def _bigram_counts(docs: DataFrame, target: DataFrame, text: str) -> DataFrame:
+    """history, word and how often `target` and `docs` (background) have them: every bigram of either."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for words in pieces(batch.column("words"), TOKENS_COUNTED):
+                history, word, _ = _hashed(words)
+                place, n = _distinct(word, history)
+                yield pa.RecordBatch.from_arrays([pa.array(one) for one in (history[place], word[place], n)], ["history", "word", "n"])
+
+    def counted(corpus: DataFrame) -> DataFrame:
+        return corpus.select(word_hashes(text).alias("words")).mapInArrow(count, "history bigint, word bigint, n bigint")
+
+    none = F.lit(0).cast("long")
+    both = counted(target).select("history", "word", F.col("n").alias("target"), none.alias("background"))
+    both = both.union(counted(docs).select("history", "word", none, "n"))
+    return both.groupBy("history", "word").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
+
+
+def _losses(docs: DataFrame, target: DataFrame, text: str) -> DataFrame:
+    """pair, target_loss, background_loss: -log P under both models of every bigram of `docs`."""
+    names = ("target", "background")
+    counts = stored(_bigram_counts(docs, target, text), "bigrams")
+    # each token is the word of one bigram
+    words = stored(counts.groupBy("word").agg(*[F.sum(name).alias(name) for name in names]), "words")
+    total = words.agg(F.count("*").alias("kinds"), *[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in names]).first()
+    above = [F.sum(F.greatest(F.col(name) - DISCOUNT, F.lit(0.0))).alias(f"above_{name}") for name in names]
+    histories = counts.groupBy("history").agg(*above, *[F.sum(name).alias(f"begun_{name}") for name in names])
+    met = histories.join(words.withColumnRenamed("word", "history"), "history", "left")
+    seen = {name: F.greatest(F.coalesce(name, f"begun_{name}"), F.lit(1)) for name in names}
+    left = [F.greatest(1 - F.col(f"above_{name}") / seen[name], F.lit(1e-9)).alias(f"left_{name}") for name in names]
+    histories = stored(met.select("history", *left, *[seen[name].alias(f"seen_{name}") for name in names]), "histories")
+    # the counts of words are short; what histories bring goes into the losses at once
+    found = counts.where("background > 0").withColumnsRenamed({name: f"n_{name}" for name in names}).join(words, "word").join(histories, "history")
+
+    def loss(name: str) -> Column:
+        direct = F.greatest(F.col(f"n_{name}") - DISCOUNT, F.lit(0.0)) / F.col(f"seen_{name}")
+        unigram = (F.col(name) + 1) / F.lit(float(total[name] + total.kinds + 1))
+        return -F.log(direct + F.col(f"left_{name}") * unigram)
+
+    return found.select(F.xxhash64("history", "word").alias("pair"), *[loss(name).alias(f"{name}_loss") for name in names])
+
+
+def cross_entropy_difference(docs: DataFrame, target: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of `docs`: id, n_tokens, target_loss, background_loss (nats per token) and their difference `score`.
 
     The lower the score, the more a document is like the target. A text without words (or null) has no tokens, losses 0
     and score 0. Null ids and repeated rows stay rows of their own and repeated texts count as often as they occur. An
     empty target or an empty table still gives proper models: all words are equally likely.
     """
-    spark = docs.sparkSession
-    models = spark.sparkContext.broadcast(train(docs, target, text, **shares))
-    kind = docs.select(id).schema
+    kind = docs.select(id).schema[0].dataType
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = models.value
-        prepared = {"target": own.target.prepared(), "background": own.background.prepared()}
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row with id and number of tokens for each document, and one for each of its bigrams."""
         for batch in batches:
             done = 0
             for words in pieces(batch.column("words"), TOKENS_SCORED):
-                history, word, lengths = bigrams(words, own.vocabulary)
-                row = np.repeat(np.arange(len(lengths)), lengths)
-                means = [np.bincount(row, losses, len(lengths)) / np.maximum(lengths, 1) for losses in own.losses(history, word, prepared)]
-                ids = batch.column("id").slice(done, len(words))
-                columns = [ids, pa.array(lengths.astype(np.int64)), pa.array(means[0]), pa.array(means[1]), pa.array(means[0] - means[1])]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "n_tokens", "target_loss", "background_loss", "score"])
+                history, word, lengths = _hashed(words)
+                rows, ids = (batch.column(name).slice(done, len(words)) for name in ("row", "id"))
+                none = pa.nulls(len(words), pa.int64())
+                yield pa.RecordBatch.from_arrays([rows, ids, rows, none, pa.array(lengths.astype(np.int64)), none], SPREAD)
+                row = np.repeat(rows.to_numpy(zero_copy_only=False), lengths)
+                place, n = _distinct(word, history, row)
+                none = pa.nulls(len(place), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(row[place]), pa.nulls(len(place), ids.type), pa.array(history[place]), pa.array(word[place]), none, pa.array(n)], SPREAD)
                 done += len(words)
 
-    typed = f"id {kind[0].dataType.simpleString()}, n_tokens bigint, target_loss double, background_loss double, score double"
-    return docs.select(F.col(id).alias("id"), word_hashes(text).alias("words")).mapInArrow(score, typed).withColumnRenamed("id", id)
+    read = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id).alias("id"), word_hashes(text).alias("words"))
+    found = read.mapInArrow(spread, f"row bigint, id {kind.simpleString()}, history bigint, word bigint, n_tokens bigint, n bigint")
+    # a document's own row meets nothing; its number stands for a history, so that not all go to one place
+    found = found.select("row", "id", F.xxhash64("history", "word").alias("pair"), "n_tokens", "n")
+    met = found.join(_losses(docs, target, text).hint("merge"), "pair", "left")
+    names = ("target_loss", "background_loss")
+    sums = [F.sum(F.col("n") * F.col(name)).alias(name) for name in names]
+    summed = met.groupBy("row").agg(F.first("id", ignorenulls=True).alias("id"), F.max("n_tokens").alias("n_tokens"), *sums)
+    means = [F.coalesce(F.col(name) / F.col("n_tokens"), F.lit(0.0)).alias(name) for name in names]
+    return summed.select(F.col("id").alias(id), "n_tokens", *means).withColumn("score", F.col("target_loss") - F.col("background_loss"))
 
 
 def good_texts(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:

@@ -265,6 +265,34 @@ def test_losses_equal_those_by_hand(spark, nothing):
     assert lm_scoring.cross_entropy_difference(nothing, nothing).count() == 0
 
 
+def test_rare_words_and_bigrams_count_at_every_size(spark):
+    """Words and bigrams met once among 300,000 tokens, which no share of the corpus may drop."""
+    numbers = random.Random(12)
+    texts = [" ".join(numbers.choices(VOCABULARY, k=2_000)) + f" once{i} twice{i % 70} ban" for i in range(150)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = sorted(map(tuple, lm_scoring.cross_entropy_difference(docs, docs.where("doc_id < 40")).collect()))
+    unigrams, pairs = ([collections.Counter() for _ in range(2)] for _ in range(2))
+    for which, part in enumerate((texts[:40], texts)):
+        for text in part:
+            words = text.split()
+            unigrams[which].update(words)
+            pairs[which].update(zip(["<s>", *words], words, strict=False))
+    size = len(unigrams[1])
+    for i in (3, 100):
+        want = []
+        for which in range(2):
+            seen = unigrams[which] | collections.Counter({"<s>": (40, 150)[which]})
+            above = collections.Counter()
+            for (last, _), n in pairs[which].items():
+                above[last] += (n - 0.75) / seen[last]
+            loss, words = 0.0, texts[i].split()
+            for last, word in zip(["<s>", *words], words, strict=False):
+                direct = max(pairs[which][last, word] - 0.75, 0) / max(seen[last], 1)
+                loss -= np.log(direct + max(1 - above[last], 1e-9) * (unigrams[which][word] + 1) / (unigrams[which].total() + size + 1))
+            want.append(loss / len(words))
+        assert np.allclose(got[i][2:4], want, rtol=1e-9, atol=0)
+
+
 def test_probabilities_sum_to_one(spark):
     numbers = random.Random(11)
     docs = spark.createDataFrame([(i, prose(numbers, 30)) for i in range(30)], "doc_id bigint, text string")
