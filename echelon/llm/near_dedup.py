@@ -1,11 +1,11 @@
 """Near duplicates by DartMinHash signatures, banded joining and exact verification.
 
-A text is a weighted set: its runs of five words, a run found n times weighing 1 + ln n. Darts are thrown at the plane of
-element weight and rank: every unit cell of an element's weight gets darts at ranks of a Poisson process, each with a place
-in the cell and a coordinate, all drawn from hashes of element and cell, so equal regions get equal darts in all texts. A
-text keeps, of the darts that lie within its weights, the one of the lowest rank per coordinate. Ranks are only searched up
-to a bound at which about k ln k + 2k darts are found, so a signature costs the number of elements plus that number. Two
-texts agree in a coordinate with the probability of their weighted resemblance.
+A text is the set of its runs of five words: each weighs 1 however often it is found, so that signatures estimate what is
+verified. Darts are thrown at the plane of element weight and rank: every unit cell of an element's weight gets darts at
+ranks of a Poisson process, each with a place in the cell and a coordinate, all drawn from hashes of element and cell, so
+equal regions get equal darts in all texts. A text keeps, of the darts that lie within its weights, the one of the lowest
+rank per coordinate. Ranks are only searched up to a bound at which about k ln k + 2k darts are found, so a signature costs
+the number of elements plus that number. Two texts agree in a coordinate with the probability of their resemblance.
 
 Texts of equal words are one node. Nodes that agree in all coordinates of a band meet in a bucket. In each bucket a few nodes,
 the centres, are paired with all others, never all with all; they are those that meet the most nodes in all their buckets,
@@ -71,9 +71,9 @@ def shingles(words: np.ndarray, size: int = WORDS) -> np.ndarray:
 
 
 def weighted(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct runs of a text and their weights."""
-    elements, counts = np.unique(shingles(words), return_counts=True)
-    return elements, 1 + np.log(counts)
+    """The distinct runs of a text and their weights, which are 1: repeats don't count in the resemblance either."""
+    elements = np.unique(shingles(words))
+    return elements, np.ones(len(elements))
 
 
 def signatures(sets: list[tuple[np.ndarray, np.ndarray]], k: int) -> np.ndarray:

@@ -73,6 +73,16 @@ def test_near_duplicates_equal_brute_force(spark):
     assert sorted(row.doc_id for row in left) == sorted({first for _, first in classes_of(rows)})
 
 
+def test_pasted_texts_are_near_duplicates(spark):
+    """A page, and the same page pasted two and twenty times, share nearly all their distinct runs."""
+    numbers = random.Random(13)
+    pages = [prose(numbers, n) for n in (60, 100, 100, 300, 800)]
+    rows = list(enumerate(" ".join([page] * times) for page in pages for times in (1, 2, 20)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = near_dedup.near_duplicate_classes(docs).select("doc_id", "class_id")
+    assert rows_of(got) == sorted(classes_of(rows), key=repr) and len({first for _, first in classes_of(rows)}) == 5
+
+
 def test_further_rounds_find_all_links(spark):
     """Chains in one bucket: no link between two nodes may be lost because neither was the first centre."""
     numbers = random.Random(8)
