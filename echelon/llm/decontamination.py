@@ -47,7 +47,7 @@ def answer_start(text: str) -> int:
 
 @dataclass(frozen=True)
 class Item:
-    id: int
+    id: int | None
     words: tuple[int, ...]
     answer: int  # number of words of the question
 
@@ -204,13 +204,17 @@ _LEAK = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("
 def build_indexes(benchmark: DataFrame, id: str = "item_id", text: str = "text", most_items: int = MOST_ITEMS) -> list[Index]:
     """Indexes of at most `most_items` test items each, read from a table that is small beside the corpus.
 
-    Items without words or id are left out, as nothing can be found for them.
+    Items without words are left out, as nothing can be found for them. An item without an id is found under a null id, but
+    if items with an id have the same question and answer, it is found as those.
     """
-    rows = benchmark.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
+    rows = benchmark.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).where("text IS NOT NULL")
     cut = F.udf(answer_start, "int")
     parts = rows.select("id", "text", cut("text").alias("cut"))
     parts = parts.select("id", word_hashes("text").alias("words"), F.size(word_hashes(F.expr("substring(text, 1, cut)"))).alias("question"))
-    ordered = parts.where("size(words) > 0").orderBy("id", "words")
+    parts = parts.where("size(words) > 0")
+    named = parts.where("id IS NOT NULL")
+    nameless = parts.where("id IS NULL").join(named.select("words", "question").distinct(), ["words", "question"], "left_anti")
+    ordered = named.unionByName(nameless).orderBy("id", "words")
     indexes, items = [], []
     for row in ordered.toLocalIterator():
         items.append(Item(row.id, tuple(row.words), min(row.question, len(row.words))))

@@ -150,6 +150,15 @@ def test_decontamination_equals_brute_force(spark, awkward, nothing):
     assert {(row.doc_id, leak.item_id) for row in found for leak in row.leaks} == planted
 
 
+def test_items_without_an_id_are_found(spark):
+    items = [(None, "Which river crosses the old harbour town of Varnholt. The Ostra."), (4, "Who painted the seven doors of Millbrook hall. Anselm Tarrow.")]
+    benchmark = spark.createDataFrame([*items, (None, items[1][1])], "item_id bigint, text string")
+    docs = spark.createDataFrame([(i, f"some words before {text} and some after") for i, (_, text) in enumerate(items)] + [(2, "clean")], "doc_id bigint, text string")
+    found = decontamination.contaminated(docs, benchmark)
+    assert rows_of(found.select("doc_id", "item_id")) == [(0, None), (1, 4)]
+    assert [row.doc_id for row in decontamination.without_contaminated(docs, benchmark).collect()] == [2]
+
+
 def test_wand_retrieves_all_above_threshold():
     numbers = random.Random(6)
     for _ in range(40):
