@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from echelon.llm.common import pieces, word_hashes
+from echelon.llm.common import pieces, stored, word_hashes
 
 THRESHOLD = 0.6
 OVERLAP = 0.6
@@ -64,13 +64,27 @@ class Posting:
         self.blocks = [max(self.impacts[i : i + BLOCK]) for i in range(0, len(pairs), BLOCK)]
 
 
+@dataclass(frozen=True)
+class Statistics:
+    """Of all items of a benchmark: their number, mean and longest length, and how many have each word."""
+
+    items: int
+    mean: float
+    longest: int
+    having: dict[int, int]
+
+
 class Index:
-    def __init__(self, items: list[Item]):
+    """Some items of a benchmark, with the statistics of all of them; without any, these are all."""
+
+    def __init__(self, items: list[Item], whole: Statistics | None = None):
         self.items = items
         count = [Counter(item.words) for item in items]
-        having = Counter(word for words in count for word in words)
-        mean = sum(len(item.words) for item in items) / max(1, len(items)) or 1.0
-        idf = {word: math.log(1 + (len(items) - n + 0.5) / (n + 0.5)) for word, n in having.items()}
+        if whole is None:
+            lengths = [len(item.words) for item in items]
+            whole = Statistics(len(items), sum(lengths) / max(1, len(items)) or 1.0, max(lengths, default=1), Counter(word for words in count for word in words))
+        mean = whole.mean
+        idf = {word: math.log(1 + (whole.items - n + 0.5) / (n + 0.5)) for word, n in whole.having.items()}
         lists: dict[int, list[tuple[int, float]]] = defaultdict(list)
         essential: dict[int, list[tuple[int, float]]] = defaultdict(list)
         self.rest = np.zeros(len(items))
@@ -86,7 +100,7 @@ class Index:
                     share += impact / own
             self.rest[number] = 1 - share
         self.postings = {word: Posting(pairs) for word, pairs in lists.items()}
-        self.longest = max((len(item.words) for item in items), default=1)
+        self.longest = whole.longest
         # the essential postings as arrays, by term
         self.terms = np.array(sorted(essential), np.int64)
         lengths = [len(essential[word]) for word in self.terms.tolist()]
@@ -204,6 +218,8 @@ _LEAK = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("
 def build_indexes(benchmark: DataFrame, id: str = "item_id", text: str = "text", most_items: int = MOST_ITEMS) -> list[Index]:
     """Indexes of at most `most_items` test items each, read from a table that is small beside the corpus.
 
+    Scores and windows don't depend on how the items are divided: the statistics are those of all items.
+
     Items without words are left out, as nothing can be found for them. An item without an id is found under a null id, but
     if items with an id have the same question and answer, it is found as those.
     """
@@ -214,14 +230,27 @@ def build_indexes(benchmark: DataFrame, id: str = "item_id", text: str = "text",
     parts = parts.where("size(words) > 0")
     named = parts.where("id IS NOT NULL")
     nameless = parts.where("id IS NULL").join(named.select("words", "question").distinct(), ["words", "question"], "left_anti")
-    ordered = named.unionByName(nameless).orderBy("id", "words")
-    indexes, items = [], []
+    numbered = stored(named.unionByName(nameless).withColumn("number", F.monotonically_increasing_id()), "items")
+    length = F.size("words")
+    whole = numbered.agg(F.count("*").alias("items"), F.avg(length).alias("mean"), F.max(length).alias("longest")).first()
+    terms = numbered.select("number", F.explode(F.array_distinct("words")).alias("word"))
+    having = terms.join(terms.groupBy("word").agg(F.count("*").alias("n")), "word").groupBy("number").agg(F.collect_list(F.struct("word", "n")).alias("having"))
+    ordered = numbered.join(having, "number").orderBy("id", "words")
+    indexes, items, known = [], [], {}
+
+    def flush() -> None:
+        nonlocal items, known
+        if items:
+            indexes.append(Index(items, Statistics(whole["items"], whole["mean"], whole["longest"], known)))
+        items, known = [], {}
+
     for row in ordered.toLocalIterator():
         items.append(Item(row.id, tuple(row.words), min(row.question, len(row.words))))
+        known.update((one.word, one.n) for one in row.having)
         if len(items) == most_items:
-            indexes.append(Index(items))
-            items = []
-    return [*indexes, Index(items)] if items else indexes
+            flush()
+    flush()
+    return indexes
 
 
 def leaked_items(text: str | Column, indexes: list[Index], spark, threshold: float = THRESHOLD, overlap: float = OVERLAP, whole: float = WHOLE_OVERLAP) -> Column:

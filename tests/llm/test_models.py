@@ -159,6 +159,20 @@ def test_items_without_an_id_are_found(spark):
     assert [row.doc_id for row in decontamination.without_contaminated(docs, benchmark).collect()] == [2]
 
 
+def test_scores_do_not_depend_on_the_division_into_indexes(spark):
+    numbers = random.Random(14)
+    items = [prose(numbers, numbers.randint(6, 30)) + f" rare{i} rare{i % 5}. " + prose(numbers, 4) + "." for i in range(11)]
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    texts = [prose(numbers, 40) + " " + " ".join(item.split()[: len(item.split()) - i % 3]) for i, item in enumerate(items)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = []
+    for most in (100, 4, 1):
+        indexes = decontamination.build_indexes(benchmark, most_items=most)
+        rows = docs.select("doc_id", F.explode(decontamination.leaked_items("text", indexes, spark)).alias("leak")).collect()
+        found.append({(row.doc_id, row.leak.item_id, row.leak.start): round(row.leak.score, 9) for row in rows})
+    assert len(found[0]) >= 11 and found[0] == found[1] == found[2]
+
+
 def test_wand_retrieves_all_above_threshold():
     numbers = random.Random(6)
     for _ in range(40):
