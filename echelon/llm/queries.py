@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from echelon.llm import byte_bpe, decontamination, fingerprints, line_dedup, lm_scoring, near_dedup, secret_scan, token_counts, toxicity, url_filter
+from echelon.llm import (
+    byte_bpe, decontamination, fingerprints, line_dedup, lm_scoring, near_dedup, secret_scan, spelling, substring_dedup, token_counts, toxicity, url_filter,
+    whitening,
+)
 from echelon.llm.common import table
 
 URL_RULES = (
@@ -60,11 +63,23 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.line_report(table(spark, folder, "documents"))
 
 
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whitened(table(spark, folder, "embeddings"))
+
+
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, folder, "documents"))
+
+
+def op13_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup.substring_report(table(spark, folder, "documents"))
+
+
 QUERIES = {
     query.__name__: query
     for query in (
         op1_token_counts, op2_lm_scoring, op3_byte_bpe, op4_fingerprints, op5_url_filter, op6_toxicity, op7_secret_scan, op8_decontamination,
-        op9_near_dedup, op10_line_dedup,
+        op9_near_dedup, op10_line_dedup, op11_whitening, op12_spelling_variants, op13_substring_dedup,
     )
 }
 _UPPER_TO_LOWER = f"'{line_dedup.UPPER}', '{line_dedup.LOWER}'"
