@@ -29,7 +29,7 @@ WINDOW = 35
 #: Perfect difference covers: every distance modulo the period occurs once.
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16)}
 #: UTF-8 bytes of text for each bucket of hashes, and words whose hashes a task holds at a time.
-BUCKET_BYTES, CHUNK_WORDS = 4_000_000, 1_000_000
+BUCKET_BYTES, CHUNK_WORDS = 4_000_000, 600_000
 SPACE = r"[\x20\x09-\x0D]+"
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _MULTIPLY = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
@@ -117,14 +117,17 @@ def _groups(keys: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _sent(batch: pa.RecordBatch, keyed: Keyed, chunk: int, buckets: int) -> Iterator[tuple]:
-    """The rows of a chunk: its texts with the hashes that it has twice itself, and a row for each bucket of the others."""
+    """The rows of a chunk: its texts with the hashes that it has twice itself, and a row for each bucket of its hashes.
+
+    Of texts with several copies all hashes are repeated, which needs no answer.
+    """
     column = batch.column("words")
     words, lengths = column.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.diff(column.offsets.to_numpy())
     keys, checks, counts = keyed(words, lengths, batch)
     order, first, equal = _groups(keys, checks)
     several = np.repeat(equal, equal) > 1
     copies = np.repeat(batch.column("copies").to_numpy(zero_copy_only=False), counts)[order] > 1
-    known = np.sort(order[several | copies]).astype(np.int32)
+    known = np.sort(order[several & ~copies]).astype(np.int32)
     one, two = (batch.column(name).to_numpy(zero_copy_only=False) for name in ("key1", "key2"))
     yield -1 - chunk, chunk, one.tobytes(), two.tobytes(), counts.astype(np.int32).tobytes(), None, known.tobytes()
     place = np.where((several | copies)[first], -1, order[first]).astype(np.int32)
@@ -186,7 +189,8 @@ def _returned(table: pa.Table) -> pa.Table:
 def repeated(rows: DataFrame, keyed: Keyed, buckets: int, chunk_words: int = CHUNK_WORDS) -> DataFrame:
     """key1, key2 and places (packed numbers) of the texts with hashes that are found more than once in `rows`.
 
-    `rows` have key1, key2, copies and words (hashes of the words); a text of several copies has each of its hashes elsewhere.
+    `rows` have key1, key2, copies and words (hashes of the words). A text of several copies has each of its hashes elsewhere;
+    it counts for others, but is itself no row of the result.
     """
     answered = "chunk bigint, key1 binary, key2 binary, keys binary, places binary"
     met = _packed(rows, keyed, buckets, chunk_words).groupBy("target").applyInArrow(_met, answered)
@@ -225,9 +229,9 @@ def _report(text: Column, places: Column, window: int) -> Column:
 
 
 def repeated_windows(docs: DataFrame, text: str = "text", window: int = WINDOW, bucket_bytes: int = BUCKET_BYTES, chunk_words: int = CHUNK_WORDS) -> DataFrame:
-    """The distinct texts of `docs` with repeated anchors: key1, key2 (128 bits of the text), text, copies, places.
+    """The distinct texts of `docs` with repeated windows: key1, key2 (128 bits of the text), text, copies, places.
 
-    `places` (int32, packed) are the starts of the windows of `window` words that start anywhere else, too; null for none.
+    `places` (int32, packed) are the starts of the windows of `window` words that start anywhere else, too.
     """
     value = text_of(text)
     key = [F.xxhash64(value).alias("key1"), F.xxhash64(F.lit("second"), value).alias("key2")]
@@ -240,21 +244,21 @@ def repeated_windows(docs: DataFrame, text: str = "text", window: int = WINDOW,
     texts = docs.select(*key, value.alias("text")).groupBy("key1", "key2").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     near = texts.join(anchors, ["key1", "key2"])
     found = repeated(near.select("key1", "key2", "copies", "places", spaced_words("text").alias("words")), windows_of(window), buckets, chunk_words)
-    chosen = found.withColumnRenamed("places", "numbers")
 
     @F.arrow_udf("binary")
-    def starts(packed: pa.Array, numbers: pa.Array, lengths: pa.Array) -> pa.Array:
+    def starts(texts: pa.Array, copies: pa.Array, packed: pa.Array, numbers: pa.Array) -> pa.Array:
         out = []
-        for one, number, length in zip(packed, numbers, lengths, strict=True):
-            if not number.is_valid:
-                out.append(None)
-                continue
-            at = candidates(np.frombuffer(one.as_py(), np.int32), length.as_py(), window)
-            out.append(at[np.frombuffer(number.as_py(), np.int32)].astype(np.int32).tobytes())
+        for one, many, places, number in zip(texts, copies, packed, numbers, strict=True):
+            words = sum(1 for _ in _WORD.finditer(one.as_py().encode()))
+            if many.as_py() > 1:
+                out.append(np.arange(words - window + 1, dtype=np.int32).tobytes())
+            else:
+                at = candidates(np.frombuffer(places.as_py(), np.int32), words, window)
+                out.append(at[np.frombuffer(number.as_py(), np.int32)].astype(np.int32).tobytes())
         return pa.array(out, pa.binary())
 
-    met = near.join(chosen, ["key1", "key2"], "left")
-    return met.select("key1", "key2", "text", "copies", starts("places", "numbers", F.size(F.filter(F.split("text", SPACE, -1), lambda word: word != ""))).alias("places"))
+    met = near.join(found.withColumnRenamed("places", "numbers"), ["key1", "key2"], "left").where("numbers IS NOT NULL OR copies > 1")
+    return met.select("key1", "key2", "text", "copies", starts("text", "copies", "places", "numbers").alias("places"))
 
 
 def substring_report(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int = WINDOW, **options) -> DataFrame:
@@ -267,7 +271,7 @@ def substring_report(docs: DataFrame, id: str = "doc_id", text: str = "text", wi
     """
     value = text_of(text)
     key = [F.xxhash64(value).alias("key1"), F.xxhash64(F.lit("second"), value).alias("key2")]
-    windows = repeated_windows(docs, text, window, **options).where("places IS NOT NULL")
+    windows = repeated_windows(docs, text, window, **options)
     lost = windows.select("key1", "key2", _report(F.col("text"), F.col("places"), window).alias("lost"))
     base = docs.select(F.col(id).alias("id"), *key, _report(value, F.lit(None).cast("binary"), window).alias("whole"))
     met = base.join(lost, ["key1", "key2"], "left").select("id", F.coalesce("lost", "whole").alias("report"))
@@ -278,7 +282,7 @@ def without_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW, *
     """`docs` with all its columns; texts that hold repeated windows become the words left, joined by one space."""
     value = text_of(text)
     key = [F.xxhash64(value).alias("key1"), F.xxhash64(F.lit("second"), value).alias("key2")]
-    windows = repeated_windows(docs, text, window, **options).where("places IS NOT NULL")
+    windows = repeated_windows(docs, text, window, **options)
 
     @F.arrow_udf("string")
     def left(texts: pa.Array, places: pa.Array) -> pa.Array:
