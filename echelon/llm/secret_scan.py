@@ -40,8 +40,10 @@ BASE = (
 )
 RULES = (
     *BASE,
-    Rule("pem", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    # a repeated class needs no stack, however long the text; a repeated group does
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", version=2),
+    # a bounded header, or each start in a long run would read all of it
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,1000}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", version=2),
 )
 
 
