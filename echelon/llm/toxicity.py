@@ -82,10 +82,27 @@ def chosen_columns(positive: list[np.ndarray], unlabelled: list[np.ndarray], mos
     return np.sort(best[gain[best] >= LEAST_GAIN])
 
 
+def best_cut(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> float:
+    """The cut between two different scores of least estimated error, the widest of equally good ones.
+
+    The error is the same non-negative risk, counted instead of by the logistic loss: positives at or below the cut, by the prior,
+    and the unlabelled above it that the prior does not account for. All texts with one score are on one side.
+    """
+    scores, at = np.unique(np.concatenate([positive, unlabelled]), return_inverse=True)
+    ends = np.array([scores[0] - 2, *scores, scores[-1] + 2])
+    # for the cut before each score and after the last: shares of texts above it
+    above_p = np.append(np.cumsum(np.bincount(at[: len(positive)], minlength=len(scores))[::-1])[::-1], 0) / len(positive)
+    above_u = np.append(np.cumsum(np.bincount(at[len(positive) :], minlength=len(scores))[::-1])[::-1], 0) / len(unlabelled)
+    error = prior * (1 - above_p) + np.maximum(0, above_u - prior * above_p)
+    good = np.flatnonzero(error <= error.min() + 0.5 / len(unlabelled))
+    widest = good[np.argmax((ends[1:] - ends[:-1])[good])]
+    return float(ends[widest] + ends[widest + 1]) / 2
+
+
 def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, most: int = FEATURES, steps: int = STEPS, ridge: float = RIDGE) -> tuple[np.ndarray, np.ndarray, float]:
     """Columns, weights and bias that minimise the non-negative risk (logistic loss, ridge penalty, Adam steps).
 
-    At last the bias is set so that as large a share of the unlabelled scores over 0.5 as the prior says.
+    At last the bias is set to the cut of least counted risk, see `best_cut`.
     """
     columns = chosen_columns(positive, unlabelled, most)
     p, u = Presence(positive, columns), Presence(unlabelled, columns)
@@ -105,11 +122,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
         first, second = 0.9 * first + 0.1 * slope, 0.999 * second + 0.001 * slope**2
         move = 0.05 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
         weights, bias = weights - move[:-1], bias - move[-1]
-    # the share of the unlabelled above 0.5 is that of the class; equal ones stay on the lower side
-    scored = np.sort(u.dot(weights))
-    cut = scored[min(len(scored) - 1, math.ceil((1 - prior) * len(scored)) - 1)]
-    above = scored[scored > cut + 1e-9]
-    return columns, weights, -float((cut + above[0]) / 2 if len(above) else cut + 1)
+    return columns, weights, -best_cut(p.dot(weights), u.dot(weights), prior)
 
 
 @dataclass(frozen=True)

@@ -1,4 +1,5 @@
 import collections
+import math
 import random
 import re
 import zlib
@@ -244,13 +245,67 @@ def test_toxicity_of_awkward_rows(graded, awkward, nothing):
     assert {row.score for row in toxicity.score_documents(awkward, labels.where("toxic = 0")).collect()} == {0.0}
 
 
-def test_fit_keeps_equal_scores_on_the_lower_side():
-    positive = [np.array([7, i % 3]) for i in range(40)]
-    unlabelled = [np.array([7, 1]) if i % 20 == 0 else np.array([1, 2]) for i in range(400)]
-    columns, weights, bias = toxicity.fit(positive, unlabelled, 0.1)
+def fitted_scores(positive, unlabelled, prior):
+    columns, weights, bias = toxicity.fit(positive, unlabelled, prior)
     known = dict(zip(columns.tolist(), weights.tolist(), strict=True))
-    score = [bias + sum(known.get(b, 0.0) for b in one.tolist()) for one in unlabelled]
-    assert sum(z >= 0 for z in score) == 20
+    return [bias + sum(known.get(b, 0.0) for b in one.tolist()) for one in unlabelled]
+
+
+@pytest.mark.parametrize("prior", [0.2, 0.3, 0.33, 0.4])
+def test_copies_of_a_toxic_text_stay_together(prior):
+    """A third of all texts are one toxic text, which labels cover a little less, just as much or a little more."""
+    numbers = random.Random(4)
+    copy = np.array([1, 2, 3])
+    toxic = [np.unique([1, 2 + numbers.randrange(3), 9]) for _ in range(20)]
+    clean = [np.unique([numbers.randrange(20, 40) for _ in range(5)]) for _ in range(180)]
+    unlabelled = [copy] * 100 + toxic + clean
+    score = fitted_scores([copy] * 60 + toxic[:10], unlabelled, prior)
+    assert min(score[:100]) >= 0
+    assert max(score[120:]) < 0
+
+
+def test_cut_of_least_error_by_hand():
+    """Every cut between two scores by its error, on small numbers with many ties."""
+    numbers = random.Random(6)
+    for _ in range(50):
+        p = np.array([float(numbers.randrange(2, 9)) for _ in range(numbers.randrange(1, 12))])
+        u = np.array([float(numbers.randrange(0, 8)) for _ in range(numbers.randrange(1, 30))])
+        prior = numbers.choice([0.05, 0.2, 0.5])
+
+        def error(cut):
+            return prior * (p <= cut).mean() + max(0, (u > cut).mean() - prior * (p > cut).mean())
+
+        found = toxicity.best_cut(p, u, prior)
+        assert error(found) <= min(error(x + 0.5) for x in range(-1, 10)) + 0.5 / len(u) + 1e-12
+        assert found not in set(p) | set(u)
+
+
+def test_risk_is_minimised():
+    """The weights found are no worse than any small change of them, by the risk written out text by text."""
+    positive = [np.array([1, 2])] * 12 + [np.array([1])] * 8
+    unlabelled = [np.array([1, 2])] * 8 + [np.array([2, 3])] * 12 + [np.array([3])] * 60
+    prior = 0.1
+    columns = toxicity.chosen_columns(positive, unlabelled, 10)
+
+    def risk(weights, bias):
+        def score(one):
+            return bias + sum(w for c, w in zip(columns.tolist(), weights, strict=True) if c in one.tolist())
+
+        def loss(texts, sign):
+            return sum(math.log1p(math.exp(-sign * score(one))) for one in texts) / len(texts)
+
+        return prior * loss(positive, 1) + max(0.0, loss(unlabelled, -1) - prior * loss(positive, -1)) + toxicity.RIDGE / 2 * sum(w * w for w in weights)
+
+    found, weights, _ = toxicity.fit(positive, unlabelled, prior, steps=4000)
+    assert found.tolist() == columns.tolist()
+    biases = np.linspace(-6, 3, 181)
+    bias = min(biases, key=lambda b: risk(weights, b))
+    least = risk(weights, bias)
+    for i in range(len(weights)):
+        for move in (-0.3, 0.3):
+            changed = weights.copy()
+            changed[i] += move
+            assert min(risk(changed, b) for b in biases) >= least - 2e-3
 
 
 def losses_by_hand(docs, target):
