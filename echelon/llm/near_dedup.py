@@ -7,13 +7,13 @@ equal regions get equal darts in all texts. A text keeps, of the darts that lie
 rank per coordinate. Ranks are only searched up to a bound at which about k ln k + 2k darts are found, so a signature costs
 the number of elements plus that number. Two texts agree in a coordinate with the probability of their resemblance.
 
-Texts of equal words are one node. Nodes that agree in all coordinates of a band meet in a bucket. In each bucket a few nodes,
-the centres, are paired with all others, never all with all; they are those that meet the most nodes in all their buckets,
-such as the original among its copies. Pairs whose signatures agree in far too few coordinates are left out, the others verified
-by the resemblance of their sets of runs; linked nodes get a common label. Buckets whose nodes still have several labels go on with the next centres, taken from the
-labels with the fewest nodes there, until no two nodes of different labels are left that have not met. Runs that no other
-node of those buckets has can't be shared, so their number bounds what two nodes may have in common; who can't reach the
-similarity by that bound is left out. These comparisons run inside the tasks: the sets of runs of a chunk of a bucket meet
+Texts of equal words are one node. Nodes that agree in all coordinates of a band meet in a bucket. In each bucket one node,
+the centre, is paired with all others; it is the one that meets the most nodes in all its buckets, such as the original among
+its copies. Pairs whose signatures agree in far too few coordinates are left out, the others verified by the resemblance of
+their sets of runs; linked nodes get a common label. Buckets whose nodes still have several labels go on with further centres,
+taken from the labels with the fewest nodes there, until no two nodes of different labels are left that have not met. Runs that
+no other node of those buckets has can't be shared, so their number bounds what two nodes may have in common; who can't reach
+the similarity by that bound is left out. These comparisons run inside the tasks: the sets of runs of a chunk of a bucket meet
 those of its centres, and only links come out, however many pairs fall just short of the similarity.
 """
 
@@ -33,13 +33,13 @@ WORDS = 5
 SIMILARITY = 0.8
 BANDS = 25
 ROWS = 5
-#: Centres of a bucket in the first round, and of one with several labels in a further round.
-FIRST_CENTRES, CENTRES = 4, 256
+#: Centres of a bucket with several labels in a further round; in the first round there is one.
+CENTRES = 256
 #: Standard errors that the agreement of two signatures may fall short of the similarity before a pair is left out.
 ERRORS = 4.5
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
-#: Nodes of a bucket that a task compares with its centres.
-CHUNK = 2_000
+#: Runs of those nodes of a bucket that a task compares with its centres.
+CHUNK_RUNS = 1_000_000
 #: Words of the texts whose signatures are computed together.
 TOGETHER = 100_000
 
@@ -232,8 +232,9 @@ def components(links: DataFrame) -> DataFrame:
         known = labels.select(F.col("node").alias("other"), F.col("label").alias("near"))
         lowest = ends.join(known, "other").groupBy(F.col("one").alias("node")).agg(F.min("near").alias("near"))
         lower = labels.join(lowest, "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("was"))
-        # follow each label to the label of its node
-        jump = lower.select(F.col("node").alias("label"), F.col("label").alias("further"))
+        # follow each label to the label of its node; written, so that a label of very many nodes is dealt to several tasks
+        lower = stored(lower, "lower")
+        jump = stored(lower.join(lower.select(F.col("label").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("label"), F.col("label").alias("further")), "jump")
         moved = lower.join(jump, "label").select("node", F.least("label", "further").alias("label"), "was")
         after = stored(moved, "labels")
         labels = after.select("node", "label")
@@ -269,7 +270,7 @@ def _runs(texts: DataFrame) -> DataFrame:
 
 def _compared(here: DataFrame, centres: DataFrame, runs: DataFrame, similarity: float) -> DataFrame:
     """Links (one, other) between the nodes of each bucket and its centres of other labels."""
-    chunks = here.groupBy("bucket").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")).join(centres.select("bucket").distinct(), "bucket")
+    chunks = here.groupBy("bucket").agg(F.ceil(F.sum("size") / CHUNK_RUNS).cast("int").alias("chunks")).join(centres.select("bucket").distinct(), "bucket")
     members = here.join(chunks, "bucket").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     members = members.select("bucket", "chunk", "node", "label").join(runs.select("node", "runs", "shared"), "node")
     sent = centres.join(chunks, "bucket").join(runs.select(F.col("node").alias("centre"), "runs", "shared"), "centre")
@@ -319,12 +320,12 @@ def _links(buckets: DataFrame, texts: DataFrame, similarity: float) -> tuple[Dat
     """Verified links (one, other) and the labels of linked nodes; no link between differing labels is left out."""
     sizes = buckets.groupBy("bucket").agg(F.count("*").alias("nodes"))
     met = buckets.join(sizes, "bucket").groupBy("node").agg(F.sum("nodes").alias("met"))
-    first = Window.partitionBy("bucket").orderBy(F.desc("met"), "node")
-    centres = buckets.join(met, "node").withColumn("n", F.row_number().over(first)).where(F.col("n") <= FIRST_CENTRES)
-    centres = stored(centres.select("bucket", F.col("node").alias("centre"), F.col("met").alias("centre_met")), "centres")
-    # two centres are paired once
-    picked = buckets.join(met, "node").join(centres, "bucket").where((F.col("met") < F.col("centre_met")) | ((F.col("met") == F.col("centre_met")) & (F.col("node") > F.col("centre"))))
-    pairs = picked.where("node != centre").select(F.col("node").alias("one"), F.col("centre").alias("other")).distinct()
+    # the node that meets the most is the centre: an aggregate, so that a large bucket is cut down before the shuffle
+    centre = F.min(F.struct((-F.col("met")).alias("less"), "node")).alias("centre")
+    centres = stored(buckets.join(met, "node").groupBy("bucket").agg(centre).select("bucket", F.col("centre.node").alias("centre")), "centres")
+    pairs = buckets.join(centres, "bucket").where("node != centre").select(F.col("node").alias("one"), F.col("centre").alias("other"))
+    # two centres of different buckets are paired once
+    pairs = pairs.select(F.least("one", "other").alias("one"), F.greatest("one", "other").alias("other")).distinct()
     links = stored(_verified(pairs, texts, similarity), "links")
     labels, tried, runs = components(links), None, None
     while True:
@@ -334,7 +335,7 @@ def _links(buckets: DataFrame, texts: DataFrame, similarity: float) -> tuple[Dat
         here = stored(here.join(_mixed(here), "bucket", "left_semi"), "mixed")
         if runs is None:
             runs = stored(_runs(texts.join(here.select("node").distinct(), "node", "left_semi")), "runs")
-        here = here.join(runs.where(F.col("shared") >= similarity * F.col("size") - 1e-9).select("node"), "node")
+        here = here.join(runs.where(F.col("shared") >= similarity * F.col("size") - 1e-9).select("node", "size"), "node")
         centres = stored(_next_centres(here, tried), "centres")
         if centres.isEmpty():
             return links, labels
