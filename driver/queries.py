@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from driver import adapters as ad, fit_oracle, oracles as sql
 from driver.page_queries import page_queries
 from driver.registry import Query, shape
-from echelon.constants import ARCHETYPES, OPPORTUNITY_WEIGHTS, PROFILE_AXES, SCENARIO_PRESETS
+from echelon.constants import ARCHETYPES, EXECUTION_RULES, OPPORTUNITY_WEIGHTS, PARTICIPATION_RULES, PROFILE_AXES, SCENARIO_PRESETS
 from echelon.functions.columns import map_literal
 from echelon.functions.dates import label_dates
 from echelon.functions.text import name_variants, normalise_name, race_slug, tokens_of
@@ -15,7 +17,8 @@ from echelon.operators import (
     backtest, editions as ed, expected_value as ev, history as hist, matching, pages, profiles as prof, ranking, risk, scenarios,
     targets, team_calendar as cal, views, weight_fit,
 )
-from echelon.operators.spread import top_rows
+from echelon.operators.spread import checkpointed, top_rows
+from echelon.plans import incremental
 
 PLANNING_SEASON = 2002
 CANDIDATES = backtest.distinct_candidates(backtest.weight_candidates(600, 7))
@@ -412,6 +415,21 @@ def _risk_queries() -> dict[str, Query]:
 
 
 def _calendar_queries() -> dict[str, Query]:
+    built = sql.with_ctes(
+        sql.CASCADE,
+        """raced AS (SELECT DISTINCT c.team_slug, c.season AS planning_year, matched_race_id AS race_id, p.race_name, p.start_date, p.end_date
+        FROM cascade c LEFT JOIN planned p ON p.race_id = matched_race_id AND p.season = c.season WHERE matched_race_id IS NOT NULL)""",
+        """described AS (SELECT r.*, CASE WHEN p.race_id % 2 = 0 THEN '1.1' ELSE '2.1' END AS category,
+        strftime(r.start_date, '%d.%m') || CASE WHEN r.end_date > r.start_date THEN '-' || strftime(r.end_date, '%d.%m') ELSE '' END AS date_label FROM raced r JOIN planned p ON p.race_id = r.race_id AND p.season = r.planning_year)""",
+        """unplanned AS (SELECT c.team_slug, c.season AS planning_year, matched_race_id AS race_id, first(canonical_race_name ORDER BY source_race_name) AS race_name
+        FROM cascade c ANTI JOIN planned p ON p.race_id = matched_race_id AND p.season = c.season WHERE matched_race_id IS NOT NULL GROUP BY 1, 2, 3)""",
+        """all_races AS (SELECT team_slug, planning_year, race_id, race_name, start_date, end_date, category, date_label FROM described
+        UNION ALL SELECT team_slug, planning_year, race_id, race_name, NULL, NULL, NULL, NULL FROM unplanned)""",
+        """reach AS (SELECT *, max(end_date) OVER (PARTITION BY team_slug, planning_year ORDER BY start_date NULLS LAST, end_date NULLS LAST, race_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM all_races)""",
+        """grp AS (SELECT *, sum(CASE WHEN start_date IS NULL OR reached IS NULL OR start_date > reached THEN 1 ELSE 0 END) OVER (PARTITION BY team_slug, planning_year ORDER BY start_date NULLS LAST, end_date NULLS LAST, race_id ROWS UNBOUNDED PRECEDING) AS gid FROM reach)""",
+        select="""SELECT *, month(start_date) AS month, CASE WHEN end_date < DATE '1998-07-01' THEN 'completed' ELSE 'scheduled' END AS status, 'active' AS team_calendar_status,
+        CASE WHEN count(*) OVER (PARTITION BY team_slug, planning_year, gid) > 1 THEN 'overlap_' || count(*) OVER (PARTITION BY team_slug, planning_year, gid) ELSE '' END AS overlap_group FROM grp""",
+    )
     text_names = lambda s, d: ad.table(s, d, "documents").select("doc_id", normalise_name(F.col("text")).alias("normalized"))
     tokens = lambda s, d: text_names(s, d).select("doc_id", tokens_of(F.col("normalized")).alias("t")).select(
         "doc_id", F.size("t").alias("token_count"), F.md5(F.array_join("t", " ").cast("binary")).alias("tokens_md5")
@@ -458,21 +476,12 @@ def _calendar_queries() -> dict[str, Query]:
         "team_calendar_build": Query(
             lambda s, d: cal.calendar_from_programme(ad.programme(s, d), cal.prepare_planning(ad.planned_races(s, d)), matching.prepare_aliases(ad.race_aliases(s, d)), "1998-07-01"),
             shape(i="planning_year race_id month", s="team_slug race_name category date_label start_date end_date status team_calendar_status overlap_group"),
-            sql.with_ctes(
-                sql.CASCADE,
-                """raced AS (SELECT DISTINCT c.team_slug, c.season AS planning_year, matched_race_id AS race_id, p.race_name, p.start_date, p.end_date
-                FROM cascade c LEFT JOIN planned p ON p.race_id = matched_race_id AND p.season = c.season WHERE matched_race_id IS NOT NULL)""",
-                """described AS (SELECT r.*, CASE WHEN p.race_id % 2 = 0 THEN '1.1' ELSE '2.1' END AS category,
-                strftime(r.start_date, '%d.%m') || CASE WHEN r.end_date > r.start_date THEN '-' || strftime(r.end_date, '%d.%m') ELSE '' END AS date_label FROM raced r JOIN planned p ON p.race_id = r.race_id AND p.season = r.planning_year)""",
-                """unplanned AS (SELECT c.team_slug, c.season AS planning_year, matched_race_id AS race_id, first(canonical_race_name ORDER BY source_race_name) AS race_name
-                FROM cascade c ANTI JOIN planned p ON p.race_id = matched_race_id AND p.season = c.season WHERE matched_race_id IS NOT NULL GROUP BY 1, 2, 3)""",
-                """all_races AS (SELECT team_slug, planning_year, race_id, race_name, start_date, end_date, category, date_label FROM described
-                UNION ALL SELECT team_slug, planning_year, race_id, race_name, NULL, NULL, NULL, NULL FROM unplanned)""",
-                """reach AS (SELECT *, max(end_date) OVER (PARTITION BY team_slug, planning_year ORDER BY start_date NULLS LAST, end_date NULLS LAST, race_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM all_races)""",
-                """grp AS (SELECT *, sum(CASE WHEN start_date IS NULL OR reached IS NULL OR start_date > reached THEN 1 ELSE 0 END) OVER (PARTITION BY team_slug, planning_year ORDER BY start_date NULLS LAST, end_date NULLS LAST, race_id ROWS UNBOUNDED PRECEDING) AS gid FROM reach)""",
-                select="""SELECT *, month(start_date) AS month, CASE WHEN end_date < DATE '1998-07-01' THEN 'completed' ELSE 'scheduled' END AS status, 'active' AS team_calendar_status,
-                CASE WHEN count(*) OVER (PARTITION BY team_slug, planning_year, gid) > 1 THEN 'overlap_' || count(*) OVER (PARTITION BY team_slug, planning_year, gid) ELSE '' END AS overlap_group FROM grp""",
-            ),
+            built,
+        ),
+        "season_refresh": Query(
+            _refreshed_season,
+            shape(i="planning_year race_id month", s="team_slug race_name category date_label start_date end_date status team_calendar_status overlap_group"),
+            built,
         ),
         "date_label_parse": Query(
             lambda s, d: ad.planned_races(s, d).withColumn("x", label_dates(F.col("date_label"), F.col("year"))).select("race_id", "date_label", "x.*"),
@@ -517,6 +526,28 @@ def _status(day: str):
     return status_as_of(F.col("end_date"), day)
 
 
+def _refreshed_season(s: SparkSession, d: str) -> DataFrame:
+    """The calendars of all teams after two builds: one before every third programme row was known, and one that repairs it.
+
+    The second build matches only the teams whose rows changed, publishes the next snapshot, and the calendars are read back.
+    """
+    programme = checkpointed(ad.programme(s, d))
+    planning, aliases, editions = cal.prepare_planning(ad.planned_races(s, d)), matching.prepare_aliases(ad.race_aliases(s, d)), ad.editions(s, d)
+    teams = checkpointed(programme.groupBy("team_slug", "planning_year").agg(F.max("team_name").alias("team_name")))
+    prior = ARCHETYPES["balanced_opportunist"]["strength_weight_prior"]
+    profiles = teams.select(
+        "team_slug", "planning_year", "team_name", map_literal(prior).alias("strength_weights"), F.lit(0.7).alias("team_fit_floor"), F.lit(0.3).alias("team_fit_range"),
+        map_literal(EXECUTION_RULES).alias("execution_rules"), map_literal(PARTICIPATION_RULES).alias("participation_rules"), F.lit("balanced_opportunist").alias("archetype_key"),
+        F.lit("").alias("archetype_label"), F.lit("").alias("archetype_description"), F.lit("medium").alias("profile_confidence"), F.lit("v1").alias("profile_version"),
+        F.array(F.lit("The same for all teams.")).alias("profile_rationale"),
+    )
+    root = f"{s.sparkContext.getCheckpointDir()}/season-{uuid.uuid4().hex}"
+    early = programme.where((F.col("l_orderkey") % 3 != 0) | (F.substring("team_slug", 6, 9).cast("int") % 2 == 0))
+    for rows in (early, programme):
+        incremental.refresh_season(s, root, teams, rows, planning, aliases, editions, profiles, None, 1998, "1998-07-01", F.lit("1998-07-01").cast("timestamp"))
+    return incremental.season_table(s, root, "team_calendar")
+
+
 def _alias_hits(s: SparkSession, d: str) -> DataFrame:
     names, _ = _programme_names(s, d)
     hits = matching.alias_matches(names, matching.prepare_aliases(ad.race_aliases(s, d)))

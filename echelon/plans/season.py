@@ -90,10 +90,13 @@ def build_season(
     planning_year: int,
     as_of_date: str | date,
     run_at: Column,
+    saved_calendar: DataFrame | None = None,
+    saved_actuals: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """Calendars, changes, actual points, expected values, summaries, metadata and outcomes of all teams.
 
-    One plan for all teams. A team with an invalid profile or without a matched race appears in
+    One plan for all teams. Teams with rows in `saved_calendar` keep that calendar, and their names are not matched again;
+    teams with rows in `saved_actuals` keep those points, and their points pages are not looked at. A team with an invalid profile or without a matched race appears in
     `outcomes` with its error and in no other table; the others are built all the same. Planning rows whose date
     label can't be read are listed in `planning_errors`. No tracked team at all is an error.
     """
@@ -105,9 +108,21 @@ def build_season(
         "team_name", F.col("_name")
     ).drop("_name")
     valid = listed.join(sound.select(*TEAM_KEYS), TEAM_KEYS, "left_semi")
-    calendar = checkpointed(calendar_from_programme(valid, planning, aliases, as_of_date, run_at))
+    if saved_calendar is None:
+        calendar = checkpointed(calendar_from_programme(valid, planning, aliases, as_of_date, run_at))
+    else:
+        saved = checkpointed(saved_calendar.join(sound.select(*TEAM_KEYS), TEAM_KEYS, "left_semi").join(teams.select(*TEAM_KEYS), TEAM_KEYS, "left_semi"))
+        unsaved = valid.join(saved.select(*TEAM_KEYS).distinct(), TEAM_KEYS, "left_anti")
+        fresh = calendar_from_programme(unsaved, planning, aliases, as_of_date, run_at)
+        calendar = checkpointed(fresh.unionByName(saved, allowMissingColumns=True))
     history = history_summary(editions, planning_year)
     actuals = None if race_points is None else actual_points_rows(calendar, race_points, run_at)
+    if saved_actuals is not None:
+        known_points = checkpointed(saved_actuals.join(calendar.select(*TEAM_KEYS).distinct(), TEAM_KEYS, "left_semi"))
+        if actuals is None:
+            actuals = known_points
+        else:
+            actuals = actuals.join(known_points.select(*TEAM_KEYS).distinct(), TEAM_KEYS, "left_anti").unionByName(known_points.select(*actuals.columns))
     values = checkpointed(team_calendar_ev(calendar, history, sound, actuals, as_of_date))
     summary = ev_summary(values)
     tables = {"team_calendar": calendar.drop("overlap_group_id"), "team_calendar_ev": values, "team_ev_summary": summary}

@@ -209,18 +209,18 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str]) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
 
 
-def _typed(df: DataFrame, schema: str) -> DataFrame:
+def typed(df: DataFrame, schema: str) -> DataFrame:
     """Columns that the schema names, in its types, so that the readers find what they expect."""
     kinds = {f.name: f.dataType for f in T._parse_datatype_string(schema).fields}
     return df.withColumns({c: F.col(c).cast(kinds[c]) for c in df.columns if c in kinds})
 
 
 def write_editions(editions: DataFrame, path: str) -> None:
-    write_table(_typed(editions, schemas.EDITION), path, ["year"])
+    write_table(typed(editions, schemas.EDITION), path, ["year"])
 
 
 def write_contributions(contributions: DataFrame, path: str) -> None:
-    write_table(_typed(contributions, schemas.CONTRIBUTION), path, ["scope"])
+    write_table(typed(contributions, schemas.CONTRIBUTION), path, ["scope"])
 
 
 def write_season(tables: dict[str, DataFrame], root: str) -> None:
