@@ -104,11 +104,8 @@ def with_actual_ranks(folds: DataFrame) -> DataFrame:
 
 
 def _ranked(placed, name: str) -> DataFrame:
-    placed = (
-        placed.running("_position", "sum", F.lit(1))
-        .whole("_first", "min", F.col("_position"), within=["_o0"])
-        .whole("_last", "max", F.col("_position"), within=["_o0"])
-    )
+    position = F.col("_position")
+    placed = placed.running("_position", "sum", F.lit(1)).wholes({"_first": ("min", position), "_last": ("max", position)}, within=["_o0"])
     return placed.with_columns(
         {
             f"{name}_average_rank": (F.col("_first") + F.col("_last")) / F.lit(2.0),

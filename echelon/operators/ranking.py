@@ -16,6 +16,25 @@ def _score(value: Column, average_rank: Column, filled: Column, flat: Column, re
     return F.when(flat, F.lit(50.0)).when(value.isNotNull(), scored)
 
 
+def _ranked(df: DataFrame, columns: Sequence[str], unique: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """(keys, unique, _component, _value) with `_average`, the average rank of each value among those of its component.
+
+    All columns are ranked in one pass over narrow rows, cut into slices once, whatever their number. With it come, for the
+    whole group, `_filled` and `_rows` (values and rows) and `_low` and `_high`.
+    """
+    ids = list(dict.fromkeys([*keys, *unique]))
+    narrow = df.select(*ids, *[F.col(c).cast("double").alias(f"_v_{c}") for c in columns]).unpivot(
+        ids, [f"_v_{c}" for c in columns], "_component", "_value"
+    )
+    placed = arrange(narrow, [*keys, "_component"], [nulls_last(F.col("_value")), *[F.col(u) for u in unique]])
+    position, value = F.col("_position"), F.col("_value")
+    placed = placed.running("_position", "sum", F.lit(1)).wholes({"_first": ("min", position), "_last": ("max", position)}, within=["_o0"])
+    placed = placed.wholes(
+        {"_filled": ("sum", value.isNotNull().cast("long")), "_rows": ("sum", F.lit(1)), "_low": ("min", value), "_high": ("max", value)}
+    )
+    return placed.df.withColumn("_average", (F.col("_first") + F.col("_last")) / F.lit(2.0))
+
+
 def percentile_scores(
     df: DataFrame,
     scores: Mapping[str, tuple[str, bool]],
@@ -32,27 +51,11 @@ def percentile_scores(
     df = checkpointed(df)  # read twice
     ids = list(dict.fromkeys([*keys, *unique]))
     sources = list(dict.fromkeys(c for c, _ in scores.values()))
-    narrow = df.select(*ids, *[F.col(c).cast("double").alias(f"_v_{c}") for c in sources]).unpivot(
-        ids, [f"_v_{c}" for c in sources], "_component", "_value"
-    )
-    group = [*keys, "_component"]
-    placed = arrange(narrow, group, [nulls_last(F.col("_value")), *[F.col(u) for u in unique]])
-    filled = F.col("_value").isNotNull().cast("long")
-    placed = (
-        placed.running("_position", "sum", F.lit(1))
-        .whole("_first", "min", F.col("_position"), within=["_o0"])
-        .whole("_last", "max", F.col("_position"), within=["_o0"])
-        .whole("_filled", "sum", filled)
-        .whole("_rows", "sum", F.lit(1))
-        .whole("_low", "min", F.col("_value"))
-        .whole("_high", "max", F.col("_value"))
-    )
     flat = (F.col("_filled") == 0) | (
         (F.col("_filled") == F.col("_rows")) & F.col("_low").eqNullSafe(F.col("_high"))
     )
-    average = (F.col("_first") + F.col("_last")) / F.lit(2.0)
-    ranked = placed.df.select(
-        *ids, "_component", _score(F.col("_value"), average, F.col("_filled"), flat, False).alias("_pct"), flat.alias("_flat")
+    ranked = _ranked(df, sources, unique, keys).select(
+        *ids, "_component", _score(F.col("_value"), F.col("_average"), F.col("_filled"), flat, False).alias("_pct"), flat.alias("_flat")
     )
     wide = ranked.groupBy(*ids).agg(
         *[
@@ -108,17 +111,30 @@ def minmax_columns(df: DataFrame, scaled: Mapping[str, tuple[str, bool]]) -> Dat
 
 
 def average_ranks(df: DataFrame, ranks: Mapping[str, str], unique: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    """Add ascending average ranks: name -> value column (values must not be null)."""
-    result = df
-    for name, source in ranks.items():
-        placed = arrange(result, keys, [F.col(source), *[F.col(u) for u in unique]])
-        placed = (
-            placed.running("_position", "sum", F.lit(1))
-            .whole("_first", "min", F.col("_position"), within=["_o0"])
-            .whole("_last", "max", F.col("_position"), within=["_o0"])
-        )
-        result = placed.with_columns({name: (F.col("_first") + F.col("_last")) / F.lit(2.0)}).done("_position", "_first", "_last")
-    return result
+    """The rows by their key and `unique` columns with ascending average ranks: name -> value column (values must not be null).
+
+    Other columns of `df` are not in the result; all values are ranked in one pass.
+    """
+    ids = list(dict.fromkeys([*keys, *unique]))
+    ranked = _ranked(df, list(dict.fromkeys(ranks.values())), unique, keys)
+    return ranked.groupBy(*ids).agg(*[F.max(F.when(F.col("_component") == f"_v_{source}", F.col("_average"))).alias(name) for name, source in ranks.items()])
+
+
+def medians(df: DataFrame, columns: Mapping[str, Column], keys: Sequence[str] = ()) -> DataFrame:
+    """Exact medians of all non-null values per key: name -> value. A key without a value has null, no rows give none.
+
+    Equal values are counted first, so a group of few values is small. The counts are summed in order over slices, and the
+    values at the two middle places are picked where the sum passes them: no group is ever held in one task.
+    """
+    slim = df.select(*keys, *[value.cast("double").alias(name) for name, value in columns.items()])
+    each = slim.unpivot(list(keys), list(columns), "_column", "_value")
+    counts = each.groupBy(*keys, "_column", "_value").agg(F.count("_value").alias("_n"))
+    placed = arrange(counts, [*keys, "_column"], [nulls_last(F.col("_value"))])
+    placed = placed.running("_upto", "sum", F.col("_n")).wholes({"_total": ("sum", F.col("_n"))})
+    at = lambda place: F.max(F.when((F.col("_upto") >= place) & (F.col("_upto") - F.col("_n") < place), F.col("_value")))
+    low, high = F.floor((F.col("_total") + 1) / 2), F.floor(F.col("_total") / 2) + 1
+    middle = placed.df.groupBy(*keys, "_column").agg((0.5 * at(low) + 0.5 * at(high)).alias("_median"))
+    return middle.groupBy(*keys).agg(*[F.max(F.when(F.col("_column") == name, F.col("_median"))).alias(name) for name in columns])
 
 
 def rank_correlation(left_rank: Column, right_rank: Column) -> Column:
@@ -149,5 +165,5 @@ def spearman(df: DataFrame, left: str, right: str, unique: Sequence[str], keys:
 
 
 __all__ = [
-    "average_ranks", "minmax_columns", "minmax_scaled", "percentile_scores", "rank_correlation", "spearman", "with_bounds",
+    "average_ranks", "medians", "minmax_columns", "minmax_scaled", "percentile_scores", "rank_correlation", "spearman", "with_bounds",
 ]

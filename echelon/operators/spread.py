@@ -91,18 +91,21 @@ class Arranged:
 
     def whole(self, name: str, how: str, value: Column, within: Sequence[str] = ()) -> "Arranged":
         """`sum`, `min` or `max` over the whole (key, within) group on each of its rows."""
-        combine = {"sum": F.sum, "min": F.min, "max": F.max}[how]
-        local = combine(value).over(Window.partitionBy(*self._groups(within)))
+        return self.wholes({name: (how, value)}, within)
+
+    def wholes(self, columns: dict[str, tuple[str, Column]], within: Sequence[str] = ()) -> "Arranged":
+        """Several such values of the same groups, in one pass: name -> (how, value)."""
+        combine = {"sum": F.sum, "min": F.min, "max": F.max}
+        here, group = Window.partitionBy(*self._groups(within)), Window.partitionBy(*self.keys, *within)
+        local = {name: combine[how](value).over(here) for name, (how, value) in columns.items()}
         # Groups that lie in several slices: at most two of them touch any slice.
-        parts = self.df.groupBy(*self._groups(within)).agg(combine(value).alias("_part"))
-        group = Window.partitionBy(*self.keys, *within)
-        spanning = (
-            parts.withColumns({"_slices": F.count(F.lit(1)).over(group), "_carry": combine("_part").over(group)})
-            .where("_slices > 1")
-            .drop("_slices", "_part")
-        )
-        merged = self._attach(self.df.withColumn(name, local), spanning, within)
-        return self._with(merged.withColumn(name, F.coalesce(F.col("_carry"), F.col(name))).drop("_carry"))
+        parts = self.df.groupBy(*self._groups(within)).agg(*[combine[how](value).alias(f"_part_{name}") for name, (how, value) in columns.items()])
+        carried = {f"_carry_{name}": combine[how](f"_part_{name}").over(group) for name, (how, _) in columns.items()}
+        spanning = parts.withColumns({"_slices": F.count(F.lit(1)).over(group), **carried}).where("_slices > 1")
+        spanning = spanning.drop("_slices", *[f"_part_{name}" for name in columns])
+        merged = self._attach(self.df.withColumns(local), spanning, within)
+        filled = {name: F.coalesce(F.col(f"_carry_{name}"), F.col(name)) for name in columns}
+        return self._with(merged.withColumns(filled).drop(*carried))
 
     def done(self, *helpers: str) -> DataFrame:
         extra = [c for c in self.df.columns if c.startswith("_o")]

@@ -10,6 +10,7 @@ from echelon.constants import CATEGORY_DISPLAY_ORDER
 from echelon.functions.columns import known, nulls_last, text
 from echelon.functions.dates import as_date, iso_day
 from echelon.operators.expected_value import TEAM_KEYS
+from echelon.operators.ranking import medians
 from echelon.operators.spread import arrange, top_rows
 
 _EV_FACTORS = ("expected_points", "base_opportunity_points", "team_fit_multiplier", "participation_confidence", "execution_multiplier")
@@ -95,12 +96,16 @@ def target_key_figures(scored: DataFrame, targets: DataFrame) -> DataFrame:
 
 def risk_key_figures(risk: DataFrame) -> DataFrame:
     share = F.round(F.col("top1_share") * 100, 1)
-    return risk.agg(
+    names = ("median_top1_share_pct", "median_effective_contributors")
+    middle = medians(risk, dict(zip(names, (share, F.col("effective_contributors")), strict=True)))
+    counted = risk.agg(
         F.count(F.lit(1)).alias("teams"),
         F.count_if(F.col("risk_band") == "High").alias("high_risk_teams"),
-        F.median(share).alias("median_top1_share_pct"),
         F.max(share).alias("max_top1_share_pct"),
-        F.median("effective_contributors").alias("median_effective_contributors"),
+    )
+    # one row each
+    return counted.withColumn("_m", middle.select(F.struct(*names).alias("m")).scalar()).select(
+        "teams", "high_risk_teams", F.col(f"_m.{names[0]}").alias(names[0]), "max_top1_share_pct", F.col(f"_m.{names[1]}").alias(names[1])
     )
 
 

@@ -140,3 +140,30 @@ def test_minmax_of_constant_and_missing_columns(spark):
     assert take("b_0") == [1, 0, 1] and take("b_1") == [0, 1, 0]
     assert take("c_0") == [0, 0, 0] and take("c_1") == [0, 0, 0]
     assert take("d_0") == [0, 1, 0] and take("d_1") == [1, 0, 0]
+
+
+@pytest.mark.parametrize("keys", [[], ["k"]])
+def test_medians_match_pandas(spark, keys):
+    rows = hot_rows() + [("none", 5000, None)]
+    pdf = pd.DataFrame(rows, columns=["k", "i", "v"])
+    df = spark.createDataFrame(rows, "k string, i int, v int")
+    got = ranking.medians(df, {"v": F.col("v"), "w": F.col("i") % 3, "z": F.lit(None).cast("double")}, keys).toPandas()
+    pdf["w"] = pdf.i % 3
+    if not keys:
+        assert got.v.tolist() == [pdf.v.median()] and got.w.tolist() == [pdf.w.median()] and got.z.isna().all()
+        return
+    wanted = pdf.groupby("k")[["v", "w"]].median()
+    got = got.set_index("k")
+    assert sorted(got.index) == sorted(wanted.index) and got.z.isna().all()
+    for name in ("v", "w"):
+        np.testing.assert_array_equal(got[name].loc[wanted.index].astype(float), wanted[name].astype(float))
+
+
+def test_average_ranks_of_several_columns(spark):
+    rows = hot_rows()
+    pdf = pd.DataFrame(rows, columns=["k", "i", "v"]).dropna()
+    pdf["w"] = -pdf.i % 7
+    df = spark.createDataFrame([(k, i, int(v), -i % 7) for k, i, v in rows if v is not None], "k string, i int, v int, w int")
+    got = ranking.average_ranks(df, {"a": "v", "b": "w"}, ["i"], ["k"]).toPandas().set_index("i").sort_index()
+    pdf = pdf.set_index("i").sort_index()
+    assert got.a.tolist() == pdf.groupby("k").v.rank().tolist() and got.b.tolist() == pdf.groupby("k").w.rank().tolist()
