@@ -5,6 +5,8 @@ The objective is strictly convex, so any step below 1 over the largest curvature
 
 from __future__ import annotations
 
+import re
+
 from driver import oracles as sql
 from echelon.constants import ARCHETYPES, FIT_METHOD, FIT_SETTINGS as S, PROFILE_AXES
 
@@ -44,7 +46,7 @@ def _objective(w: str) -> str:
     return f"(({quadratic} + 2.0 * {_dot('b', w)} + c1) / s0 + {S['level_weight']} * {gap} * {gap} + strength * {distance} + spread * {_dot(w, w)})"
 
 
-def weight_fit() -> str:
+def _fit(select: str, *further: str) -> str:
     signal = lambda axis: f"fit_range * least(greatest(coalesce({axis}_signal, 0.0), 0.0), 1.0)"
     priors = ", ".join(f"('{key}', {_list(float(a['strength_weight_prior'][axis]) for axis in AXES)})" for key, a in ARCHETYPES.items())
     total = lambda value: f"sum({value})"
@@ -71,11 +73,28 @@ def weight_fit() -> str:
         "chosen AS (SELECT *, CASE WHEN reached > at_base THEN base ELSE w END AS fitted, least(reached, at_base) AS objective FROM valued_fit)",
         f"""errors AS (SELECT team_slug, avg(abs({predicted('fitted')} - actual)) AS mae, sqrt(avg(pow({predicted('fitted')} - actual, 2))) AS rmse, sqrt(avg(pow({predicted('base')} - actual, 2))) AS baseline_rmse,
           sum({predicted('fitted')}) - sum(actual) AS season_gap FROM known JOIN chosen USING (team_slug) GROUP BY 1)""",
-        select=f"""SELECT team_slug, c.planning_year, n AS known_race_count, '{FIT_METHOD}' AS weight_fit_method, 'archetype:' || archetype_key AS prior_source,
-        {", ".join(f"round(fitted[{i}], 6) AS {axis}" for i, axis in enumerate(AXES, 1))}, objective, mae, rmse, baseline_rmse, season_gap FROM chosen c JOIN errors USING (team_slug)""",
+        *further,
+        select=select,
     ).replace("WITH ", "WITH RECURSIVE ", 1)
 
 
+def weight_fit() -> str:
+    weights = ", ".join(f"round(fitted[{i}], 6) AS {axis}" for i, axis in enumerate(AXES, 1))
+    return _fit(
+        f"""SELECT team_slug, c.planning_year, n AS known_race_count, '{FIT_METHOD}' AS weight_fit_method, 'archetype:' || archetype_key AS prior_source,
+        {weights}, objective, mae, rmse, baseline_rmse, season_gap FROM chosen c JOIN errors USING (team_slug)"""
+    )
+
+
+def weight_refit_ev() -> str:
+    """The statement of the expected values once more, over profiles with the fitted weights where a team has any."""
+    fitted = ", ".join(f"coalesce(round(fitted[{i}], 6), p.{axis}) AS {axis}" for i, axis in enumerate(AXES, 1))
+    again = sql.EV[sql.EV.index("fit_parts AS") :].replace("profiles p", "refitted p")
+    again = re.sub(r"\b(fit_parts|fit_scores|multiplied|expected|ev)\b", r"re_\1", again)
+    refitted = f"refitted AS (SELECT p.* EXCLUDE ({', '.join(AXES)}), {fitted} FROM profiles p LEFT JOIN chosen USING (team_slug))"
+    return _fit("SELECT * FROM re_ev", refitted, again)
+
+
 def sql_archetypes() -> str:
     from driver.queries import ARCHETYPE_OF_PROFILE
 

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from driver import adapters as ad, fit_oracle, oracles as sql
+from driver.file_queries import file_queries
 from driver.page_queries import page_queries
 from driver.registry import Query, shape
 from echelon.constants import ARCHETYPES, EXECUTION_RULES, OPPORTUNITY_WEIGHTS, PARTICIPATION_RULES, PROFILE_AXES, SCENARIO_PRESETS
@@ -17,7 +18,7 @@ from echelon.operators import (
     backtest, editions as ed, expected_value as ev, history as hist, matching, pages, profiles as prof, ranking, risk, scenarios,
     targets, team_calendar as cal, views, weight_fit,
 )
-from echelon.operators.spread import checkpointed, top_rows
+from echelon.operators.spread import checkpointed, shared_folder, top_rows
 from echelon.plans import incremental
 
 PLANNING_SEASON = 2002
@@ -350,7 +351,8 @@ def _ev_queries() -> dict[str, Query]:
                 sum(r * fit_range * coalesce(one_day_signal, 0) * fit_range * coalesce(one_day_signal, 0)) AS one_day_square, sum(r * e * fit_range * coalesce(sprint_bonus_signal, 0)) AS sprint_target FROM errs GROUP BY 1, 2""",
             ),
         ),
-        "weight_refit_ev": Query(_refit, {**key, **shape(f6="team_fit_multiplier", f4="expected_points")}),
+        # as above: the last digits of the fit differ
+        "weight_refit_ev": Query(_refit, {**key, **shape(f4="team_fit_multiplier", f1="expected_points")}, fit_oracle.weight_refit_ev()),
     }
 
 
@@ -541,7 +543,7 @@ def _refreshed_season(s: SparkSession, d: str) -> DataFrame:
         F.lit("").alias("archetype_label"), F.lit("").alias("archetype_description"), F.lit("medium").alias("profile_confidence"), F.lit("v1").alias("profile_version"),
         F.array(F.lit("The same for all teams.")).alias("profile_rationale"),
     )
-    root = f"{s.sparkContext.getCheckpointDir()}/season-{uuid.uuid4().hex}"
+    root = f"{shared_folder(s)}/season-{uuid.uuid4().hex}"
     early = programme.where((F.col("l_orderkey") % 3 != 0) | (F.substring("team_slug", 6, 9).cast("int") % 2 == 0))
     for rows in (early, programme):
         incremental.refresh_season(s, root, teams, rows, planning, aliases, editions, profiles, None, 1998, "1998-07-01", F.lit("1998-07-01").cast("timestamp"))
@@ -825,5 +827,5 @@ def _topk_precision(s: SparkSession, d: str) -> DataFrame:
 def registered() -> dict[str, Query]:
     return {
         **_editions_queries(), **_target_queries(), **_history_queries(), **_ev_queries(), **_risk_queries(), **_calendar_queries(),
-        **_profile_queries(), **_backtest_queries(), **page_queries(),
+        **_profile_queries(), **_backtest_queries(), **page_queries(), **file_queries(_ev),
     }

@@ -35,6 +35,9 @@ def _folding_tables() -> tuple[str, str, str, dict[str, str]]:
             continue
         parts = unicodedata.normalize("NFKD", char)
         folded = "".join(c for c in parts if not unicodedata.combining(c)).casefold()
+        if not folded:  # made of marks only
+            marks.append(char)
+            continue
         if folded == char or not any(c.isascii() for c in folded):
             continue
         if len(folded) == 1:

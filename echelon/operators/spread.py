@@ -14,15 +14,14 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared checkpoint folder of the session.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the session, which every executor can reach.
 
     Only a local session that names no folder gets one of its own.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -31,6 +30,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
             folder = tempfile.mkdtemp(prefix="echelon-checkpoint-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage through the shared checkpoint folder of the session."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -249,8 +249,8 @@ def season_catalog(summary: DataFrame, ev: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """CSV export of a result view; dates and timestamps as ISO text."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """CSV export of a result view; dates and timestamps as ISO text, quotes doubled, as the readers take them."""
+    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 _SOURCE_WORDS = ("url", "pcs")

@@ -138,3 +138,12 @@ def test_fixed_weights_sum_to_one_and_presets_are_whole():
     assert sum(OPPORTUNITY_WEIGHTS.values()) == pytest.approx(1) and sum(EV_WEIGHTS.values()) == pytest.approx(1)
     assert all(sum(a["strength_weight_prior"].values()) == pytest.approx(1) for a in ARCHETYPES.values())
     assert prof.check_presets("v", "", [{"key": k, "label": p["label"], "description": p["description"]} for k, p in SCENARIO_PRESETS.items()]) == []
+
+
+def test_csv_export_is_read_back(spark, tmp_path):
+    """Quotes, commas and line ends in names survive the way to a file and back."""
+    names = ['GP "Ville"', "Loop, Coast", 'a "quoted, part"', "two\nlines", "back\\slash", "plain"]
+    rows = spark.createDataFrame([(name, "01.02", "1.1") for name in names], "race_name string, date_label string, category string")
+    tables.write_csv(rows, str(tmp_path / "programme.csv"))
+    back = tables.read_programme(spark, str(tmp_path / "programme.csv"))
+    assert sorted(row.source_race_name for row in back.collect()) == sorted(names)
