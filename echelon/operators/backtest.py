@@ -7,11 +7,11 @@ from collections.abc import Mapping, Sequence
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from echelon.constants import OBJECTIVE_WEIGHTS, OPPORTUNITY_WEIGHTS
+from echelon.constants import OBJECTIVE_WEIGHTS, OPPORTUNITY_SOURCES, OPPORTUNITY_WEIGHTS
 from echelon.functions.columns import last_known, normalised, total, with_defaults, year_list
-from echelon.operators.ranking import rank_correlation
+from echelon.operators.ranking import expanding_percentile_scores, rank_correlation
 from echelon.operators.spread import arrange, checkpointed
-from echelon.operators.targets import COMPONENT_SCORES, with_category_history, with_component_percentiles
+from echelon.operators.targets import COMPONENT_SCORES, with_category_history
 
 _OUTCOMES = {
     "actual_points_efficiency": "points_per_top10_form",
@@ -35,23 +35,31 @@ def repeated_histories(editions: DataFrame, race_type: str = "One-day") -> DataF
 
 
 def training_rows(editions: DataFrame, years: Sequence[int], min_train_years: int = 2) -> DataFrame:
-    """Each edition once per later test year that has enough earlier years."""
-    test_years = sorted(years)[min_train_years:]
-    later = F.filter(F.lit(test_years or [0]).cast("array<int>"), lambda y: y > F.col("year"))
-    return editions.withColumn("test_year", F.explode(later))
+    """Each edition once per later test year that has enough earlier years, with its percentiles among those before that year.
+
+    Nothing is ranked or shuffled per test year: the percentiles of all windows come as arrays, and the rows are only
+    multiplied on their way into an aggregate.
+    """
+    test_years = [int(y) for y in sorted(years)[min_train_years:]] or [0]
+    scores = {COMPONENT_SCORES[name]: source for name, source in OPPORTUNITY_SOURCES.items()}
+    windows = expanding_percentile_scores(editions, scores, ["race_id", "year"], "year", test_years)
+    joined = editions.join(windows.withColumnsRenamed({name: f"_{name}" for name in scores}), ["race_id", "year"])
+    later = F.filter(F.transform(F.lit(test_years), lambda y, k: F.struct(y.alias("y"), k.alias("k"))), lambda one: one["y"] > F.col("year"))
+    each = joined.withColumn("_at", F.explode(later)).withColumn("test_year", F.col("_at.y").cast("int"))
+    return each.withColumns({name: F.get(f"_{name}", F.col("_at.k")) for name in scores}).drop("_at", *[f"_{name}" for name in scores])
 
 
 def walk_forward_folds(editions: DataFrame, race_type: str = "One-day", min_train_years: int = 2, min_fold_size: int = 8) -> DataFrame:
     """One row per (test year, history): mean train percentiles next to the outcome of that year.
 
-    Percentiles are ranked inside the train slice of each test year. The filtered editions feed the
+    Percentiles are those inside the train slice of each test year. The filtered editions feed the
     train slices, the outcomes and the year list, so their lineage is cut; so is that of the folds,
     which every evaluation starts from.
     """
     rows = checkpointed(repeated_histories(editions, race_type))
     years = [r["year"] for r in rows.select("year").distinct().collect()]  # one row per calendar year
     rows = with_defaults(rows, {"race_country": None})
-    train = with_component_percentiles(training_rows(rows, years, min_train_years), ["test_year"])
+    train = training_rows(rows, years, min_train_years)
     order = F.struct("year", "month", "race_name")
     latest = lambda c: last_known(F.col(c), order).alias(c)
     prediction = train.groupBy("test_year", "target_history_id").agg(

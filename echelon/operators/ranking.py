@@ -110,6 +110,40 @@ def minmax_columns(df: DataFrame, scaled: Mapping[str, tuple[str, bool]]) -> Dat
     ).drop("_bounds")
 
 
+def expanding_percentile_scores(
+    df: DataFrame, scores: Mapping[str, tuple[str, bool]], unique: Sequence[str], year: str, test_years: Sequence[int]
+) -> DataFrame:
+    """The percentile scores of each row in the expanding window before each test year, without a row per window.
+
+    The result has `unique`, `year` and, for each name of `scores` (value column, reverse), an array along `test_years`: the
+    percentile score of the row among all rows of years before that one, as `percentile_scores` defines it; only the places
+    of test years after the row's own mean anything. Values are counted once per component and value, with a count for
+    each window; the counts are summed along the values in one pass over slices, and every window's ranks follow from them.
+    """
+    ids = list(dict.fromkeys([*unique, year]))
+    sources = list(dict.fromkeys(c for c, _ in scores.values()))
+    narrow = df.select(*ids, *[F.col(c).cast("double").alias(f"_v_{c}") for c in sources]).unpivot(ids, [f"_v_{c}" for c in sources], "_component", "_value")
+    windows = range(len(test_years))
+    # one row per distinct value, however many rows share it and however many windows there are
+    counts = narrow.groupBy("_component", "_value").agg(*[F.count_if(F.col(year) < test_years[k]).alias(f"_n{k}") for k in windows])
+    placed = arrange(counts, ["_component"], [nulls_last(F.col("_value"))]).runnings({f"_upto{k}": F.col(f"_n{k}") for k in windows})
+    value, whole = F.col("_value"), {}
+    for k in windows:
+        whole[f"_filled{k}"] = ("sum", F.when(value.isNotNull(), F.col(f"_n{k}")).otherwise(0))
+        whole[f"_kinds{k}"] = ("sum", (F.col(f"_n{k}") > 0).cast("int"))  # null is a kind, too
+    placed = placed.wholes(whole)
+
+    def score(k: int, reverse: bool) -> Column:
+        average = F.col(f"_upto{k}") - (F.col(f"_n{k}") - 1) / F.lit(2.0)
+        return _score(value, average, F.nullif(F.col(f"_filled{k}"), F.lit(0)), F.col(f"_kinds{k}") <= 1, reverse)
+
+    of_value = checkpointed(placed.df.select("_component", "_value", *[F.array(*[score(k, r) for k in windows]).alias(f"_{r}".lower()) for r in (False, True)]))
+    both = narrow.alias("a").join(of_value.alias("b"), (F.col("a._component") == F.col("b._component")) & F.col("a._value").eqNullSafe(F.col("b._value")))
+    found = both.select(*[F.col(f"a.{c}").alias(c) for c in ids], F.col("a._component").alias("_component"), F.struct("_false", "_true").alias("_scores"))
+    wide = found.groupBy(*ids).agg(*[F.max(F.when(F.col("_component") == f"_v_{c}", F.col("_scores"))).alias(f"_s_{c}") for c in sources])
+    return wide.select(*ids, *[F.col(f"_s_{c}.{'_true' if reverse else '_false'}").alias(name) for name, (c, reverse) in scores.items()])
+
+
 def average_ranks(df: DataFrame, ranks: Mapping[str, str], unique: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """The rows by their key and `unique` columns with ascending average ranks: name -> value column (values must not be null).
 
@@ -165,5 +199,5 @@ def spearman(df: DataFrame, left: str, right: str, unique: Sequence[str], keys:
 
 
 __all__ = [
-    "average_ranks", "medians", "minmax_columns", "minmax_scaled", "percentile_scores", "rank_correlation", "spearman", "with_bounds",
+    "average_ranks", "expanding_percentile_scores", "medians", "minmax_columns", "minmax_scaled", "percentile_scores", "rank_correlation", "spearman", "with_bounds",
 ]

@@ -62,22 +62,26 @@ class Arranged:
 
     def running(self, name: str, how: str, value: Column, inclusive: bool = True, within: Sequence[str] = ()) -> "Arranged":
         """Running `sum` or `max`; `within` may name columns that never decrease along the order."""
+        return self.runnings({name: value}, how, inclusive, within)
+
+    def runnings(self, columns: dict[str, Column], how: str = "sum", inclusive: bool = True, within: Sequence[str] = ()) -> "Arranged":
+        """Several running values of the same kind, in one pass: name -> value."""
         combine = {"sum": F.sum, "max": F.max}[how]
         frame = (
             Window.partitionBy(*self._groups(within))
             .orderBy(*self.order)
             .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
         )
-        local = combine(value).over(frame)
-        carry = self._carry(combine(value), combine, within)
-        merged = self._attach(self.df.withColumn(name, local), carry, within)
+        local = {name: combine(value).over(frame) for name, value in columns.items()}
+        carry = self._carry({name: combine(value) for name, value in columns.items()}, combine, within)
+        merged = self._attach(self.df.withColumns(local), carry, within)
         if how == "sum":
-            result = F.coalesce(F.col(name), F.lit(0)) + F.coalesce(F.col("_carry"), F.lit(0))
+            result = {name: F.coalesce(F.col(name), F.lit(0)) + F.coalesce(F.col(f"_carry_{name}"), F.lit(0)) for name in columns}
         else:
-            result = F.greatest(F.col(name), F.col("_carry"))
-        return self._with(merged.withColumn(name, result).drop("_carry"))
+            result = {name: F.greatest(F.col(name), F.col(f"_carry_{name}")) for name in columns}
+        return self._with(merged.withColumns(result).drop(*[f"_carry_{name}" for name in columns]))
 
-    def _carry(self, aggregate: Column, combine, within: Sequence[str]) -> DataFrame:
+    def _carry(self, aggregates: dict[str, Column], combine, within: Sequence[str]) -> DataFrame:
         # Only the first group of a slice can continue one from an earlier slice, so at
         # most one row per slice is left after the filter: safe to broadcast.
         earlier = (
@@ -85,8 +89,10 @@ class Arranged:
             .orderBy("_slice")
             .rowsBetween(Window.unboundedPreceding, -1)
         )
-        per_slice = self.df.groupBy(*self._groups(within)).agg(aggregate.alias("_part"))
-        return per_slice.withColumn("_carry", combine("_part").over(earlier)).where("_carry is not null").drop("_part")
+        per_slice = self.df.groupBy(*self._groups(within)).agg(*[value.alias(f"_part_{name}") for name, value in aggregates.items()])
+        carried = per_slice.withColumns({f"_carry_{name}": combine(f"_part_{name}").over(earlier) for name in aggregates})
+        known = F.coalesce(*[F.col(f"_carry_{name}").cast("string") for name in aggregates])
+        return carried.where(known.isNotNull()).drop(*[f"_part_{name}" for name in aggregates])
 
     def _attach(self, df: DataFrame, extra: DataFrame, within: Sequence[str]) -> DataFrame:
         names = self._groups(within)

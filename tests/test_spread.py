@@ -167,3 +167,19 @@ def test_average_ranks_of_several_columns(spark):
     got = ranking.average_ranks(df, {"a": "v", "b": "w"}, ["i"], ["k"]).toPandas().set_index("i").sort_index()
     pdf = pdf.set_index("i").sort_index()
     assert got.a.tolist() == pdf.groupby("k").v.rank().tolist() and got.b.tolist() == pdf.groupby("k").w.rank().tolist()
+
+
+def test_percentiles_in_expanding_windows(spark):
+    """Against the plain percentiles of the rows before each test year; nulls, ties, a constant and an empty window."""
+    rows = [(k, i, v, 2000 + i % 6) for k, i, v in hot_rows()]
+    df = spark.createDataFrame([(i, y, v, 7.0, None) for _, i, v, y in rows], "i int, year int, v int, w double, n double")
+    scores = {"a": ("v", False), "b": ("v", True), "c": ("w", True), "d": ("n", False)}
+    years = [1999, 2001, 2003, 2004, 2009]
+    got = ranking.expanding_percentile_scores(df, scores, ["i"], "year", years).toPandas().set_index("i")
+    pdf = pd.DataFrame([(i, y, v) for _, i, v, y in rows], columns=["i", "year", "v"]).assign(w=7.0, n=np.nan).set_index("i")
+    assert len(got) == len(pdf)
+    for k, year in enumerate(years):
+        window = pdf[pdf.year < year].sort_index()
+        for name, (column, reverse) in scores.items():
+            found = got.loc[window.index, name].map(lambda values, k=k: values[k])
+            np.testing.assert_allclose(found.astype(float), pandas_percentile(window[column], reverse).astype(float), atol=1e-9)
