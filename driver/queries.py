@@ -534,7 +534,8 @@ def _refreshed_season(s: SparkSession, d: str) -> DataFrame:
     The second build matches only the teams whose rows changed, publishes the next snapshot, and the calendars are read back.
     """
     programme = checkpointed(ad.programme(s, d))
-    planning, aliases, editions = cal.prepare_planning(ad.planned_races(s, d)), matching.prepare_aliases(ad.race_aliases(s, d)), ad.editions(s, d)
+    # read by the fingerprints and by the build, twice each
+    planning, aliases, editions = (checkpointed(df) for df in (cal.prepare_planning(ad.planned_races(s, d)), matching.prepare_aliases(ad.race_aliases(s, d)), ad.editions(s, d)))
     teams = checkpointed(programme.groupBy("team_slug", "planning_year").agg(F.max("team_name").alias("team_name")))
     prior = ARCHETYPES["balanced_opportunist"]["strength_weight_prior"]
     profiles = teams.select(

@@ -65,7 +65,8 @@ def publish(spark: SparkSession, root: str, tables: Mapping[str, DataFrame], rep
     listed = []
     for name, df in tables.items():
         path, keys = f"{root}/data/{folder}/{name}", _keys(df)
-        df.write.partitionBy(*keys).parquet(path)
+        # the rows of a team-season meet, so that it has few files; adaptive execution splits one that holds very many
+        (df.hint("rebalance", *keys) if keys else df).write.partitionBy(*keys).parquet(path)
         # counted from what was written
         written = _read(spark, path, df.schema)
         counted = (empty(spark, "x int") if written is None else written).groupBy(*(keys if written is not None else [])).agg(F.count(F.lit(1)).alias("rows"))
