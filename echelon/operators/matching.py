@@ -1,14 +1,15 @@
 """Match observed race names to the planning calendar: alias, exact variant, token overlap.
 
 Everything works on distinct (name, date) combinations, never on raw programme rows, and
-every step is an equi-join. The token step never lists all pairs that share one common word:
-pairs are found through each name's rarer words only, and races that share a single word
-on a race day are counted per (day, word) instead of listed.
+every step is an equi-join. The token step never lists the pairs that share common words: races
+are counted per set of shared words, so the rows per observed name depend on its own words only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from echelon.functions.columns import first_filled, text
 from echelon.functions.dates import as_date
@@ -16,6 +17,8 @@ from echelon.functions.text import name_variants, normalise_name, stable_slug, t
 from echelon.operators.spread import checkpointed, skew_join
 
 _SEASON = "planning_year"
+#: Names of at most so many words are matched through the sets of words that they share.
+MOST_WORDS = 8
 
 
 def prepare_aliases(aliases: DataFrame) -> DataFrame:
@@ -126,13 +129,42 @@ def _prefix_pairs(seen: DataFrame, listed: DataFrame) -> DataFrame:
     return cut.join(listed.select(_SEASON, "name", "listed_id"), [_SEASON, "name"]).select("seen_id", "listed_id")
 
 
+def _word_sets(words: Column, least: int) -> Column:
+    """Every set of at least `least` of some sorted words, as structs of its size and its words."""
+    none = F.array(F.struct(F.lit(0).alias("n"), F.lit("").alias("shared_words")))
+    with_word = lambda word: lambda one: F.struct((one["n"] + 1).alias("n"), F.concat(one["shared_words"], word, F.lit(" ")).alias("shared_words"))
+    return F.filter(F.aggregate(words, none, lambda sets, word: F.concat(sets, F.transform(sets, with_word(word)))), lambda one: one["n"] >= least)
+
+
+def _sets_of_names(words: Column, long: Column, least: int) -> Column:
+    """`_word_sets` of a short name; a long one has sets of one word only."""
+    single = lambda word: F.struct(F.lit(1).alias("n"), F.concat(word, F.lit(" ")).alias("shared_words"))
+    singles = F.filter(F.transform(words, single), lambda one: one["n"] >= least)
+    return F.when(long, singles).otherwise(_word_sets(words, least))
+
+
+def _largest_sets(wanted: DataFrame, counted: DataFrame, keys: Sequence[str], id: str) -> DataFrame:
+    """Per `id`: the size n of its largest sets that occur in `counted`, and the races that have one of them.
+
+    `counted` has one row per set, so nothing is listed per race, however many races share it.
+    """
+    met = skew_join(wanted, counted, [*keys, "n", "shared_words"], "inner")
+    return met.groupBy(id, "n").agg(F.sum("races").alias("races"), F.min("race").alias("race")).groupBy(id).agg(
+        F.max_by(F.struct("n", "races", "race"), "n").alias("largest")
+    ).select(id, F.col("largest.n").alias("shared"), F.col("largest.races").alias("races"), F.col("largest.race").alias("race"))
+
+
 def overlap_matches(names: DataFrame, planning: DataFrame) -> DataFrame:
     """Best race by shared words, date and prefix, when it is good enough and beats every other.
 
     Score: (shared words + date bonus + prefix bonus, shared words, date bonus); the bonus is 3 on
     a race day and 1 when the observed name starts with the race name. The first part must reach 3
-    and the score be strictly above the runner-up's. Only candidates reaching 3 can decide that:
-    three shared words; two on a race day; a name that is a prefix; or one word on a race day.
+    and the score be strictly above the runner-up's.
+
+    Races are counted per set of words that names share, over the season and per race day. A race that shares
+    the most words, n, with an observed name has exactly one of the name's sets of n words, so the sums of their counts say
+    whether the best race is the only one. Sets of fewer words also hold races that score higher, but then those decide.
+    Only pairs with a prefix, and pairs with a name of more than MOST_WORDS words, are listed.
     """
     observation = [_SEASON, "normalized_name", "observed_date"]
     candidate = ["normalized_race_name", "start_date", "end_date"]
@@ -145,33 +177,44 @@ def overlap_matches(names: DataFrame, planning: DataFrame) -> DataFrame:
 
     def numbered(rows: DataFrame, name: str, id: str) -> DataFrame:
         """Distinct (season, name) with their words and a number; written, so the numbers stay."""
-        distinct = rows.select(_SEASON, F.col(name).alias("name")).distinct().withColumn("words", tokens_of(F.col("name")))
+        distinct = rows.select(_SEASON, F.col(name).alias("name")).distinct()
+        distinct = distinct.withColumn("words", F.array_sort(F.array_distinct(tokens_of(F.col("name"))))).withColumn("long", F.size("words") > MOST_WORDS)
         return checkpointed(distinct.where(F.size("words") > 0).withColumn(id, F.monotonically_increasing_id()))
 
     seen, listed = numbered(observed, "normalized_name", "seen_id"), numbered(candidates, "normalized_race_name", "listed_id")
     # Pairs carry numbers only; names, dates and words are joined to what is left of them.
     observed = checkpointed(observed.join(seen.select(_SEASON, F.col("name").alias("normalized_name"), "seen_id"), [_SEASON, "normalized_name"]).withColumn("observed_id", F.monotonically_increasing_id()))
     candidates = checkpointed(candidates.join(listed.select(_SEASON, F.col("name").alias("normalized_race_name"), "listed_id"), [_SEASON, "normalized_race_name"]).withColumn("candidate_id", F.monotonically_increasing_id()))
-    dated = observed.where(F.col("day").isNotNull()).select(_SEASON, "observed_id", "seen_id", "day")
-    days = candidates.where(F.col("start_date") <= F.col("end_date")).select(_SEASON, "candidate_id", "listed_id", "races", "race", F.explode(F.sequence("start_date", "end_date")).alias("day"))
-    frequency = listed.select(_SEASON, F.explode("words").alias("word")).groupBy(_SEASON, "word").agg(F.count(F.lit(1)).alias("frequency"))
+    score = lambda date_bonus, prefix: F.struct((F.col("shared") + date_bonus + prefix).alias("total"), F.col("shared"), date_bonus.alias("date_bonus"))
+    counts = [F.sum("races").alias("races"), F.min("race").alias("race")]
+
+    # Over the season: only three shared words or more reach the least score.
+    per_name = candidates.groupBy("listed_id").agg(*counts).join(listed, "listed_id")
+    in_season = per_name.select(_SEASON, "races", "race", F.inline(_sets_of_names(F.col("words"), F.col("long"), 3))).groupBy(_SEASON, "n", "shared_words").agg(*counts)
+    wanted = seen.select(_SEASON, "seen_id", F.inline(_sets_of_names(F.col("words"), F.col("long"), 3)))
+    by_season = _largest_sets(wanted, in_season, [_SEASON], "seen_id").join(observed.select("seen_id", "observed_id"), "seen_id")
+    by_season = by_season.select("observed_id", "races", "race", score(F.lit(0), F.lit(0)).alias("score"))
 
-    def rare(skipped: int) -> tuple[DataFrame, DataFrame]:
-        return _rarer_words(seen, "seen_id", frequency, skipped), _rarer_words(listed, "listed_id", frequency, skipped)
-
-    ours, theirs = rare(2)
-    by_name = ours.join(theirs, [_SEASON, "word"]).select("seen_id", "listed_id").union(_prefix_pairs(seen, listed)).distinct()
-    on_names = by_name.join(observed.select("seen_id", "observed_id"), "seen_id").join(candidates.select("listed_id", "candidate_id"), "listed_id")
-    ours, theirs = rare(1)
-    on_days = (
-        dated.join(ours, [_SEASON, "seen_id"])
-        .join(days.select(_SEASON, "candidate_id", "listed_id", "day").join(theirs, [_SEASON, "listed_id"]), [_SEASON, "day", "word"])
-        .select("listed_id", "seen_id", "observed_id", "candidate_id")
+    # On a race day: one shared word is enough, so names are first cut to the words of that day.
+    dated = observed.where(F.col("day").isNotNull()).select(_SEASON, "observed_id", "seen_id", "day")
+    days = candidates.where(F.col("start_date") <= F.col("end_date")).select(
+        "listed_id", "races", "race", F.explode(F.sequence("start_date", "end_date")).alias("day")
     )
-    listed_pairs = checkpointed(on_names.select("listed_id", "seen_id", "observed_id", "candidate_id").union(on_days).distinct())
-    # Words are compared once for each pair of names.
+    on_day = days.join(listed.select(_SEASON, "listed_id", F.inline(_sets_of_names(F.col("words"), F.col("long"), 1))), "listed_id")
+    on_day = checkpointed(on_day.groupBy(_SEASON, "day", "n", "shared_words").agg(*counts))
+    day_words = on_day.where("n = 1").select(_SEASON, "day", F.rtrim("shared_words").alias("word"))
+    met = skew_join(dated.join(seen.select("seen_id", "long", F.explode("words").alias("word")), "seen_id"), day_words, [_SEASON, "day", "word"], "left_semi")
+    met = met.groupBy(_SEASON, "day", "observed_id", "long").agg(F.array_sort(F.collect_list("word")).alias("words"))
+    wanted = met.select(_SEASON, "day", "observed_id", F.inline(_sets_of_names(F.col("words"), F.col("long"), 1)))
+    by_day = _largest_sets(wanted, on_day, [_SEASON, "day"], "observed_id").select("observed_id", "races", "race", score(F.lit(3), F.lit(0)).alias("score"))
+
+    # Listed pairs: prefixes, and names of many words that share at least two.
+    frequency = listed.select(_SEASON, F.explode("words").alias("word")).groupBy(_SEASON, "word").agg(F.count(F.lit(1)).alias("frequency"))
+    rare = lambda sets, id: _rarer_words(sets, id, frequency, 1)
+    sharing = rare(seen.where("long"), "seen_id").join(rare(listed, "listed_id"), [_SEASON, "word"]).select("seen_id", "listed_id")
+    sharing = sharing.union(rare(seen.where("NOT long"), "seen_id").join(rare(listed.where("long"), "listed_id"), [_SEASON, "word"]).select("seen_id", "listed_id"))
     compared = (
-        listed_pairs.select("seen_id", "listed_id").distinct()
+        _prefix_pairs(seen, listed).union(sharing).distinct()
         .join(seen.select("seen_id", F.col("name").alias("normalized_name"), F.col("words").alias("ours")), "seen_id")
         .join(listed.select("listed_id", F.col("name").alias("normalized_race_name"), F.col("words").alias("theirs")), "listed_id")
         .select(
@@ -180,35 +223,19 @@ def overlap_matches(names: DataFrame, planning: DataFrame) -> DataFrame:
         )
         .where("shared > 0")
     )
-    on_day = F.coalesce(F.col("day").between(F.col("start_date"), F.col("end_date")), F.lit(False))
-    scored = (
-        listed_pairs.join(compared, ["seen_id", "listed_id"])
-        .join(observed.select(*observation, "observed_id", "day"), "observed_id")
-        .join(candidates.select("candidate_id", "start_date", "end_date", "races", "race"), "candidate_id")
-        .select(*observation, "races", "race", "shared", F.when(on_day, F.lit(3)).otherwise(F.lit(0)).alias("date_bonus"), "prefix")
-    )
-
-    # One shared word on a race day scores (4, 1, 3). It only matters when no race shares two words
-    # or a prefix on that day, and then every race of the day shares exactly one word: counting
-    # them per (day, word) is exact and lists no pairs.
-    cells = days.join(listed.select("listed_id", F.explode("words").alias("word")), "listed_id").groupBy(_SEASON, "day", "word").agg(
-        F.sum("races").alias("races"), F.min("race").alias("race")
-    )
-    one_word = (
-        dated.join(seen.select("seen_id", F.explode("words").alias("word")), "seen_id")
-        .join(cells, [_SEASON, "day", "word"])
-        .groupBy("observed_id")
-        .agg(F.sum("races").alias("races"), F.min("race").alias("race"))
-        .join(observed.select(*observation, "observed_id"), "observed_id")
-        .select(*observation, "races", "race", F.lit(1).alias("shared"), F.lit(3).alias("date_bonus"), F.lit(0).alias("prefix"))
+    within = F.coalesce(F.col("day").between(F.col("start_date"), F.col("end_date")), F.lit(False))
+    pairs = (
+        compared.join(observed.select("seen_id", "observed_id", "day"), "seen_id")
+        .join(candidates.select("listed_id", "start_date", "end_date", "races", "race"), "listed_id")
+        .withColumn("date_bonus", F.when(within, F.lit(3)).otherwise(F.lit(0)))
+        # a pair without a prefix that shares one word on its day is counted already
+        .where(~((F.col("shared") == 1) & (F.col("date_bonus") == 3) & (F.col("prefix") == 0)))
+        .select("observed_id", "races", "race", score(F.col("date_bonus"), F.col("prefix")).alias("score"))
     )
-    # A listed pair with one shared word on its day is in the count already.
-    several = scored.where(~((F.col("shared") == 1) & (F.col("date_bonus") == 3) & (F.col("prefix") == 0)))
-    score = F.struct((F.col("shared") + F.col("date_bonus") + F.col("prefix")).alias("total"), F.col("shared"), F.col("date_bonus"))
-    reached = several.unionByName(one_word).withColumn("score", score).where("score.total >= 3")
-    per_score = reached.groupBy(*observation, "score").agg(F.sum("races").alias("races"), F.min("race").alias("race"))
-    best = per_score.groupBy(*observation).agg(F.max_by(F.struct("races", "race"), "score").alias("best")).where("best.races = 1")
-    return best.select(
+    reached = by_season.union(by_day).union(pairs).where("score.total >= 3")
+    per_score = reached.groupBy("observed_id", "score").agg(*counts)
+    best = per_score.groupBy("observed_id").agg(F.max_by(F.struct("races", "race"), "score").alias("best")).where("best.races = 1")
+    return best.join(observed, "observed_id").select(
         *observation, F.col("best.race.race_id").alias("overlap_race_id"), F.col("best.race.race_name").alias("overlap_name")
     )
 

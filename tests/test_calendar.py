@@ -63,6 +63,50 @@ def test_overlap_matches_equal_brute_force(spark):
         assert got.get((name, day)) == brute_force(name, date.fromisoformat(day) if day else None, planned), (name, day)
 
 
+def matched_as_by_hand(spark, planned, observed):
+    calendar = spark.createDataFrame([(i, n, s, e, 2026, n) for i, n, s, e in planned], "race_id long, race_name string, start_date date, end_date date, planning_year int, normalized_race_name string")
+    names = spark.createDataFrame([(2026, n, d) for n, d in observed], "planning_year int, normalized_name string, observed_date string")
+    got = {(r.normalized_name, r.observed_date): r.overlap_race_id for r in matching.overlap_matches(names, calendar).collect()}
+    for name, day in observed:
+        assert got.get((name, day)) == brute_force(name, date.fromisoformat(day) if day else None, planned), (name, day)
+    return got
+
+
+def test_overlap_of_long_names_and_common_words(spark, monkeypatch):
+    """Names on both sides of the limit, all with the same three words, with prefixes and repeated words."""
+    monkeypatch.setattr(matching, "MOST_WORDS", 5)
+    rng = random.Random(12)
+    vocabulary = [f"word{i}" for i in range(9)]
+    phrase = lambda: " ".join(["alpha", "beta", "gamma", *(rng.choice(vocabulary) for _ in range(rng.randrange(0, 6)))])
+    day = lambda: date(2026, 1, 1) + timedelta(days=rng.randrange(25))
+    planned = [(i, phrase(), start, start + timedelta(days=rng.randrange(3))) for i, start in enumerate(day() for _ in range(50))]
+    planned += [(90, "alpha beta gamma", None, None), (91, planned[0][1], planned[0][2], planned[0][2]), (92, "solo", day(), date(2026, 2, 1))]
+    observed = {(phrase(), rng.choice(["", str(day())])) for _ in range(150)}
+    observed |= {(p[1] + " word1 extra", rng.choice(["", str(p[2] or day())])) for p in planned} | {("solo gamma", "2026-01-30"), ("nothing", "2026-01-05")}
+    got = matched_as_by_hand(spark, planned, sorted(observed))
+    assert len(got) > 20
+
+
+def test_overlap_lists_no_pairs_of_common_words(spark):
+    """A thousand races and a thousand names that share three words: what is joined grows with the names, not with the pairs."""
+    planned = [(i, f"alpha beta gamma own{i}", date(2026, 1, 1), date(2026, 1, 2)) for i in range(1000)]
+    observed = [(f"gamma alpha beta other{i} own{i}", "2026-01-01" if i % 2 else "") for i in range(1000)]
+    calendar = spark.createDataFrame([(i, n, s, e, 2026, n) for i, n, s, e in planned], "race_id long, race_name string, start_date date, end_date date, planning_year int, normalized_race_name string")
+    names = spark.createDataFrame([(2026, n, d) for n, d in observed], "planning_year int, normalized_name string, observed_date string")
+    joined = []
+    largest = matching._largest_sets
+
+    def counted(wanted, sets, keys, id):
+        joined.append(matching.skew_join(wanted, sets, [*keys, "n", "shared_words"], "inner").count())
+        return largest(wanted, sets, keys, id)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(matching, "_largest_sets", counted)
+        got = matching.overlap_matches(names, calendar).collect()
+    assert {(r.normalized_name, r.overlap_race_id) for r in got} == {(name, i) for i, (name, _) in enumerate(observed)}
+    assert max(joined) <= 16 * len(observed)
+
+
 def test_cascade_and_calendar(spark):
     planned = spark.createDataFrame(
         [(97, "GP la Marseillaise", "1.1", "01.02", 2, 2026), (5, "Étoile de Bessèges", "2.1", "04.02-08.02", 2, 2026), (6, "Clásica Almería", "1.Pro", "08.02", 2, 2026)], PLANNED
