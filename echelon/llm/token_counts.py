@@ -2,15 +2,18 @@
 
 A text of at most `chunk` code points is encoded at once. A longer one is encoded in chunks that overlap. Both encodings
 carry offsets; they are spliced at a boundary that both have and that provably stands in the encoding of the whole text:
-white space right after a letter or digit. No match of the pre-tokenizer's pattern holds a letter or digit followed by
-white space, so one match ends and another begins there whatever surrounds it. If the overlap has no such place, it is
-widened step by step, at last to the whole of both chunks, which are then encoded as one.
+after a letter or digit that something of another kind follows (white space, a mark, punctuation, a digit after a letter).
+No match of the pre-tokenizer's pattern goes on there, it has no look-behind, and its look-ahead concerns white space only;
+so one match ends and another begins there whatever surrounds it. Only code points whose kind never changed between
+versions of Unicode count. If the overlap has no such place, it is widened to the last one of the left chunk; if that
+chunk has none at all, both are encoded as one, and the next chunk is as long as both, so that the work stays linear.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
 from functools import lru_cache
+from unicodedata import category, ucd_3_2_0
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -53,10 +56,27 @@ class Encoded:
         return count if not count or self.ends[count - 1] <= place else None
 
 
-def splice(text: str, left: Encoded, right: Encoded) -> tuple[int, int, int] | None:
+@lru_cache(maxsize=1 << 16)
+def kind(char: str) -> str | None:
+    """The first letter of the general category (white space: Z), None if it changed or may yet change."""
+    if char in "\t\n\r":
+        return "Z"
+    now = category(char)[0]
+    return now if now == ucd_3_2_0.category(char)[0] != "C" else None
+
+
+def stands(text: str, place: int, special: tuple[str, ...]) -> bool:
+    """Whether a match of the pattern provably ends before text[place], whatever surrounds it; not within a special string."""
+    before = kind(text[place - 1])
+    if before not in ("L", "N") or kind(text[place]) in (before, None):
+        return False
+    return all(text.find(one, max(0, place - len(one) + 1), place + len(one) - 1) < 0 for one in special)
+
+
+def splice(text: str, left: Encoded, right: Encoded, special: tuple[str, ...]) -> tuple[int, int, int] | None:
     """The last stable boundary in the overlap, and the numbers of tokens before it in `left` and `right`."""
     for place in range(left.end - 1, right.start, -1):
-        if text[place] in " \n" and text[place - 1].isalnum():
+        if stands(text, place, special):
             counts = left.before(place), right.before(place)
             if None not in counts:
                 return place, *counts
@@ -65,22 +85,27 @@ def splice(text: str, left: Encoded, right: Encoded) -> tuple[int, int, int] | N
 
 def count_long(tokenizer, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
     """Tokens of a text of any length, encoded chunk by chunk."""
-    total, skipped = 0, 0
+    total, skipped, size = 0, 0, chunk
+    special = tuple(one.content for one in tokenizer.get_added_tokens_decoder().values())
     left = Encoded(tokenizer, text, 0, min(chunk, len(text)))
     while left.end < len(text):
-        end, width = min(left.end + chunk, len(text)), overlap
+        end = min(left.end + size, len(text))
+        last = next((place for place in range(left.end - 1, left.start, -1) if stands(text, place, special) and left.before(place) is not None), left.start)
+        width = max(overlap, 2 * (left.end - last))
         while True:
             start = max(left.start, left.end - width)
             right = Encoded(tokenizer, text, start, end)
-            found = splice(text, left, right) if start > left.start else None
+            found = splice(text, left, right, special) if start > left.start else None
             if found or start == left.start:
                 break
             width *= 4
         if found:
             _, kept, dropped = found
             total += kept - skipped
-            skipped = dropped
-        # else: both chunks were encoded as one, which starts where `left` did, so `skipped` still holds
+            skipped, size = dropped, chunk
+        else:
+            # both chunks were encoded as one, which starts where `left` did, so `skipped` still holds
+            size = right.end - right.start
         left = right
     return total + len(left) - skipped
 

@@ -103,3 +103,38 @@ def test_token_counts(awkward):
     assert rows_of(token_counts.token_counts(awkward)) == sorted(want, key=repr)
     assert len(LONG) > token_counts.CHUNK
     assert rows_of(token_counts.token_counts(awkward, chunk=1000, overlap=16)) == sorted(want, key=repr)
+
+
+SPACELESS = "\u6f22\u5b57\u3002" * 400
+UNBROKEN = "\u6f22\u5b57" * 600
+SPECIAL = "a<|endoftext|>b'll9\u0301 <|endoftext|>\u3002\u6f22" * 60
+
+
+@pytest.mark.parametrize("text", [SPACELESS, UNBROKEN, SPECIAL, UNBROKEN + SPACELESS + "x " * 300 + UNBROKEN, "e\u0301" * 700, "a1" * 900, "it's'" * 300, "!" * 900 + "a"])
+@pytest.mark.parametrize("sizes", [(64, 20), (200, 32)])
+def test_splices_without_spaces_equal_library(text, sizes):
+    tokenizer = token_counts.load(JSON)
+    assert token_counts.count_long(tokenizer, text, *sizes) == len(tokenizer.encode(text, add_special_tokens=False))
+
+
+def test_splices_of_drawn_texts_equal_library():
+    numbers = random.Random(8)
+    tokenizer = token_counts.load(JSON)
+    for _ in range(300):
+        text = "".join(drawn(numbers, 60) for _ in range(8)) + numbers.choice(["", "<|endoftext|>", "<|endo"]) + drawn(numbers, 60)
+        assert token_counts.count_long(tokenizer, text, 40, 15) == len(tokenizer.encode(text, add_special_tokens=False)), text
+
+
+@pytest.mark.parametrize("piece", ["\u6f22\u5b57\u3002", "\u6f22", "word ", "1a", "! "])
+def test_long_texts_are_encoded_a_bounded_number_of_times(piece, monkeypatch):
+    sizes = []
+    encoded = token_counts.Encoded
+
+    def counted(tokenizer, text, start, end):
+        sizes.append(end - start)
+        return encoded(tokenizer, text, start, end)
+
+    monkeypatch.setattr(token_counts, "Encoded", counted)
+    text = piece * (40_000 // len(piece))
+    token_counts.count_long(token_counts.load(JSON), text, 1000, 50)
+    assert sum(sizes) < 5 * len(text)
