@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from echelon.constants import OBJECTIVE_WEIGHTS, OPPORTUNITY_SOURCES, OPPORTUNITY_WEIGHTS
 from echelon.functions.columns import last_known, normalised, total, with_defaults, year_list
 from echelon.operators.ranking import expanding_percentile_scores, rank_correlation
-from echelon.operators.spread import arrange, checkpointed
+from echelon.operators.spread import Arranged, arrange, checkpointed
 from echelon.operators.targets import COMPONENT_SCORES, with_category_history
 
 _OUTCOMES = {
@@ -111,11 +111,15 @@ def with_actual_ranks(folds: DataFrame) -> DataFrame:
     return _ranked(placed, "actual")
 
 
-def _ranked(placed, name: str) -> DataFrame:
+def _ranked(placed: Arranged, name: str, years: DataFrame | None = None, kept: Mapping[str, Column] | None = None) -> DataFrame:
+    """Ranks along the order; `years` brings columns of a test year and `kept` says what to keep of the order."""
     position = F.col("_position")
     placed = placed.running("_position", "sum", F.lit(1)).wholes({"_first": ("min", position), "_last": ("max", position)}, within=["_o0"])
+    if years is not None:
+        placed = Arranged(placed.df.join(years, ["test_year"]), placed.keys, placed.order)
     return placed.with_columns(
         {
+            **(kept or {}),
             f"{name}_average_rank": (F.col("_first") + F.col("_last")) / F.lit(2.0),
             f"{name}_rank": F.col("_first"),
             f"{name}_top": F.col("_position") <= F.col("top_k"),
@@ -127,12 +131,16 @@ def scored_folds(folds: DataFrame, candidates: Sequence[Mapping[str, float]]) ->
     """Every race of every fold under every candidate with predicted and actual ranks.
 
     The candidates are a short literal list inside the plan. Outcome ranks do not depend on the candidate and are
-    computed before the rows are multiplied; only what the metrics need is multiplied. `fold_detail` joins the rest back.
+    computed before the rows are multiplied; only what the metrics need is multiplied, and a row carries its score and history
+    once, as its place in the order. What holds for a whole test year is joined from one row per year. `fold_detail` joins the
+    rest back.
     """
-    slim = folds.select("test_year", "target_history_id", "races_compared", "top_k", "actual_points_efficiency", *COMPONENT_SCORES.values())
-    each = with_actual_ranks(slim).select("*", F.posexplode(_candidate_literal(candidates)).alias("candidate_id", "_weights"))
-    each = each.withColumn("predicted_score", predicted_score(F.col("_weights"))).drop("_weights", *COMPONENT_SCORES.values())
-    return _ranked(arrange(each, ["candidate_id", "test_year"], [-F.col("predicted_score"), F.col("target_history_id")]), "predicted")
+    slim = folds.select("test_year", "target_history_id", "top_k", "actual_points_efficiency", *COMPONENT_SCORES.values())
+    each = with_actual_ranks(slim).drop("top_k").select("*", F.posexplode(_candidate_literal(candidates)).alias("candidate_id", "_weights"))
+    each = each.withColumn("_score", predicted_score(F.col("_weights"))).drop("_weights", *COMPONENT_SCORES.values())
+    placed = arrange(each, ["candidate_id", "test_year"], [-F.col("_score"), F.col("target_history_id")], leave_out=["_score", "target_history_id"])
+    years = F.broadcast(folds.groupBy("test_year").agg(F.max("races_compared").alias("races_compared"), F.max("top_k").alias("top_k")))
+    return _ranked(placed, "predicted", years, {"predicted_score": -F.col("_o0"), "target_history_id": F.col("_o1")})
 
 
 def fold_metrics(scored: DataFrame) -> DataFrame:

@@ -109,8 +109,12 @@ class Arranged:
         combine = {"sum": F.sum, "min": F.min, "max": F.max}
         here, group = Window.partitionBy(*self._groups(within)), Window.partitionBy(*self.keys, *within)
         local = {name: combine[how](value).over(here) for name, (how, value) in columns.items()}
-        # Groups that lie in several slices: at most two of them touch any slice.
-        parts = self.df.groupBy(*self._groups(within)).agg(*[combine[how](value).alias(f"_part_{name}") for name, (how, value) in columns.items()])
+        # Groups that lie in several slices are the first or the last of each: only those are gathered.
+        edge = F.struct(*self.keys, *within)
+        edges = self.df.groupBy("_slice").agg(F.min(edge).alias("_lowest"), F.max(edge).alias("_highest"))
+        edges = edges.withColumnRenamed("_slice", "_edge_slice")
+        outer = self.df.join(F.broadcast(edges), F.col("_slice") == F.col("_edge_slice")).where(edge.eqNullSafe(F.col("_lowest")) | edge.eqNullSafe(F.col("_highest")))
+        parts = outer.groupBy(*self._groups(within)).agg(*[combine[how](value).alias(f"_part_{name}") for name, (how, value) in columns.items()])
         carried = {f"_carry_{name}": combine[how](f"_part_{name}").over(group) for name, (how, _) in columns.items()}
         spanning = parts.withColumns({"_slices": F.count(F.lit(1)).over(group), **carried}).where("_slices > 1")
         spanning = spanning.drop("_slices", *[f"_part_{name}" for name in columns])
@@ -123,13 +127,13 @@ class Arranged:
         return self.df.drop(*helpers, *extra, "_slice")
 
 
-def arrange(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> Arranged:
+def arrange(df: DataFrame, keys: Sequence[str], order: Sequence[Column], leave_out: Sequence[str] = ()) -> Arranged:
     """Prepare `df` for scans over `order` within `keys`.
 
     `order` holds ascending expressions that together are unique within a key, so
-    that a hot key can be cut anywhere.
+    that a hot key can be cut anywhere. Columns that only the order needs can be left out of what is written.
     """
-    prepared = df.withColumns({f"_o{i}": expression for i, expression in enumerate(order)})
+    prepared = df.withColumns({f"_o{i}": expression for i, expression in enumerate(order)}).drop(*leave_out)
     names = [f"_o{i}" for i in range(len(order))]
     slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = prepared.repartitionByRange(slices, *keys, *names).withColumn("_slice", F.spark_partition_id())
