@@ -222,7 +222,9 @@ def test_cascade_is_exact(spark, monkeypatch):
 
 
 def test_plans_of_native_operators_run_no_python(spark, awkward, capsys):
-    for frame in (line_dedup.line_report(awkward), secret_scan.scan_documents(awkward)[0], fingerprints.fingerprint_documents(awkward)):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    judged_pages = url_filter.judge_urls(pages, url_filter.tracked_hosts(pages), queries.URL_RULES)
+    for frame in (line_dedup.line_report(awkward), secret_scan.scan_documents(awkward)[0], fingerprints.fingerprint_documents(awkward), judged_pages):
         frame.explain()
         assert not re.search("Python|Pandas|Arrow", capsys.readouterr().out)
 
