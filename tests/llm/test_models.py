@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from echelon.llm import decontamination, lm_scoring, near_dedup, toxicity
-from echelon.llm.common import word_hashes
+from echelon.llm.common import pieces, word_hashes
 from tests.llm.conftest import rows_of
 
 WORD = re.compile(r"[^\W_]+")
@@ -382,16 +382,46 @@ def test_rare_words_and_bigrams_count_at_every_size(spark):
 
 
 def test_probabilities_sum_to_one(spark):
+    """Texts of one and of two words give P(a) and P(a) P(b | a); over all b the latter add up to the former."""
     numbers = random.Random(11)
-    docs = spark.createDataFrame([(i, prose(numbers, 30)) for i in range(30)], "doc_id bigint, text string")
-    models = lm_scoring.train(docs, docs.where("doc_id < 9"), word_share=80, bigram_share=150)
-    size = len(models.vocabulary) + lm_scoring.FIRST
-    words = np.array([w for w in range(size) if w != lm_scoring.START])
-    assert 2 < size < len(VOCABULARY) and 0 < len(models.target.pairs)
-    prepared = {"target": models.target.prepared(), "background": models.background.prepared()}
-    for history in range(size):
-        for losses in models.losses(np.full(len(words), history), words, prepared):
-            assert abs(np.exp(-losses).sum() - 1) < 0.03
+    some = VOCABULARY[:12]
+    texts = [" ".join(numbers.choices(some, k=30)) for _ in range(30)] + some + [f"{a} {b}" for a in some for b in some]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    losses = {texts[row.doc_id]: row for row in lm_scoring.cross_entropy_difference(docs, docs.where("doc_id < 9")).collect()}
+    for name in ("target_loss", "background_loss"):
+        for a in some:
+            both = sum(np.exp(-2 * losses[f"{a} {b}"][name]) for b in some)
+            assert abs(both / np.exp(-losses[a][name]) - 1) < 0.03
+
+
+@pytest.mark.parametrize("tokens, keys", [(2_000_000, 1_000_000), (400, 3000)])
+def test_losses_of_awkward_rows(spark, awkward, nothing, monkeypatch, tokens, keys):
+    """Also in many small batches and buckets."""
+    monkeypatch.setattr(lm_scoring, "TOKENS", tokens)
+    monkeypatch.setattr(lm_scoring, "KEYS", keys)
+    short = awkward.where("doc_id IS NULL OR doc_id <> 6")  # the counts by hand are slow
+    rows = short.collect()
+    target = awkward.where("doc_id < 3")
+    got = sorted(map(tuple, lm_scoring.cross_entropy_difference(short, target).collect()), key=repr)
+    known = {row.text: hand for row, hand in zip(rows, losses_by_hand([row.text for row in rows], [row.text for row in target.collect()]), strict=True)}
+    want = sorted(((row.doc_id, *known[row.text]) for row in rows), key=repr)
+    assert [row[:2] for row in got] == [row[:2] for row in want]
+    assert np.allclose([row[2:] for row in got], [row[2:] for row in want])
+    alone = lm_scoring.cross_entropy_difference(awkward, nothing).collect()
+    assert len(alone) == awkward.count() and len({round(row.target_loss, 9) for row in alone if row.n_tokens}) == 1
+    assert lm_scoring.cross_entropy_difference(nothing, awkward).count() == 0
+
+
+def test_good_texts_by_labels_repeated_or_null(spark, awkward):
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (2, None), (None, 1), (4, 1), (99, 1)], "doc_id bigint, quality int")
+    texts = [row.text for row in awkward.where("doc_id IN (1, 4)").collect()]
+    assert sorted(row.text for row in lm_scoring.good_texts(awkward, labels).collect()) == sorted(texts)
+
+
+def test_packed_numbers():
+    for values in ([], [0], [2**64 - 1, 0, 255, 256], list(range(70_000))):
+        numbers = np.array(values, np.uint64)
+        assert lm_scoring.unpacked(lm_scoring.packed(numbers), len(numbers)).tolist() == values
 
 
 def test_sliced_arrays(spark):
@@ -399,9 +429,7 @@ def test_sliced_arrays(spark):
     whole = near_dedup._signed(words, 3, 2).to_pylist()
     assert near_dedup._signed(words.slice(1), 3, 2).to_pylist() == whole[1:]
     assert [(len(one["bands"]), len(one["sketch"])) for one in whole] == [(3, 6), (3, 6), (0, 0), (3, 6)]
-    assert [one.to_pylist() for most in (1, 3, 99) for one in lm_scoring.pieces(words.slice(1), most)] == [[[4, 5]], [[]], [[6, 7, 8, 9]], [[4, 5], []], [[6, 7, 8, 9]], [[4, 5], [], [6, 7, 8, 9]]]
-    history, word, lengths = lm_scoring.bigrams(words.slice(1), np.array([4, 6, 7]))
-    assert history.tolist() == [1, 2, 1, 3, 4, 0] and word.tolist() == [2, 0, 3, 4, 0, 0] and lengths.tolist() == [2, 0, 4]
+    assert [one.to_pylist() for most in (1, 3, 99) for one in pieces(words.slice(1), most)] == [[[4, 5]], [[]], [[6, 7, 8, 9]], [[4, 5], []], [[6, 7, 8, 9]], [[4, 5], [], [6, 7, 8, 9]]]
 
 
 def test_pipeline_equals_its_stages_by_brute_force(spark, tmp_path):
