@@ -46,6 +46,17 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def stored_and_released(frame: DataFrame, name: str) -> DataFrame:
+    """`stored`, and the shuffles that the writing needed leave the disks at its end; for frames that nothing else runs."""
+    conf, key = frame.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, None)
+    conf.set(key, "true")
+    try:
+        return stored(frame, name)
+    finally:
+        conf.unset(key) if before is None else conf.set(key, before)
+
+
 def token_path(name: str) -> str:
     import public_tokenizers
 

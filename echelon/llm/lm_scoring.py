@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from echelon.llm.common import pieces, stored, text_of, word_hashes
+from echelon.llm.common import pieces, stored_and_released, text_of, word_hashes
 
 DISCOUNT = 0.75
 #: The history of a document's first word, among word hashes.
@@ -166,7 +166,7 @@ def _told_all(asked: DataFrame, kinds: int, name: str) -> DataFrame:
     def told(key: tuple, rows: pa.Table) -> pa.Table:
         return _told(key, rows, kinds)
 
-    return stored(asked.groupBy("bucket").applyInArrow(told, _TOLD), name)
+    return stored_and_released(asked.groupBy("bucket").applyInArrow(told, _TOLD), name)
 
 
 def _met(batches: DataFrame, told: DataFrame, work: Callable[[Batch, pa.Table], pa.Table], schema: str) -> DataFrame:
@@ -212,7 +212,7 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, id: str = "doc_
     """
     kind = docs.select(id).schema[0].dataType.simpleString()
     corpora = docs.select(F.col(id).alias("id"), word_hashes(text).alias("words")), target.select(F.lit(None).cast(kind).alias("id"), word_hashes(text).alias("words"))
-    batches = stored(_batches(corpora[0], kind, False).union(_batches(corpora[1], kind, True)), "tokens")
+    batches = stored_and_released(_batches(corpora[0], kind, False).union(_batches(corpora[1], kind, True)), "tokens")
     odd = F.col("batch") % 2 == 1
     sums = {"target": F.when(odd, F.col("n_tokens")), "background": F.when(~odd, F.col("n_tokens")), "tokens": F.col("n_tokens"), "words": F.col("n_words")}
     size = batches.agg(*[F.coalesce(F.sum(value), F.lit(0)).alias(name) for name, value in sums.items()]).first().asDict()
