@@ -49,8 +49,9 @@ def _row_key(id: Column, text: Column) -> list[Column]:
 def line_keys(docs: DataFrame, id: str = "doc_id", text: str = "text", least_chars: int = 1) -> DataFrame:
     """One row per row of `docs` and distinct line key of at least `least_chars` code points: row1, row2, key1, key2."""
     value = text_of(text)
+    # texts are compared by hashing them, structs of hashes would be compared pair by pair
     keys = F.filter(F.transform(F.split(_lowered(value), "\n", -1), line_key), lambda key: F.char_length(key) >= least_chars)
-    each = docs.select(*_row_key(F.col(id), value), F.explode(F.array_distinct(F.transform(keys, _hashed))).alias("line"))
+    each = docs.select(*_row_key(F.col(id), value), F.explode(F.transform(F.array_distinct(keys), _hashed)).alias("line"))
     return each.select("row1", "row2", "line.key1", "line.key2")
 
 
@@ -91,16 +92,27 @@ def _write_run(keys: DataFrame) -> str:
     return path
 
 
+def _found(ordered: Column, steps: Column, value: Column) -> Column:
+    """Whether a sorted array has the value, by halving: `steps` are falling powers of two, the first at least its size."""
+
+    def advance(at: Column, step: Column) -> Column:
+        return F.when(F.get(ordered, at + step - 1) <= value, at + step).otherwise(at)
+
+    # beyond the end `get` gives null, which is no step
+    return F.coalesce(F.get(ordered, F.aggregate(steps, F.lit(0), advance) - 1) == value, F.lit(False))
+
+
 def strip_lines(docs: DataFrame, lines: DataFrame, keys: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """Every row of `docs` as `doc` (all its columns) with the `kept` lines, without those whose key is in `keys`.
 
     `lines` has the line keys of `docs`. Only keys that go travel back to their documents.
     """
-    gone = lines.join(keys.hint("merge"), list(KEY), "left_semi").groupBy("row1", "row2").agg(F.collect_set(F.struct(*KEY)).alias("gone"))
+    gone = lines.join(keys.hint("merge"), list(KEY), "left_semi").groupBy("row1", "row2").agg(F.sort_array(F.collect_set(F.struct(*KEY))).alias("gone"))
     value = text_of(F.col(f"doc.{text}"))
     packed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("doc"), *_row_key(F.col(id), text_of(text)))
     met = packed.join(gone, ["row1", "row2"], "left")
-    kept = F.filter(lines_of(value), lambda line: ~F.array_contains(F.col("gone"), _hashed(line_key(_lowered(line)))))
+    steps = F.transform(F.sequence(F.ceil(F.log2(F.size("gone") + 1)).cast("int"), F.lit(0)), lambda bit: F.call_function("shiftleft", F.lit(1), bit))
+    kept = F.filter(lines_of(value), lambda line: ~_found(F.col("gone"), steps, _hashed(line_key(_lowered(line)))))
     return met.select("doc", F.when(F.col("gone").isNull(), lines_of(value)).otherwise(kept).alias("kept"))
 
 

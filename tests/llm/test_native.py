@@ -42,6 +42,8 @@ def test_lines(spark, awkward, nothing):
         assert rows_of(line_dedup.line_report(docs, least)) == stripped(rows, least)
     same = [(row.doc_id, row.text) for row in awkward.collect()]
     assert rows_of(line_dedup.line_report(awkward, 3)) == stripped(same, 3)
+    long = [(i, "\n".join(f"line {j}" for j in range(20_000)) + f"\nown {i}") for i in range(3)] + [(9, "LINE 7\nb\n line 19999")]
+    assert rows_of(line_dedup.line_report(spark.createDataFrame(long, "doc_id bigint, text string"), 3)) == stripped(long, 3)
     assert line_dedup.line_report(nothing).count() == 0
     whole = line_dedup.dedup_lines(awkward, 3).select("doc.*")
     assert whole.columns == awkward.columns and rows_of(whole) == rows_of(awkward)
