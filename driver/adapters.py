@@ -13,7 +13,7 @@ from echelon.functions.columns import map_literal, normalised_map
 from echelon.functions.dates import status_as_of
 from echelon.operators import editions as ed
 from echelon.operators.profiles import with_inferred_archetype
-from echelon.operators.spread import checkpointed
+from echelon.operators.spread import checkpointed, shuffled
 from echelon.operators.team_calendar import prepare_planning, with_overlap_groups
 
 PLANNING_YEAR = 2001
@@ -106,7 +106,7 @@ def entries(spark: SparkSession, folder: str, summaries: DataFrame | None = None
     lists = list_summaries(spark, folder) if summaries is None else summaries
     seasons = lists.where("list = 'start'").select("race_id", "year", "month", "first_day", "rows")
     renamed = (F.col("year") >= 1999) & (F.col("race_id") % 13 == 5)
-    return seasons.join(race_names(spark, folder), ["race_id"]).select(
+    return seasons.join(shuffled(race_names(spark, folder)), ["race_id"]).select(
         "race_id", "year", "month",
         F.concat("base_name", F.when(renamed, " Classic").otherwise("")).alias("race_name"),
         F.concat(
@@ -146,7 +146,7 @@ def planning(spark: SparkSession, folder: str, year: int = 2002) -> DataFrame:
 
 def contributions(spark: SparkSession, folder: str) -> DataFrame:
     """Orders as rider contributions of nation teams, and one riderless placeholder team per region."""
-    orders = table(spark, folder, "orders").join(table(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    orders = table(spark, folder, "orders").join(shuffled(table(spark, folder, "customer")), F.col("o_custkey") == F.col("c_custkey"))
     price, pending = F.col("o_totalprice"), F.col("o_orderstatus") == "P"
     counted = F.when(pending, F.lit(0.0)).otherwise(price)
     sanction = F.when((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderstatus") == "F"), F.lit(10.0)).otherwise(F.lit(0.0))
@@ -225,8 +225,8 @@ def snapshots(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 # --- names: parts are planned races, line items are observed programme rows -----------------
 
 
-def planned_races(spark: SparkSession, folder: str) -> DataFrame:
-    """Parts as the planning calendars of seven seasons."""
+def planned_races(spark: SparkSession, folder: str, *also: str) -> DataFrame:
+    """Parts as the planning calendars of seven seasons; `also` names columns of the part to keep."""
     key = F.col("p_partkey")
     code = F.concat(F.lit("P"), key.cast("string"))
     name = (
@@ -242,9 +242,10 @@ def planned_races(spark: SparkSession, folder: str) -> DataFrame:
     label = F.when(days == 0, F.date_format(start, "dd.MM")).otherwise(
         F.concat(F.date_format(start, "dd.MM"), F.lit("-"), F.date_format(F.date_add(start, days), "dd.MM"))
     )
-    return table(spark, folder, "part").select(
+    # its file is small for the names and dates that are made of each row
+    return table(spark, folder, "part").repartition("p_partkey").select(
         key.alias("race_id"), name.alias("race_name"), F.when(key % 2 == 0, "1.1").otherwise("2.1").alias("category"),
-        label.alias("date_label"), F.month(start).alias("month"), season.alias("year"),
+        label.alias("date_label"), F.month(start).alias("month"), season.alias("year"), *also,
     )
 
 
@@ -267,10 +268,9 @@ def race_aliases(spark: SparkSession, folder: str) -> DataFrame:
 
 def programme(spark: SparkSession, folder: str) -> DataFrame:
     """Line items as observed programme rows: the part's race under a changed name, on a day near it."""
-    planned = prepare_planning(planned_races(spark, folder)).select("race_id", "race_name", "planning_year", "start_date")
-    parts = planned.join(table(spark, folder, "part").select(F.col("p_partkey").alias("race_id"), "p_name", "p_type"), ["race_id"])
+    parts = prepare_planning(planned_races(spark, folder, "p_name", "p_type")).select("race_id", "race_name", "planning_year", "start_date", "p_name", "p_type")
     rows = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("race_id"), "l_suppkey", "l_returnflag")
-    joined = rows.join(parts, ["race_id"])
+    joined = rows.join(shuffled(parts), ["race_id"])
     number, code = F.col("l_linenumber"), F.concat(F.lit("P"), F.col("race_id").cast("string"))
     name = (
         F.when(number % 6 == 0, F.concat("race_name", F.lit(" ME")))
@@ -300,9 +300,9 @@ def season_points(spark: SparkSession, folder: str) -> DataFrame:
     # A range on the column itself reaches the parquet scan; year(l_shipdate) would not.
     sold = table(spark, folder, "lineitem").where((day >= bound(PLANNING_YEAR)) & (day < bound(PLANNING_YEAR + 1)))
     buyers = table(spark, folder, "orders").select("o_orderkey", "o_custkey").join(
-        table(spark, folder, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")
+        shuffled(table(spark, folder, "customer").select("c_custkey", "c_nationkey")), F.col("o_custkey") == F.col("c_custkey")
     )
-    return sold.join(buyers, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("c_nationkey", F.col("l_suppkey").alias("supplier")).agg(
+    return sold.join(shuffled(buyers), F.col("l_orderkey") == F.col("o_orderkey")).groupBy("c_nationkey", F.col("l_suppkey").alias("supplier")).agg(
         F.sum("l_extendedprice").alias("points"), F.min(F.col("l_shipdate").cast("date")).alias("first_day"), F.count(F.lit(1)).alias("riders")
     )
 
@@ -315,7 +315,7 @@ def team_calendars(spark: SparkSession, folder: str) -> DataFrame:
     """The season of every nation; one supplier in ten is a new top-level race without history."""
     key = F.col("supplier")
     fresh = key % 10 == 3
-    races = season_points(spark, folder).join(race_names(spark, folder), key == F.col("race_id")).select(
+    races = season_points(spark, folder).join(shuffled(race_names(spark, folder)), key == F.col("race_id")).select(
         _team(F.col("c_nationkey")).alias("team_slug"),
         F.concat(F.lit("Nation "), F.col("c_nationkey").cast("string")).alias("team_name"),
         F.lit(PLANNING_YEAR).alias("planning_year"),

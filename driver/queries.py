@@ -18,7 +18,7 @@ from echelon.operators import (
     backtest, editions as ed, expected_value as ev, history as hist, matching, pages, profiles as prof, ranking, risk, scenarios,
     targets, team_calendar as cal, views, weight_fit,
 )
-from echelon.operators.spread import checkpointed, shared_folder, top_rows
+from echelon.operators.spread import checkpointed, shared_folder, shuffled, top_rows
 from echelon.plans import incremental
 
 PLANNING_SEASON = 2002
@@ -65,7 +65,7 @@ def _programme_names(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     names = ad.programme(s, d).select(
         "team_slug", "planning_year", "source_race_name", F.coalesce("observed_date", F.lit("")).alias("observed_date")
     ).distinct()
-    return names.withColumn("normalized_name", normalise_name(F.col("source_race_name"))), cal.prepare_planning(ad.planned_races(s, d))
+    return matching.spelled(names), cal.prepare_planning(ad.planned_races(s, d))
 
 
 def _matched(s: SparkSession, d: str) -> DataFrame:
@@ -554,7 +554,7 @@ def _refreshed_season(s: SparkSession, d: str) -> DataFrame:
 def _alias_hits(s: SparkSession, d: str) -> DataFrame:
     names, _ = _programme_names(s, d)
     hits = matching.alias_matches(names, matching.prepare_aliases(ad.race_aliases(s, d)))
-    return names.join(hits, ["team_slug", "planning_year", "normalized_name"]).withColumnsRenamed({"alias_race_id": "race_id", "alias_name": "canonical"})
+    return names.join(shuffled(hits), ["team_slug", "planning_year", "normalized_name"]).withColumnsRenamed({"alias_race_id": "race_id", "alias_name": "canonical"})
 
 
 ARCHETYPE_OF_PROFILE = ",\n".join(

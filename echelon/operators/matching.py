@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from echelon.functions.columns import first_filled, text
 from echelon.functions.dates import as_date
 from echelon.functions.text import name_variants, normalise_name, stable_slug, tokens_of
-from echelon.operators.spread import checkpointed, skew_join
+from echelon.operators.spread import checkpointed, shuffled, skew_join
 
 _SEASON = "planning_year"
 #: Names of at most so many words are matched through the sets of words that they share.
@@ -42,6 +42,18 @@ def prepare_aliases(aliases: DataFrame) -> DataFrame:
     )
 
 
+def spelled(names: DataFrame, with_variants: bool = False) -> DataFrame:
+    """The rows with `normalized_name`, and the `variants` to try if asked for.
+
+    Each spelling is normalised once, however many teams and dates it comes with; the result is written, as several matchers read it.
+    """
+    names, source = checkpointed(names), F.col("source_race_name")
+    normal = {"normalized_name": normalise_name(source), **({"variants": name_variants(source)} if with_variants else {})}
+    # written, so that no later step moves the spelling back in front of `distinct`
+    spellings = checkpointed(checkpointed(names.select("source_race_name").distinct()).withColumns(normal))
+    return checkpointed(names.join(shuffled(spellings), "source_race_name"))
+
+
 def alias_matches(names: DataFrame, aliases: DataFrame) -> DataFrame:
     """The preferred alias per (team, season, normalised name).
 
@@ -64,7 +76,7 @@ def alias_matches(names: DataFrame, aliases: DataFrame) -> DataFrame:
     keyed = names.select("team_slug", _SEASON, "normalized_name").distinct()
     keyed = keyed.withColumn("_scope", F.explode(F.array_distinct(scopes)))
     keyed = keyed.select("team_slug", _SEASON, "normalized_name", F.col("_scope.team").alias("_team"), F.col("_scope.season").alias("_season"))
-    found = keyed.join(preferred, ["normalized_name", "_team", "_season"])
+    found = keyed.join(shuffled(preferred), ["normalized_name", "_team", "_season"])
     return (
         found.groupBy("team_slug", _SEASON, "normalized_name")
         .agg(F.min("alias").alias("alias"))
@@ -89,7 +101,7 @@ def variant_matches(names: DataFrame, planning: DataFrame) -> DataFrame:
     tried = names.select(_SEASON, "source_race_name", "variants").dropDuplicates([_SEASON, "source_race_name"])
     tried = tried.select(_SEASON, "source_race_name", F.posexplode("variants").alias("_place", "_variant"))
     return (
-        tried.join(single, [_SEASON, "_variant"])
+        tried.join(shuffled(single), [_SEASON, "_variant"])
         .groupBy(_SEASON, "source_race_name")
         .agg(F.min_by("race", "_place").alias("race"))
         .select(
@@ -106,7 +118,7 @@ def _rarer_words(sets: DataFrame, id: str, frequency: DataFrame, skipped: int) -
     Two sets that share more than `skipped` words share at least one of these: leaving out that
     many per set, in one common order, cannot hide all of them.
     """
-    words = sets.select(_SEASON, id, F.explode("words").alias("word")).join(frequency, [_SEASON, "word"])
+    words = sets.select(_SEASON, id, F.explode("words").alias("word")).join(shuffled(frequency), [_SEASON, "word"])
     ranked = words.groupBy(_SEASON, id).agg(F.array_sort(F.collect_list(F.struct("frequency", "word"))).alias("ranked"))
     kept = F.slice("ranked", F.lit(1), F.greatest(F.size("ranked") - skipped, F.lit(0)))
     return ranked.select(_SEASON, id, F.explode(kept).alias("r")).select(_SEASON, id, F.col("r.word").alias("word"))
@@ -124,9 +136,9 @@ def _prefix_pairs(seen: DataFrame, listed: DataFrame) -> DataFrame:
         F.collect_set("length").alias("lengths")  # names are short, so there are few lengths
     )
     heads = seen.select(_SEASON, "seen_id", "name", F.explode(F.transform(F.sequence(F.lit(0), F.size(words) - 1), first)).alias("head"))
-    cut = heads.join(lengths, [_SEASON, "head"]).withColumn("length", F.explode("lengths")).where(F.col("length") <= F.length("name"))
+    cut = heads.join(shuffled(lengths), [_SEASON, "head"]).withColumn("length", F.explode("lengths")).where(F.col("length") <= F.length("name"))
     cut = cut.select(_SEASON, "seen_id", F.substring(F.col("name"), F.lit(1), F.col("length")).alias("name"))
-    return cut.join(listed.select(_SEASON, "name", "listed_id"), [_SEASON, "name"]).select("seen_id", "listed_id")
+    return cut.join(shuffled(listed.select(_SEASON, "name", "listed_id")), [_SEASON, "name"]).select("seen_id", "listed_id")
 
 
 def _word_sets(words: Column, least: int) -> Column:
@@ -183,16 +195,16 @@ def overlap_matches(names: DataFrame, planning: DataFrame) -> DataFrame:
 
     seen, listed = numbered(observed, "normalized_name", "seen_id"), numbered(candidates, "normalized_race_name", "listed_id")
     # Pairs carry numbers only; names, dates and words are joined to what is left of them.
-    observed = checkpointed(observed.join(seen.select(_SEASON, F.col("name").alias("normalized_name"), "seen_id"), [_SEASON, "normalized_name"]).withColumn("observed_id", F.monotonically_increasing_id()))
-    candidates = checkpointed(candidates.join(listed.select(_SEASON, F.col("name").alias("normalized_race_name"), "listed_id"), [_SEASON, "normalized_race_name"]).withColumn("candidate_id", F.monotonically_increasing_id()))
+    observed = checkpointed(observed.join(shuffled(seen.select(_SEASON, F.col("name").alias("normalized_name"), "seen_id")), [_SEASON, "normalized_name"]).withColumn("observed_id", F.monotonically_increasing_id()))
+    candidates = checkpointed(candidates.join(shuffled(listed.select(_SEASON, F.col("name").alias("normalized_race_name"), "listed_id")), [_SEASON, "normalized_race_name"]).withColumn("candidate_id", F.monotonically_increasing_id()))
     score = lambda date_bonus, prefix: F.struct((F.col("shared") + date_bonus + prefix).alias("total"), F.col("shared"), date_bonus.alias("date_bonus"))
     counts = [F.sum("races").alias("races"), F.min("race").alias("race")]
 
     # Over the season: only three shared words or more reach the least score.
-    per_name = candidates.groupBy("listed_id").agg(*counts).join(listed, "listed_id")
+    per_name = candidates.groupBy("listed_id").agg(*counts).join(shuffled(listed), "listed_id")
     in_season = per_name.select(_SEASON, "races", "race", F.inline(_sets_of_names(F.col("words"), F.col("long"), 3))).groupBy(_SEASON, "n", "shared_words").agg(*counts)
     wanted = seen.select(_SEASON, "seen_id", F.inline(_sets_of_names(F.col("words"), F.col("long"), 3)))
-    by_season = _largest_sets(wanted, in_season, [_SEASON], "seen_id").join(observed.select("seen_id", "observed_id"), "seen_id")
+    by_season = _largest_sets(wanted, in_season, [_SEASON], "seen_id").join(shuffled(observed.select("seen_id", "observed_id")), "seen_id")
     by_season = by_season.select("observed_id", "races", "race", score(F.lit(0), F.lit(0)).alias("score"))
 
     # On a race day: one shared word is enough, so names are first cut to the words of that day.
@@ -200,10 +212,10 @@ def overlap_matches(names: DataFrame, planning: DataFrame) -> DataFrame:
     days = candidates.where(F.col("start_date") <= F.col("end_date")).select(
         "listed_id", "races", "race", F.explode(F.sequence("start_date", "end_date")).alias("day")
     )
-    on_day = days.join(listed.select(_SEASON, "listed_id", F.inline(_sets_of_names(F.col("words"), F.col("long"), 1))), "listed_id")
+    on_day = days.join(shuffled(listed.select(_SEASON, "listed_id", F.inline(_sets_of_names(F.col("words"), F.col("long"), 1)))), "listed_id")
     on_day = checkpointed(on_day.groupBy(_SEASON, "day", "n", "shared_words").agg(*counts))
     day_words = on_day.where("n = 1").select(_SEASON, "day", F.rtrim("shared_words").alias("word"))
-    met = skew_join(dated.join(seen.select("seen_id", "long", F.explode("words").alias("word")), "seen_id"), day_words, [_SEASON, "day", "word"], "left_semi")
+    met = skew_join(dated.join(shuffled(seen.select("seen_id", "long", F.explode("words").alias("word"))), "seen_id"), day_words, [_SEASON, "day", "word"], "left_semi")
     met = met.groupBy(_SEASON, "day", "observed_id", "long").agg(F.array_sort(F.collect_list("word")).alias("words"))
     wanted = met.select(_SEASON, "day", "observed_id", F.inline(_sets_of_names(F.col("words"), F.col("long"), 1)))
     by_day = _largest_sets(wanted, on_day, [_SEASON, "day"], "observed_id").select("observed_id", "races", "race", score(F.lit(3), F.lit(0)).alias("score"))
@@ -211,12 +223,12 @@ def overlap_matches(names: DataFrame, planning: DataFrame) -> DataFrame:
     # Listed pairs: prefixes, and names of many words that share at least two.
     frequency = listed.select(_SEASON, F.explode("words").alias("word")).groupBy(_SEASON, "word").agg(F.count(F.lit(1)).alias("frequency"))
     rare = lambda sets, id: _rarer_words(sets, id, frequency, 1)
-    sharing = rare(seen.where("long"), "seen_id").join(rare(listed, "listed_id"), [_SEASON, "word"]).select("seen_id", "listed_id")
-    sharing = sharing.union(rare(seen.where("NOT long"), "seen_id").join(rare(listed.where("long"), "listed_id"), [_SEASON, "word"]).select("seen_id", "listed_id"))
+    sharing = rare(seen.where("long"), "seen_id").join(shuffled(rare(listed, "listed_id")), [_SEASON, "word"]).select("seen_id", "listed_id")
+    sharing = sharing.union(rare(seen.where("NOT long"), "seen_id").join(shuffled(rare(listed.where("long"), "listed_id")), [_SEASON, "word"]).select("seen_id", "listed_id"))
     compared = (
         _prefix_pairs(seen, listed).union(sharing).distinct()
-        .join(seen.select("seen_id", F.col("name").alias("normalized_name"), F.col("words").alias("ours")), "seen_id")
-        .join(listed.select("listed_id", F.col("name").alias("normalized_race_name"), F.col("words").alias("theirs")), "listed_id")
+        .join(shuffled(seen.select("seen_id", F.col("name").alias("normalized_name"), F.col("words").alias("ours"))), "seen_id")
+        .join(shuffled(listed.select("listed_id", F.col("name").alias("normalized_race_name"), F.col("words").alias("theirs"))), "listed_id")
         .select(
             "seen_id", "listed_id", F.size(F.array_intersect("ours", "theirs")).alias("shared"),
             F.startswith(F.col("normalized_name"), F.col("normalized_race_name")).cast("int").alias("prefix"),
@@ -225,8 +237,8 @@ def overlap_matches(names: DataFrame, planning: DataFrame) -> DataFrame:
     )
     within = F.coalesce(F.col("day").between(F.col("start_date"), F.col("end_date")), F.lit(False))
     pairs = (
-        compared.join(observed.select("seen_id", "observed_id", "day"), "seen_id")
-        .join(candidates.select("listed_id", "start_date", "end_date", "races", "race"), "listed_id")
+        compared.join(shuffled(observed.select("seen_id", "observed_id", "day")), "seen_id")
+        .join(shuffled(candidates.select("listed_id", "start_date", "end_date", "races", "race")), "listed_id")
         .withColumn("date_bonus", F.when(within, F.lit(3)).otherwise(F.lit(0)))
         # a pair without a prefix that shares one word on its day is counted already
         .where(~((F.col("shared") == 1) & (F.col("date_bonus") == 3) & (F.col("prefix") == 0)))
@@ -235,7 +247,7 @@ def overlap_matches(names: DataFrame, planning: DataFrame) -> DataFrame:
     reached = by_season.union(by_day).union(pairs).where("score.total >= 3")
     per_score = reached.groupBy("observed_id", "score").agg(*counts)
     best = per_score.groupBy("observed_id").agg(F.max_by(F.struct("races", "race"), "score").alias("best")).where("best.races = 1")
-    return best.join(observed, "observed_id").select(
+    return best.join(shuffled(observed), "observed_id").select(
         *observation, F.col("best.race.race_id").alias("overlap_race_id"), F.col("best.race.race_name").alias("overlap_name")
     )
 
@@ -249,17 +261,14 @@ def match_programme(programme: DataFrame, planning: DataFrame, aliases: DataFram
         }
     )
     ids = ["team_slug", _SEASON, "_source_name", "_observed_date"]
-    # Each spelling is normalised once, however many teams and dates it comes with.
-    spellings = observed.select(F.col("_source_name").alias("source_race_name")).distinct()
-    spellings = checkpointed(spellings.withColumns({"normalized_name": normalise_name(F.col("source_race_name")), "variants": name_variants(F.col("source_race_name"))}))
     names = observed.select(
         "team_slug", _SEASON, F.col("_source_name").alias("source_race_name"), F.col("_observed_date").alias("observed_date")
     ).distinct()
-    names = checkpointed(names.join(spellings, "source_race_name"))
+    names = spelled(names, with_variants=True)
     resolved = (
-        names.join(alias_matches(names, aliases), ["team_slug", _SEASON, "normalized_name"], "left")
-        .join(variant_matches(names, planning), [_SEASON, "source_race_name"], "left")
-        .join(overlap_matches(names, planning), [_SEASON, "normalized_name", "observed_date"], "left")
+        names.join(shuffled(alias_matches(names, aliases)), ["team_slug", _SEASON, "normalized_name"], "left")
+        .join(shuffled(variant_matches(names, planning)), [_SEASON, "source_race_name"], "left")
+        .join(shuffled(overlap_matches(names, planning)), [_SEASON, "normalized_name", "observed_date"], "left")
     )
     by_alias, by_variant = F.col("alias_found").isNotNull(), F.col("variant_race_id").isNotNull()
     by_overlap = F.col("overlap_race_id").isNotNull()
@@ -273,7 +282,7 @@ def match_programme(programme: DataFrame, planning: DataFrame, aliases: DataFram
         pick(F.lit("alias"), F.lit("normalized_name"), F.lit("token_overlap"), F.lit("")).alias("matched_via"),
     )
     named = planning.groupBy(_SEASON, F.col("race_id").alias("matched_race_id")).agg(F.min("race_name").alias("_planned_name"))
-    resolved = resolved.join(named, [_SEASON, "matched_race_id"], "left").withColumn(
+    resolved = resolved.join(shuffled(named), [_SEASON, "matched_race_id"], "left").withColumn(
         "canonical_race_name", first_filled(F.col("_canonical"), text(F.col("_planned_name")))
     )
     matched = skew_join(observed, resolved.drop("_canonical", "_planned_name"), ids)

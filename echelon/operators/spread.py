@@ -154,6 +154,15 @@ def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> D
     return top_rows(df, keys, order, 1).drop("_rank")
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """A side of an equi-join whose size has no bound: it reaches the join through a shuffle, never whole through the driver.
+
+    Spark alone goes by the size of the compressed columns that were read, however many times as large the rows are in memory
+    and whatever they were multiplied by since; at some size it sends millions of rows to every task.
+    """
+    return df.hint("merge")
+
+
 def skew_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
     """Equi-join of a large side with one that has few rows per key.
 
@@ -161,4 +170,4 @@ def skew_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "
     split a key that holds much of the left side over several tasks; it can't when one side is aggregated on the key in
     the same stage.
     """
-    return left.join(checkpointed(right), list(on), how)
+    return left.join(shuffled(checkpointed(right)), list(on), how)

@@ -12,7 +12,7 @@ from echelon.functions.columns import first_filled, nulls_last, text, with_defau
 from echelon.functions.dates import label_dates, status_as_of
 from echelon.functions.text import normalise_name
 from echelon.operators.matching import match_programme
-from echelon.operators.spread import arrange, first_rows
+from echelon.operators.spread import arrange, first_rows, shuffled
 
 TEAM_KEYS = ["team_slug", "planning_year"]
 
@@ -77,7 +77,7 @@ def calendar_from_programme(
         "start_date",
         "end_date",
     )
-    joined = matched.drop("month", "start_date", "end_date").join(planned, ["matched_race_id", "planning_year"], "left")
+    joined = matched.drop("month", "start_date", "end_date").join(shuffled(planned), ["matched_race_id", "planning_year"], "left")
     via = F.col("matched_via")
     assembled = joined.select(
         *TEAM_KEYS,
