@@ -5,7 +5,7 @@ No page holds more than the rows of one order, or of a block of fifty keys, what
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -49,12 +49,18 @@ def _block(key: str) -> Column:
 
 
 def _composed(
-    rows: DataFrame, page: Column, order: Sequence[str], headers: Sequence[str], row: Column, before: Column | str = "", footer: Column | str = "", url: Column | str = "page.php"
+    rows: DataFrame, page: Column, order: Sequence[str], headers: Sequence[str], row: Column | Callable[[Column], Column], before: Column | str = "", footer: Column | str = "", url: Column | str = "page.php"
 ) -> DataFrame:
-    """One page per value of `page`: `before`, a decoy table without the needed headers, and the table."""
-    listed = rows.select(page.alias("page_id"), F.struct(*order, row.alias("html")).alias("r"), _text(before).alias("before"), _text(footer).alias("footer"), _text(url).alias("url"))
-    grouped = listed.groupBy("page_id").agg(F.array_sort(F.collect_list("r")).alias("rows"), *[F.max(c).alias(c) for c in ("before", "footer", "url")])
-    body = F.array_join(F.transform("rows", lambda r: r["html"]), "")
+    """One page per value of `page`: `before`, a decoy table without the needed headers, and the table.
+
+    A row that is a function of the values in `order` is spelled after they came together, so that only values are shuffled.
+    """
+    spelled, marks = callable(row), {"before": before, "footer": footer, "url": url}
+    varying = {name: _text(value) for name, value in marks.items() if isinstance(value, Column)}
+    listed = rows.select(page.alias("page_id"), F.struct(*order, *([] if spelled else [row.alias("html")])).alias("r"), *[value.alias(name) for name, value in varying.items()])
+    grouped = listed.groupBy("page_id").agg(F.array_sort(F.collect_list("r")).alias("rows"), *[F.max(c).alias(c) for c in varying])
+    grouped = grouped.withColumns({name: _text(value) for name, value in marks.items() if name not in varying})
+    body = F.array_join(F.transform("rows", row if spelled else lambda r: r["html"]), "")
     head = F.concat(F.lit("<table><tr><th>menu</th></tr><tr><td>x</td></tr></table><table><tr>"), _tags("th", headers), F.lit("</tr>"))
     return grouped.select("page_id", "url", F.concat("before", head, body, "footer", F.lit("</table>")).alias("html"))
 
@@ -64,17 +70,17 @@ def _lines(s: SparkSession, d: str) -> DataFrame:
 
 
 def result_pages(s: SparkSession, d: str) -> DataFrame:
-    points = F.replace(_number(F.col("l_extendedprice")), F.lit("."), F.lit(","))
-    row = _row(F.col("l_linenumber"), F.concat(F.lit("rider "), F.col("l_partkey")), "T", F.when(F.col("l_returnflag") == "R", "-").otherwise(points))
-    return _composed(_lines(s, d), F.col("l_orderkey"), _LINE_ORDER, RESULTS, row)
+    points = lambda r: F.replace(_number(r["l_extendedprice"]), F.lit("."), F.lit(","))
+    row = lambda r: _row(r["l_linenumber"], F.concat(F.lit("rider "), r["l_partkey"]), "T", F.when(r["l_returnflag"] == "R", "-").otherwise(points(r)))
+    return _composed(_lines(s, d), F.col("l_orderkey"), [*_LINE_ORDER, "l_returnflag"], RESULTS, row)
 
 
 def start_pages(s: SparkSession, d: str) -> DataFrame:
-    row = _row(
-        F.col("l_linenumber"), _link(F.concat(F.lit("rider/"), F.col("l_partkey")), F.concat(F.lit("Rider "), F.col("l_partkey"))), F.col("l_quantity").cast("int"),
-        F.round(F.col("l_discount") * 100).cast("int"), F.round(F.col("l_tax") * 100).cast("int"), F.col("l_linenumber"),
+    row = lambda r: _row(
+        r["l_linenumber"], _link(F.concat(F.lit("rider/"), r["l_partkey"]), F.concat(F.lit("Rider "), r["l_partkey"])), r["l_quantity"].cast("int"),
+        F.round(r["l_discount"] * 100).cast("int"), F.round(r["l_tax"] * 100).cast("int"), r["l_linenumber"],
     )
-    return _composed(_lines(s, d), F.col("l_orderkey"), _LINE_ORDER, STARTS, row)
+    return _composed(_lines(s, d), F.col("l_orderkey"), [*_LINE_ORDER, "l_quantity", "l_discount", "l_tax"], STARTS, row)
 
 
 def header_pages(s: SparkSession, d: str) -> DataFrame:

@@ -6,11 +6,14 @@ that is DataFrame work on those rows. Fetching is not part of this: pages are la
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
+from html import unescape
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from echelon.constants import TARGET_CATEGORIES
 from echelon.functions.columns import text
@@ -126,10 +129,72 @@ class _Page(HTMLParser):
         return self
 
 
+# Tags without attributes or with such as most pages have, and elements whose content is not read as tags.
+_TAG = re.compile(r"(/?)([a-z][a-z0-9]*)")
+_OPENED = re.compile(r'([a-z][a-z0-9]*)((?:\s+[a-z]+="[^"&]*")+)')
+_ATTRIBUTE = re.compile(r'\s([a-z]+)="([^"]*)"')
+_RAW = frozenset("script style textarea xmp iframe noembed noframes noscript plaintext svg math".split())
+
+
+@lru_cache(maxsize=10_000)
+def _plain_tag(written: str) -> tuple[str, str, list[tuple[str, str]]] | None:
+    """(slash, name, attributes) of what stands between < and >; null if it's no plain tag."""
+    found, attributes = _TAG.fullmatch(written), []
+    if found is None:
+        found = _OPENED.fullmatch(written)
+        if found is None:
+            return None
+        name, rest = found.groups()
+        slash, attributes = "", _ATTRIBUTE.findall(rest)
+    else:
+        slash, name = found.groups()
+    return None if name in _RAW else (slash, name, attributes)
+
+
+def _plain_page(html: str) -> _Page | None:
+    """A page of nothing but plain tags and text, as the parser of the library reads it in several times the time; null for any other."""
+    page, pieces = _Page(), html.split("<")
+    opened, last, i = page._open, len(pieces) - 1, 1
+    while i <= last:
+        written, end, text = pieces[i].partition(">")
+        if not end:
+            return None
+        if "&" in text:
+            text = unescape(text)
+        i += 1
+        if not opened and i <= last:  # most cells and headers are text only
+            if written == "td" and page._row is not None and pieces[i].startswith("/td>"):
+                row = page._row
+                row["cells"].append(text.strip())
+                row["links"].append([])
+                row["link_texts"].append([])
+                i += 1
+                continue
+            if written == "th" and pieces[i].startswith("/th>"):
+                if page._tables:
+                    page.headers[page._tables[-1]].append(text.strip())
+                i += 1
+                continue
+        tag = _plain_tag(written)
+        if tag is None or (tag[1] == "title" and not tag[0] and (i > last or not pieces[i].startswith("/title>"))):
+            return None
+        if tag[0]:
+            page.handle_endtag(tag[1])
+        else:
+            page.handle_starttag(tag[1], tag[2])
+        if text and opened:
+            page.handle_data(text)
+    page._close_row()
+    return page
+
+
 def _read(html: str | None) -> _Page:
-    page = _Page()
-    page.feed(html or "")
-    return page.finish()
+    page = _plain_page(html or "")
+    if page is None:
+        page = _Page()
+        page.feed(html or "")
+        page.finish()
+    return page
 
 
 def page_rows(pages: DataFrame) -> DataFrame:
@@ -166,14 +231,32 @@ def page_marks(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "html").mapInPandas(extract, _MARKS)
 
 
-def find_tables(rows: DataFrame, required: Sequence[str], exact_case: bool = False) -> DataFrame:
-    """Body rows of the first table on each page that has all required headers."""
-    heads = F.col("headers") if exact_case else F.transform("headers", F.lower)
-    wanted = F.lit([h if exact_case else h.lower() for h in required])
-    fitting = rows.where((F.col("table_no") >= 0) & (F.size(F.array_except(wanted, heads)) == 0))
-    # a window over the rows of one page: the pages are parsed once
-    first = F.min("table_no").over(Window.partitionBy("page_id"))
-    return fitting.withColumn("_first", first).where("table_no = _first AND row_no > 0").drop("_first")
+def table_rows(pages: DataFrame, required: Sequence[str], exact_case: bool = False, links: bool = True) -> DataFrame:
+    """Body rows of the first table on each page that has all required headers.
+
+    The table is chosen where its page is read, so no row goes through a shuffle; `links` off leaves out the links and their texts.
+    """
+    wanted = {h if exact_case else h.lower() for h in required}
+    columns = ["page_id", "heading", "title", "row_no", "headers", "cells", *(["links", "link_texts"] if links else [])]
+    kinds = ", ".join(kind for kind in _ROWS.split(", ") if kind.split()[0] in columns)
+
+    def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = []
+            for page_id, html in zip(batch["page_id"], batch["html"]):
+                page = _read(html)
+                fitting = (n for n, heads in page.headers.items() if wanted.issubset(heads if exact_case else map(str.lower, heads)))
+                first = min(fitting, default=None)
+                body = [row for row in page.rows if row["table_no"] == first][1:] if first is not None else []
+                heads = page.headers.get(first)
+                for number, row in enumerate(body, 1):
+                    found.append((page_id, page.heading, page.title, number, heads, row["cells"], *((row["links"], row["link_texts"]) if links else ())))
+                if len(found) >= _ROWS_PER_BATCH:
+                    yield pd.DataFrame(found, columns=columns)
+                    found = []
+            yield pd.DataFrame(found, columns=columns)
+
+    return pages.select("page_id", "html").mapInPandas(extract, kinds)
 
 
 def _cell(index: int) -> Column:
@@ -216,19 +299,19 @@ def calendar_entries(pages: DataFrame, categories: Sequence[str] = TARGET_CATEGO
 def result_rows(pages: DataFrame) -> DataFrame:
     """Rows of result tables: page order and points (a decimal comma is read)."""
     points = F.coalesce(F.translate(text(_named("UCI")), ",", ".").try_cast("double"), F.lit(0.0))
-    return find_tables(page_rows(pages), ["Pos", "Rider", "Team", "UCI"], exact_case=True).select("page_id", "row_no", points.alias("points"))
+    return table_rows(pages, ["Pos", "Rider", "Team", "UCI"], exact_case=True, links=False).select("page_id", "row_no", points.alias("points"))
 
 
 def startlist_rows(pages: DataFrame) -> DataFrame:
     """Rows of extended startlists: career starts, wins, podiums and top tens."""
-    return find_tables(page_rows(pages), ["BiB", "Rider", "Starts", "Wins", "Podium", "Top 10"], exact_case=True).select(
+    return table_rows(pages, ["BiB", "Rider", "Starts", "Wins", "Podium", "Top 10"], exact_case=True, links=False).select(
         "page_id", "row_no", *[_named(h).alias(n) for h, n in (("Rider", "rider"), ("Starts", "starts"), ("Wins", "wins"), ("Podium", "podiums"), ("Top 10", "top10s"))]
     )
 
 
 def team_rankings(pages: DataFrame, breakdown_suffix: str) -> DataFrame:
     """Teams of ranking pages with rank, class, points and the path of their breakdown."""
-    rows = find_tables(page_rows(pages), ["#", "Team", "Class", "Points"]).where(F.size("cells") >= 6)
+    rows = table_rows(pages, ["#", "Team", "Class", "Points"]).where(F.size("cells") >= 6)
     paths = F.transform(F.flatten("links"), lambda l: F.regexp_replace(l, "^/+|/+$", ""))
     team_path = F.get(F.filter(paths, lambda l: F.startswith(l, F.lit("team/")) & ~F.contains(l, F.lit("/results/"))), F.lit(0))
     parsed = rows.select(
@@ -272,7 +355,7 @@ def _breakdown(pages: DataFrame, rows: DataFrame, key: int, rank: int, counted:
 
 def current_breakdown(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(riders, totals) of the current-season pages; the season is the year in the page heading."""
-    rows = find_tables(page_rows(pages), ["#", "rider", "Points counted", "Points not counted", "Sanctions"]).where(F.size("cells") >= 5)
+    rows = table_rows(pages, ["#", "rider", "Points counted", "Points not counted", "Sanctions"]).where(F.size("cells") >= 5)
     # A heading without a year leaves the season unknown but keeps the riders.
     riders, totals = _breakdown(pages, rows, 0, 0, 2, F.coalesce(heading_year(F.col("heading")), F.lit(-1)), False)
     return riders.withColumn("season_year", F.nullif("season_year", F.lit(-1))), totals
@@ -281,7 +364,7 @@ def current_breakdown(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
 def cycle_breakdown(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(riders, totals) of the licence-cycle pages; the season is the first cell."""
     needed = ["Season", "Rider", "Nth best rider for team", "Points counted", "Not counted", "Sanction points"]
-    rows = find_tables(page_rows(pages), needed).where(F.size("cells") >= 6)
+    rows = table_rows(pages, needed).where(F.size("cells") >= 6)
     return _breakdown(pages, rows, 0, 2, 3, digits_only(_cell(0)), True)
 
 
@@ -293,7 +376,7 @@ def programme_entries(pages: DataFrame) -> DataFrame:
         .when(F.contains(title, F.lit(" for ")), F.trim(F.substring_index(title, " for ", -1)))
         .otherwise(F.lit(""))
     )
-    rows = find_tables(page_rows(pages), ["date", "race", "class"]).where((F.size("cells") >= 4) & (_cell(2) != ""))
+    rows = table_rows(pages, ["date", "race", "class"]).where((F.size("cells") >= 4) & (_cell(2) != ""))
     link = F.trim(text(F.get(F.get(F.col("links"), F.lit(2)), F.lit(0))))
     return rows.select(
         "page_id", "row_no", team.alias("team_name"), _cell(2).alias("source_race_name"), _cell(1).alias("observed_date"), _cell(1).alias("date_label"),
@@ -303,7 +386,7 @@ def programme_entries(pages: DataFrame) -> DataFrame:
 
 def race_points(pages: DataFrame) -> DataFrame:
     """Points and riders per team-in-race page; a page without riders has has_rows false, unreadable points an error."""
-    rows = find_tables(page_rows(pages), ["#", "rider", "points"]).where((F.size("cells") >= 3) & (_cell(1) != ""))
+    rows = table_rows(pages, ["#", "rider", "points"], links=False).where((F.size("cells") >= 3) & (_cell(1) != ""))
     scored = rows.withColumn("_points", strict_number(_cell(2)))
     summed = scored.groupBy("page_id").agg(
         F.sum("_points").alias("_sum"), F.count(F.lit(1)).alias("_riders"), F.count_if(F.col("_points").isNull()).alias("_bad")
