@@ -21,11 +21,15 @@ def rider_roll_up(contributions: DataFrame) -> DataFrame:
     )
 
 
+def _leading_first() -> list[Column]:
+    # Sums of the same points differ in their last digits by the order of addition: equal ones must tie, and go by name.
+    return [-F.round("points_counted", 6), F.col("rider_name"), F.col("rider_slug")]
+
+
 def running_shares(riders: DataFrame) -> DataFrame:
     """Rank within the team (of one scope and cycle), share of the team's points and running share, largest scorers first."""
     share = ratio_or_zero(F.col("points_counted"), F.col("team_total_points"))
-    order = [-F.col("points_counted"), F.col("rider_name"), F.col("rider_slug")]
-    placed = arrange(riders.withColumn("share_of_team", share), _TEAM, order)
+    placed = arrange(riders.withColumn("share_of_team", share), _TEAM, _leading_first())
     real = (~F.col(_PLACEHOLDER)).cast("int")
     placed = placed.running("_position", "sum", real).running("cumulative_share", "sum", F.col("share_of_team"))
     return placed.with_columns(
@@ -53,7 +57,7 @@ def concentration_risk(contributions: DataFrame) -> DataFrame:
         F.count_if(real).alias("counted_riders_found"),
         F.sum(F.when(real, F.col("points_counted") * F.col("points_counted"))).alias("_squares"),
     )
-    leaders = top_rows(riders.where(real), _TEAM, [F.desc("points_counted"), F.col("rider_name"), F.col("rider_slug")], 5)
+    leaders = top_rows(riders.where(real), _TEAM, _leading_first(), 5)
     upto = lambda k: F.sum(F.when(F.col("_rank") <= k, F.col("points_counted")))
     tops = leaders.groupBy(*_TEAM).agg(
         F.max(F.when(F.col("_rank") == 1, F.col("rider_name"))).alias("_leader"),
