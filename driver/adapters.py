@@ -13,7 +13,7 @@ from echelon.functions.columns import map_literal, normalised_map
 from echelon.functions.dates import status_as_of
 from echelon.operators import editions as ed
 from echelon.operators.profiles import with_inferred_archetype
-from echelon.operators.spread import checkpointed, shuffled
+from echelon.operators.spread import checkpointed, hot_split, shuffled
 from echelon.operators.team_calendar import prepare_planning, with_overlap_groups
 
 PLANNING_YEAR = 2001
@@ -70,7 +70,8 @@ def _rounded(df: DataFrame) -> DataFrame:
 def list_summaries(spark: SparkSession, folder: str) -> DataFrame:
     """All result lists (flag N), stage lists (flag A, by line number) and startlists (all rows), summarised in one go.
 
-    One row per list; written, since every kind of list is taken from it.
+    One row per list; written, since every kind of list is taken from it. The lines of a (race, season) meet once, before they
+    become rows of lists; those of the few that hold more than a task's share are cut down where they are read instead.
     """
     rows = lines(spark, folder)
     career = [F.col(c) for c in ("starts", "wins", "podiums", "top10s")]
@@ -78,10 +79,13 @@ def list_summaries(spark: SparkSession, folder: str) -> DataFrame:
     entry = lambda kind, stage, value: F.struct(kind.alias("list"), stage.alias("stage"), value.alias("value"))
     result = entry(F.when(flag == "N", "gc").otherwise("stage"), F.when(flag == "A", F.col("l_linenumber")).otherwise(0), F.col("points"))
     start = entry(F.lit("start"), F.lit(0), ed.rider_form(*career))
-    listed = rows.select("*", F.explode(F.when(flag.isin("N", "A"), F.array(result, start)).otherwise(F.array(start))).alias("entry")).select("*", "entry.*")
+    listed = lambda some: some.select("*", F.explode(F.when(flag.isin("N", "A"), F.array(result, start)).otherwise(F.array(start))).alias("entry")).select("*", "entry.*")
     extra = [F.min("month").alias("month"), F.min("day").alias("first_day"), *ed.career_sums(*career)]
     order = [F.desc("value"), F.col("l_orderkey"), F.col("l_linenumber")]
-    return checkpointed(_rounded(ed.summarise_lists(listed, ["race_id", "year", "list", "stage"], F.col("value"), order, extra)))
+    near, keys = ["race_id", "year"], ["race_id", "year", "list", "stage"]
+    cold, hot = hot_split(rows, near)
+    met = ed.summarise_near_lists(listed(cold.repartition(*near)), keys, F.col("value"), order, extra)
+    return checkpointed(_rounded(met.unionByName(ed.summarise_lists(listed(hot), keys, F.col("value"), order, extra))))
 
 
 def race_names(spark: SparkSession, folder: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from echelon.constants import OBJECTIVE_WEIGHTS, OPPORTUNITY_SOURCES, OPPORTUNITY_WEIGHTS
 from echelon.functions.columns import last_known, normalised, total, with_defaults, year_list
 from echelon.operators.ranking import expanding_percentile_scores, rank_correlation
-from echelon.operators.spread import Arranged, arrange, checkpointed
+from echelon.operators.spread import Arranged, arrange, checkpointed, dealt_out
 from echelon.operators.targets import COMPONENT_SCORES, with_category_history
 
 _OUTCOMES = {
@@ -133,10 +133,12 @@ def scored_folds(folds: DataFrame, candidates: Sequence[Mapping[str, float]]) ->
     The candidates are a short literal list inside the plan. Outcome ranks do not depend on the candidate and are
     computed before the rows are multiplied; only what the metrics need is multiplied, and a row carries its score and history
     once, as its place in the order. What holds for a whole test year is joined from one row per year. `fold_detail` joins the
-    rest back.
+    rest back. The few bytes of a fold are dealt over all slices before they are multiplied: adaptive execution would leave them,
+    and with them all rows of all candidates, to one task.
     """
     slim = folds.select("test_year", "target_history_id", "top_k", "actual_points_efficiency", *COMPONENT_SCORES.values())
-    each = with_actual_ranks(slim).drop("top_k").select("*", F.posexplode(_candidate_literal(candidates)).alias("candidate_id", "_weights"))
+    dealt = dealt_out(with_actual_ranks(slim).drop("top_k"), ["test_year", "actual_rank", "target_history_id"])
+    each = dealt.select("*", F.posexplode(_candidate_literal(candidates)).alias("candidate_id", "_weights"))
     each = each.withColumn("_score", predicted_score(F.col("_weights"))).drop("_weights", *COMPONENT_SCORES.values())
     placed = arrange(each, ["candidate_id", "test_year"], [-F.col("_score"), F.col("target_history_id")], leave_out=["_score", "target_history_id"])
     years = F.broadcast(folds.groupBy("test_year").agg(F.max("races_compared").alias("races_compared"), F.max("top_k").alias("top_k")))

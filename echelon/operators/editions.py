@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from echelon.constants import STAGE_DEFAULTS
 from echelon.functions.columns import ratio_or_zero, with_defaults
@@ -29,6 +29,19 @@ def summarise_lists(rows: DataFrame, keys: Sequence[str], value: Column, order:
     return totals.join(leading, list(keys))
 
 
+def summarise_near_lists(rows: DataFrame, keys: Sequence[str], value: Column, order: Sequence[Column], extra: Sequence[Column] = (), k: int = 10) -> DataFrame:
+    """`summarise_lists` of rows that are already together by some of `keys`: one sort, and no further shuffle.
+
+    For lists none of which holds more than a task's share of the rows.
+    """
+    placed = rows.withColumn("_value", F.coalesce(value.try_cast("double"), F.lit(0.0))).withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    leading = F.when(F.col("_rank") <= k, F.col("_value"))
+    return placed.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("_value") > 0).alias("positive"), F.sum("_value").alias("total"), *extra,
+        F.max(F.when(F.col("_rank") == 1, F.col("_value"))).alias("first"), F.sum(leading).alias("leading"), F.avg(leading).alias("mean_leading"),
+    )
+
+
 def result_measures(lists: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Summarised result lists under the names of a result summary."""
     names = ("rows", "positive", "first", "leading", "total")
