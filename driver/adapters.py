@@ -303,10 +303,10 @@ def season_points(spark: SparkSession, folder: str) -> DataFrame:
     bound = lambda year: F.lit(f"{year}-01-01").cast("timestamp_ntz")
     # A range on the column itself reaches the parquet scan; year(l_shipdate) would not.
     sold = table(spark, folder, "lineitem").where((day >= bound(PLANNING_YEAR)) & (day < bound(PLANNING_YEAR + 1)))
-    buyers = table(spark, folder, "orders").select("o_orderkey", "o_custkey").join(
-        shuffled(table(spark, folder, "customer").select("c_custkey", "c_nationkey")), F.col("o_custkey") == F.col("c_custkey")
-    )
-    return sold.join(shuffled(buyers), F.col("l_orderkey") == F.col("o_orderkey")).groupBy("c_nationkey", F.col("l_suppkey").alias("supplier")).agg(
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey")
+    # the lines of one season meet their orders first, so only orders with such a line go on to their customers
+    ordered = sold.join(shuffled(orders), F.col("l_orderkey") == F.col("o_orderkey"))
+    return ordered.join(shuffled(table(spark, folder, "customer").select("c_custkey", "c_nationkey")), F.col("o_custkey") == F.col("c_custkey")).groupBy("c_nationkey", F.col("l_suppkey").alias("supplier")).agg(
         F.sum("l_extendedprice").alias("points"), F.min(F.col("l_shipdate").cast("date")).alias("first_day"), F.count(F.lit(1)).alias("riders")
     )
 
@@ -315,11 +315,14 @@ def _team(nation: Column) -> Column:
     return F.concat(F.lit("nation-"), nation.cast("string"))
 
 
-def team_calendars(spark: SparkSession, folder: str) -> DataFrame:
-    """The season of every nation; one supplier in ten is a new top-level race without history."""
+def team_calendars(spark: SparkSession, folder: str, season: DataFrame | None = None) -> DataFrame:
+    """The season of every nation; one supplier in ten is a new top-level race without history.
+
+    `season` are the `season_points` where the caller has them already.
+    """
     key = F.col("supplier")
     fresh = key % 10 == 3
-    races = season_points(spark, folder).join(shuffled(race_names(spark, folder)), key == F.col("race_id")).select(
+    races = (season_points(spark, folder) if season is None else season).join(shuffled(race_names(spark, folder)), key == F.col("race_id")).select(
         _team(F.col("c_nationkey")).alias("team_slug"),
         F.concat(F.lit("Nation "), F.col("c_nationkey").cast("string")).alias("team_name"),
         F.lit(PLANNING_YEAR).alias("planning_year"),
@@ -347,10 +350,10 @@ def team_calendars(spark: SparkSession, folder: str) -> DataFrame:
     return with_overlap_groups(full)
 
 
-def actual_points(spark: SparkSession, folder: str) -> DataFrame:
-    """Known results: what was bought, unknown for every fourth supplier."""
+def actual_points(spark: SparkSession, folder: str, season: DataFrame | None = None) -> DataFrame:
+    """Known results: what was bought, unknown for every fourth supplier. `season` as for `team_calendars`."""
     key = F.col("supplier")
-    return season_points(spark, folder).where(key % 4 != 1).select(
+    return (season_points(spark, folder) if season is None else season).where(key % 4 != 1).select(
         _team(F.col("c_nationkey")).alias("team_slug"), F.lit(PLANNING_YEAR).alias("planning_year"),
         F.when(key % 10 == 3, key + 1000000000).otherwise(key).alias("race_id"), F.round("points", 2).alias("actual_points"),
     )

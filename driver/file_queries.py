@@ -15,7 +15,7 @@ from driver.registry import Query, shape
 from echelon.constants import STAGE_DEFAULTS
 from echelon.operators import risk
 from echelon.operators.expected_value import ev_summary
-from echelon.operators.spread import shared_folder
+from echelon.operators.spread import checkpointed, shared_folder
 from echelon.plans import incremental
 from echelon.sources import snapshots, tables
 
@@ -75,7 +75,8 @@ def _manifest(s: SparkSession, d: str) -> DataFrame:
 
 def _season(build: Callable[[SparkSession, str], DataFrame], s: SparkSession, d: str) -> str:
     """All expected values published, then those of one team again with doubled points: the root of two snapshots."""
-    root, values = _folder(s), tables.typed(build(s, d), incremental.TABLES["team_calendar_ev"])
+    # written, since both snapshots and both of their tables are made of them
+    root, values = _folder(s), checkpointed(tables.typed(build(s, d), incremental.TABLES["team_calendar_ev"]))
     again = values.where("team_slug = 'nation-7'").withColumns({"expected_points": F.col("expected_points") * 2, "team_name": F.lit(" ")})
     for rows, replaced in ((values, None), (again, again.select("team_slug", "planning_year").distinct())):
         held = {"team_calendar_ev": rows, "team_ev_summary": tables.typed(ev_summary(rows), incremental.TABLES["team_ev_summary"])}

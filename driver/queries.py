@@ -48,8 +48,15 @@ def _history(s: SparkSession, d: str) -> DataFrame:
     return hist.history_summary(ad.editions(s, d), ad.PLANNING_YEAR)
 
 
+def _ev_inputs(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Calendars, history and known points; the season's lines are joined and summed once for both sides that need them."""
+    season = checkpointed(ad.season_points(s, d))
+    return ad.team_calendars(s, d, season), _history(s, d), ad.actual_points(s, d, season)
+
+
 def _ev(s: SparkSession, d: str) -> DataFrame:
-    return ev.team_calendar_ev(ad.team_calendars(s, d), _history(s, d), ad.team_profiles(s, d), ad.actual_points(s, d), ad.AS_OF)
+    calendars, history, actuals = _ev_inputs(s, d)
+    return ev.team_calendar_ev(calendars, history, ad.team_profiles(s, d), actuals, ad.AS_OF)
 
 
 def _overlay(s: SparkSession, d: str) -> DataFrame:
@@ -364,10 +371,11 @@ def _freshness(s: SparkSession, d: str) -> DataFrame:
 
 def _actual_rows(s: SparkSession, d: str) -> DataFrame:
     key = F.col("supplier")
-    calendar = ad.team_calendars(s, d)
+    season = checkpointed(ad.season_points(s, d))
+    calendar = ad.team_calendars(s, d, season)
     supplier = F.regexp_extract("pcs_race_slug", "([0-9]+)$", 1).cast("long")
     calendar = calendar.withColumn("pcs_race_slug", F.when(supplier % 6 == 5, "").otherwise(F.col("pcs_race_slug")))
-    fetched = ad.season_points(s, d).where(key % 6 != 5).select(
+    fetched = season.where(key % 6 != 5).select(
         F.concat(F.lit("nation-"), F.col("c_nationkey").cast("string")).alias("team_slug"), F.lit(ad.PLANNING_YEAR).alias("planning_year"),
         F.concat(F.lit("race-"), key.cast("string")).alias("pcs_race_slug"),
         F.round("points", 2).alias("actual_points"), F.col("riders").alias("rider_count"),
@@ -377,9 +385,10 @@ def _actual_rows(s: SparkSession, d: str) -> DataFrame:
 
 
 def _refit(s: SparkSession, d: str) -> DataFrame:
-    fits = weight_fit.fit_strength_weights(_ev(s, d), ad.team_profiles(s, d))
-    fitted = weight_fit.apply_fit(ad.team_profiles(s, d), fits)
-    return ev.team_calendar_ev(ad.team_calendars(s, d), _history(s, d), fitted, ad.actual_points(s, d), ad.AS_OF)
+    calendars, history, actuals = _ev_inputs(s, d)
+    valued = lambda profiles: ev.team_calendar_ev(calendars, history, profiles, actuals, ad.AS_OF)
+    fits = checkpointed(weight_fit.fit_strength_weights(valued(ad.team_profiles(s, d)), ad.team_profiles(s, d)))
+    return valued(weight_fit.apply_fit(ad.team_profiles(s, d), fits))
 
 
 def _risk_queries() -> dict[str, Query]:
