@@ -178,6 +178,8 @@ def overlap_matches(names: DataFrame, planning: DataFrame) -> DataFrame:
     the most words, n, with an observed name has exactly one of the name's sets of n words, so the sums of their counts say
     whether the best race is the only one. Sets of fewer words also hold races that score higher, but then those decide.
     Only pairs with a prefix, and pairs with a name of more than MOST_WORDS words, are listed.
+
+    Each way to score is written on its own: the driver holds the stages, tasks and metrics of a whole plan at once.
     """
     observation = [_SEASON, "normalized_name", "observed_date"]
     candidate = ["normalized_race_name", "start_date", "end_date"]
@@ -205,7 +207,7 @@ def overlap_matches(names: DataFrame, planning: DataFrame) -> DataFrame:
     per_name = candidates.groupBy("listed_id").agg(*counts).join(shuffled(listed), "listed_id")
     in_season = per_name.select(_SEASON, "races", "race", F.inline(_sets_of_names(F.col("words"), F.col("long"), 3))).groupBy(_SEASON, "n", "shared_words").agg(*counts)
     wanted = seen.select(_SEASON, "seen_id", F.inline(_sets_of_names(F.col("words"), F.col("long"), 3)))
-    by_season = _largest_sets(wanted, in_season, [_SEASON], "seen_id").join(shuffled(observed.select("seen_id", "observed_id")), "seen_id")
+    by_season = checkpointed(_largest_sets(wanted, in_season, [_SEASON], "seen_id")).join(shuffled(observed.select("seen_id", "observed_id")), "seen_id")
     by_season = by_season.select("observed_id", "races", "race", score(F.lit(0), F.lit(0)).alias("score"))
 
     # On a race day: one shared word is enough, so names are first cut to the words of that day.
@@ -219,15 +221,15 @@ def overlap_matches(names: DataFrame, planning: DataFrame) -> DataFrame:
     met = skew_join(dated.join(shuffled(seen.select("seen_id", "long", F.explode("words").alias("word"))), "seen_id"), day_words, [_SEASON, "day", "word"], "left_semi")
     met = met.groupBy(_SEASON, "day", "observed_id", "long").agg(F.array_sort(F.collect_list("word")).alias("words"))
     wanted = met.select(_SEASON, "day", "observed_id", F.inline(_sets_of_names(F.col("words"), F.col("long"), 1)))
-    by_day = _largest_sets(wanted, on_day, [_SEASON, "day"], "observed_id").select("observed_id", "races", "race", score(F.lit(3), F.lit(0)).alias("score"))
+    by_day = checkpointed(_largest_sets(wanted, on_day, [_SEASON, "day"], "observed_id")).select("observed_id", "races", "race", score(F.lit(3), F.lit(0)).alias("score"))
 
     # Listed pairs: prefixes, and names of many words that share at least two.
     frequency = listed.select(_SEASON, F.explode("words").alias("word")).groupBy(_SEASON, "word").agg(F.count(F.lit(1)).alias("frequency"))
     rare = lambda sets, id: _rarer_words(sets, id, frequency, 1)
     sharing = rare(seen.where("long"), "seen_id").join(shuffled(rare(listed, "listed_id")), [_SEASON, "word"]).select("seen_id", "listed_id")
     sharing = sharing.union(rare(seen.where("NOT long"), "seen_id").join(shuffled(rare(listed.where("long"), "listed_id")), [_SEASON, "word"]).select("seen_id", "listed_id"))
-    compared = (
-        _prefix_pairs(seen, listed).union(sharing).distinct()
+    compared = checkpointed(
+        checkpointed(_prefix_pairs(seen, listed).union(sharing).distinct())
         .join(shuffled(seen.select("seen_id", F.col("name").alias("normalized_name"), F.col("words").alias("ours"))), "seen_id")
         .join(shuffled(listed.select("listed_id", F.col("name").alias("normalized_race_name"), F.col("words").alias("theirs"))), "listed_id")
         .select(
@@ -266,10 +268,11 @@ def match_programme(programme: DataFrame, planning: DataFrame, aliases: DataFram
         "team_slug", _SEASON, F.col("_source_name").alias("source_race_name"), F.col("_observed_date").alias("observed_date")
     ).distinct()
     names = spelled(names, with_variants=True)
+    # written one after the other, so that no plan holds the stages of all matchers
     resolved = (
-        names.join(shuffled(alias_matches(names, aliases)), ["team_slug", _SEASON, "normalized_name"], "left")
-        .join(shuffled(variant_matches(names, planning)), [_SEASON, "source_race_name"], "left")
-        .join(shuffled(overlap_matches(names, planning)), [_SEASON, "normalized_name", "observed_date"], "left")
+        names.join(shuffled(checkpointed(alias_matches(names, aliases))), ["team_slug", _SEASON, "normalized_name"], "left")
+        .join(shuffled(checkpointed(variant_matches(names, planning))), [_SEASON, "source_race_name"], "left")
+        .join(shuffled(checkpointed(overlap_matches(names, planning))), [_SEASON, "normalized_name", "observed_date"], "left")
     )
     by_alias, by_variant = F.col("alias_found").isNotNull(), F.col("variant_race_id").isNotNull()
     by_overlap = F.col("overlap_race_id").isNotNull()

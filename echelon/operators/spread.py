@@ -3,7 +3,7 @@
 `Window.partitionBy(key)` puts a whole key into one task, which is wrong once one team, race or year holds a third of
 all rows. The helpers here never do that: rows are range-partitioned on (key, order) into as many slices as the session
 has shuffle partitions, the slices are written to the checkpoint folder, each slice is scanned on its own, and what the
-earlier slices contribute is added from a table with at most one row per slice. There is one way of working for all
+earlier slices contribute is added from a table with at most one row per slice, which is written as well. There is one way of working for all
 sizes of data.
 """
 
@@ -92,7 +92,8 @@ class Arranged:
         per_slice = self.df.groupBy(*self._groups(within)).agg(*[value.alias(f"_part_{name}") for name, value in aggregates.items()])
         carried = per_slice.withColumns({f"_carry_{name}": combine(f"_part_{name}").over(earlier) for name in aggregates})
         known = F.coalesce(*[F.col(f"_carry_{name}").cast("string") for name in aggregates])
-        return carried.where(known.isNotNull()).drop(*[f"_part_{name}" for name in aggregates])
+        # Written, since the rows are read for it and again for what follows: unwritten, every running value doubles the plan.
+        return checkpointed(carried.where(known.isNotNull()).drop(*[f"_part_{name}" for name in aggregates]))
 
     def _attach(self, df: DataFrame, extra: DataFrame, within: Sequence[str]) -> DataFrame:
         names = self._groups(within)
@@ -117,7 +118,7 @@ class Arranged:
         parts = outer.groupBy(*self._groups(within)).agg(*[combine[how](value).alias(f"_part_{name}") for name, (how, value) in columns.items()])
         carried = {f"_carry_{name}": combine[how](f"_part_{name}").over(group) for name, (how, _) in columns.items()}
         spanning = parts.withColumns({"_slices": F.count(F.lit(1)).over(group), **carried}).where("_slices > 1")
-        spanning = spanning.drop("_slices", *[f"_part_{name}" for name in columns])
+        spanning = checkpointed(spanning.drop("_slices", *[f"_part_{name}" for name in columns]))
         merged = self._attach(self.df.withColumns(local), spanning, within)
         filled = {name: F.coalesce(F.col(f"_carry_{name}"), F.col(name)) for name in columns}
         return self._with(merged.withColumns(filled).drop(*carried))
