@@ -1,5 +1,7 @@
 """Plans that stay small: the driver holds the stages, tasks and metrics of a whole plan at once."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from echelon.operators import matching, spread
@@ -36,3 +38,11 @@ def test_no_plan_holds_all_matchers(spark, monkeypatch):
     found = matching.match_programme(programme, planning, aliases)
     assert sorted((r["source_race_name"], r["matched_race_id"]) for r in found.collect()) == [("Tour of X", 1), ("Tour of the Big X", 1)]
     assert max(joins) <= 8, joins
+
+
+def test_what_earlier_slices_contribute_is_found_by_the_slice_alone(spark):
+    rows = [(None if i % 2 else "a", i) for i in range(60)]
+    placed = spread.arrange(spark.createDataFrame(rows, "k string, i int"), ["k"], [F.col("i")]).running("s", "sum", F.col("i"))
+    assert re.search(r"BroadcastHashJoin \[_slice#\d+\], \[_r__slice#\d+\]", plan(placed.df))
+    found = {r["i"]: r["s"] for r in placed.done().collect()}
+    assert found == {i: sum(range(i % 2, i + 1, 2)) for i in range(60)}
