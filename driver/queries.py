@@ -75,9 +75,13 @@ def _programme_names(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return matching.spelled(names), cal.prepare_planning(ad.planned_races(s, d))
 
 
+def _plans(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Planned races and aliases with their comparable names; written, as every matcher reads them."""
+    return checkpointed(cal.prepare_planning(ad.planned_races(s, d))), checkpointed(matching.prepare_aliases(ad.race_aliases(s, d)))
+
+
 def _matched(s: SparkSession, d: str) -> DataFrame:
-    planned = cal.prepare_planning(ad.planned_races(s, d))
-    return matching.match_programme(ad.programme(s, d), planned, matching.prepare_aliases(ad.race_aliases(s, d)))
+    return matching.match_programme(ad.programme(s, d), *_plans(s, d))
 
 
 def _totals_by(df: DataFrame, *keys: str) -> DataFrame:
@@ -486,7 +490,7 @@ def _calendar_queries() -> dict[str, Query]:
             sql.with_ctes(sql.CASCADE, select="SELECT *, season AS planning_year, coalesce(CAST(day AS VARCHAR), '') AS observed_date FROM cascade"),
         ),
         "team_calendar_build": Query(
-            lambda s, d: cal.calendar_from_programme(ad.programme(s, d), cal.prepare_planning(ad.planned_races(s, d)), matching.prepare_aliases(ad.race_aliases(s, d)), "1998-07-01"),
+            lambda s, d: cal.calendar_from_programme(ad.programme(s, d), *_plans(s, d), "1998-07-01"),
             shape(i="planning_year race_id month", s="team_slug race_name category date_label start_date end_date status team_calendar_status overlap_group"),
             built,
         ),
@@ -545,7 +549,7 @@ def _refreshed_season(s: SparkSession, d: str) -> DataFrame:
     """
     programme = checkpointed(ad.programme(s, d))
     # read by the fingerprints and by the build, twice each
-    planning, aliases, editions = (checkpointed(df) for df in (cal.prepare_planning(ad.planned_races(s, d)), matching.prepare_aliases(ad.race_aliases(s, d)), ad.editions(s, d)))
+    (planning, aliases), editions = _plans(s, d), checkpointed(ad.editions(s, d))
     teams = checkpointed(programme.groupBy("team_slug", "planning_year").agg(F.max("team_name").alias("team_name")))
     prior = ARCHETYPES["balanced_opportunist"]["strength_weight_prior"]
     profiles = teams.select(

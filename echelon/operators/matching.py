@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from echelon.functions.columns import first_filled, text
 from echelon.functions.dates import as_date
 from echelon.functions.text import name_variants, normalise_name, stable_slug, tokens_of
-from echelon.operators.spread import checkpointed, shuffled, skew_join
+from echelon.operators.spread import checkpointed, let_go, shuffled, skew_join
 
 _SEASON = "planning_year"
 #: Names of at most so many words are matched through the sets of words that they share.
@@ -279,7 +279,8 @@ def match_programme(programme: DataFrame, planning: DataFrame, aliases: DataFram
     """Every programme row with matched_race_id, canonical_race_name, matched_via and match_status.
 
     A spelling on a date is resolved once for all teams that list it. Only aliases can depend on the team: rows whose spelling
-    has any are looked up by team as well. Rows without a team or a season match nothing.
+    has any are looked up by team as well, and shared words are only looked at where a variant or an alias for all has not decided.
+    Rows without a team or a season match nothing.
     """
     nowhere = F.lit(-(2**31))
     observed = programme.withColumns(
@@ -295,12 +296,16 @@ def match_programme(programme: DataFrame, planning: DataFrame, aliases: DataFram
     sightings = checkpointed(sightings)
     in_season = sightings.select(_SEASON, "source_race_name").distinct().join(shuffled(_spellings(sightings, with_variants=True)), "source_race_name")
     in_season = checkpointed(in_season)
-    aliased = aliases.select(F.col("normalized_source_race_name").alias("normalized_name"), F.lit(True).alias("_aliased")).distinct()
+    # `_open`: some alias holds for every team and season, so the team and the other matchers make no difference
+    everywhere = (F.col("team_slug") == "") & F.col(_SEASON).isNull()
+    aliased = aliases.groupBy(F.col("normalized_source_race_name").alias("normalized_name")).agg(F.coalesce(F.max(everywhere), F.lit(False)).alias("_open"))
     by_variant = checkpointed(variant_matches(in_season, planning))
     in_season = in_season.drop("variants").join(shuffled(by_variant), [_SEASON, "source_race_name"], "left").join(shuffled(aliased), "normalized_name", "left")
     in_season = checkpointed(in_season)
     names = checkpointed(sightings.join(shuffled(in_season), [_SEASON, "source_race_name"]))
-    by_overlap = checkpointed(overlap_matches(names, planning))
+    undecided = F.col("variant_race_id").isNull() & ~F.coalesce("_open", F.lit(False))
+    by_overlap = checkpointed(overlap_matches(names.where(undecided), planning))
+    let_go(programme.sparkSession)
     resolved = names.join(shuffled(by_overlap), [_SEASON, "normalized_name", "observed_date"], "left")
     variant, overlap = F.col("variant_race_id").isNotNull(), F.col("overlap_race_id").isNotNull()
     pick = lambda a, b, none: F.when(variant, a).when(overlap, b).otherwise(none)
@@ -308,18 +313,20 @@ def match_programme(programme: DataFrame, planning: DataFrame, aliases: DataFram
         _SEASON,
         F.col("source_race_name").alias("_source_name"),
         F.col("observed_date").alias("_observed_date"),
-        F.when(F.col("_aliased"), F.col("normalized_name")).alias("_alias_name"),
+        F.when(F.col("_open").isNotNull(), F.col("normalized_name")).alias("_alias_name"),
         pick(F.col("variant_race_id"), F.col("overlap_race_id"), F.lit(None)).alias("matched_race_id"),
         pick(F.col("variant_name"), F.col("overlap_name"), F.lit("")).alias("_canonical"),
         pick(F.lit("normalized_name"), F.lit("token_overlap"), F.lit("")).alias("matched_via"),
     )
     resolved = checkpointed(_with_planned_name(resolved, planning)).withColumnRenamed(_SEASON, "_season")
+    del sightings, names, by_variant, by_overlap
     ids = ["_season", "_source_name", "_observed_date"]
 
     # which teams list a spelling with an alias
-    listing = in_season.where("_aliased").select(_SEASON, F.col("source_race_name").alias("_source_name"), "normalized_name")
+    listing = in_season.where("_open IS NOT NULL").select(_SEASON, F.col("source_race_name").alias("_source_name"), "normalized_name")
     listing = known.select("team_slug", _SEASON, "_source_name").join(shuffled(listing), [_SEASON, "_source_name"])
     by_alias = alias_matches(checkpointed(listing.select("team_slug", _SEASON, "normalized_name").distinct()), aliases)
+    del in_season, listing
     by_alias = by_alias.select("team_slug", _SEASON, "normalized_name", F.col("alias_race_id").alias("matched_race_id"), F.col("alias_name").alias("_canonical"), F.lit("alias").alias("matched_via"))
     by_alias = _with_planned_name(by_alias, planning)
     found = ["matched_race_id", "matched_via", "canonical_race_name"]
@@ -333,4 +340,5 @@ def match_programme(programme: DataFrame, planning: DataFrame, aliases: DataFram
     columns = ["team_slug", _SEASON, *rest]
     matched = met.where(F.col("_alias_name").isNull()).select(*columns, *found).union(of_team.select(*columns, *map(preferred, found)))
     status = F.when(F.col("matched_race_id").isNotNull(), F.lit("matched")).otherwise(F.lit("unmatched"))
+    let_go(programme.sparkSession)
     return matched.withColumn("match_status", status)

@@ -9,8 +9,8 @@ sizes of data.
 
 from __future__ import annotations
 
+import gc
 import tempfile
-import uuid
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 from functools import reduce
@@ -18,6 +18,9 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+#: So many rows of one side of a join, at most, are sent to every task.
+MOST_SENT = 10_000
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder of the session, which every executor can reach.
@@ -57,16 +60,23 @@ def checkpointed(df: DataFrame) -> DataFrame:
         return df.select("*").checkpoint(eager=True)  # a plan of its own, so that no one else holds its shuffles
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The rows as a table in the shared folder, for few rows that many rows are joined with.
+def let_go(spark: SparkSession) -> None:
+    """Ask for the garbage of the driver, after a step that wrote much and needs little of it from here on.
+
+    Spark deletes checkpoints (with `spark.cleaner.referenceTracking.cleanCheckpoints`) and broadcasts when the driver finds them
+    unused, which an idle driver seldom looks for. Frees nothing that is still in use.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def few(df: DataFrame) -> DataFrame:
+    """One side of a join, written: mostly a handful of rows (teams of a season, categories) that very many rows are joined with.
 
-    Unlike a checkpoint its size is known when the join is planned, so that a small one is sent to the tasks without moving the other side.
+    At most MOST_SENT rows are sent to the tasks, so that the other side stays where it is; more of them are met through shuffles.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/written-{uuid.uuid4().hex}"
-    with shuffles_released(spark):
-        df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    kept = checkpointed(df)
+    return F.broadcast(kept) if kept.limit(MOST_SENT + 1).count() <= MOST_SENT else shuffled(kept)
 
 
 def _same(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]]) -> Column:

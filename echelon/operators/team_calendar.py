@@ -12,7 +12,7 @@ from echelon.functions.columns import first_filled, nulls_last, text, with_defau
 from echelon.functions.dates import label_dates, status_as_of
 from echelon.functions.text import normalise_name
 from echelon.operators.matching import match_programme
-from echelon.operators.spread import arrange, first_rows, shuffled
+from echelon.operators.spread import arrange, checkpointed, first_rows, shuffled
 
 TEAM_KEYS = ["team_slug", "planning_year"]
 
@@ -67,6 +67,10 @@ def calendar_from_programme(
         programme, {"source_url": "", "pcs_race_slug": "", "observed_date": None, "category": None, "date_label": None}
     )
     matched = match_programme(observed, planning, aliases).where("match_status = 'matched'")
+    # one row per race before the planned columns come along, of a race that is planned twice as well; written, so that what
+    # led there has left the disks before the calendars are sorted
+    matched = first_rows(matched.drop("month", "start_date", "end_date"), [*TEAM_KEYS, "matched_race_id"], [F.asc_nulls_last("source_race_name"), F.asc_nulls_last("source_url")])
+    matched = checkpointed(matched)
     planned = planning.select(
         F.col("race_id").alias("matched_race_id"),
         "planning_year",
@@ -77,7 +81,8 @@ def calendar_from_programme(
         "start_date",
         "end_date",
     )
-    joined = matched.drop("month", "start_date", "end_date").join(shuffled(planned), ["matched_race_id", "planning_year"], "left")
+    planned = first_rows(planned, ["matched_race_id", "planning_year"], [F.asc_nulls_last(c) for c in ("_name", "_category", "_label", "month", "start_date", "end_date")])
+    joined = matched.join(shuffled(planned), ["matched_race_id", "planning_year"], "left")
     via = F.col("matched_via")
     assembled = joined.select(
         *TEAM_KEYS,
@@ -99,8 +104,7 @@ def calendar_from_programme(
         "matched_via",
         F.concat(F.lit("matched_via="), via).alias("notes"),
     )
-    unique = first_rows(assembled, [*TEAM_KEYS, "race_id"], [F.asc_nulls_last("observed_race_name"), F.asc_nulls_last("source_url")])
-    return with_overlap_groups(unique).select(*TEAM_CALENDAR_COLUMNS, "overlap_group_id")
+    return with_overlap_groups(assembled).select(*TEAM_CALENDAR_COLUMNS, "overlap_group_id")
 
 
 def schedule_changes(

@@ -4,7 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from echelon.operators import matching, spread
+from echelon.operators import matching, spread, team_calendar
 
 
 def shuffle_files(spark):
@@ -27,6 +27,7 @@ def test_a_written_step_leaves_no_shuffle_behind(spark):
 
 
 def test_a_spelling_on_a_date_is_matched_once_for_all_teams(spark, monkeypatch):
+    """By shared words only where neither an exact name nor an alias for all teams has decided."""
     given, overlap = [], matching.overlap_matches
 
     def watched(names, planning):
@@ -43,9 +44,38 @@ def test_a_spelling_on_a_date_is_matched_once_for_all_teams(spark, monkeypatch):
     found = matching.match_programme(programme, planning, aliases)
     assert found.columns == [*programme.columns, "matched_race_id", "matched_via", "canonical_race_name", "match_status"]
     got = {(r["team_slug"], r["planning_year"], r["source_race_name"]): (r["matched_race_id"], r["matched_via"], r["canonical_race_name"], r["match_status"]) for r in found.collect()}
-    assert given == [4] and len(got) == 122 == found.count()
+    assert given == [2] and len(got) == 122 == found.count()
     for team in (f"t{i}" for i in range(30)):
         assert got[team, 2024, "Tour of X"] == ((2, "alias", "Lake Y", "matched") if team == "t4" else (1, "normalized_name", "Tour of X", "matched"))
         assert got[team, 2024, "Sponsor"] == (5 if team == "t3" else 7, "alias", "", "matched")
         assert got[team, 2024, "Nobody"] == (None, "", "", "unmatched")
     assert got[None, 2024, "Tour of X"] == got["t1", None, "Sponsor"] == (None, None, None, "unmatched")
+
+
+def test_a_race_of_a_calendar_is_one_row_before_it_gets_the_planned_columns(spark, monkeypatch):
+    planning = [(1, 2024, "Tour of X", "1.1", "01.05", 5, "tour of x"), (1, 2024, "Tour of X", "1.1", "01.05", 5, "tour of x x")]
+    planning = spark.createDataFrame(planning, "race_id long, planning_year int, race_name string, category string, date_label string, month int, normalized_race_name string")
+    planning = planning.withColumns({c: F.lit("2024-05-01").cast("date") for c in ("start_date", "end_date")})
+    rows = [(f"t{team}", "T", 2024, "live", name, None) for team in range(5) for name in ("Tour of X", "Tour of X ME", "Sponsor X")]
+    programme = spark.createDataFrame(rows, "team_slug string, team_name string, planning_year int, source string, source_race_name string, observed_date string")
+    aliases = matching.prepare_aliases(spark.createDataFrame([("Sponsor X", 1)], "source_race_name string, race_id long"))
+    kept, write = [], team_calendar.checkpointed
+
+    def watched(df):
+        out = write(df)
+        kept.append((out.columns, out.count()))
+        return out
+
+    monkeypatch.setattr(team_calendar, "checkpointed", watched)
+    found = team_calendar.calendar_from_programme(programme, planning, aliases, "2024-06-01").collect()
+    assert [count for columns, count in kept if "matched_race_id" in columns and "_name" not in columns] == [5]
+    assert sorted((r["team_slug"], r["race_id"], r["observed_race_name"], r["race_name"]) for r in found) == [(f"t{i}", 1, "Sponsor X", "Tour of X") for i in range(5)]
+
+
+def test_few_rows_are_sent_and_many_are_not(spark, monkeypatch):
+    rows, teams = spark.range(40).withColumn("k", F.col("id") % 4), spark.range(4).withColumnRenamed("id", "k")
+    plan = lambda: rows.join(spread.few(teams).select("k"), ["k"], "left_semi")
+    text = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" in text(plan()) and "Exchange hash" not in text(plan())
+    monkeypatch.setattr(spread, "MOST_SENT", 3)
+    assert "SortMergeJoin" in text(plan()) and plan().count() == 40
