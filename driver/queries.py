@@ -68,9 +68,10 @@ def _folds(s: SparkSession, d: str) -> DataFrame:
     return folds.withColumns({c: F.round(c, 9) for c in backtest.COMPONENT_SCORES.values()})
 
 
-def _programme_names(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _programme_names(s: SparkSession, d: str, *keys: str) -> tuple[DataFrame, DataFrame]:
+    """The spellings of the programme by `keys` and date; a matcher that knows no team gets them once for all teams."""
     names = ad.programme(s, d).select(
-        "team_slug", "planning_year", "source_race_name", F.coalesce("observed_date", F.lit("")).alias("observed_date")
+        *keys, "planning_year", "source_race_name", F.coalesce("observed_date", F.lit("")).alias("observed_date")
     ).distinct()
     return matching.spelled(names), cal.prepare_planning(ad.planned_races(s, d))
 
@@ -566,7 +567,7 @@ def _refreshed_season(s: SparkSession, d: str) -> DataFrame:
 
 
 def _alias_hits(s: SparkSession, d: str) -> DataFrame:
-    names, _ = _programme_names(s, d)
+    names, _ = _programme_names(s, d, "team_slug")
     hits = matching.alias_matches(names, matching.prepare_aliases(ad.race_aliases(s, d)))
     return names.join(shuffled(hits), ["team_slug", "planning_year", "normalized_name"]).withColumnsRenamed({"alias_race_id": "race_id", "alias_name": "canonical"})
 

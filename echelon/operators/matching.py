@@ -233,6 +233,9 @@ def overlap_matches(names: DataFrame, planning: DataFrame) -> DataFrame:
     wanted = met.select(_SEASON, "day", "observed_id", F.inline(_sets_of_names(F.col("words"), F.col("long"), 1)))
     by_day = checkpointed(_largest_sets(wanted, on_day, [_SEASON, "day"], "observed_id")).select("observed_id", "races", "race", score(F.lit(3), F.lit(0)).alias("score"))
 
+    del in_season, days, dated, on_day, day_words, met, wanted  # the sets are many times the names
+    let_go(names.sparkSession)
+
     # Listed pairs: prefixes, and names of many words that share at least two.
     frequency = listed.select(_SEASON, F.explode("words").alias("word")).groupBy(_SEASON, "word").agg(F.count(F.lit(1)).alias("frequency"))
     rare = lambda sets, id: _rarer_words(sets, id, frequency, 1)

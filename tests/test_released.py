@@ -4,6 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
+from driver import queries
 from echelon.operators import matching, spread, team_calendar
 
 
@@ -79,3 +80,14 @@ def test_few_rows_are_sent_and_many_are_not(spark, monkeypatch):
     assert "Broadcast" in text(plan()) and "Exchange hash" not in text(plan())
     monkeypatch.setattr(spread, "MOST_SENT", 3)
     assert "SortMergeJoin" in text(plan()) and plan().count() == 40
+
+
+def test_spellings_come_once_for_all_teams_to_matchers_that_know_none(spark, monkeypatch):
+    rows = [(f"t{team}", 2024, name, None) for team in range(20) for name in ("Tour of X", "Lake Y")]
+    programme = spark.createDataFrame(rows, "team_slug string, planning_year int, source_race_name string, observed_date string")
+    planned = spark.createDataFrame([(1, "Tour of X", "1.1", "01.05", 5, 2024)], "race_id long, race_name string, category string, date_label string, month int, year int")
+    monkeypatch.setattr(queries.ad, "programme", lambda s, d: programme)
+    monkeypatch.setattr(queries.ad, "planned_races", lambda s, d: planned)
+    names, _ = queries._programme_names(spark, "")
+    assert sorted((r["source_race_name"], r["normalized_name"], r["observed_date"]) for r in names.collect()) == [("Lake Y", "lake y", ""), ("Tour of X", "tour of x", "")]
+    assert queries._programme_names(spark, "", "team_slug")[0].count() == 40
