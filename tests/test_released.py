@@ -5,7 +5,7 @@ import time
 from pyspark.sql import functions as F
 
 from driver import queries
-from echelon.operators import matching, spread, team_calendar
+from echelon.operators import backtest, matching, spread, team_calendar
 
 
 def shuffle_files(spark):
@@ -13,15 +13,19 @@ def shuffle_files(spark):
     return {name for name in (files.apply(i).getName() for i in range(files.size())) if name.startswith("shuffle_")}
 
 
+def left_behind(spark, before):
+    until = time.time() + 20
+    while (left := shuffle_files(spark) - before) and time.time() < until:
+        time.sleep(0.2)
+    return left
+
+
 def test_a_written_step_leaves_no_shuffle_behind(spark):
     before = shuffle_files(spark)
     left, right = (spark.range(5000).groupBy((F.col("id") % k).alias("k")).count() for k in (100, 70))
     joined = left.join(spread.shuffled(right.withColumnRenamed("count", "other")), "k")
     kept = spread.checkpointed(joined)
-    until = time.time() + 20
-    while shuffle_files(spark) - before and time.time() < until:
-        time.sleep(0.2)
-    assert not shuffle_files(spark) - before
+    assert not left_behind(spark, before)
     # the frame that was written can still be run itself
     assert kept.count() == joined.count() == 70
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) is None
@@ -91,3 +95,17 @@ def test_spellings_come_once_for_all_teams_to_matchers_that_know_none(spark, mon
     names, _ = queries._programme_names(spark, "")
     assert sorted((r["source_race_name"], r["normalized_name"], r["observed_date"]) for r in names.collect()) == [("Lake Y", "lake y", ""), ("Tour of X", "tour of x", "")]
     assert queries._programme_names(spark, "", "team_slug")[0].count() == 40
+
+
+def test_rows_of_all_candidates_are_on_the_disks_once(spark):
+    """They are written in slices; neither the shuffle that dealt them nor those of the ranks of the outcome stay beside them."""
+    scores = {name: (F.col("id") * (i + 3) % 17).cast("double") for i, name in enumerate(backtest.COMPONENT_SCORES.values())}
+    folds = spark.range(200).select(
+        (F.lit(2000) + F.col("id") % 3).cast("int").alias("test_year"), F.col("id").cast("string").alias("target_history_id"), F.lit(5).cast("long").alias("top_k"),
+        F.lit(67).cast("long").alias("races_compared"), (F.col("id") * 7 % 31).cast("double").alias("actual_points_efficiency"), *[value.alias(name) for name, value in scores.items()],
+    )
+    candidates = backtest.distinct_candidates(backtest.weight_candidates(20))
+    before = shuffle_files(spark)
+    scored = backtest.scored_folds(folds, candidates)
+    assert not left_behind(spark, before)
+    assert backtest.fold_metrics(scored).count() == 3 * len(candidates)
